@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, chat, sharding, simhash
 
 QUERIES = {
+    "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
+    "op2_label_propagation_shards": sharding.op2_label_propagation_shards,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_chat_formatting": chat.OP10_SQL,
+}
