@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, sharding, simhash
+from . import bpe, chat, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
     "op2_label_propagation_shards": sharding.op2_label_propagation_shards,
+    "op6_url_filters": url_filter.op6_url_filters,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": url_filter.OP6_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
