@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, sharding, simhash, url_filter
+from . import bpe, chat, decontaminate, media, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
     "op2_label_propagation_shards": sharding.op2_label_propagation_shards,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_media_columns": media.op5_media_columns,
     "op6_url_filters": url_filter.op6_url_filters,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
