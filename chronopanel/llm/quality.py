@@ -25,7 +25,6 @@ from .common import table
 #: Bounds of what is fitted on: labelled rows and unlabelled rows.
 SAMPLE_ROWS, POOL_ROWS = 8000, 4000
 ROUNDS, SURE, PRECISION = 3, 0.97, 0.95
-SCORES = "doc_id long, low_score double, toxic_score double, keep boolean"
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = np.zeros((6, 256), bool)
 _ASCII[0, 65:91] = _ASCII[1, 48:58] = True
@@ -222,7 +221,19 @@ def score(docs: DataFrame, model: Model, low_at: float = 0.5, toxic_at: float =
     """(doc_id, low_score, toxic_score, keep), one row per input row; scores are null where the model has no such head.
 
     Null texts are empty, missing metadata is a value of its own, repeated rows are scored alike."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    judged = judge(docs.select(*_columns(docs, id_col, text_col)), model, low_at, toxic_at)
+    return judged.select("doc_id", "low_score", "toxic_score", "keep")
+
+
+def kept_documents(docs: DataFrame, model: Model, low_at: float = 0.5, toxic_at: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model keeps, with all their columns."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *_columns(docs, id_col, text_col))
+    return judge(whole, model, low_at, toxic_at).where("keep").select("row.*")
+
+
+def judge(rows: DataFrame, model: Model, low_at: float, toxic_at: float) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in rows.columns if c in ("row", "doc_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = [sent.value.low, sent.value.toxic]
@@ -239,9 +250,12 @@ def score(docs: DataFrame, model: Model, low_at: float = 0.5, toxic_at: float =
                             view.append(head.text_view(dense, hashes))
                 p = [np.full(len(metas), np.nan) if h is None else h.score(np.array(v), metas) for h, v in zip(heads, views)]
                 keep = ~((p[0] >= low_at) | (p[1] >= toxic_at))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.float64(), from_pandas=True) for x in p], pa.array(keep)], ["doc_id", "low_score", "toxic_score", "keep"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *[pa.array(x, pa.float64(), from_pandas=True) for x in p], pa.array(keep)], [*names, "low_score", "toxic_score", "keep"])
 
-    return docs.select(*_columns(docs, id_col, text_col)).mapInArrow(run, SCORES)
+    schema = rows.select(*names, F.lit(0.0).alias("low_score"), F.lit(0.0).alias("toxic_score"), F.lit(True).alias("keep")).schema
+    for f in schema.fields:
+        f.nullable = True
+    return rows.mapInArrow(run, schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, media, quality, sharding, simhash, url_filter
+from . import bpe, chat, compact_windows, decontaminate, media, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
     "op2_label_propagation_shards": sharding.op2_label_propagation_shards,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_substring_dedup": compact_windows.op4_substring_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_url_filters": url_filter.op6_url_filters,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,

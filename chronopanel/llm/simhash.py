@@ -132,6 +132,17 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, one row an id; rows without an id stay."""
+    found = near_duplicate_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", "__doc")
+    out = docs.join(kept, docs[id_col] == kept["__doc"], "left").where(F.col("__doc").isNotNull() | F.col(id_col).isNull())
+    if kept.where("count > 1").limit(1).count():
+        once = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        out = once.unionByName(out.where(F.col(id_col).isNull()))
+    return out.select(*docs.columns)
+
+
 def hex64(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
