@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, compact_windows, decontaminate, media, quality, sharding, simhash, url_filter
+from . import bpe, chat, compact_windows, decontaminate, media, quality, sharding, simhash, suffix_array, url_filter
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": compact_windows.op4_substring_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_url_filters": url_filter.op6_url_filters,
+    "op7_suffix_array_dedup": suffix_array.op7_suffix_array_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_chat_formatting": chat.op10_chat_formatting,
