@@ -1,6 +1,724 @@
-"""Named queries over the test tables and their DuckDB equivalents."""
+"""Named queries over the test tables and their DuckDB equivalents.
+
+Figures are rounded to eight places on both sides, instants are given as UTC text, and counts are 64-bit.
+"""
 
 from __future__ import annotations
 
+import functools
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from chronopanel.functions import time as T
+from chronopanel.operators import backtest as B
+from chronopanel.operators import panel as P
+from chronopanel.operators import reports as R
+from chronopanel.sources import tables as S
+from chronopanel.sources import vault, vendor
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Sizes that fit the test panel of 357 weeks: lookback, skip, horizon, minimal train, test and step sessions.
+LOOKBACK, SKIP, HORIZON, TRAIN, TEST, STEP = 21, 0, 5, 60, 20, 20
+REGIMES = [("early", "1990-01-01", "1996-12-31"), ("middle", "1997-01-01", "1998-12-31"), ("late", "1999-01-01", "2009-12-31"), ("after", "2010-01-01", "2019-12-31")]
+STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = re.sub(r"\basof\b", '"asof"', sql)
+        return f
+
+    return add
+
+
+def r8(name: str):
+    return F.round(F.col(name).cast("double"), 8).alias(name)
+
+
+def big(name: str):
+    return F.col(name).cast("bigint").alias(name)
+
+
+# ---------------------------------------------------------------- shared SQL
+
+PW = """
+pw AS (SELECT CAST(s_nationkey AS BIGINT) AS security_id, CAST(date_trunc('week', l_shipdate) AS DATE) AS session,
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price,
+  CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+ses AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS idx FROM (SELECT DISTINCT session FROM pw)),
+spine AS (SELECT a.security_id, ses.session, ses.idx, pw.price, pw.volume FROM (SELECT DISTINCT security_id FROM pw) a CROSS JOIN ses LEFT JOIN pw ON pw.security_id = a.security_id AND pw.session = ses.session)"""
+PD = PW.replace("CAST(date_trunc('week', l_shipdate) AS DATE)", "CAST(l_shipdate AS DATE)").replace("ON l_suppkey = s_suppkey GROUP", "ON l_suppkey = s_suppkey WHERE isodow(l_shipdate) < 6 GROUP").replace(
+    "(SELECT DISTINCT session FROM pw)", "(SELECT CAST(d AS DATE) AS session FROM (SELECT unnest(generate_series(min(session), max(session), INTERVAL 1 DAY)) AS d FROM pw) WHERE isodow(d) < 6)")
+BY = "OVER (PARTITION BY security_id ORDER BY idx"
+
+
+def feature_sql(lookback: int, skip: int, source: str = "spine", name: str = "feat") -> str:
+    late = f"lag(price, {skip}) {BY})" if skip else "price"
+    return f"""{name} AS (SELECT *, CASE WHEN status = 'ok' THEN late / early - 1 END AS value FROM (
+  SELECT *, CASE WHEN idx < {lookback} THEN 'insufficient_history' WHEN late IS NULL OR early IS NULL THEN 'missing_price' ELSE 'ok' END AS status
+  FROM (SELECT *, {late} AS late, lag(price, {lookback}) {BY}) AS early FROM {source})))"""
+
+
+def label_sql(horizon: int, name: str = "lab", source: str = "spine") -> str:
+    return f"""{name} AS (SELECT *, CASE WHEN price IS NULL THEN 'missing_asof_price' WHEN price <= 0 THEN 'invalid_asof_price'
+  WHEN idx + {horizon} > last_idx THEN 'insufficient_calendar_history' WHEN end_price IS NULL THEN 'missing_target_price' WHEN end_price <= 0 THEN 'invalid_target_price' END AS skip_reason
+  FROM (SELECT *, max(idx) OVER () AS last_idx, lead(price, {horizon}) {BY}) AS end_price, lead(session, {horizon}) {BY}) AS horizon_session FROM {source}))"""
+
+
+def joined_sql(lookback: int = LOOKBACK, skip: int = SKIP, horizon: int = HORIZON, sign: str = "", tag: str = "") -> str:
+    return f"""{feature_sql(lookback, skip, name='feat' + tag)}, {label_sql(horizon, 'lab' + tag)},
+joined{tag} AS (SELECT f.security_id, f.session AS asof, f.idx, l.horizon_session, {sign}f.value AS feature, l.end_price / l.price - 1 AS ret
+  FROM feat{tag} f JOIN lab{tag} l ON f.security_id = l.security_id AND f.session = l.session WHERE f.status = 'ok' AND l.skip_reason IS NULL)"""
+
+
+def splits_sql(horizon: int = HORIZON, tag: str = "", train_from: str = "0") -> str:
+    return f"""cover{tag} AS (SELECT idx FROM ses WHERE session BETWEEN (SELECT min(asof) FROM joined{tag}) AND (SELECT max(horizon_session) FROM joined{tag})),
+splits{tag} AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS split, base + {train_from} AS train_from, base + pos - {horizon} - 1 AS train_to, base + pos AS test_from, base + pos + {TEST} - 1 AS test_to
+  FROM (SELECT base, unnest(generate_series({TRAIN + horizon}, n - {TEST} - {horizon}, {STEP})) AS pos FROM (SELECT min(idx) AS base, count(*) AS n FROM cover{tag})))"""
+
+
+def scores_sql(tag: str = "") -> str:
+    return f"""ranked{tag} AS (SELECT *, row_number() OVER (PARTITION BY asof ORDER BY feature DESC, security_id) AS rn, count(*) OVER (PARTITION BY asof) AS n FROM joined{tag}),
+scores{tag} AS (SELECT asof, idx, count(*) AS candidates, count(*) FILTER (WHERE rn <= greatest(1, n // 2)) AS selected,
+  avg(ret) FILTER (WHERE rn <= greatest(1, n // 2)) - 0.002 AS strategy_net, avg(ret) - 0.002 AS baseline_net FROM ranked{tag} GROUP BY asof, idx)"""
+
+
+def windows_sql(tag: str = "") -> str:
+    return f"""wins{tag} AS (SELECT split, (SELECT sum(candidates) FROM scores{tag} t WHERE t.idx BETWEEN train_from AND train_to) AS train_rows,
+  count(*) AS test_dates, sum(candidates) AS test_rows, min(asof) AS test_start, max(asof) AS test_end, avg(strategy_net) AS strategy_net, avg(baseline_net) AS baseline_net,
+  avg(strategy_net) - avg(baseline_net) AS difference
+  FROM splits{tag} JOIN scores{tag} ON idx BETWEEN test_from AND test_to GROUP BY split, train_from, train_to)"""
+
+
+BASE = f"WITH {PW}, {joined_sql()}, {splits_sql()}, {scores_sql()}, {windows_sql()}"
+
+
+# ---------------------------------------------------------------- shared plans
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = S.panel(spark, sf_dir).withColumn("security_id", F.col("security_id").cast("bigint"))
+    return S.spine(prices, S.sessions_of(prices))
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = S.panel(spark, sf_dir, "day").withColumn("security_id", F.col("security_id").cast("bigint"))
+    return S.spine(prices, S.weekdays_of(prices))
+
+
+def joined(spark: SparkSession, sf_dir: str, lookback: int = LOOKBACK, skip: int = SKIP, horizon: int = HORIZON, direction: str = "high") -> DataFrame:
+    grid = weekly(spark, sf_dir)
+    return B.feature_label_rows(P.price_return(grid, lookback, skip), P.forward_labels(grid, (horizon,)), direction=direction)
+
+
+def splits_for(spark: SparkSession, sf_dir: str, rows: DataFrame, horizon: int = HORIZON, max_train: int | None = None) -> DataFrame:
+    """Splits of the sessions from the first as-of to the last outcome; two numbers come to the driver."""
+    first, last = rows.agg(F.min("idx"), F.max("idx")).first()
+    sessions = spark.range(0 if first is None else first, 0 if first is None else last + horizon + 1).select(F.col("id").alias("idx"))
+    return B.plan_splits(sessions, horizon, TRAIN, TEST, STEP, max_train)
+
+
+def windows_for(spark: SparkSession, sf_dir: str, lookback: int = LOOKBACK, skip: int = SKIP, horizon: int = HORIZON, direction: str = "high") -> DataFrame:
+    rows = joined(spark, sf_dir, lookback, skip, horizon, direction)
+    return B.window_scores(B.date_scores(rows), splits_for(spark, sf_dir, rows, horizon))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query(f"WITH {PW} SELECT security_id, session, price, volume FROM pw")
+def src_panel_weekly(spark, sf_dir):
+    return S.panel(spark, sf_dir).select(big("security_id"), "session", "price", "volume")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props ->> 'k' AS BIGINT)) AS BIGINT) AS k_sum, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def src_json_props(spark, sf_dir):
+    rows = S.load(spark, sf_dir, "events").select("event_type", "user_id", F.from_json("props", "k bigint").alias("p"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k_sum"), F.countDistinct("user_id").alias("users"))
+
+
+FUND = """
+wide AS (SELECT CAST(c_nationkey AS BIGINT) AS security_id, CAST(year(o_orderdate) AS BIGINT) AS fiscal_year, 'Q' || quarter(o_orderdate) AS fiscal_period,
+  last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS period_end,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+  CAST(sum(CASE WHEN substr(o_orderpriority, 1, 1) <= '3' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS gross_profit,
+  CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS operating_income,
+  CAST(sum(CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS net_income
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),
+long AS (SELECT security_id, fiscal_year, fiscal_period, period_end, m.name AS metric_name, m.value AS metric_value, period_end + 41 AS available_day
+  FROM (SELECT *, unnest([{'name': 'revenue', 'value': revenue}, {'name': 'gross_profit', 'value': gross_profit}, {'name': 'operating_income', 'value': operating_income}, {'name': 'net_income', 'value': net_income}]) AS m FROM wide) WHERE m.value IS NOT NULL)"""
+
+
+@query(f"WITH {FUND} SELECT security_id, fiscal_year, fiscal_period, period_end, metric_name, round(metric_value, 2) AS metric_value FROM long")
+def src_unpivot_metrics(spark, sf_dir):
+    return S.fundamentals(spark, sf_dir).select(big("security_id"), big("fiscal_year"), "fiscal_period", "period_end", "metric_name", F.round("metric_value", 2).alias("metric_value"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY event_type")
+def src_zip_arrays(spark, sf_dir):
+    packed = S.load(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    rows = vendor.zip_columns(packed.select("user_id", F.col("e.event_id").alias("event_id"), F.col("e.event_type").alias("event_type")), ["event_id", "event_type"])
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+@query("""SELECT event_id, form, strftime(accepted_at, '%Y-%m-%d %H:%M:%S') AS accepted_at FROM (
+  SELECT event_id, user_id, CASE WHEN value >= 50 THEN '8-K' ELSE '8-K/A' END AS form, event_type, timezone('UTC', timezone('America/New_York', ts)) AS accepted_at,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10') WHERE k <= 3""")
+def src_release_filter(spark, sf_dir):
+    rows = S.load(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.when(F.col("value") >= 50, "8-K").otherwise("8-K/A").alias("form"), F.when(F.col("event_type") == "click", "2.02, 9.01").otherwise("12.02").alias("items"),
+        F.col("ts").cast("date").alias("filing_date"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("accepted"),
+    )
+    found = vendor.earnings_candidates(rows, "2024-01-10")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("accepted"), "event_id"))
+    return found.withColumn("k", k).where("k <= 3").select("event_id", "form", F.date_format("accepted_at", STAMP).alias("accepted_at"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS raw_hash, count(*) AS n FROM documents GROUP BY 1")
+def vault_hash_counts(spark, sf_dir):
+    return S.load(spark, sf_dir, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw_hash")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT source, sha256(text) AS raw_hash FROM documents")
+def vault_dedupe(spark, sf_dir):
+    rows = S.load(spark, sf_dir, "documents").select("source", F.lit("documents").alias("endpoint"), F.lit("{}").alias("params"), F.col("text").alias("body"))
+    return vault.append_new(vault.vault_rows(rows.limit(0)), rows).select("source", "raw_hash")
+
+
+@query(r"""SELECT page_id, CASE WHEN query = '' THEN bare ELSE bare || '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS url FROM (
+  SELECT page_id, split_part(url, '?', 1) AS bare, regexp_extract(url, '\?([^#]*)', 1) AS query FROM (
+    SELECT page_id, regexp_replace(url, '([?&](?:api[-_]?key|token|secret|password)=)[^&#]*', '\1redacted', 'gi') AS url FROM pages))""")
+def vault_url_sanitize(spark, sf_dir):
+    return S.load(spark, sf_dir, "pages").select("page_id", vault.clean_url(F.col("url")).alias("url"))
+
+
+@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '\s+', ' ', 'g')), '') AS title FROM pages")
+def html_title(spark, sf_dir):
+    return S.load(spark, sf_dir, "pages").select("page_id", vendor.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return S.load(spark, sf_dir, "pages").select("page_id", vendor.html_text("html").alias("text"))
+
+
+@query("""WITH old AS (SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'),
+new AS (SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'),
+m AS (SELECT CASE WHEN old.key IS NULL THEN 'inserted' WHEN new.key IS NOT NULL AND (new.status IS DISTINCT FROM old.status OR new.price IS DISTINCT FROM old.price) THEN 'updated' ELSE 'kept' END AS action,
+  CASE WHEN new.key IS NOT NULL THEN new.status ELSE old.status END AS status FROM old FULL JOIN new ON old.key = new.key)
+SELECT action, status, count(*) AS n FROM m GROUP BY 1, 2""")
+def merge_upsert_changed(spark, sf_dir):
+    rows = S.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "o_orderdate")
+    old = rows.where("o_orderdate < timestamp_ntz'1998-06-01'").drop("o_orderdate")
+    new = rows.where("o_orderdate >= timestamp_ntz'1997-01-01'").withColumn("status", F.when(F.col("status") == "O", "F").otherwise(F.col("status"))).drop("o_orderdate")
+    return vault.merge_by_key(old, new, ["key"], ["status", "price"]).groupBy("action", "status").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- calendar and policies
+
+CAL = """cal AS (SELECT CAST(d AS DATE) AS date, isodow(d) < 6 AS is_session FROM (SELECT unnest(generate_series(CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE), INTERVAL 1 DAY)) AS d FROM orders)),
+numbered AS (SELECT *, CASE WHEN is_session THEN CAST(sum(CAST(is_session AS INT)) OVER (ORDER BY date) - 1 AS BIGINT) END AS idx,
+  min(CASE WHEN is_session THEN date END) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_session FROM cal)"""
+
+
+def order_calendar(spark, sf_dir):
+    bounds = S.load(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    days = bounds.select(F.explode(F.sequence("a", "b")).alias("date"))
+    session = F.weekday("date") < 5
+    days = days.withColumn("is_session", session).withColumn("session_close", F.when(session, T.date_at_time(F.col("date"), 16)))
+    return T.number_sessions(days)
+
+
+@query(f"WITH {CAL} SELECT date, is_session, idx, next_session FROM numbered")
+def cal_dense_sessions(spark, sf_dir):
+    return order_calendar(spark, sf_dir).select("date", "is_session", "idx", "next_session")
+
+
+@query(f"WITH {CAL} SELECT a.date, CAST(h AS BIGINT) AS horizon, b.date AS target FROM numbered a CROSS JOIN (SELECT unnest([5, 21, 63, 126, 252]) AS h) JOIN numbered b ON b.idx = a.idx + h")
+def cal_advance_horizons(spark, sf_dir):
+    return T.advance(order_calendar(spark, sf_dir))
+
+
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(timezone('UTC', timezone('America/New_York', CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 18 HOUR)), '%Y-%m-%d %H:%M:%S') AS available_at FROM orders")
+def pol_date_at_time(spark, sf_dir):
+    days = S.load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return days.select("day", F.date_format(T.date_at_time(F.col("day"), 18), STAMP).alias("available_at"))
+
+
+@query(f"""WITH {CAL} SELECT o_orderkey, strftime(timezone('UTC', timezone('America/New_York', CAST(next_session AS TIMESTAMP) + INTERVAL 570 MINUTE)), '%Y-%m-%d %H:%M:%S') AS available_at
+FROM orders LEFT JOIN numbered ON date = CAST(o_orderdate AS DATE)""")
+def pol_next_session_open(spark, sf_dir):
+    rows = S.load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return T.next_session_open(F.col("day"), order_calendar(spark, sf_dir), rows).select("o_orderkey", F.date_format("available_at", STAMP).alias("available_at"))
+
+
+@query("""SELECT event_id, strftime(CASE WHEN event_type = 'click' THEN ts + INTERVAL 30 MINUTE ELSE ts + INTERVAL 5 MINUTE END, '%Y-%m-%d %H:%M:%S') AS available_at,
+strftime(coalesce(CASE WHEN value >= 50 THEN ts + INTERVAL 2 HOUR END, ts), '%Y-%m-%d %H:%M:%S') AS call_at FROM events""")
+def pol_plus_duration(spark, sf_dir):
+    e = S.events(spark, sf_dir)
+    at = F.when(F.col("event_type") == "click", T.plus_duration(F.col("ts"), 0, 30)).otherwise(T.plus_duration(F.col("ts"), 0, 5))
+    call = T.plus_duration_or(F.when(F.col("value") >= 50, F.col("ts")), (2, 0), F.col("ts"))
+    return e.select("event_id", F.date_format(at, STAMP).alias("available_at"), F.date_format(call, STAMP).alias("call_at"))
+
+
+@query("""SELECT event_id, CASE WHEN isodow(local) > 5 THEN 'non_trading_day' WHEN strftime(local, '%H:%M:%S') < '09:30:00' THEN 'bmo' WHEN strftime(local, '%H:%M:%S') >= '16:00:00' THEN 'amc' ELSE 'rth' END AS timing
+FROM (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS local FROM events)""")
+def release_timing(spark, sf_dir):
+    e = S.events(spark, sf_dir)
+    return e.select("event_id", T.market_timing(F.col("ts"), F.weekday(T.local_date(F.col("ts"))) < 5).alias("timing"))
+
+
+@query(f"""WITH {PD}, seen AS (SELECT security_id, session, price FROM pw WHERE CAST(session AS TIMESTAMP) + INTERVAL 18 HOUR <= TIMESTAMP '1997-06-30 18:00:00')
+SELECT security_id, count(*) AS prices, max(session) AS newest, arg_max(price, session) AS price FROM seen GROUP BY security_id""")
+def pit_visible_prices(spark, sf_dir):
+    rows = S.panel(spark, sf_dir, "day")
+    known = T.date_at_time(F.col("session"), 18)
+    seen = rows.where(T.visible(known, known, T.date_at_time(F.lit("1997-06-30").cast("date"), 18)))
+    return seen.groupBy(big("security_id")).agg(F.count("*").alias("prices"), F.max("session").alias("newest"), F.max_by("price", "session").alias("price"))
+
+
+MEMBERS = """members AS (SELECT CAST(n_nationkey AS BIGINT) AS security_id, n_name AS ticker, CASE WHEN n_regionkey = 2 THEN DATE '1997-01-01' ELSE DATE '1990-01-01' END AS valid_from,
+  CASE WHEN n_regionkey = 1 THEN DATE '1998-12-31' WHEN n_regionkey = 3 THEN DATE '2000-06-30' END AS valid_to FROM nation)"""
+
+
+@query(f"WITH {PW}, {MEMBERS} SELECT session, count(*) AS members, CAST(sum(pw.security_id) AS BIGINT) AS id_sum FROM pw JOIN members m ON m.security_id = pw.security_id AND session >= valid_from AND (valid_to IS NULL OR session <= valid_to) GROUP BY session")
+def universe_active(spark, sf_dir):
+    m = S.universe(spark, sf_dir).withColumnRenamed("security_id", "m_id")
+    p = S.panel(spark, sf_dir)
+    rows = p.join(m, (F.col("security_id") == F.col("m_id")) & T.active(F.col("session"), F.col("valid_from"), F.col("valid_to")))
+    return rows.groupBy("session").agg(F.count("*").alias("members"), F.sum("security_id").cast("bigint").alias("id_sum"))
+
+
+@query(f"WITH {MEMBERS} SELECT security_id, ticker FROM members WHERE valid_from <= DATE '1999-12-31' AND (valid_to IS NULL OR valid_to >= DATE '1999-01-01')")
+def universe_overlap(spark, sf_dir):
+    m = S.universe(spark, sf_dir)
+    window = [F.lit(d).cast("date") for d in ("1999-01-01", "1999-12-31")]
+    return m.where(T.overlaps(*window, F.col("valid_from"), F.col("valid_to"))).select(big("security_id"), "ticker")
+
+
+@query(f"WITH {PW}, {MEMBERS} SELECT security_id, session, price FROM pw WHERE EXISTS (SELECT 1 FROM members m WHERE m.security_id = pw.security_id AND valid_to IS NULL)")
+def universe_semi(spark, sf_dir):
+    open_ = S.universe(spark, sf_dir).where("valid_to is null").select("security_id")
+    return S.panel(spark, sf_dir).join(open_, "security_id", "left_semi").select(big("security_id"), "session", "price")
+
+
+# ---------------------------------------------------------------- features and labels
+
+
+def _price_feature(name: str, lookback: int, skip: int) -> None:
+    def run(spark, sf_dir):
+        return P.price_return(weekly(spark, sf_dir), lookback, skip).select("security_id", "session", r8("value"), "status")
+
+    QUERIES[f"feat_{name}"] = run
+    ORACLE_SQL[f"feat_{name}"] = f"WITH {PW}, {feature_sql(lookback, skip)} SELECT security_id, session, round(value, 8) AS value, status FROM feat"
+
+
+for _name, (_lookback, _skip, _) in P.PRICE_FEATURES.items():
+    _price_feature(_name, _lookback, _skip)
+
+
+@query(f"WITH {PD}, {feature_sql(63, 0)} SELECT status, count(*) AS n FROM feat GROUP BY status")
+def feat_status_counts(spark, sf_dir):
+    return P.price_return(daily(spark, sf_dir), 63).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PW}, v AS (SELECT security_id, session, idx, count(price) {BY} ROWS 62 PRECEDING) AS n, avg(price * volume) {BY} ROWS 62 PRECEDING) AS m FROM spine)
+SELECT security_id, session, round(CASE WHEN idx >= 62 AND n = 63 THEN m END, 6) AS value, CASE WHEN idx < 62 THEN 'insufficient_history' WHEN n < 63 THEN 'missing_price' ELSE 'ok' END AS status FROM v""")
+def feat_avg_dollar_volume_63(spark, sf_dir):
+    return P.avg_dollar_volume(weekly(spark, sf_dir)).select("security_id", "session", F.round("value", 6).alias("value"), "status")
+
+
+@query(f"""WITH {PW}, r AS (SELECT *, price / lag(price) {BY}) - 1 AS step FROM spine), v AS (SELECT *, count(step) {BY} ROWS 62 PRECEDING) AS n, stddev_samp(step) {BY} ROWS 62 PRECEDING) AS sd FROM r)
+SELECT security_id, session, round(CASE WHEN idx >= 63 AND n = 63 THEN sd * sqrt(252) END, 8) AS value, CASE WHEN idx < 63 THEN 'insufficient_history' WHEN n < 63 THEN 'missing_price' ELSE 'ok' END AS status FROM v""")
+def feat_realized_vol_63(spark, sf_dir):
+    return P.realized_volatility(weekly(spark, sf_dir)).select("security_id", "session", r8("value"), "status")
+
+
+ASOF = "asofs AS (SELECT DISTINCT security_id, d AS ts FROM wide CROSS JOIN (SELECT unnest([DATE '1996-03-31', DATE '1997-02-10', DATE '1998-02-11', DATE '1999-12-31', DATE '2001-06-30']) AS d))"
+DAYS = ["1996-03-31", "1997-02-10", "1998-02-11", "1999-12-31", "2001-06-30"]
+
+
+def _fund(spark, sf_dir):
+    """Fundamentals known on the day after their filing, and the as-of rows held against them."""
+    f = S.fundamentals(spark, sf_dir).withColumn("available_at", F.date_add("period_end", 41))
+    asofs = f.select("security_id").distinct().select("security_id", F.explode(F.array(*[F.lit(d).cast("date") for d in DAYS])).alias("ts"))
+    return f, asofs
+
+
+def _seen_sql(events: str) -> str:
+    return f"""SELECT security_id, ts AS asof, fiscal_year, fiscal_period, round(value, 8) AS value FROM (
+  SELECT a.security_id, a.ts, e.fiscal_year, e.fiscal_period, e.value, row_number() OVER (PARTITION BY a.security_id, a.ts ORDER BY e.period_end DESC NULLS LAST) AS k
+  FROM asofs a LEFT JOIN {events} e ON e.security_id = a.security_id AND e.ts <= a.ts) WHERE k = 1"""
+
+
+@query(f"""WITH {FUND}, {ASOF}, ev AS (SELECT t.security_id, t.fiscal_year, t.fiscal_period, t.period_end, t.period_end + 41 AS ts, t.gross_profit / t.revenue AS value FROM wide t WHERE t.gross_profit IS NOT NULL AND t.revenue <> 0)
+{_seen_sql('ev')}""")
+def feat_margins(spark, sf_dir):
+    f, asofs = _fund(spark, sf_dir)
+    seen = P.newest_visible(P.ratio_events(f, "gross_profit"), asofs, ["period_end", "fiscal_year", "fiscal_period"], ["value"])
+    return seen.select(big("security_id"), F.col("ts").alias("asof"), big("fiscal_year"), "fiscal_period", r8("value"))
+
+
+@query(f"""WITH {FUND}, {ASOF}, ev AS (SELECT a.security_id, a.fiscal_year, a.fiscal_period, a.period_end, greatest(a.period_end, b.period_end) + 41 AS ts, a.revenue / b.revenue - 1 AS value
+  FROM wide a JOIN wide b ON a.security_id = b.security_id AND a.fiscal_period = b.fiscal_period AND a.fiscal_year = b.fiscal_year + 1 WHERE b.revenue <> 0)
+{_seen_sql('ev')}""")
+def feat_yoy_growth(spark, sf_dir):
+    f, asofs = _fund(spark, sf_dir)
+    seen = P.newest_visible(P.growth_events(f, "revenue"), asofs, ["period_end", "fiscal_year", "fiscal_period"], ["value"])
+    return seen.select(big("security_id"), F.col("ts").alias("asof"), big("fiscal_year"), "fiscal_period", r8("value"))
+
+
+_H3 = (5, 21, 63)
+
+
+@query(f"WITH {PW}, " + ", ".join(label_sql(h, f"l{h}") for h in _H3) + " " + " UNION ALL ".join(
+    f"SELECT security_id, session, CAST({h} AS BIGINT) AS horizon, horizon_session, round(end_price / price - 1, 8) AS raw_return FROM l{h} WHERE skip_reason IS NULL" for h in _H3))
+def label_forward_returns(spark, sf_dir):
+    return P.forward_labels(weekly(spark, sf_dir), _H3).where("skip_reason is null").select("security_id", "session", "horizon", "horizon_session", r8("raw_return"))
+
+
+@query(f"WITH {PD}, " + ", ".join(label_sql(h, f"l{h}") for h in _H3) + " SELECT horizon, reason, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT CAST({h} AS BIGINT) AS horizon, coalesce(skip_reason, 'ok') AS reason FROM l{h}" for h in _H3) + ") GROUP BY 1, 2")
+def label_skip_reasons(spark, sf_dir):
+    rows = P.forward_labels(daily(spark, sf_dir), _H3).select("horizon", F.coalesce("skip_reason", F.lit("ok")).alias("reason"))
+    return rows.groupBy("horizon", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PW}, {label_sql(5)}, bench AS (SELECT session, price AS b_price, lead(price, 5) {BY}) AS b_end FROM spine WHERE security_id = (SELECT min(security_id) FROM pw))
+SELECT l.security_id, l.session, round(end_price / price - 1, 8) AS raw_return, round(CASE WHEN b_price > 0 AND b_end > 0 THEN end_price / price - 1 - (b_end / b_price - 1) END, 8) AS excess_return,
+  CASE WHEN b_price IS NULL THEN 'missing_asof_price' WHEN b_end IS NULL THEN 'missing_target_price' WHEN b_price <= 0 OR b_end <= 0 THEN 'unavailable_return' ELSE 'covered' END AS coverage
+FROM lab l LEFT JOIN bench b ON b.session = l.session WHERE skip_reason IS NULL""")
+def label_excess(spark, sf_dir):
+    grid = weekly(spark, sf_dir)
+    first = grid.agg(F.min("security_id").alias("b_id"))
+    bench = grid.join(F.broadcast(first), F.col("security_id") == F.col("b_id")).select("session", F.col("price").alias("b_price"))
+    rows = P.forward_labels(grid, (5,), bench).where("skip_reason is null")
+    return rows.select("security_id", "session", r8("raw_return"), r8("excess_return"), P.coverage_status(F.col("b_price"), F.col("b_end")).alias("coverage"))
+
+
+# ---------------------------------------------------------------- joins and set operations
+
+
+@query(f"WITH {PW}, {joined_sql(sign='-')}, {MEMBERS} SELECT j.security_id, asof, round(feature, 8) AS feature, round(ret, 8) AS ret FROM joined j JOIN members m ON m.security_id = j.security_id AND asof >= valid_from AND (valid_to IS NULL OR asof <= valid_to)")
+def join_feature_label(spark, sf_dir):
+    grid = weekly(spark, sf_dir)
+    rows = B.feature_label_rows(P.price_return(grid, LOOKBACK, SKIP), P.forward_labels(grid, (HORIZON,)), S.universe(spark, sf_dir), "low")
+    return rows.select("security_id", "asof", r8("feature"), r8("ret"))
+
+
+@query(f"""WITH {FUND}, rel AS (SELECT DISTINCT security_id, fiscal_year, fiscal_period, period_end FROM long WHERE fiscal_period IN ('Q1', 'Q3'))
+SELECT l.security_id, count(*) AS linked FROM rel JOIN long l USING (security_id, fiscal_year, fiscal_period, period_end) GROUP BY 1""")
+def join_release_fundamentals(spark, sf_dir):
+    f = S.fundamentals(spark, sf_dir)
+    key = ["security_id", "fiscal_year", "fiscal_period", "period_end"]
+    releases = f.where(F.col("fiscal_period").isin("Q1", "Q3")).select(*key).distinct()
+    return releases.join(f, key).groupBy(big("security_id")).agg(F.count("*").alias("linked"))
+
+
+@query(f"""WITH {PD}, {feature_sql(21, 0)}, {label_sql(5)}, f AS (SELECT security_id, session FROM feat WHERE status = 'ok'), l AS (SELECT security_id, session FROM lab WHERE skip_reason IS NULL)
+SELECT coalesce(f.session, l.session) AS session, count(*) FILTER (WHERE l.session IS NULL) AS feature_only, count(*) FILTER (WHERE f.session IS NULL) AS label_only,
+  count(*) FILTER (WHERE f.session IS NOT NULL AND l.session IS NOT NULL) AS paired FROM f FULL JOIN l ON f.security_id = l.security_id AND f.session = l.session GROUP BY 1""")
+def join_full_outer_counts(spark, sf_dir):
+    grid = daily(spark, sf_dir)
+    f = P.price_return(grid, 21).where("status = 'ok'").select("security_id", "session", F.lit(True).alias("f"))
+    ls = P.forward_labels(grid, (5,)).where("skip_reason is null").select("security_id", "session", F.lit(True).alias("l"))
+    return f.join(ls, ["security_id", "session"], "full_outer").groupBy("session").agg(
+        F.count_if(F.col("l").isNull()).alias("feature_only"), F.count_if(F.col("f").isNull()).alias("label_only"), F.count_if(F.col("f") & F.col("l")).alias("paired"))
+
+
+@query(f"""WITH {PD}, {feature_sql(21, 0)}, {label_sql(5)}, f AS (SELECT security_id, session FROM feat WHERE status = 'ok'), l AS (SELECT security_id, session FROM lab WHERE skip_reason IS NULL)
+SELECT 'label_without_feature' AS side, count(*) AS n FROM (SELECT * FROM l EXCEPT SELECT * FROM f) UNION ALL SELECT 'feature_without_label', count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM l)""")
+def anti_coverage(spark, sf_dir):
+    grid, key = daily(spark, sf_dir), ["security_id", "session"]
+    f = P.price_return(grid, 21).where("status = 'ok'").select(*key)
+    ls = P.forward_labels(grid, (5,)).where("skip_reason is null").select(*key)
+    a, b = ls.join(f, key, "left_anti"), f.join(ls, key, "left_anti")
+    return a.agg(F.count("*").alias("n")).select(F.lit("label_without_feature").alias("side"), "n").union(b.agg(F.count("*").alias("n")).select(F.lit("feature_without_label"), "n"))
+
+
+@query("""SELECT c_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM customer LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) ON o_custkey = c_custkey AND k = 1""")
+def lateral_latest(spark, sf_dir):
+    latest = R.latest_per_key(S.load(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return S.load(spark, sf_dir, "customer").join(latest, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query(f"WITH {PW}, {joined_sql()} SELECT count(*) AS n, count(*) FILTER (WHERE ret IS NOT NULL) AS raw_targets, CASE WHEN count(*) = count(ret) THEN 'raw' ELSE 'mixed' END AS kind FROM joined")
+def target_kind_check(spark, sf_dir):
+    rows = joined(spark, sf_dir)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("ret").isNotNull()).alias("raw_targets"), F.when(F.count("*") == F.count("ret"), "raw").otherwise("mixed").alias("kind"))
+
+
+@query("SELECT DISTINCT event_type AS policy FROM events UNION SELECT DISTINCT o_orderpriority FROM orders")
+def policy_union(spark, sf_dir):
+    a = S.load(spark, sf_dir, "events").select(F.col("event_type").alias("policy"))
+    return a.union(S.load(spark, sf_dir, "orders").select("o_orderpriority")).distinct()
+
+
+# ---------------------------------------------------------------- back-tests
+
+
+@query(f"WITH {PW}, {joined_sql()}, {splits_sql()}, {splits_sql().replace('cover AS', 'cover2 AS').replace('splits AS', 'rolling AS').replace('base + 0 AS', f'base + greatest(0, pos - {HORIZON} - 1 - 39) AS').replace('FROM cover)', 'FROM cover2)')} "
+       "SELECT 'expanding' AS kind, * FROM splits UNION ALL SELECT 'rolling', * FROM rolling")
+def wf_splits(spark, sf_dir):
+    rows = joined(spark, sf_dir)
+    a, b = splits_for(spark, sf_dir, rows), splits_for(spark, sf_dir, rows, max_train=40)
+    return a.select(F.lit("expanding").alias("kind"), "*").union(b.select(F.lit("rolling").alias("kind"), "*"))
+
+
+@query(f"{BASE} SELECT asof, candidates, selected, round(strategy_net, 8) AS strategy_net, round(baseline_net, 8) AS baseline_net FROM scores")
+def fals_date_scores(spark, sf_dir):
+    return B.date_scores(joined(spark, sf_dir)).select("asof", "candidates", "selected", r8("strategy_net"), r8("baseline_net"))
+
+
+_WINDOW_COLUMNS = "split, CAST(train_rows AS BIGINT) AS train_rows, test_dates, CAST(test_rows AS BIGINT) AS test_rows, test_start, test_end, round(strategy_net, 8) AS strategy_net, round(baseline_net, 8) AS baseline_net, round(difference, 8) AS difference"
+
+
+def _windows(df):
+    return df.select("split", "train_rows", "test_dates", "test_rows", "test_start", "test_end", r8("strategy_net"), r8("baseline_net"), r8("difference"))
+
+
+@query(f"{BASE} SELECT {_WINDOW_COLUMNS} FROM wins")
+def fals_windows(spark, sf_dir):
+    return _windows(windows_for(spark, sf_dir))
+
+
+@query(f"WITH {PW}, {joined_sql(sign='-')}, {splits_sql()}, {scores_sql()}, {windows_sql()} SELECT {_WINDOW_COLUMNS} FROM wins")
+def fals_low_direction(spark, sf_dir):
+    return _windows(windows_for(spark, sf_dir, direction="low"))
+
+
+@query(f"""{BASE} SELECT count(*) AS windows, CAST(sum(test_dates) AS BIGINT) AS dates, round(avg(strategy_net), 8) AS mean_strategy, round(avg(baseline_net), 8) AS mean_baseline, round(avg(difference), 8) AS mean_difference,
+round(avg(CASE WHEN difference > 0 THEN 1.0 ELSE 0.0 END), 8) AS hit_rate, round(stddev_samp(difference), 8) AS sd_difference, round(avg(difference) / nullif(stddev_samp(difference), 0), 6) AS mean_over_sd FROM wins""")
+def fals_headline(spark, sf_dir):
+    h = B.headline(windows_for(spark, sf_dir))
+    return h.select("windows", "dates", r8("mean_strategy"), r8("mean_baseline"), r8("mean_difference"), r8("hit_rate"), r8("sd_difference"), F.round("mean_over_sd", 6).alias("mean_over_sd"))
+
+
+OLS = "models AS (SELECT split, count(*) AS train_pairs, regr_slope(ret, feature) AS slope, regr_intercept(ret, feature) AS intercept FROM splits JOIN joined ON idx BETWEEN train_from AND train_to GROUP BY split)"
+
+
+@query(f"{BASE}, {OLS} SELECT split, train_pairs, round(slope, 6) AS slope, round(intercept, 6) AS intercept, true AS fitted FROM models")
+def ols_walk_forward(spark, sf_dir):
+    rows = joined(spark, sf_dir)
+    m = B.walk_forward_ols(rows, splits_for(spark, sf_dir, rows))
+    return m.select("split", "train_pairs", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "fitted")
+
+
+PRED = "pred AS (SELECT s.split, j.*, intercept + slope * feature AS score FROM splits s JOIN models m ON m.split = s.split JOIN joined j ON j.idx BETWEEN test_from AND test_to)"
+
+
+@query(f"""{BASE}, {OLS}, {PRED}, rk AS (SELECT split, rank() OVER (PARTITION BY split ORDER BY feature) + (count(*) OVER (PARTITION BY split, feature) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY split ORDER BY ret) + (count(*) OVER (PARTITION BY split, ret) - 1) / 2.0 AS ry FROM pred)
+SELECT split, count(*) AS pairs, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 8) AS rank_correlation FROM rk GROUP BY split""")
+def spearman_by_split(spark, sf_dir):
+    rows = joined(spark, sf_dir)
+    splits = splits_for(spark, sf_dir, rows)
+    pred = B.predictions(rows, splits, B.walk_forward_ols(rows, splits))
+    return B.spearman(pred, "feature", "ret", ["split"]).select("split", "pairs", r8("rank_correlation"))
+
+
+@query(f"""{BASE}, {OLS}, {PRED}, k AS (SELECT *, row_number() OVER (PARTITION BY split, asof ORDER BY feature, security_id) AS k, count(*) OVER (PARTITION BY split, asof) AS m FROM pred),
+b AS (SELECT *, CASE WHEN greatest(1, CAST(floor(m * 0.2) AS BIGINT)) * 2 > m THEN m // 2 ELSE greatest(1, CAST(floor(m * 0.2) AS BIGINT)) END AS b FROM k),
+d AS (SELECT split, asof, avg(ret) FILTER (WHERE k > m - b) - avg(ret) FILTER (WHERE k <= b) AS spread FROM b WHERE b >= 1 GROUP BY 1, 2)
+SELECT split, count(*) AS dates, round(avg(spread), 8) AS spread, round(avg(spread) - {B.long_short_cost(HORIZON)!r}, 8) AS net_spread FROM d GROUP BY split""")
+def long_short_spread(spark, sf_dir):
+    rows = joined(spark, sf_dir)
+    splits = splits_for(spark, sf_dir, rows)
+    pred = B.predictions(rows, splits, B.walk_forward_ols(rows, splits))
+    out = B.long_short(pred, "feature", 0.2, ["split"])
+    return out.select("split", "dates", r8("spread"), F.round(F.col("spread") - B.long_short_cost(HORIZON), 8).alias("net_spread"))
+
+
+@query(f"{BASE} SELECT count(*) AS train_pairs, count(*) FILTER (WHERE idx + {HORIZON} >= test_from) AS late FROM splits JOIN joined ON idx BETWEEN train_from AND train_to")
+def pit_guards(spark, sf_dir):
+    rows = joined(spark, sf_dir).withColumn("outcome_idx", F.col("idx") + HORIZON)
+    splits = splits_for(spark, sf_dir, rows)
+    late = B.guard_violations(rows, splits).agg(F.count("*").alias("late"))
+    return B.walk_forward_ols(rows, splits).agg(F.sum("train_pairs").alias("train_pairs")).join(F.broadcast(late), F.lit(True))
+
+
+_REGIME_SQL = "regimes(name, a, b) AS (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in REGIMES) + ")"
+
+
+@query(f"""{BASE}, {_REGIME_SQL} SELECT name, count(asof) AS sample_count, count(strategy_net) AS value_count, round(avg(strategy_net), 8) AS mean, round(stddev_samp(strategy_net), 8) AS sd, round(min(strategy_net), 8) AS low,
+round(max(strategy_net), 8) AS high, round(avg(CASE WHEN strategy_net > 0 THEN 1.0 WHEN strategy_net IS NOT NULL THEN 0.0 END), 8) AS hit_rate FROM regimes LEFT JOIN scores ON asof BETWEEN a AND b GROUP BY name""")
+def regime_summary(spark, sf_dir):
+    values = ", ".join(f"('{n}', date'{a}', date'{b}')" for n, a, b in REGIMES)
+    regimes = spark.sql(f"SELECT * FROM VALUES {values} AS t(name, start_date, end_date)")
+    out = B.regime_summary(B.date_scores(joined(spark, sf_dir)), regimes, "asof", "strategy_net")
+    return out.select("name", "sample_count", "value_count", *[r8(c) for c in ("mean", "sd", "low", "high", "hit_rate")])
+
+
+@query()
+def scramble_pvalue(spark, sf_dir):
+    ranked = B.select_top_half(joined(spark, sf_dir))
+    samples = ranked.select(F.concat_ws("|", "asof", "security_id").alias("sample_id"), F.col("asof").cast("string").alias("group_key"), F.col("selected").cast("double").alias("feature"), F.col("ret").alias("label"))
+    return B.scramble_p_value(samples)
+
+
+# ---------------------------------------------------------------- reports
+
+ATTR = """attr AS (SELECT security_id, count(*) FILTER (WHERE rn <= greatest(1, n // 2)) AS selected_rows, count(DISTINCT asof) FILTER (WHERE rn <= greatest(1, n // 2)) AS selected_dates,
+  count(DISTINCT split) FILTER (WHERE rn <= greatest(1, n // 2)) AS windows, avg(ret) FILTER (WHERE rn <= greatest(1, n // 2)) AS mean_return FROM ranked JOIN splits ON idx BETWEEN test_from AND test_to GROUP BY security_id)"""
+
+
+def _attribution(spark, sf_dir, lookback=LOOKBACK):
+    rows = joined(spark, sf_dir, lookback)
+    return R.attribution(B.select_top_half(rows), splits_for(spark, sf_dir, rows))
+
+
+@query(f"{BASE}, {ATTR} SELECT security_id, selected_rows, selected_dates, windows, round(mean_return, 8) AS mean_return FROM attr")
+def ticker_attribution(spark, sf_dir):
+    return _attribution(spark, sf_dir).select("security_id", "selected_rows", "selected_dates", "windows", r8("mean_return"))
+
+
+@query(f"""{BASE}, {ATTR}, t AS (SELECT sum(selected_rows) AS total FROM attr), top AS (SELECT sum(selected_rows) AS top5, max(selected_rows) AS top1 FROM (SELECT * FROM attr ORDER BY selected_rows DESC, windows DESC, mean_return DESC NULLS LAST, security_id DESC LIMIT 5))
+SELECT CAST(total AS BIGINT) AS total, round(sum((selected_rows / total) * (selected_rows / total)), 8) AS hhi, round(1 / sum((selected_rows / total) * (selected_rows / total)), 6) AS effective, round(any_value(top1) / total, 8) AS top1_share, round(any_value(top5) / total, 8) AS top5_share
+FROM attr, t, top GROUP BY total""")
+def ticker_concentration(spark, sf_dir):
+    c = R.concentration(_attribution(spark, sf_dir))
+    return c.select("total", r8("hhi"), F.round("effective", 6).alias("effective"), r8("top1_share"), r8("top5_share"))
+
+
+@query(f"""WITH {PW}, {joined_sql()}, {splits_sql()}, {scores_sql()}, {ATTR}, {joined_sql(63, 0, tag='2')}, {splits_sql(tag='2')}, {scores_sql('2')},
+{ATTR.replace('attr AS', 'attr2 AS').replace('FROM ranked JOIN splits ON', 'FROM ranked2 JOIN splits2 ON')}
+SELECT count(b.security_id) AS overlap, count(*) AS target, round(sum(CASE WHEN b.security_id IS NOT NULL THEN a.selected_rows ELSE 0 END) / sum(a.selected_rows), 8) AS covered_share
+FROM (SELECT * FROM attr WHERE selected_rows > 0) a LEFT JOIN (SELECT * FROM attr2 WHERE selected_rows > 0) b ON a.security_id = b.security_id""")
+def selection_overlap(spark, sf_dir):
+    return R.selection_overlap(_attribution(spark, sf_dir), _attribution(spark, sf_dir, 63)).select("overlap", "target", r8("covered_share"))
+
+
+def _layers(spark, sf_dir):
+    grid = daily(spark, sf_dir)
+    f = P.price_return(grid, 21).where("status = 'ok'").select("security_id", "session")
+    ls = P.forward_labels(grid, (5,)).where("skip_reason is null").select("security_id", "session")
+    return grid.where("price is not null").select("security_id", "session"), f, ls, f.join(ls, ["security_id", "session"])
+
+
+_LAYER_SQL = f"WITH {PD}, {MEMBERS}, {feature_sql(21, 0)}, {label_sql(5)}, f AS (SELECT security_id, session FROM feat WHERE status = 'ok'), l AS (SELECT security_id, session FROM lab WHERE skip_reason IS NULL), j AS (SELECT * FROM f INTERSECT SELECT * FROM l)"
+
+
+@query(f"""{_LAYER_SQL} SELECT m.security_id, m.ticker,
+{', '.join(f"(SELECT count(*) FROM {t} x WHERE x.security_id = m.security_id) AS {n}_rows, (SELECT min(session) FROM {t} x WHERE x.security_id = m.security_id) AS {n}_start, (SELECT max(session) FROM {t} x WHERE x.security_id = m.security_id) AS {n}_end" for t, n in (('pw', 'price'), ('f', 'feature'), ('l', 'label'), ('j', 'joined')))},
+(SELECT count(*) FROM (SELECT * FROM l EXCEPT SELECT * FROM f) x WHERE x.security_id = m.security_id) AS label_without_feature_rows,
+(SELECT count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM l) x WHERE x.security_id = m.security_id) AS feature_without_label_rows FROM members m""")
+def diag_coverage(spark, sf_dir):
+    members = S.universe(spark, sf_dir).select(big("security_id"), "ticker")
+    return R.coverage(members, *_layers(spark, sf_dir))
+
+
+@query(f"WITH {PD}, " + ", ".join(label_sql(h, f"l{h}") for h in _H3) + " " + " UNION ALL ".join(
+    f"SELECT CAST({h} AS BIGINT) AS horizon, count(*) AS label_rows, count(DISTINCT security_id) AS securities, min(session) AS first_session, max(session) AS last_session FROM l{h} WHERE skip_reason IS NULL" for h in _H3))
+def diag_horizons(spark, sf_dir):
+    rows = P.forward_labels(daily(spark, sf_dir), _H3).where("skip_reason is null")
+    return rows.groupBy("horizon").agg(F.count("*").alias("label_rows"), F.countDistinct("security_id").alias("securities"), F.min("session").alias("first_session"), F.max("session").alias("last_session"))
+
+
+@query(f"""{BASE}, e AS (SELECT count(*) AS scored, count(*) FILTER (WHERE difference > 0) AS positive, avg(difference) AS d FROM wins)
+SELECT scored, positive, round(positive / scored, 8) AS positive_rate, round(d, 8) AS mean_difference,
+CASE WHEN scored < 3 THEN 'insufficient_data' WHEN positive / scored < 0.6 OR d <= 0 THEN 'failed' ELSE 'passed' END AS status,
+CASE WHEN scored < 3 THEN 'insufficient_walk_forward_windows' WHEN positive / scored < 0.6 OR d <= 0 THEN 'walk_forward_unstable' END AS failure_reason FROM e""")
+def wf_evidence(spark, sf_dir):
+    e = R.walk_forward_evidence(windows_for(spark, sf_dir), 3, 0.6, [])
+    return e.select("scored", "positive", r8("positive_rate"), r8("mean_difference"), "status", "failure_reason")
+
+
+CELLS = [("return_21_0", 21, h) for h in _H3] + [("return_63_0", 63, h) for h in _H3]
+
+
+@functools.lru_cache(maxsize=1)
+def cells_sql() -> str:
+    ctes, rows = [PW], []
+    for k, (name, lookback, h) in enumerate(CELLS):
+        tag = f"_c{k}"
+        ctes += [joined_sql(lookback, 0, h, tag=tag), splits_sql(h, tag), scores_sql(tag), windows_sql(tag)]
+        rows.append(f"SELECT '{name}' AS base_key, CAST({h} AS BIGINT) AS horizon, count(*) AS scored, count(*) FILTER (WHERE difference > 0) AS positive, avg(difference) AS difference FROM wins{tag}")
+    return "WITH " + ", ".join(ctes) + ", cells AS (SELECT *, CASE WHEN difference IS NULL OR difference <= 0 THEN 'rejected' ELSE 'promising' END AS verdict, CASE WHEN difference IS NULL THEN 'baseline_missing' WHEN difference <= 0 THEN 'baseline_failed' ELSE 'passed' END AS reason FROM (" + " UNION ALL ".join(rows) + "))"
+
+
+def cells(spark, sf_dir):
+    """Verdicts of candidate x horizon: each cell is one back-test, all in one plan."""
+    grid = weekly(spark, sf_dir)
+    labels = P.forward_labels(grid, _H3)
+    out = None
+    for name, lookback, h in CELLS:
+        rows = B.feature_label_rows(P.price_return(grid, lookback), labels.where(F.col("horizon") == h))
+        wins = B.window_scores(B.date_scores(rows), splits_for(spark, sf_dir, rows, h))
+        e = R.walk_forward_evidence(wins, 1, 0.0, []).select(F.lit(name).alias("base_key"), F.lit(h).cast("bigint").alias("horizon"), "scored", "positive", F.col("mean_difference").alias("difference"))
+        out = e if out is None else out.union(e)
+    run = out.select("*", F.lit(1).alias("run_id"), F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("evaluation"), F.lit(None).cast("string").alias("failure"), F.lit(True).alias("scramble_pass"))
+    return R.derived_verdict(run).select("base_key", "horizon", "scored", "positive", "difference", "verdict", "reason")
+
+
+@query(cells_sql() + " SELECT base_key, horizon, scored, positive, round(difference, 8) AS difference, verdict, reason FROM cells")
+def verdicts(spark, sf_dir):
+    return cells(spark, sf_dir).select("base_key", "horizon", "scored", "positive", r8("difference"), "verdict", "reason")
+
+
+@query(cells_sql() + " SELECT base_key, " + ", ".join(f"coalesce(max(verdict) FILTER (WHERE horizon = {h}), 'pending') AS h{h}" for h in P.HORIZONS) + " FROM cells GROUP BY base_key")
+def horizon_matrix(spark, sf_dir):
+    return R.horizon_matrix(cells(spark, sf_dir))
+
+
+@query(cells_sql() + " SELECT reason, verdict, count(*) AS n FROM cells GROUP BY 1, 2")
+def verdict_reasons(spark, sf_dir):
+    return cells(spark, sf_dir).groupBy("reason", "verdict").agg(F.count("*").alias("n"))
+
+
+_HEALTH = """, placed AS (SELECT *, list_position([5, 21, 63, 126, 252], horizon) AS place FROM cells), health AS (
+SELECT a.*, CASE WHEN count(b.base_key) = 0 THEN 'unknown' WHEN bool_or(b.verdict IN ('accepted', 'promising')) THEN 'supportive' WHEN bool_or(b.difference IS NULL OR b.difference <= 0) THEN 'weak' ELSE 'mixed' END AS health
+FROM placed a LEFT JOIN placed b ON a.base_key = b.base_key AND abs(a.place - b.place) = 1 GROUP BY ALL)"""
+
+
+@query(cells_sql() + _HEALTH + " SELECT base_key, horizon, verdict, health FROM health")
+def adjacent_health(spark, sf_dir):
+    return R.adjacent_health(cells(spark, sf_dir)).select("base_key", "horizon", "verdict", "health")
+
+
+@query(cells_sql() + _HEALTH + """ SELECT base_key, horizon, CASE WHEN difference / 0.002 IS NULL THEN 'unknown' WHEN difference / 0.002 >= 5 THEN 'low' WHEN difference / 0.002 >= 1 THEN 'medium' ELSE 'high' END AS cost_class,
+CASE WHEN difference IS NULL THEN 'demote' WHEN difference / 0.002 < 1 THEN 'demote' WHEN positive / scored < 0.6 THEN 'demote' WHEN difference >= 0.01 AND difference / 0.002 >= 5 AND health <> 'weak' THEN 'deep_dive' ELSE 'watch' END AS recommendation,
+CASE WHEN verdict <> 'promising' THEN 'demote' WHEN difference / 0.002 < 1 THEN 'demote' WHEN positive / scored < 0.6 THEN 'demote' WHEN positive / scored < 0.65 OR health <> 'supportive' THEN 'watch' ELSE 'continue' END AS deep_dive FROM health""")
+def recommendation(spark, sf_dir):
+    rows = R.adjacent_health(cells(spark, sf_dir)).withColumn("multiple", R.cost_multiple(F.col("difference"), F.lit(20.0))).withColumn("rate", F.try_divide("positive", "scored"))
+    return rows.select(
+        "base_key", "horizon", R.cost_class(F.col("multiple")).alias("cost_class"),
+        R.promising_recommendation(F.col("difference"), F.lit(0.01), F.col("rate"), F.col("multiple"), F.col("health")).alias("recommendation"),
+        R.deep_dive_recommendation(F.col("verdict"), F.col("difference"), F.col("rate"), F.col("multiple"), F.col("health"), F.lit(0.1)).alias("deep_dive"),
+    )
+
+
+@query(f"""{BASE} SELECT CAST(year(test_start) AS BIGINT) AS year, string_agg(CASE WHEN difference > 0 THEN '+' ELSE '-' END, '' ORDER BY test_start) AS signs, round(sum(difference), 8) AS total, count(*) FILTER (WHERE difference > 0) AS positive FROM wins GROUP BY 1""")
+def bucket_heatmap(spark, sf_dir):
+    return R.bucket_heatmap(windows_for(spark, sf_dir)).select("year", "signs", r8("total"), "positive")
+
+
+@query(f"{BASE} SELECT round(CASE WHEN sum(difference) FILTER (WHERE difference > 0) > 0 THEN max(difference) / sum(difference) FILTER (WHERE difference > 0) END, 8) AS top_share, count(*) AS windows FROM wins")
+def temporal_concentration(spark, sf_dir):
+    return R.temporal_concentration(windows_for(spark, sf_dir)).select(r8("top_share"), "windows")
+
+
+@query(f"{BASE} SELECT split, test_start, round(difference, 8) AS difference FROM wins ORDER BY wins.difference, split LIMIT 5")
+def weakest_windows(spark, sf_dir):
+    return windows_for(spark, sf_dir).orderBy("difference", "split").limit(5).select("split", "test_start", r8("difference"))
+
+
+@query("""SELECT p_brand, p_partkey, round(p_retailprice, 2) AS p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey DESC) AS k FROM part) WHERE k = 1""")
+def registry_latest(spark, sf_dir):
+    latest = R.latest_per_key(S.load(spark, sf_dir, "part"), ["p_brand"], [F.desc("p_size"), F.desc("p_partkey")])
+    return latest.select("p_brand", "p_partkey", F.round("p_retailprice", 2).alias("p_retailprice"))
+
+
+@query()
+def fingerprint_inputs(spark, sf_dir):
+    """Order-independent digest of the joined rows: row hashes are summed up, and coverage stands beside them."""
+    rows = joined(spark, sf_dir)
+    row = F.sha2(F.concat_ws("|", "security_id", "asof", "horizon_session", "feature", "ret"), 256)
+    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("security_id").alias("securities"), F.min("asof").alias("first_asof"), F.max("asof").alias("last_asof"), F.sum(part).cast("string").alias("digest"))

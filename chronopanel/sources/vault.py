@@ -1,0 +1,79 @@
+"""Append-only payload vault and keyed merges over Parquet."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+KEYS = ["source", "endpoint", "params_hash", "raw_hash"]
+SECRET = re.compile(r"(?i)(api[-_]?key|token|secret|password|authorization)")
+SECRET_QUERY = r"(?i)([?&](?:api[-_]?key|token|secret|password)=)[^&#]*"
+
+
+def canonical_json(value: object) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def redact(value: object) -> object:
+    """Nested values with those under secret-looking keys masked."""
+    if isinstance(value, dict):
+        return {k: "[redacted]" if SECRET.search(str(k)) else redact(v) for k, v in value.items()}
+    return [redact(v) for v in value] if isinstance(value, list) else value
+
+
+def run_key(kind: str, payload: dict, length: int = 32) -> str:
+    """A deterministic key: the kind and the start of the hash of the canonical payload."""
+    return f"{kind}-{hashlib.sha256(canonical_json(payload).encode()).hexdigest()[:length]}"
+
+
+def clean_url(url: Column) -> Column:
+    """The url with secret query values masked and its query parameters sorted."""
+    masked = F.regexp_replace(url, SECRET_QUERY, "$1redacted")
+    bare, query = F.substring_index(masked, "?", 1), F.regexp_extract(masked, r"\?([^#]*)", 1)
+    ordered = F.array_join(F.array_sort(F.split(query, "&")), "&")
+    return F.when(query == "", bare).otherwise(F.concat(bare, F.lit("?"), ordered))
+
+
+def vault_rows(responses: DataFrame) -> DataFrame:
+    """One row per distinct (source, endpoint, params, body); body hashes are of the exact bytes."""
+    hashed = responses.withColumn("raw_hash", F.sha2("body", 256)).withColumn("params_hash", F.sha2(F.coalesce("params", F.lit("{}")), 256))
+    return hashed.dropDuplicates(KEYS)
+
+
+def append_new(existing: DataFrame, arriving: DataFrame) -> DataFrame:
+    """The arriving rows that the vault doesn't hold yet."""
+    return vault_rows(arriving).join(existing.select(*KEYS), KEYS, "left_anti")
+
+
+def merge_by_key(existing: DataFrame, arriving: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Keys and values after an upsert, and ``action``: inserted, updated (a value is distinct), or kept.
+
+    One full outer join on the key; a value that is equal, nulls included, is no update."""
+    old = existing.select(*keys, *[F.col(v).alias(f"__old_{v}") for v in values], F.lit(True).alias("__had"))
+    new = arriving.select(*keys, *values, F.lit(True).alias("__has"))
+    both = old.join(new, keys, "full_outer")
+    changed = F.lit(False)
+    for v in values:
+        changed = changed | ~F.col(v).eqNullSafe(F.col(f"__old_{v}"))
+    action = F.when(F.col("__had").isNull(), "inserted").when(F.col("__has").isNotNull() & changed, "updated").otherwise("kept")
+    return both.select(*keys, *[F.when(F.col("__has"), F.col(v)).otherwise(F.col(f"__old_{v}")).alias(v) for v in values], action.alias("action"))
+
+
+def write_merged(existing_path: str, merged: DataFrame, target_path: str) -> None:
+    """Write a merge beside its source; the caller swaps paths, so readers never see half a table."""
+    if existing_path.rstrip("/") == target_path.rstrip("/"):
+        raise ValueError("a table can't be read and replaced in one job; write to a new path")
+    merged.drop("action").write.mode("errorifexists").parquet(target_path)
+
+
+def ensure_definition(known: DataFrame, arriving: DataFrame) -> DataFrame:
+    """Arriving (name, version, hash) rows; a different hash under a known name and version is an error."""
+    old = known.select("name", "version", F.col("hash").alias("__hash"))
+    joined = arriving.join(old, ["name", "version"], "left")
+    clash = F.col("__hash").isNotNull() & (F.col("__hash") != F.col("hash"))
+    checked = F.when(clash, F.raise_error(F.concat(F.lit("definition changed: "), "name"))).otherwise(F.col("hash"))
+    return joined.select("name", "version", checked.cast("string").alias("hash"), F.col("__hash").isNull().alias("is_new"))
