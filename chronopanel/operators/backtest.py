@@ -45,36 +45,43 @@ def covered_sessions(sessions: DataFrame, rows: DataFrame) -> DataFrame:
     return sessions.join(F.broadcast(bounds), (F.col("session") >= F.col("a")) & (F.col("session") <= F.col("b"))).drop("a", "b")
 
 
-def select_top_half(rows: DataFrame) -> DataFrame:
+def select_top_half(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds rn, n, selected: rank per date by feature, then security; the best max(1, n // 2) are selected."""
-    by_date = Window.partitionBy("asof")
+    by_date = Window.partitionBy(*by, "asof")
     rn = F.row_number().over(by_date.orderBy(F.desc("feature"), F.asc("security_id"))).cast("bigint")
     ranked = rows.withColumn("rn", rn).withColumn("n", F.count("*").over(by_date))
     return ranked.withColumn("selected", F.col("rn") <= F.greatest(F.lit(1), F.expr("n div 2")))
 
 
-def date_scores(rows: DataFrame, cost_bps: float = 20.0) -> DataFrame:
-    """Per date: candidates, selected, strategy and equal-weight return net of cost."""
+def date_scores(rows: DataFrame, cost_bps: float = 20.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per ``by`` and date: candidates, selected, strategy and equal-weight return net of cost."""
     cost = cost_bps / 10_000.0
-    return select_top_half(rows).groupBy("asof", "idx").agg(
+    return select_top_half(rows, by).groupBy(*by, "asof", "idx").agg(
         F.count("*").alias("candidates"), F.sum(F.col("selected").cast("bigint")).alias("selected"),
         (F.avg(F.when(F.col("selected"), F.col("ret"))) - cost).alias("strategy_net"), (F.avg("ret") - cost).alias("baseline_net"),
     )
 
 
-def window_scores(scores: DataFrame, splits: DataFrame) -> DataFrame:
-    """Per split with train and test rows: dates, observations, mean net returns and their difference.
+def window_scores(scores: DataFrame, splits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per ``by`` and split with train and test rows: dates, observations, mean net returns and their difference.
 
-    Dates, not rows, meet the splits: the panel is reduced to one row a date before the range join, and training counts
-    are differences of a running sum."""
-    order = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
-    dates = scores.select("idx", "candidates", F.sum("candidates").over(order).alias("upto"))
-    trained = splits.join(dates, F.col("idx").between(F.col("train_from"), F.col("train_to"))).groupBy("split").agg(F.sum("candidates").alias("train_rows"))
-    tested = splits.join(scores, F.col("idx").between(F.col("test_from"), F.col("test_to"))).groupBy("split").agg(
+    Dates, not rows, meet the splits: the panel is reduced to one row a date before the range join."""
+    keyed = [*by, "split"]
+    inside = lambda a, b: (F.col("idx") >= F.col(a)) & (F.col("idx") <= F.col(b))
+
+    def meet(a: str, b: str) -> DataFrame:
+        left = splits.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in splits.columns if c not in by])
+        on = inside(a, b)
+        for c in by:
+            on = on & (F.col(c) == F.col(f"__{c}"))
+        return scores.join(F.broadcast(left), on)  # one row a split
+
+    trained = meet("train_from", "train_to").groupBy(*keyed).agg(F.sum("candidates").alias("train_rows"))
+    tested = meet("test_from", "test_to").groupBy(*keyed).agg(
         F.count("*").alias("test_dates"), F.sum("candidates").alias("test_rows"), F.min("asof").alias("test_start"), F.max("asof").alias("test_end"),
         F.avg("strategy_net").alias("strategy_net"), F.avg("baseline_net").alias("baseline_net"),
     )
-    return trained.join(tested, "split").withColumn("difference", F.col("strategy_net") - F.col("baseline_net"))
+    return trained.join(tested, keyed).withColumn("difference", F.col("strategy_net") - F.col("baseline_net"))
 
 
 def headline(windows: DataFrame) -> DataFrame:
@@ -224,6 +231,6 @@ def scramble_exact(samples: DataFrame, score: Callable[[pd.DataFrame], float], t
             extreme += {"greater": s >= observed, "less": s <= observed, "two_sided": abs(s) >= abs(observed)}[alternative]
         return pd.DataFrame([{"observed": observed, "rank": extreme + 1, "trials": trials, "p_value": (extreme + 1) / (trials + 1)}])
 
-    return samples.select("sample_id", "group_key", "feature", "label").groupBy(F.lit(0)).applyInPandas(run, "observed double, rank long, trials long, p_value double")
+    return samples.select("sample_id", "group_key", "feature", "label").groupBy().applyInPandas(run, "observed double, rank long, trials long, p_value double")
 
 

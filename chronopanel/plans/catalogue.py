@@ -644,16 +644,22 @@ def cells_sql() -> str:
 
 
 def cells(spark, sf_dir):
-    """Verdicts of candidate x horizon: each cell is one back-test, all in one plan."""
+    """Verdicts of candidate x horizon: every cell is a key of one plan, not a back-test of its own."""
+    cell = ("base_key", "horizon")
     grid = weekly(spark, sf_dir)
-    labels = P.forward_labels(grid, _H3)
-    out = None
-    for name, lookback, h in CELLS:
-        rows = B.feature_label_rows(P.price_return(grid, lookback), labels.where(F.col("horizon") == h))
-        wins = B.window_scores(B.date_scores(rows), splits_for(spark, sf_dir, rows, h))
-        e = R.walk_forward_evidence(wins, 1, 0.0, []).select(F.lit(name).alias("base_key"), F.lit(h).cast("bigint").alias("horizon"), "scored", "positive", F.col("mean_difference").alias("difference"))
-        out = e if out is None else out.union(e)
-    run = out.select("*", F.lit(1).alias("run_id"), F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("evaluation"), F.lit(None).cast("string").alias("failure"), F.lit(True).alias("scramble_pass"))
+    labels = P.forward_labels(grid, _H3).where("skip_reason is null").select("security_id", F.col("session").alias("asof"), "horizon", F.col("raw_return").alias("ret"))
+    features = None
+    for name, lookback in dict((c[:2] for c in CELLS)).items():
+        part = P.price_return(grid, lookback).where("status = 'ok'").select(F.lit(name).alias("base_key"), "security_id", F.col("session").alias("asof"), "idx", F.col("value").alias("feature"))
+        features = part if features is None else features.union(part)
+    scores = B.date_scores(features.join(labels, ["security_id", "asof"]), by=cell)
+    splits = None
+    for row in scores.groupBy(*cell).agg(F.min("idx").alias("a"), F.max("idx").alias("b")).collect():  # one row a cell
+        sessions = spark.range(row["a"], row["b"] + row["horizon"] + 1).select(F.col("id").alias("idx"))
+        part = B.plan_splits(sessions, row["horizon"], TRAIN, TEST, STEP).select(F.lit(row["base_key"]).alias("base_key"), F.lit(row["horizon"]).cast("bigint").alias("horizon"), "*")
+        splits = part if splits is None else splits.union(part)
+    evidence = R.walk_forward_evidence(B.window_scores(scores, splits, cell), 1, 0.0, [*cell]).withColumnRenamed("mean_difference", "difference").drop("status", "failure_reason")
+    run = evidence.select("*", F.lit(1).alias("run_id"), F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("evaluation"), F.lit(None).cast("string").alias("failure"), F.lit(True).alias("scramble_pass"))
     return R.derived_verdict(run).select("base_key", "horizon", "scored", "positive", "difference", "verdict", "reason")
 
 
