@@ -103,7 +103,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(chains.select("doc_id", "other", "diagonal", F.explode(islands).alias("part")).select("doc_id", "other", "diagonal", "part.a", "part.b"), "islands")
     mine = found.select("doc_id", F.explode(F.array("a", "b")).alias("at"))
     theirs = found.select(F.col("other").alias("doc_id"), F.explode(F.array(F.col("a") - F.col("diagonal"), F.col("b") - F.col("diagonal"))).alias("at"))
-    slices = cut(word_slices(rows, mine.union(theirs).distinct(), REACH, REACH), "ends")
+    places = mine.union(theirs).distinct().select("doc_id", "at", F.lit(REACH).alias("n"), F.lit(0).alias("tag"))
+    slices = cut(word_slices(rows, places, REACH), "ends")
 
     def at_place(doc: str, place: str, name: str) -> DataFrame:
         return slices.select(F.col("doc_id").alias(doc), F.col("at").alias(place), F.col("slice").alias(name))
@@ -124,7 +125,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [batch.column("doc_id").filter(pa.array(told)), start[told], n[told], batch.column("other").filter(pa.array(told)), (start - diagonal)[told]]
             yield pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, pa.Array) else c.astype(np.int32)) for c in columns], ["doc_id", "start", "n_words", "other", "other_start"])
 
-    return whole.select("doc_id", "other", "diagonal", "a", "b", "left_own", "left_other", "right_own", "right_other").mapInArrow(extend, "doc_id long, start int, n_words int, other long, other_start int")
+    return whole.select("doc_id", "other", "diagonal", "a", "b", "left_own", "left_other", "right_own", "right_other").mapInArrow(extend, "doc_id long, start int, n_words int, other long, other_start int").distinct()
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

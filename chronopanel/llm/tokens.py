@@ -104,24 +104,31 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
     return rows.join(keys.select("key", "first_doc"), "key")
 
 
-def word_slices(docs: DataFrame, places: DataFrame, before: int, after: int) -> DataFrame:
-    """(doc_id, at, slice): packed 32-bit word hashes of the words [at - before, at + after) for each of ``places``
-    (doc_id, at); places outside the text are zeros.  Of rows that share a doc_id one is used."""
+def word_slices(docs: DataFrame, places: DataFrame, before: int) -> DataFrame:
+    """``places`` (doc_id, at, n, tag) with ``slice``: packed 32-bit hashes of the words [at - before, at + n).
+
+    Places outside the text are zeros.  Places go to their document in one join, and each comes back with its slice;
+    rows of ``docs`` that share a doc_id each give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
         for part, texts in text_chunks(batches):
             words = Words(texts)
             low = (words.hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
-            ids, places_, slices = [], [], []
-            for k, at in enumerate(part.column(2)):
-                own = low[words.first[k] : words.first[k + 1]]
-                padded = np.concatenate([np.zeros(before, "<u4"), own, np.zeros(after, "<u4")])
-                for a in at.as_py():
-                    ids.append(part.column(0)[k].as_py())
-                    places_.append(a)
-                    slices.append(padded[a : a + before + after].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places_, pa.int32()), pa.array(slices, pa.binary())], ["doc_id", "at", "slice"])
-
-    wanted = places.groupBy("doc_id").agg(F.collect_set("at").alias("at"))  # at most one entry per word of a document
+            sizes = np.diff(part.column(2).offsets.to_numpy())
+            flat = part.column(2).flatten()
+            kind = kind or flat.type
+            at, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            owner, slices = np.repeat(np.arange(len(texts)), sizes), []
+            for k, a, m in zip(owner.tolist(), at.tolist(), n.tolist()):
+                first, last = int(words.first[k]), int(words.first[k + 1])
+                lo, hi = min(max(first, first + a - before), last), max(first, min(last, first + a + m))
+                own = low[lo:hi].tobytes()
+                lead = min(max(0, before - a), before + m) * 4
+                slices.append((b"\0" * lead + own).ljust((before + m) * 4, b"\0"))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *[flat.field(k) for k in range(3)], pa.array(slices, pa.binary())], ["doc_id", "at", "n", "tag", "slice"])
+
+    tag = places.schema["tag"].dataType.simpleString()
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"), "tag")).alias("at"))  # within a document's length
     held = docs.join(wanted, "doc_id").select("doc_id", "text", "at")
-    return held.mapInArrow(run, "doc_id long, at int, slice binary").dropDuplicates(["doc_id", "at"])
+    return held.mapInArrow(run, f"doc_id long, at int, n int, tag {tag}, slice binary")
