@@ -42,6 +42,11 @@ def suffixes(docs: DataFrame) -> DataFrame:
             key, longer = words.runs(PREFIX), words.runs(2 * PREFIX)
             at = at[at < len(key)]
             at = at[words.whole(PREFIX)[at]]
+            # in periodic text every place is a minimum: of a run of equal prefixes, one place in WINDOW stays
+            run_on = np.zeros(len(at), bool)
+            run_on[1:] = (np.diff(at) == 1) & (key[at[1:]] == key[at[:-1]]) & (words.doc[at[1:]] == words.doc[at[:-1]])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(run_on, 0, place))) % WINDOW == 0]
             more = np.zeros(len(at), np.int64)
             fits = at < len(longer)
             fits[fits] = words.whole(2 * PREFIX)[at[fits]]
