@@ -25,10 +25,14 @@ PREFIX = PASSAGE - WINDOW + 1
 _PLACE = np.uint64((1 << 22) - 1)
 #: Words that a match is extended by at most at either end; a longer match has further minimisers there.
 REACH = 2 * WINDOW
+_ORDER = ["key", "longer", "run", "doc_id", "at"]
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, longer, at): minimiser positions with the ranks of their first PREFIX and 2 * PREFIX words."""
+    """(doc_id, key, longer, at, run, gap): minimiser positions with the ranks of their first PREFIX and 2 * PREFIX words.
+
+    Where text repeats itself, the positions at + gap, at + 2 * gap, ... at + run have the same prefix and no rows of
+    their own; elsewhere run is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
@@ -42,50 +46,62 @@ def suffixes(docs: DataFrame) -> DataFrame:
             key, longer = words.runs(PREFIX), words.runs(2 * PREFIX)
             at = at[at < len(key)]
             at = at[words.whole(PREFIX)[at]]
-            # in periodic text every place is a minimum: of a run of equal prefixes, one place in WINDOW stays
-            run_on = np.zeros(len(at), bool)
-            run_on[1:] = (np.diff(at) == 1) & (key[at[1:]] == key[at[:-1]]) & (words.doc[at[1:]] == words.doc[at[:-1]])
-            place = np.arange(len(at))
-            at = at[(place - np.maximum.accumulate(np.where(run_on, 0, place))) % WINDOW == 0]
+            # in periodic text a place has the prefix of the place before it: such a run is one suffix with a length
+            step, goes_on = np.diff(at), np.zeros(len(at), bool)
+            goes_on[1:] = (step <= WINDOW) & (key[at[1:]] == key[at[:-1]]) & (words.doc[at[1:]] == words.doc[at[:-1]])
+            head = np.nonzero(~goes_on)[0]
+            if not len(head):
+                continue
+            steps = np.where(goes_on, np.concatenate([[WINDOW], step]), WINDOW)
+            gap, span = np.minimum.reduceat(steps, head), at[np.concatenate([head[1:], [len(at)]]) - 1] - at[head]
+            at = at[head]
             more = np.zeros(len(at), np.int64)
             fits = at < len(longer)
             fits[fits] = words.whole(2 * PREFIX)[at[fits]]
             more[fits] = longer[at[fits]].view(np.int64)
             doc = words.doc[at]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(key[at].view(np.int64)), pa.array(more), pa.array((at - words.first[doc]).astype(np.int32))], ["doc_id", "key", "longer", "at"])
+            numbers = [pa.array(x.astype(np.int32)) for x in (at - words.first[doc], span, np.where(span > 0, gap, 1))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(key[at].view(np.int64)), pa.array(more), *numbers], ["doc_id", "key", "longer", "at", "run", "gap"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, longer long, at int")
+    return docs.mapInArrow(run, "doc_id long, key long, longer long, at int, run int, gap int")
 
 
 def neighbours(held: DataFrame) -> DataFrame:
-    """(doc_id, at, other, o_at): each suffix with the one before it in the sorted order, where both share PREFIX words.
+    """(doc_id, at, run, other, o_at): each suffix with the one before it in the order, where both share PREFIX + run words.
 
     The order is spread over range partitions, which may part a common prefix; the first suffix of a part is compared
-    with the prefix's first document instead, so equal prefixes stay linked."""
-    firsts = held.where("doc_id = first_doc").groupBy("key").agg(F.min("at").alias("first_at"))
-    rows = held.join(firsts, "key")
+    with the prefix's first document instead, so equal prefixes stay linked.  A run that is longer than its neighbour's
+    is laid out with copies of it, the last of which ends where the run does."""
+    firsts = held.where("doc_id = first_doc").groupBy("key").agg(F.min(F.struct("at", "run")).alias("first"))
+    rows = held.join(firsts.select("key", F.col("first.at").alias("first_at"), F.col("first.run").alias("first_run")), "key")
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "key", "longer", "doc_id", "at").sortWithinPartitions("key", "longer", "doc_id", "at")
+    ordered = rows.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            key, doc, at, first, first_at = (batch.column(c).to_numpy() for c in ("key", "doc_id", "at", "first_doc", "first_at"))
+            key, doc, at, run, gap, first, first_at, first_run = (batch.column(c).to_numpy() for c in ("key", "doc_id", "at", "run", "gap", "first_doc", "first_at", "first_run"))
             if not len(key):
                 continue
-            before = [np.concatenate([[x[0] if last is None else last[k]], x[:-1]]) for k, x in enumerate((key, doc, at))]
+            before = [np.concatenate([[x[0] if last is None else last[k]], x[:-1]]) for k, x in enumerate((key, doc, at, run))]
             same = before[0] == key
             if last is None:
                 same[0] = False
-            other, o_at = np.where(same, before[1], first), np.where(same, before[2], first_at)
-            last = (key[-1], doc[-1], at[-1])
+            last = (key[-1], doc[-1], at[-1], run[-1])
             # where a neighbour is in the same document, the prefix's first document stands in for it
-            inner = same & (other == doc)
-            other, o_at = np.where(inner, first, other), np.where(inner, first_at, o_at)
-            told = other != doc
-            yield pa.RecordBatch.from_arrays([pa.array(x[told].astype(t)) for x, t in ((doc, np.int64), (at, np.int32), (other, np.int64), (o_at, np.int32))], ["doc_id", "at", "other", "o_at"])
+            apart = same & (before[1] != doc)
+            other, o_at, o_run = (np.where(apart, x, y) for x, y in zip(before[1:], (first, first_at, first_run)))
+            told = np.nonzero(other != doc)[0]
+            doc, at, run, gap, other, o_at, o_run = (x[told] for x in (doc, at, run, gap, other, o_at, o_run))
+            over, stride = np.maximum(0, run - o_run), (o_run + WINDOW) // gap * gap
+            copies = -(-over // stride) + 1
+            each = np.repeat(np.arange(len(doc)), copies)
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+            shift = np.minimum(nth * stride[each], over[each])
+            out = [doc[each], at[each] + shift, np.minimum(run, o_run)[each], other[each], o_at[each]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(out, (np.int64, np.int32, np.int32, np.int64, np.int32))], ["doc_id", "at", "run", "other", "o_at"])
 
-    return ordered.mapInArrow(run, "doc_id long, at int, other long, o_at int")
+    return ordered.mapInArrow(compare, "doc_id long, at int, run int, other long, o_at int")
 
 
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,12 +115,12 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = repeated_keys(cut(suffixes(rows), "suffixes"))
     pairs = neighbours(held).withColumn("diagonal", F.col("at") - F.col("o_at"))
-    chains = pairs.groupBy("doc_id", "other", "diagonal").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    chains = pairs.groupBy("doc_id", "other", "diagonal").agg(F.sort_array(F.collect_set(F.struct("at", "run"))).alias("ats"))
     islands = F.expr(f"""
         aggregate(ats, cast(array() as array<struct<a:int,b:int>>),
-          (done, x) -> if(size(done) > 0 and x <= element_at(done, -1).b,
-            concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).a as a, x + {PREFIX} as b))),
-            concat(done, array(struct(x as a, x + {PREFIX} as b)))))""")
+          (done, x) -> if(size(done) > 0 and x.at <= element_at(done, -1).b,
+            concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).a as a, greatest(element_at(done, -1).b, x.at + x.run + {PREFIX}) as b))),
+            concat(done, array(struct(x.at as a, x.at + x.run + {PREFIX} as b)))))""")
     found = cut(chains.select("doc_id", "other", "diagonal", F.explode(islands).alias("part")).select("doc_id", "other", "diagonal", "part.a", "part.b"), "islands")
     mine = found.select("doc_id", F.explode(F.array("a", "b")).alias("at"))
     theirs = found.select(F.col("other").alias("doc_id"), F.explode(F.array(F.col("a") - F.col("diagonal"), F.col("b") - F.col("diagonal"))).alias("at"))
