@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import xxhash
 from helpers import SF, documents, empty, prose
 
@@ -110,6 +111,29 @@ def test_compact_windows_find_the_planted_passages(spark):
     assert compact_windows.repeated_passages(empty(spark)).count() == 0
 
 
+def test_compact_windows_meet_all_documents_of_a_common_signature(spark):
+    """Documents with one long line in common, of which only the last two also share the words around it."""
+    rows = []
+    for k in range(12):
+        line, shared = prose(7000 + k, 34), prose(7100 + k, 16).split()
+        for j in range(14):
+            around = shared if j > 11 else prose(7200 + 20 * k + j, 16).split()
+            rows.append((100 * k + j, " ".join([prose(8000 + 20 * k + j, 20), *around[:8], line, *around[8:], prose(9000 + 20 * k + j, 20)])))
+    got = {(x["doc_id"], x["other"]) for x in compact_windows.repeated_passages(documents(spark, rows)).collect()}
+    assert got == {(100 * k + 13, 100 * k + 12) for k in range(12)}
+
+
+def test_prefixes_of_similar_windows_meet():
+    r = random.Random(4)
+    for _ in range(200):
+        a = r.sample(range(60), 46)
+        b = [r.choice(a) if r.random() < 0.5 else v for v in a[:5]] + a[5:]
+        counts = {v: r.choice([1, 2, 5]) for v in range(60)} | {v: 2 for v in set(a) & set(b)}
+        same = len(set(a) & set(b)) / len(set(a) | set(b))
+        x, y = (compact_windows.window_prefixes(np.array(v), counts, 46, 0.8) for v in (a, b))
+        assert same < 0.8 or x & y
+
+
 def shares(a, b, n=50):
     runs = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in ((t or "").lower().split() for t in (a, b))]
     return bool(runs[0] & runs[1])
