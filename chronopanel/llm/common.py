@@ -14,9 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, as executors would each
+    write to their own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = getattr(spark, "_chronopanel_scratch", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="chronopanel-")
@@ -32,7 +37,16 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._chronopanel_path = path
+    return back
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more, because what came of them is written."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._chronopanel_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -53,7 +67,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         parent = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
         new = cut(moved.join(parent, "component", "left").select("node", "old", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
         changed = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
+        forget(labels)
+        labels = new
         if not changed:
-            return labels
+            forget(both)
+            return labels.select("node", "component")
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")

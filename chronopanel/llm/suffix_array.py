@@ -1,10 +1,12 @@
 """Operator 7, suffix-array dedup with sparse suffixes.
 
 Suffixes are kept at minimiser positions only: the smallest shingle of every ``WINDOW`` consecutive ones, so every passage
-of ``PASSAGE`` words holds one near its start, with ``PREFIX`` of the passage's words still to come.  Suffixes whose first
-PREFIX words occur in one document only are let go before anything is sorted.  The rest is sorted by ranks of doubling
-prefixes (PREFIX and twice PREFIX words), neighbours are compared, and matches on one alignment are joined and extended
-to the left and right word by word.
+of ``PASSAGE`` words holds one among its first ``WINDOW`` words, with ``PREFIX`` of the passage's words still to come.
+They are sorted by the rank of their first PREFIX words and then by their surroundings, all words of the passages that
+hold the minimiser there, and neighbours are compared.  Where suffixes of equal rank differ around it, those that differ
+(one of each kind) are ranked again by every passage that holds the minimiser, so equal ranks mean an equal passage, and
+neighbours in that order are linked.  Links on one alignment are joined and extended to the left and right, word by word
+until a mismatch or an end of the text.
 """
 
 from __future__ import annotations
@@ -15,24 +17,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .common import cut, table
-from .tokens import Words, mix, repeated_keys, sliding_min, text_chunks, word_slices
+from .common import cut, forget, table
+from .tokens import PLACE, RUNS, Words, link_equal_runs, mix, run_batch, sliding_min, span_hashes, text_chunks, word_slices
 
 PASSAGE, SHINGLE, WINDOW = 50, 5, 16
 #: Words after a passage's first minimiser that are certain to belong to it.
 PREFIX = PASSAGE - WINDOW + 1
-_PLACE = np.uint64((1 << 22) - 1)
-#: Words that a match is extended by at most at either end; a longer match has further minimisers there.
-REACH = 2 * WINDOW
-_ORDER = ["key", "longer", "run", "doc_id", "at"]
+#: Words that a match is extended by at either end in a first step; later steps are so many times as long.
+REACH, STEP = 2 * WINDOW, 16
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, longer, at, run, gap): minimiser positions with the ranks of their first PREFIX and 2 * PREFIX words.
-
-    Where text repeats itself, the positions at + gap, at + 2 * gap, ... at + run have the same prefix and no rows of
-    their own; elsewhere run is 0."""
+    """RUNS: minimiser positions ``at`` with the rank ``key`` of their first PREFIX words; passages that hold the minimiser
+    start from at + low to at + high.  Texts of any length; of equal shingles the first is the minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
@@ -41,91 +40,75 @@ def suffixes(docs: DataFrame) -> DataFrame:
             own = words.whole(WINDOW + SHINGLE - 1)
             if not len(own):
                 continue
-            packed = (mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) & ~_PLACE) | np.arange(len(shingles), dtype=np.uint64)
-            at = np.unique((sliding_min(packed, WINDOW) & _PLACE).astype(np.int64)[own])
-            key, longer = words.runs(PREFIX), words.runs(2 * PREFIX)
+            packed = (mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) & ~PLACE) | np.arange(len(shingles), dtype=np.uint64)
+            at = np.unique((sliding_min(packed, WINDOW) & PLACE).astype(np.int64)[own])
+            key = words.runs(PREFIX)
             at = at[at < len(key)]
             at = at[words.whole(PREFIX)[at]]
-            # in periodic text a place has the prefix of the place before it: such a run is one suffix with a length
-            step, goes_on = np.diff(at), np.zeros(len(at), bool)
-            goes_on[1:] = (step <= WINDOW) & (key[at[1:]] == key[at[:-1]]) & (words.doc[at[1:]] == words.doc[at[:-1]])
-            head = np.nonzero(~goes_on)[0]
-            if not len(head):
-                continue
-            steps = np.where(goes_on, np.concatenate([[WINDOW], step]), WINDOW)
-            gap, span = np.minimum.reduceat(steps, head), at[np.concatenate([head[1:], [len(at)]]) - 1] - at[head]
-            at = at[head]
-            more = np.zeros(len(at), np.int64)
-            fits = at < len(longer)
-            fits[fits] = words.whole(2 * PREFIX)[at[fits]]
-            more[fits] = longer[at[fits]].view(np.int64)
             doc = words.doc[at]
-            numbers = [pa.array(x.astype(np.int32)) for x in (at - words.first[doc], span, np.where(span > 0, gap, 1))]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(key[at].view(np.int64)), pa.array(more), *numbers], ["doc_id", "key", "longer", "at", "run", "gap"])
-
-    return docs.mapInArrow(run, "doc_id long, key long, longer long, at int, run int, gap int")
+            low = np.maximum(words.first[doc] - at, 1 - WINDOW)
+            high = np.minimum(words.first[doc + 1] - at - PASSAGE, 0)
+            fits = low <= high
+            at, doc, low, high = at[fits], doc[fits], low[fits], high[fits]
+            if len(at):
+                covered = span_hashes(words.hashes, at + low, at + high + PASSAGE)
+                yield run_batch(part.column(0), doc, key[at], low, high, covered, at - words.first[doc])
 
+    return docs.mapInArrow(run, RUNS)
 
-def neighbours(held: DataFrame) -> DataFrame:
-    """(doc_id, at, run, other, o_at): each suffix with the one before it in the order, where both share PREFIX + run words.
 
-    The order is spread over range partitions, which may part a common prefix; the first suffix of a part is compared
-    with the prefix's first document instead, so equal prefixes stay linked.  A run that is longer than its neighbour's
-    is laid out with copies of it, the last of which ends where the run does."""
-    firsts = held.where("doc_id = first_doc").groupBy("key").agg(F.min(F.struct("at", "run")).alias("first"))
-    rows = held.join(firsts.select("key", F.col("first.at").alias("first_at"), F.col("first.run").alias("first_run")), "key")
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+def passage_ranks(docs: DataFrame, variants: DataFrame) -> DataFrame:
+    """RUNS with one row for every passage of ``variants`` (RUNS), the key being a hash of the passage and its place."""
+    places = variants.select("doc_id", (F.col("at") + F.col("low")).alias("at"), (F.col("high") - F.col("low") + PASSAGE).alias("n"), F.struct("at", "low").alias("tag"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, doc, at, run, gap, first, first_at, first_run = (batch.column(c).to_numpy() for c in ("key", "doc_id", "at", "run", "gap", "first_doc", "first_at", "first_run"))
-            if not len(key):
+            sizes = batch.column("n").to_numpy().astype(np.int64)
+            if not len(sizes):
                 continue
-            before = [np.concatenate([[x[0] if last is None else last[k]], x[:-1]]) for k, x in enumerate((key, doc, at, run))]
-            same = before[0] == key
-            if last is None:
-                same[0] = False
-            last = (key[-1], doc[-1], at[-1], run[-1])
-            # where a neighbour is in the same document, the prefix's first document stands in for it
-            apart = same & (before[1] != doc)
-            other, o_at, o_run = (np.where(apart, x, y) for x, y in zip(before[1:], (first, first_at, first_run)))
-            told = np.nonzero(other != doc)[0]
-            doc, at, run, gap, other, o_at, o_run = (x[told] for x in (doc, at, run, gap, other, o_at, o_run))
-            over, stride = np.maximum(0, run - o_run), (o_run + WINDOW) // gap * gap
-            copies = -(-over // stride) + 1
-            each = np.repeat(np.arange(len(doc)), copies)
-            nth = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
-            shift = np.minimum(nth * stride[each], over[each])
-            out = [doc[each], at[each] + shift, np.minimum(run, o_run)[each], other[each], o_at[each]]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(out, (np.int64, np.int32, np.int32, np.int64, np.int32))], ["doc_id", "at", "run", "other", "o_at"])
-
-    return ordered.mapInArrow(compare, "doc_id long, at int, run int, other long, o_at int")
+            flat = np.frombuffer(b"".join(batch.column("slice").to_pylist()), "<u4").astype(np.uint64)
+            starts = sizes - PASSAGE + 1
+            each = np.repeat(np.arange(len(sizes)), starts)
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(starts) - starts, starts)
+            first = np.repeat(np.cumsum(sizes) - sizes, starts) + nth
+            at, low = (batch.column(c).to_numpy().astype(np.int64)[each] for c in ("at", "low"))
+            low = low + nth
+            ranks = mix(span_hashes(mix(flat), first, first + PASSAGE) ^ (low + (1 << 20)).astype(np.uint64))
+            yield run_batch(batch.column("doc_id"), each, ranks, low, low, np.zeros(len(low), np.int64), at)
 
+    return word_slices(docs, places, 0).select("doc_id", "tag.at", "tag.low", "n", "slice").mapInArrow(run, RUNS)
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, n_words, other, other_start): passages of at least PASSAGE words that two documents share exactly.
 
-    Words are compared with A-Z lowered.  Every document with such a passage is in a row with another that has it, as
-    ``doc_id`` or ``other``; passages are given as far as they reach.  Shorter, null and empty texts give nothing;
-    repeats inside one document are not looked for; rows without an id are left out; of rows with one id, the first
-    distinct text met is compared.
-    """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = repeated_keys(cut(suffixes(rows), "suffixes"))
-    pairs = neighbours(held).withColumn("diagonal", F.col("at") - F.col("o_at"))
-    chains = pairs.groupBy("doc_id", "other", "diagonal").agg(F.sort_array(F.collect_set(F.struct("at", "run"))).alias("ats"))
-    islands = F.expr(f"""
-        aggregate(ats, cast(array() as array<struct<a:int,b:int>>),
-          (done, x) -> if(size(done) > 0 and x.at <= element_at(done, -1).b,
-            concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).a as a, greatest(element_at(done, -1).b, x.at + x.run + {PREFIX}) as b))),
-            concat(done, array(struct(x.at as a, x.at + x.run + {PREFIX} as b)))))""")
-    found = cut(chains.select("doc_id", "other", "diagonal", F.explode(islands).alias("part")).select("doc_id", "other", "diagonal", "part.a", "part.b"), "islands")
+def links_of(told: DataFrame) -> DataFrame:
+    """(doc_id, other, diagonal, a, b): equal words [a, b) of the rows of ``link_equal_runs`` that have a partner."""
+    return told.where("other is not null").select("doc_id", "other", (F.col("at") - F.col("o_at")).alias("diagonal"), (F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.col("high") + PASSAGE).alias("b"))
+
+
+def chained(told: DataFrame) -> DataFrame:
+    """Links between the few rows of a key that stood next to the ends of partitions, each with the one before it."""
+    order = Window.partitionBy("key").orderBy("doc_id", "at")
+    edges = told.where("other is null").select("*", F.lag("doc_id").over(order).alias("p_doc"), F.lag("at").over(order).alias("p_at")).where("p_doc < doc_id")
+    return links_of(edges.withColumn("other", F.col("p_doc")).withColumn("o_at", F.col("p_at")).select(*told.columns))
+
+
+def islands(links: DataFrame) -> DataFrame:
+    """(doc_id, other, diagonal, a, b): links on one alignment that overlap or touch, joined."""
+    merged = F.expr("""
+        aggregate(parts, cast(array() as array<struct<a:int,b:int>>),
+          (done, x) -> if(size(done) > 0 and x.a <= element_at(done, -1).b,
+            concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).a as a, greatest(element_at(done, -1).b, x.b) as b))),
+            concat(done, array(struct(x.a as a, x.b as b)))))""")
+    part = F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    parts = links.groupBy("doc_id", "other", F.col("diagonal").cast("int").alias("diagonal")).agg(F.sort_array(F.collect_set(part)).alias("parts"))
+    return parts.select("doc_id", "other", "diagonal", F.explode(merged).alias("part")).select("doc_id", "other", "diagonal", "part.a", "part.b")
+
+
+def extended(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
+    """``found`` with [a, b) grown by up to ``reach`` equal words at either end, and ``more``: an end may go on."""
     mine = found.select("doc_id", F.explode(F.array("a", "b")).alias("at"))
     theirs = found.select(F.col("other").alias("doc_id"), F.explode(F.array(F.col("a") - F.col("diagonal"), F.col("b") - F.col("diagonal"))).alias("at"))
-    places = mine.union(theirs).distinct().select("doc_id", "at", F.lit(REACH).alias("n"), F.lit(0).alias("tag"))
-    slices = cut(word_slices(rows, places, REACH), "ends")
+    places = mine.union(theirs).distinct().select("doc_id", "at", F.lit(reach).alias("n"), F.lit(0).alias("tag"))
+    slices = cut(word_slices(docs, places, reach), "ends")
 
     def at_place(doc: str, place: str, name: str) -> DataFrame:
         return slices.select(F.col("doc_id").alias(doc), F.col("at").alias(place), F.col("slice").alias(name))
@@ -134,20 +117,54 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = whole.join(at_place("doc_id", "a", "left_own"), ["doc_id", "a"]).join(at_place("doc_id", "b", "right_own"), ["doc_id", "b"])
     whole = whole.join(at_place("other", "oa", "left_other"), ["other", "oa"]).join(at_place("other", "ob", "right_other"), ["other", "ob"])
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, 2 * REACH) for c in ("left_own", "left_other", "right_own", "right_other")]
-            same = [(a == b) & (a != 0) for a, b in zip(pieces[::2], pieces[1::2])]
-            left = np.cumprod(same[0][:, :REACH][:, ::-1], axis=1).sum(1)
-            right = np.cumprod(same[1][:, REACH:], axis=1).sum(1)
-            a, b, diagonal = (batch.column(c).to_numpy() for c in ("a", "b", "diagonal"))
-            start, n = a - left, b - a + left + right
-            told = n >= PASSAGE
-            columns = [batch.column("doc_id").filter(pa.array(told)), start[told], n[told], batch.column("other").filter(pa.array(told)), (start - diagonal)[told]]
-            yield pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, pa.Array) else c.astype(np.int32)) for c in columns], ["doc_id", "start", "n_words", "other", "other_start"])
+            step = max(1, (1 << 22) // (8 * reach))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                pieces = [np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, 2 * reach) for c in ("left_own", "left_other", "right_own", "right_other")]
+                same = [(a == b) & (a != 0) for a, b in zip(pieces[::2], pieces[1::2])]
+                left = np.cumprod(same[0][:, :reach][:, ::-1], axis=1).sum(1)
+                right = np.cumprod(same[1][:, reach:], axis=1).sum(1)
+                a, b = (part.column(c).to_numpy() for c in ("a", "b"))
+                grown = [(a - left).astype(np.int32), (b + right).astype(np.int32), (left == reach) | (right == reach)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "other", "diagonal")], *map(pa.array, grown)], ["doc_id", "other", "diagonal", "a", "b", "more"])
+
+    done = cut(whole.select("doc_id", "other", "diagonal", "a", "b", "left_own", "left_other", "right_own", "right_other").mapInArrow(run, "doc_id long, other long, diagonal int, a int, b int, more boolean"), "grown")
+    forget(slices)
+    return done
+
 
-    return whole.select("doc_id", "other", "diagonal", "a", "b", "left_own", "left_other", "right_own", "right_other").mapInArrow(extend, "doc_id long, start int, n_words int, other long, other_start int").distinct()
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, n_words, other, other_start): passages of at least PASSAGE words that two documents share exactly.
+
+    Words are compared with A-Z lowered.  Every passage that a document shares with another lies in a row of it, as
+    ``doc_id`` or ``other``, and documents that share a passage are linked by a chain of rows over it; passages are given
+    as far as they reach.  Shorter, null and empty texts give nothing; very long texts are whole; an empty table gives
+    no rows; repeats inside one document are not told; rows without an id are left out; rows with one id are one
+    document, each text of which is held against other documents; repeated rows say nothing new; other columns are
+    ignored.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    told = cut(link_equal_runs(suffixes(rows)), "suffixes")
+    shared = told.where("other is null").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("n > 1 and a < b")
+    variants = told.where("other is null").join(shared.select("key"), "key", "left_semi")
+    ranked = cut(link_equal_runs(passage_ranks(rows, variants)), "ranked")
+    found = cut(islands(links_of(told).union(links_of(ranked)).union(chained(ranked))), "islands")
+    forget(told, ranked)
+    reach, results = REACH, []
+    while True:
+        grown = extended(rows, found, reach)
+        results.append(grown.where("not more"))
+        if not grown.where("more").limit(1).count():
+            break
+        found, reach = grown.where("more"), reach * STEP
+    out = results[0]
+    for more in results[1:]:
+        out = out.union(more)
+    return islands(out).select("doc_id", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n_words"), "other", (F.col("a") - F.col("diagonal")).alias("other_start"))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repeated_substrings`` of all documents: see there for nulls, repeats, empty and very long texts and columns."""
     return repeated_substrings(table(spark, sf_dir, "documents"))
