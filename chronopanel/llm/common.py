@@ -49,6 +49,32 @@ def forget(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unique_ids(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> DataFrame:
+    """``docs`` with ``name``, a number of each row: its id, where it has one of its own, and one above all ids elsewhere.
+
+    Rows without an id and those that share one are numbered in a written copy, so numbers don't change with a retry."""
+    again = docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1 or __id is null").select("__id", F.lit(True).alias("__again"))
+    if not again.limit(1).count():
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    top = docs.agg(F.max(F.col(id_col).cast("long"))).first()[0] or 0
+    rows = cut(docs.withColumn("__n", F.monotonically_increasing_id()), "numbered")
+    joined = rows.join(again, rows[id_col].eqNullSafe(again["__id"]), "left")
+    fresh = F.lit(top + 1) + F.col("__n")
+    return joined.withColumn(name, F.when(F.col("__again"), fresh).otherwise(F.col(id_col).cast("long"))).drop("__n", "__id", "__again")
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row a key and in ``n`` its number of rows; others are dropped.
+
+    A key with one in ``share`` of all rows or more is a hot one: there can be ``share`` of them at most, so these
+    few rows of ``values`` are sent to the rows where they are, and only the rest is shuffled."""
+    total = values.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(values.where(F.col(n) * share >= total))
+    rest = rows.join(F.broadcast(values.where(F.col(n) * share >= total).select(*keys)), keys, "left_anti").join(values, keys)
+    found = rows.join(hot, keys)
+    return found.unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b); component is the smallest node reachable.
 

@@ -1,8 +1,9 @@
 """Operator 3, benchmark decontamination by pigeonhole edit matching.
 
 A test item of m characters may occur with up to k = m // 16 edits.  It is split into k + 1 pieces: an occurrence within
-the budget holds at least one of them unchanged.  Documents are scanned once for all pieces of a block of items, and
-around each hit Myers' bit-parallel distance decides whether the item ends there within its budget.
+the budget holds at least one of them unchanged.  Items are written to the shared folder in blocks of bounded size, and
+tasks read them from there; documents are scanned once, and around each hit of a piece Myers' bit-parallel distance
+decides whether the item ends there within its budget.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 16
-#: Characters of items in a block; a block is what a task holds at once and what is sent to it.
-BLOCK_CHARS = 1 << 20
+#: Characters of items in a block, and the blocks that a worker keeps ready; further ones are built anew for each CHUNK
+#: bytes of text.
+BLOCK_CHARS, READY, CHUNK = 1 << 20, 8, 1 << 25
 _GAPS = re.compile(r"[\W_]+")
 MATCHES = "doc_id long, item_id long, distance int, budget int, start long, stop long"
 
@@ -111,58 +116,105 @@ class Matcher:
         return out
 
 
-@lru_cache(maxsize=1)
-def matcher(items: tuple[tuple[int, str], ...], chars_per_edit: int) -> Matcher:
-    return Matcher(items, chars_per_edit)
+def write_items(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> str:
+    """A folder of Parquet files with normalized items, a block a row; items without an id or without letters are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = [], 0
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if item is None or not (text := normalize(text)):
+                    continue
+                block.append({"item": item, "text": text})
+                size += len(text)
+                if size >= block_chars:
+                    yield pa.RecordBatch.from_pylist([{"block": block}], BLOCKS)
+                    block, size = [], 0
+        if block:
+            yield pa.RecordBatch.from_pylist([{"block": block}], BLOCKS)
 
+    items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return cut(items.mapInArrow(run, "block array<struct<item:long,text:string>>"), "items")._chronopanel_path
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
-    """Normalized items in blocks of bounded size, fetched partition by partition; items without letters are left out."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null").toLocalIterator():
-        if text := normalize(row["t"]):
-            block.append((row["i"], text))
-            size += len(text)
-        if size >= block_chars:
-            yield tuple(block)
-            block, size = [], 0
-    if block:
-        yield tuple(block)
+
+BLOCKS = pa.schema([("block", pa.list_(pa.struct([("item", pa.int64()), ("text", pa.string())])))])
+
+
+@lru_cache(maxsize=1)
+def block_places(folder: str) -> tuple[tuple[str, int], ...]:
+    """(file, row group) of all blocks of a folder, in the order of names."""
+    fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    names = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.base_name.endswith(".parquet"))
+    return tuple((name, k) for name in names for k in range(pq.ParquetFile(fs.open_input_file(name)).num_row_groups))
+
+
+@lru_cache(maxsize=READY)
+def matchers(folder: str, place: tuple[str, int], chars_per_edit: int) -> tuple[Matcher, ...]:
+    fs, _ = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    rows = pq.ParquetFile(fs.open_input_file(place[0])).read_row_group(place[1]).column("block").to_pylist()
+    return tuple(Matcher(tuple((x["item"], x["text"]) for x in block), chars_per_edit) for block in rows)
+
+
+def text_parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with about CHUNK bytes of normalized text each."""
+    for batch in batches:
+        texts, size, start = [], 0, 0
+        for k, value in enumerate(batch.column(column)):
+            texts.append(normalize(value.as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK:
+                yield batch.slice(start, k + 1 - start), texts
+                texts, size, start = [], 0, k + 1
+        if texts:
+            yield batch.slice(start), texts
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, budget, start, stop): the best occurrence of each item in each row of ``docs``.
 
-    Offsets are in the normalized text.  Items are a stated query set, held against all rows block by block.  Null and
-    empty texts match nothing; repeated rows each give their matches; empty tables give no rows; extra columns are
-    ignored.  Every occurrence within the budget is found: pieces are exact and nothing is capped.
+    Offsets are in the normalized text.  Items are a stated query set, held against all rows.  Null and empty texts match
+    nothing, nor do items without an id or without letters; repeated rows each give their matches, those without an id
+    with a null one; very long texts are read whole; empty tables give no rows; extra columns are ignored.  Every
+    occurrence within the budget is found: pieces are exact and nothing is capped.
     """
+    folder = write_items(benchmark, item_col, item_text, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_parts(batches, "text"):
+            ids, rows = part.column(0).to_pylist(), []
+            for place in block_places(folder):
+                for engine in matchers(folder, place, chars_per_edit):
+                    for doc, text in zip(ids, texts):
+                        for k, (distance, start, stop) in engine.matches(text).items():
+                            rows.append((doc, engine.items[k][0], distance, engine.items[k][2], start, stop))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], ["doc_id", "item_id", "distance", "budget", "start", "stop"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, MATCHES)
 
-    def scan(block: tuple[tuple[int, str], ...]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            engine = matcher(sent.value, chars_per_edit)
-            for batch in batches:
-                rows = []
-                for doc, text in zip(batch.column(0), batch.column(1)):
-                    for k, (distance, start, stop) in engine.matches(normalize(text.as_py())).items():
-                        rows.append((doc.as_py(), engine.items[k][0], distance, engine.items[k][2], start, stop))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], ["doc_id", "item_id", "distance", "budget", "start", "stop"])
+def clean_documents(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without an occurrence of an item, with all their columns; a row is judged by its own text, so ids
+    may be missing or repeated.  Null and empty texts are clean."""
+    folder = write_items(benchmark, item_col, item_text, block_chars)
+    names = docs.columns
 
-        return rows_of.mapInArrow(run, MATCHES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_parts(batches, "__text"):
+            clean = np.ones(len(texts), bool)
+            for place in block_places(folder):
+                for engine in matchers(folder, place, chars_per_edit):
+                    for k in np.nonzero(clean)[0]:
+                        clean[k] = not engine.matches(texts[k])
+            yield part.select(range(len(names))).filter(pa.array(clean))
 
-    rows_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = None
-    for block in blocks(benchmark, item_col, item_text, block_chars):
-        part = scan(block)
-        found = part if found is None else found.union(part)
-    return docs.sparkSession.createDataFrame([], MATCHES) if found is None else found
+    schema = docs.schema
+    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contamination`` of all documents by all items: see there for nulls, repeats, empty and long texts and columns."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -3,7 +3,11 @@
 Fingerprints at Hamming distance d have per-segment bit counts at Manhattan distance at most d.  The counts (32 segments
 of two bits, packed in one long) are cut into ``max_distance + 3`` blocks; two vectors within the distance agree in all
 but ``max_distance`` blocks, so they meet in a grid cell made of the other blocks.  The join on cells then applies the
-Manhattan bound and the exact Hamming distance.  Only distinct fingerprints take part, so copies cost nothing here.
+Manhattan bound and the exact Hamming distance.  Cells with many members are split further, by the bits behind the
+counts.  Only distinct fingerprints take part, so copies cost nothing here.
+
+``similar_components`` links texts by the similarity of their shingles instead: the same counts in more and wider cells
+give the candidates, and the shingles of both texts decide.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, forget, lookup, table, unique_ids
+from .tokens import Words, span_hashes, text_chunks
 
 PAIRS = 0x5555555555555555
-#: Cells with more distinct fingerprints than this take the bit-mask path, which has at most four members a key.
-HOT_CELL = 2048
+#: Cells with more members than this are split by blocks of their bits.
+CROWD = 256
+#: Blocks of bits in a split; what is left of a cell differs in ``max_distance`` blocks only, 256 fingerprints for two bits.
+SPLIT = 16
 
 
 def _signed(x: int) -> int:
@@ -80,67 +87,197 @@ def cell_masks(max_distance: int) -> list[int]:
     return [_signed(sum(bits) - sum(bits[k] for k in out)) for out in combinations(range(len(bits)), max_distance)]
 
 
-def fingerprint_links(fps: DataFrame, max_distance: int = 2, hot_cell: int = HOT_CELL) -> DataFrame:
-    """Links (a, b) between the distinct values of ``fps.fp`` such that components equal those of all pairs in distance.
+def split_masks(max_distance: int) -> list[int]:
+    """A mask of the bits left when ``max_distance`` of ``SPLIT`` blocks are taken out, for each choice of them."""
+    size = 64 // SPLIT
+    block = [((1 << size) - 1) << (size * k) for k in range(SPLIT)]
+    return [_signed(sum(block) - sum(block[k] for k in out)) for out in combinations(range(SPLIT), max_distance)]
 
-    In cells of up to ``hot_cell`` members these are all such pairs, each once.  For members of larger cells, the
-    fingerprints with every choice of ``max_distance`` bits cleared are keys; members of a key are all within the
-    distance of each other and at most 2**max_distance, so they are linked to their smallest.
-    """
-    masks = cell_masks(max_distance)
-    nodes = fps.select("fp", popcounts(F.col("fp")).alias("v"))
-    cells = cut(nodes.select("fp", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")), "cells")
-    sizes = cells.groupBy("grid", "cell").count().where("count > 1")
-    hot = cut(sizes.where(F.col("count") > hot_cell).select("grid", "cell"), "hotcells")
-    any_hot = hot.limit(1).count() > 0
-    shared = cells.join(sizes.where(F.col("count") <= hot_cell), ["grid", "cell"], "left_semi")
-    left = shared.select("grid", "cell", F.col("fp").alias("a"), F.col("v").alias("va"))
-    right = shared.select("grid", "cell", F.col("fp").alias("b"), F.col("v").alias("vb"))
-    differ = F.col("va").bitwiseXOR(F.col("vb"))
+
+def first_mask(differ: Column, masks: list[int]) -> Column:
+    """The first of the masks in which two values don't differ, so a pair that meets in several is taken once."""
     first = F.lit(len(masks))
     for k in reversed(range(len(masks))):
         first = F.when(differ.bitwiseAND(F.lit(masks[k])) == 0, F.lit(k)).otherwise(first)
-    close = (manhattan(F.col("va"), F.col("vb")) <= max_distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
-    same = (left.grid == right.grid) & (left.cell == right.cell) & (F.col("a") < F.col("b"))
-    once = F.lit(True) if any_hot else left.grid == first
-    links = left.join(right, same & close & once).select("a", "b")
-    if any_hot:
-        wide = cells.join(hot, ["grid", "cell"], "left_semi").select("fp").distinct()
-        masked = wide.withColumn("mask", F.lit(0).cast("long")).withColumn("bit", F.lit(-1))
-        for _ in range(max_distance):
-            masked = masked.where("bit < 63").withColumn("bit", F.explode(F.sequence(F.col("bit") + 1, F.lit(63))))
-            masked = masked.withColumn("mask", F.col("mask").bitwiseOR(F.expr("shiftleft(1L, bit)")))
-        masked = masked.select("fp", "mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("rest"))
-        groups = masked.groupBy("mask", "rest").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
-        star = groups.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b")
-        links = links.union(star).distinct()
-    return links
-
-
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, max_distance: int = 2, hot_cell: int = HOT_CELL) -> DataFrame:
+    return first
+
+
+def fingerprint_links(fps: DataFrame, max_distance: int = 2, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b), each once: all pairs of distinct values of ``fps.fp`` within the distance.
+
+    A cell of more than ``crowd`` members is split: its members that differ in ``max_distance`` blocks of bits at most
+    meet, and such a part has a bounded number of fingerprints whatever the data."""
+    masks, splits = cell_masks(max_distance), split_masks(max_distance)
+    nodes = fps.select("fp", popcounts(F.col("fp")).alias("v"))
+    cells = cut(nodes.select("fp", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")), "cells")
+    sizes = cut(cells.groupBy("grid", "cell").count().where("count > 1"), "cellsizes")
+    few = cells.join(sizes.where(F.col("count") <= crowd).select("grid", "cell"), ["grid", "cell"]).select("grid", "cell", F.lit(-1).alias("split"), F.lit(0).cast("long").alias("bits"), "fp", "v")
+    many = cells.join(sizes.where(F.col("count") > crowd).select("grid", "cell"), ["grid", "cell"])
+    many = many.select("grid", "cell", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in splits])).alias("split", "bits"), "fp", "v")
+    keys = ["grid", "cell", "split", "bits"]
+    shared = few.union(many)
+    left = shared.select(*keys, F.col("fp").alias("a"), F.col("v").alias("va"))
+    right = shared.select(*keys, F.col("fp").alias("b"), F.col("v").alias("vb"))
+    met = left.join(right, keys).where(F.col("a") < F.col("b"))
+    met = met.where((manhattan(F.col("va"), F.col("vb")) <= max_distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance))
+    once = F.col("grid") == first_mask(F.col("va").bitwiseXOR(F.col("vb")), masks)
+    return met.where(once).select("a", "b").distinct()
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, max_distance: int = 2, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most ``max_distance`` bits.
 
-    Every input row gives a row (repeated ids too); empty input gives none.  Documents with equal fingerprints are
-    linked, word-less ones (fingerprint 0) like any other.
+    Every input row gives a row (repeated ids too); an empty table gives none.  Documents with equal fingerprints are
+    linked; null, empty and word-less texts have fingerprint 0 and are linked like any other.  A row without an id is in
+    the component of its fingerprint, whose id is null only if no row of it has one.  Texts of any length are read
+    whole; other columns are ignored.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width, seed), "prints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fpnodes")
-    comps = connected_components(fingerprint_links(nodes, max_distance, hot_cell))
-    labelled = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "fpnodes")
+    comps = connected_components(fingerprint_links(nodes, max_distance, crowd))
+    labelled = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "first_doc", "n", F.coalesce("component", "fp").alias("component"))
     firsts = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    of_fp = labelled.join(firsts, "component").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = cut(labelled.join(firsts, "component").select("fp", "n", "component_id"), "offp")
+    return lookup(prints, of_fp, ["fp"], "n").select("doc_id", "fp", "component_id")
+
+
+#: Bits in which fingerprints of texts of similarity 0.8 differ at most, but for one pair in fifty.
+FAR = 16
+#: Members of a candidate cell up to which all its pairs are looked at.
+FEW = 8
+_CELL = ["key", "row", "fp"]
+
+
+def wide_masks(texts: int, agreement: float = 0.73, recall: float = 0.98) -> list[int]:
+    """Masks of segments, drawn with a fixed seed, for cells with a few of ``texts`` members by chance.
+
+    At similarity 0.8 a segment's count agrees with a chance of ``agreement``; there are enough masks for ``recall``."""
+    width = int(np.clip(np.ceil((np.log2(max(2, texts)) - 2) / 1.5), 4, 24))
+    draw = np.random.default_rng(8)
+    number = int(np.ceil(np.log(1 - recall) / np.log(1 - agreement**width)))
+    return [_signed(sum(3 << (2 * int(k)) for k in draw.choice(32, width, replace=False))) for _ in range(number)]
+
+
+def cell_pairs(cells: DataFrame, far: int) -> DataFrame:
+    """(key, row, fp, other) from cells (key, row, fp): pairs within ``far`` bits of cells with up to FEW members, and
+    the rows of larger cells, and of cells at the ends of a partition, with a null ``other``.  One sort, streamed."""
+
+    def told(rows: list[np.ndarray], open_left: bool, open_right: bool) -> pa.RecordBatch:
+        key, row, fp = rows
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        starts = np.nonzero(first)[0]
+        size = np.diff(np.concatenate([starts, [len(key)]]))
+        crowd = size > FEW
+        crowd[0] |= open_left
+        crowd[-1] |= open_right
+        of = np.cumsum(first) - 1
+        pairs = []
+        for step in range(1, FEW):
+            i = np.nonzero((of[step:] == of[:-step]) & ~crowd[of[step:]])[0]
+            near = np.bitwise_count((fp[i] ^ fp[i + step]).view(np.uint64)) <= far
+            pairs.append((i[near], i[near] + step))
+        alone = np.nonzero(crowd[of])[0]
+        a, b = (np.concatenate([*[p[k] for p in pairs], alone]) for k in (0, 1))
+        none = np.concatenate([np.zeros(len(a) - len(alone), bool), np.ones(len(alone), bool)])
+        return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(row[a]), pa.array(fp[a]), pa.array(row[b], mask=none)], [*_CELL, "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, open_left = [], 0, True
+        for batch in batches:
+            parts.append([batch.column(c).to_numpy() for c in _CELL])
+            size += batch.num_rows
+            if size < 1 << 18:
+                continue
+            rows = [np.concatenate(x) for x in zip(*parts)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            hot = last == 0  # one cell fills the block: its rows are let go as they are
+            yield told(rows if hot else [x[:last] for x in rows], open_left, hot)
+            parts, size, open_left = ([], 0, True) if hot else ([[x[last:] for x in rows]], size - last, False)
+        if size:
+            yield told([np.concatenate(x) for x in zip(*parts)], open_left, True)
+
+    return cells.repartitionByRange(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, "key long, row long, fp long, other long")
+
+
+def alike_pairs(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose sets of word shingles have the similarity.  texts: row, text."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, chunk in text_chunks(batches):
+            words, out = Words(chunk), []
+            for k in range(len(chunk)):
+                own = words.hashes[words.first[k] : words.first[k + 1]]
+                n = min(width, len(own))
+                first = np.arange(len(own) - n + 1)
+                out.append(np.unique(span_hashes(own, first, first + n)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["row", "shingles"])
+
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = cut(texts.join(wanted, "row").select("row", "text").mapInArrow(shingles, "row long, shingles array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    good = cut(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "alike")
+    forget(sets)
+    return good
+
+
+def ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, far: int = FAR) -> DataFrame:
+    """(doc_id, component_id): the smallest id reachable over links between texts whose word shingles have the similarity.
+
+    Ids are unique and not null (see ``unique_ids``).  Equal texts are always linked, texts without words with equal ones
+    only; texts of fewer words than ``width`` are one shingle.  Of a pair at the similarity itself, one in ten or so is not
+    among the candidates; far fewer of more similar ones.  In a cell with many texts all meet the first, those unlike it
+    and the others the first of those, and so on, until the pairs left are few and all are looked at."""
+    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    prints = fingerprints(docs, id_col, text_col, width, seed).select(F.col("doc_id").alias("row"), "fp")
+    copies = rows.select("row", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("copy"))
+    classes = cut(copies.groupBy("copy").agg(F.min("row").alias("first"), F.count("*").alias("n")), "classes")
+    nodes = cut(prints.where("fp <> 0").join(classes.select(F.col("first").alias("row")), "row"), "textnodes")
+    texts = nodes.count()
+    masks = wide_masks(texts)
+    counts = popcounts(F.col("fp"))
+    cells = nodes.withColumn("v", counts).select(F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"), "row", "fp").select(F.xxhash64("grid", "cell").alias("key"), "row", "fp")
+    met = cut(cell_pairs(cells, far), "cellpairs")
+    found = alike_pairs(rows, met.where("other is not null").select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
+    crowd = cut(met.where("other is null").select(*_CELL, F.lit(True).alias("asks")), "crowd")
+    while True:
+        asks = crowd.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking"), F.min(F.when(F.col("asks"), F.struct("row", "fp"))).alias("head")).where("n > 1 and asking > 0")
+        asks = cut(asks, "asks")
+        left, members = asks.agg(F.sum(F.col("n") * F.col("asking")), F.sum("n")).first()
+        if not left:
+            break
+        few = left <= 16 * members
+        near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= far
+        if few:
+            theirs = crowd.select("key", F.col("row").alias("other"), F.col("fp").alias("o_fp"))
+            pairs = crowd.where("asks").join(theirs, "key").where("row <> other")
+        else:
+            pairs = lookup(crowd, asks.select("key", "n", F.col("head.row").alias("other"), F.col("head.fp").alias("o_fp")), ["key"], "n").where("row <> other")
+        good = alike_pairs(rows, pairs.where(near("fp", "o_fp")).select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
+        found = found.union(good)
+        if few:
+            break
+        headed = lookup(crowd, asks.select("key", "n", F.col("head.row").alias("head")), ["key"], "n").withColumns({"a": F.least("row", "head"), "b": F.greatest("row", "head")})
+        settled = headed.join(good.withColumn("good", F.lit(True)), ["a", "b"], "left")
+        crowd = cut(settled.select(*_CELL, (F.col("asks") & F.col("good").isNull() & (F.col("row") != F.col("head"))).alias("asks")), "crowd")
+    comps = connected_components(found)
+    of = classes.join(comps, classes["first"] == comps["node"], "left").select("copy", "n", F.coalesce("component", "first").alias("component_id"))
+    return lookup(copies, cut(of, "ofcopy"), ["copy"], "n").select(F.col("row").alias("doc_id"), "component_id")
 
 
 def first_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, one row an id; rows without an id stay."""
-    found = near_duplicate_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", "__doc")
-    out = docs.join(kept, docs[id_col] == kept["__doc"], "left").where(F.col("__doc").isNotNull() | F.col(id_col).isNull())
-    if kept.where("count > 1").limit(1).count():
-        once = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        out = once.unionByName(out.where(F.col(id_col).isNull()))
-    return out.select(*docs.columns)
+    """One row of ``docs`` of each component of similar texts, that with the smallest id, with all its columns.
+
+    Rows are told apart even if they have no id or share one; those come after the others.  Repeated rows, null and empty
+    texts are copies of each other; an empty table gives none."""
+    rows = unique_ids(docs, id_col)
+    kept = similar_components(rows, "__row", text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
+    return rows.join(kept, "__row").select(*docs.columns)
 
 
 def hex64(fp: Column) -> Column:
@@ -148,5 +285,6 @@ def hex64(fp: Column) -> Column:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicate_components`` of all documents: see there for nulls, repeats, empty and long texts and columns."""
     found = near_duplicate_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")

@@ -5,8 +5,7 @@ of ``PASSAGE`` words holds one among its first ``WINDOW`` words, with ``PREFIX``
 They are sorted by the rank of their first PREFIX words and then by their surroundings, all words of the passages that
 hold the minimiser there, and neighbours are compared.  Where suffixes of equal rank differ around it, those that differ
 (one of each kind) are ranked again by every passage that holds the minimiser, so equal ranks mean an equal passage, and
-neighbours in that order are linked.  Links on one alignment are joined and extended to the left and right, word by word
-until a mismatch or an end of the text.
+neighbours in that order are linked.  Links on one alignment are joined and extended to the left and right, word by word.
 """
 
 from __future__ import annotations
@@ -19,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, forget, table
+from .common import cut, forget, lookup, table
 from .tokens import PLACE, RUNS, Words, link_equal_runs, mix, run_batch, sliding_min, span_hashes, text_chunks, word_slices
 
 PASSAGE, SHINGLE, WINDOW = 50, 5, 16
 #: Words after a passage's first minimiser that are certain to belong to it.
 PREFIX = PASSAGE - WINDOW + 1
-#: Words that a match is extended by at either end in a first step; later steps are so many times as long.
-REACH, STEP = 2 * WINDOW, 16
+#: Words that a match is extended by at either end at most.  What matches beyond holds minimisers of its own, whose
+#: passages are linked to the nearest document there, if to another one.
+REACH = 2 * WINDOW
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -103,8 +103,8 @@ def islands(links: DataFrame) -> DataFrame:
     return parts.select("doc_id", "other", "diagonal", F.explode(merged).alias("part")).select("doc_id", "other", "diagonal", "part.a", "part.b")
 
 
-def extended(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
-    """``found`` with [a, b) grown by up to ``reach`` equal words at either end, and ``more``: an end may go on."""
+def extended(docs: DataFrame, found: DataFrame, reach: int = REACH) -> DataFrame:
+    """``found`` with [a, b) grown by up to ``reach`` equal words at either end."""
     mine = found.select("doc_id", F.explode(F.array("a", "b")).alias("at"))
     theirs = found.select(F.col("other").alias("doc_id"), F.explode(F.array(F.col("a") - F.col("diagonal"), F.col("b") - F.col("diagonal"))).alias("at"))
     places = mine.union(theirs).distinct().select("doc_id", "at", F.lit(reach).alias("n"), F.lit(0).alias("tag"))
@@ -119,50 +119,34 @@ def extended(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, (1 << 22) // (8 * reach))
-            for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
-                pieces = [np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, 2 * reach) for c in ("left_own", "left_other", "right_own", "right_other")]
-                same = [(a == b) & (a != 0) for a, b in zip(pieces[::2], pieces[1::2])]
-                left = np.cumprod(same[0][:, :reach][:, ::-1], axis=1).sum(1)
-                right = np.cumprod(same[1][:, reach:], axis=1).sum(1)
-                a, b = (part.column(c).to_numpy() for c in ("a", "b"))
-                grown = [(a - left).astype(np.int32), (b + right).astype(np.int32), (left == reach) | (right == reach)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "other", "diagonal")], *map(pa.array, grown)], ["doc_id", "other", "diagonal", "a", "b", "more"])
-
-    done = cut(whole.select("doc_id", "other", "diagonal", "a", "b", "left_own", "left_other", "right_own", "right_other").mapInArrow(run, "doc_id long, other long, diagonal int, a int, b int, more boolean"), "grown")
-    forget(slices)
-    return done
+            pieces = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, 2 * reach) for c in ("left_own", "left_other", "right_own", "right_other")]
+            same = [(a == b) & (a != 0) for a, b in zip(pieces[::2], pieces[1::2])]
+            left = np.cumprod(same[0][:, :reach][:, ::-1], axis=1).sum(1)
+            right = np.cumprod(same[1][:, reach:], axis=1).sum(1)
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            grown = [(a - left).astype(np.int32), (b + right).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "other", "diagonal")], *map(pa.array, grown)], ["doc_id", "other", "diagonal", "a", "b"])
+
+    return whole.select("doc_id", "other", "diagonal", "a", "b", "left_own", "left_other", "right_own", "right_other").mapInArrow(run, "doc_id long, other long, diagonal int, a int, b int")
 
 
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, n_words, other, other_start): passages of at least PASSAGE words that two documents share exactly.
 
-    Words are compared with A-Z lowered.  Every passage that a document shares with another lies in a row of it, as
-    ``doc_id`` or ``other``, and documents that share a passage are linked by a chain of rows over it; passages are given
-    as far as they reach.  Shorter, null and empty texts give nothing; very long texts are whole; an empty table gives
-    no rows; repeats inside one document are not told; rows without an id are left out; rows with one id are one
-    document, each text of which is held against other documents; repeated rows say nothing new; other columns are
-    ignored.
+    Words are compared with A-Z lowered.  Every passage that a document shares with others lies in a row of it, as
+    ``doc_id`` or ``other``, and the documents that share a passage are linked by a chain of rows over it.  Shorter, null
+    and empty texts give nothing; very long texts are whole; an empty table gives no rows; repeats inside one document
+    are not told; rows without an id are left out; rows with one id are one document, each text of which is held against
+    other documents; repeated rows say nothing new; other columns are ignored.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     told = cut(link_equal_runs(suffixes(rows)), "suffixes")
-    shared = told.where("other is null").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("n > 1 and a < b")
-    variants = told.where("other is null").join(shared.select("key"), "key", "left_semi")
+    shared = cut(told.where("other is null").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("n > 1 and a < b").select("key", "n"), "keys")
+    variants = lookup(told.where("other is null"), shared, ["key"], "n").select(*told.columns)
     ranked = cut(link_equal_runs(passage_ranks(rows, variants)), "ranked")
     found = cut(islands(links_of(told).union(links_of(ranked)).union(chained(ranked))), "islands")
-    forget(told, ranked)
-    reach, results = REACH, []
-    while True:
-        grown = extended(rows, found, reach)
-        results.append(grown.where("not more"))
-        if not grown.where("more").limit(1).count():
-            break
-        found, reach = grown.where("more"), reach * STEP
-    out = results[0]
-    for more in results[1:]:
-        out = out.union(more)
-    return islands(out).select("doc_id", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n_words"), "other", (F.col("a") - F.col("diagonal")).alias("other_start"))
+    forget(told, shared, ranked)
+    return islands(extended(rows, found)).select("doc_id", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n_words"), "other", (F.col("a") - F.col("diagonal")).alias("other_start"))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
