@@ -9,7 +9,6 @@ row is closed up, and rows without a mergeable pair leave the matrix.  Token ids
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 NONE = np.int32(2**31 - 1)
-#: Upper widths of the length buckets; longer pieces are merged by a heap of pairs, in the same order.
+#: Upper widths of the length buckets; a longer piece is a matrix of its own.
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048)
 #: Distinct pieces a worker remembers, and text bytes that it takes in one go.
 CACHE, CHUNK = 1 << 18, 1 << 20
@@ -83,7 +82,10 @@ class ByteBPE:
             for k in range(1, len(token)):
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     pairs[a, b] = rank
-        self.pairs, self.lookup = PairTable(pairs), pairs
+        self.pairs, self.rising = PairTable(pairs), all(rank > max(pair) for pair, rank in pairs.items())
+        self.token_sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        for i, token in self.tokens.items():
+            self.token_sizes[i] = len(token)
         self.known: dict[str, int] = {}
         self.flat, self.ends = [np.zeros(0, np.int32)], [0]
 
@@ -116,7 +118,6 @@ class ByteBPE:
             tail = np.arange(ids.shape[1] - 1)[None, :] > at[:, None]  # columns right of the merged one close up
             ids[:, :-1][tail] = ids[:, 1:][tail]
             ids[:, -1] = -1
-            np.copyto(ids[:, :-1], ids[:, :-1])
             lengths -= 1
             move = np.arange(ranks.shape[1] - 1)[None, :] > at[:, None]
             ranks[:, :-1][move] = ranks[:, 1:][move]
@@ -131,25 +132,29 @@ class ByteBPE:
         return out
 
     def merge_long(self, row: bytes) -> np.ndarray:
-        """The same merges for one very long piece, with the pairs in a heap."""
-        ids, n = self.byte_ids[np.frombuffer(row, np.uint8)].tolist(), len(row)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k) for k in range(n - 1) if (r := self.lookup.get((ids[k], ids[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, k = heapq.heappop(heap)
-            m = after[k] if ids[k] >= 0 else n
-            if m >= n or self.lookup.get((ids[k], ids[m])) != rank:
-                continue
-            ids[k], ids[m] = rank, -1
-            after[k] = after[m]
-            if after[k] < n:
-                before[after[k]] = k
-                if (r := self.lookup.get((rank, ids[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k))
-            if before[k] >= 0 and (r := self.lookup.get((ids[before[k]], rank))) is not None:
-                heapq.heappush(heap, (r, before[k]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        """The same merges for one long piece, a matrix of one row.
+
+        In a vocabulary whose merged ids are above those of their halves, nothing that a merge creates has a smaller rank,
+        so a round merges every place of the minimum rank from left to right, not the leftmost alone."""
+        ids = self.byte_ids[np.frombuffer(row, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.nonzero(ranks == best)[0]
+            if not self.rising:
+                at = at[:1]
+            # of places next to each other every second one stands, counted from the first of them
+            new = np.ones(len(at), bool)
+            new[1:] = np.diff(at) > 1
+            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            at = at[nth % 2 == 0]
+            ids[at] = best
+            ids = np.delete(ids, at + 1)
+            ranks = np.delete(ranks, at)
+            now = at - np.arange(len(at))
+            touched = np.unique(np.concatenate([now - 1, now]))
+            touched = touched[(touched >= 0) & (touched < len(ranks))]
+            ranks[touched] = self.pairs.find(ids[touched], ids[touched + 1])
+        return ids
 
     def merge_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(pieces)
@@ -216,7 +221,8 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): whole texts, ids packed as little-endian unsigned 32-bit.
 
-    One row per input row in no order; null and empty texts have no tokens; other columns are ignored.
+    One row per input row in no order, repeated ones and those without an id too; null and empty texts have no tokens;
+    texts and pieces of any length are encoded whole; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +261,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ``encode`` and ``decode`` of all documents: see ``encode`` for nulls, repeats, long texts and columns."""
     path, pattern = default_vocabulary()
     done = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

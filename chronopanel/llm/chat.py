@@ -26,6 +26,8 @@ _TO_ESCAPE = re.compile("|".join(map(re.escape, ("\\", *MARKERS))))
 _ESCAPED = re.compile("|".join("\\\\" + re.escape(x) for x in ("\\", *MARKERS)))
 SHAPE = "conv_id long, ids array<int>, loss array<boolean>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Text characters that a worker takes in one go.
+CHUNK = 1 << 20
 
 
 def escape(text: str) -> str:
@@ -36,76 +38,114 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[0][1:], text)
 
 
-def assemble(turns: list[dict], bpe: ByteBPE, loss_role: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids and loss mask of one conversation."""
-    first = len(bpe.tokens)
-    coded = bpe.encode([escape(x or "") for turn in turns for x in (turn["role"], turn["text"])])
-    parts, lengths = [], []
-    for k, turn in enumerate(turns):
-        parts += [[first], coded[2 * k], [first + 1], coded[2 * k + 1], [first + 2]]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    steps = np.zeros(bounds[-1] + 1, np.int64)
-    learned = np.array([5 * k + 3 for k, turn in enumerate(turns) if turn["role"] == loss_role], np.int64)
+def slices_of(sizes: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` of the summed sizes each."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        yield start, stop
+        start = stop
+
+
+def assemble(roles: list[str], texts: list[str], turns: np.ndarray, bpe: ByteBPE, loss_role: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, loss, bounds) of many conversations laid end to end; ``turns``: the number of turns of each.
+
+    Every turn is five segments: marker, role, marker, text, marker.  The bounds of segments are a prefix sum of their
+    lengths, and the loss mask a prefix sum of steps at the bounds of the learned ones."""
+    first, n = len(bpe.tokens), len(roles)
+    coded = bpe.encode([*map(escape, roles), *map(escape, texts)])
+    lengths = np.ones((n, 5), np.int64)
+    lengths[:, 1], lengths[:, 3] = ([len(x) for x in part] for part in (coded[:n], coded[n:]))
+    bounds = np.concatenate([[0], np.cumsum(lengths.ravel())])
+    ids = np.empty(bounds[-1], np.int32)
+    for k in (0, 2, 4):
+        ids[bounds[k:-1:5]] = first + k // 2
+    for k, part in ((1, coded[:n]), (3, coded[n:])):
+        size = lengths[:, k]
+        shift = np.repeat(bounds[k:-1:5] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        ids[np.arange(len(shift)) + shift] = np.concatenate([*part, np.zeros(0, np.int32)])
+    steps = np.zeros(len(ids) + 1, np.int64)
+    learned = 5 * np.nonzero(np.array(roles, object) == loss_role)[0] + 3
     np.add.at(steps, bounds[learned], 1)
     np.add.at(steps, bounds[learned + 1], -1)
-    ids = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    return ids, np.cumsum(steps)[:-1] > 0
+    return ids, np.cumsum(steps)[:-1] > 0, bounds[5 * np.concatenate([[0], np.cumsum(turns)])]
 
 
 def format_conversations(rows: DataFrame, rank_path: str, pattern: str, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, ids, loss): one row per conversation, turns in the order of turn, role, text.
 
-    Null roles and texts are empty; rows without conv_id form one conversation with a null id; equal turns stay, each
-    as a row of its own; an empty table gives no rows; other columns are ignored.
+    Null roles and texts are empty; a row without conv_id is a conversation of its own, with a null id; equal turns stay,
+    each as a row of its own; texts of any length are whole; an empty table gives no rows; other columns are ignored.
+    A conversation is one row of the result, so it has to fit in a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                done = [assemble(turns, bpe, loss_role) for turns in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x for x, _ in done], pa.list_(pa.int32())), pa.array([x for _, x in done], pa.list_(pa.bool_()))],
-                    ["conv_id", "ids", "loss"],
-                )
-
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    grouped = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    return grouped.mapInArrow(run, SHAPE)
-
-
-def read_conversation(ids: np.ndarray, loss: np.ndarray, bpe: ByteBPE) -> tuple[list[dict], str, str]:
-    """Turns, text under the loss mask and written form, from the tokens alone."""
+            lists = batch.column("turns")
+            counts = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            roles, texts = (flat.field(c).fill_null("").to_pylist() for c in ("role", "text"))
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            chars = np.add.reduceat(np.array([*map(len, texts), 0]), ends[:-1]) if len(counts) else counts
+            for a, b in slices_of(chars + 16 * counts):
+                own = slice(ends[a], ends[b])
+                ids, loss, bounds = assemble(roles[own], texts[own], counts[a:b], bpe, loss_role)
+                at = pa.array(bounds.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id").slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(loss))], ["conv_id", "ids", "loss"])
+
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    named = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("row"))
+    grouped = named.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    return grouped.union(named.where("conv_id is null").select("conv_id", F.array("row"))).mapInArrow(run, SHAPE)
+
+
+def read_segments(ids: np.ndarray, loss: np.ndarray, bpe: ByteBPE) -> tuple[list[str], list[str], list[bool]]:
+    """(roles, texts, learned): escaped segments of the turns, in order, and whether the text is under the mask."""
     first = len(bpe.tokens)
-    marks = np.nonzero(ids >= first)[0]
-    segments = [bpe.decode(ids[a + 1 : b]).decode("utf-8") for a, b in zip(marks, marks[1:]) if ids[a] != first + 2]
-    turns = [{"role": unescape(r), "text": unescape(t)} for r, t in zip(segments[::2], segments[1::2])]
-    learned = unescape(bpe.decode(ids[loss]).decode("utf-8"))
-    written = "".join(f"{OPEN}{r}{SAYS}{t}{CLOSE}" for r, t in zip(segments[::2], segments[1::2]))
-    return turns, learned, written
+    inner = ids < first
+    raw = bpe.decode(ids[inner])
+    sizes = np.zeros(len(ids) + 1, np.int64)
+    sizes[1:][inner] = bpe.token_sizes[ids[inner]]
+    at = np.cumsum(sizes)
+    marks = np.nonzero(~inner)[0]
+    parts = [raw[a:b].decode("utf-8") for a, b in zip(at[marks[:-1] + 1].tolist(), at[marks[1:]].tolist())]
+    learned = (np.concatenate([[0], np.cumsum(loss)])[marks[2::3]] - np.concatenate([[0], np.cumsum(loss)])[marks[1::3]]) > 0
+    return parts[::3], parts[1::3], learned.tolist()
 
 
 def read_back(formatted: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """(conv_id, turns, loss_text, written) of the rows of ``format_conversations``."""
+    """(conv_id, turns, loss_text, written) of the rows of ``format_conversations``, from their tokens and masks alone."""
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_path, pattern)
-        kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+        close = len(bpe.tokens) + 2
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                done = [read_conversation(np.array(i.values, np.int64), np.array(m.values.to_numpy(zero_copy_only=False), bool), bpe) for i, m in zip(part.column(1), part.column(2))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in done], kind), pa.array([x[1] for x in done], pa.string()), pa.array([x[2] for x in done], pa.string())],
-                    ["conv_id", "turns", "loss_text", "written"],
-                )
+            lists = batch.column("ids")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            all_ids, all_loss = lists.flatten().to_numpy(), batch.column("loss").flatten().to_numpy(zero_copy_only=False)
+            for a, b in slices_of(np.diff(ends), CHUNK // 4):
+                own = slice(ends[a], ends[b])
+                ids = all_ids[own]
+                roles, texts, learned = read_segments(ids, all_loss[own], bpe)
+                turns = np.concatenate([[0], np.cumsum(ids == close)])[ends[a : b + 1] - ends[a]]
+                plain_roles, plain_texts = [unescape(x) for x in roles], [unescape(x) for x in texts]
+                shown = [f"{OPEN}{r}{SAYS}{t}{CLOSE}" for r, t in zip(roles, texts)]
+                said = [t if m else "" for t, m in zip(plain_texts, learned)]
+                spans = list(zip(turns.tolist(), turns[1:].tolist()))
+                structs = pa.StructArray.from_arrays([pa.array(plain_roles, pa.string()), pa.array(plain_texts, pa.string())], ["role", "text"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("conv_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(turns.astype(np.int32)), structs).cast(kind),
+                    pa.array(["".join(said[x:y]) for x, y in spans], pa.string()), pa.array(["".join(shown[x:y]) for x, y in spans], pa.string()),
+                ], ["conv_id", "turns", "loss_text", "written"])
 
     return formatted.select("conv_id", "ids", "loss").mapInArrow(run, f"conv_id long, turns {TURNS}, loss_text string, written string")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``read_back`` finds in all formatted conversations: see ``format_conversations`` for nulls, repeats and columns."""
     path, pattern = default_vocabulary()
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -131,5 +171,5 @@ SELECT conv_id, count(*) AS n_turns,
   cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   cast(sum(length(role) + length(shown) + 19) AS BIGINT) AS formatted_chars
-FROM escaped GROUP BY conv_id
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM escaped) GROUP BY conv_id, alone
 """

@@ -98,7 +98,8 @@ def pack_texts(docs: DataFrame, folder: str, form: str = "png", archive_bytes: i
     """Store each text's padded bytes as a member of archives under ``folder``, and ``folder``/manifest.
 
     A null text is empty; a payload is padded with spaces to a positive multiple of 192.  Members are named by the id
-    (``null`` without one), repeated ids give repeated names; other columns are ignored.
+    (``null`` without one), repeated ids give repeated names; texts of any length are stored whole; an empty table gives
+    an empty manifest; other columns are ignored.
     """
     encode = FORMATS[form][0]
 
@@ -191,36 +192,50 @@ class MediaReader(DataSourceReader):
             for x in listed for a in range(0, x["size"], self.range_bytes)
         ] or [ByteRange("", 0, 0, 0)]
 
-    def fetch(self, fs: pafs.FileSystem, path: str, header: int, stored: int, crc: int) -> bytes:
-        """One member's bytes by its own offset, opened anew for each try."""
+    def retried(self, read):
+        """``read()``, tried again after a failure of the file system or of what it read; the last failure is raised."""
         for left in reversed(range(self.retries + 1)):
             try:
-                with fs.open_input_file(path) as f:
-                    f.seek(header + 26)
-                    n, extra = struct.unpack("<HH", f.read(4))
-                    f.seek(header + 30 + n + extra)
-                    data = f.read(stored)
-                if len(data) != stored or zlib.crc32(data) != crc:
-                    raise OSError("damaged member")
-                return data
-            except OSError:
+                return read()
+            except (OSError, ValueError, struct.error, EOFError):
                 if not left:
                     raise
                 time.sleep(0.05 * (self.retries - left + 1))
         raise AssertionError
 
+    def members(self, fs: pafs.FileSystem, path: str, part: ByteRange) -> list[tuple[str, int, int, int]]:
+        with fs.open_input_file(path) as f:
+            return directory(f, part.size, part.start, part.stop)
+
+    def fetch(self, fs: pafs.FileSystem, path: str, header: int, stored: int, crc: int) -> bytes:
+        """One member's bytes by its own offset, opened anew for each try."""
+        with fs.open_input_file(path) as f:
+            f.seek(header + 26)
+            n, extra = struct.unpack("<HH", f.read(4))
+            f.seek(header + 30 + n + extra)
+            data = f.read(stored)
+        if len(data) != stored or zlib.crc32(data) != crc:
+            raise OSError("damaged member")
+        return data
+
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        """The members of a range; one that stays unreadable is a row with an error, and so is an archive whose directory
+        does, once, at its first range."""
         if not part.archive:
             return
         fs, base = open_uri(self.folder)
         path, rows, size = f"{base}/{part.archive}", [], 0
-        with fs.open_input_file(path) as f:
-            members = directory(f, part.size, part.start, part.stop)
+        try:
+            members = self.retried(lambda: self.members(fs, path, part))
+        except (OSError, ValueError, struct.error, EOFError) as failure:
+            members = []
+            if part.start == 0:
+                rows.append({"name": None, "archive": part.archive, "header_offset": None, "media": None, "error": f"archive: {failure}"[:200]})
         for name, header, stored, crc in members:
             row = {"name": name, "archive": part.archive, "header_offset": header, "media": None, "error": None}
             try:
-                row["media"] = self.fetch(fs, path, header, stored, crc)
-            except OSError as failure:
+                row["media"] = self.retried(lambda: self.fetch(fs, path, header, stored, crc))
+            except (OSError, ValueError, struct.error, EOFError) as failure:
                 row["error"] = str(failure)[:200]
             rows.append(row)
             size += stored
@@ -258,7 +273,10 @@ def features(payload: bytes) -> str:
 
 
 def read_media(spark: SparkSession, folder: str, form: str = "png", **options: str) -> DataFrame:
-    """One row per stored member: doc_id, n_bytes, payload, media, feature, error (null where all is well)."""
+    """One row per stored member: doc_id, n_bytes, payload, media, feature, error (null where all is well).
+
+    A member that can't be read or decoded, one whose name is no id, and an archive without a readable directory are rows
+    with an error; the rest of the folder is not touched by them.  An empty folder gives no rows."""
     spark.dataSource.register(MediaSource)
     decode = FORMATS[form][1]
     shape = "doc_id long, n_bytes long, payload binary, media binary, feature string, error string"
@@ -268,13 +286,17 @@ def read_media(spark: SparkSession, folder: str, form: str = "png", **options: s
             for k in range(0, batch.num_rows, 256):
                 rows = []
                 for name, media, error in zip(*(batch.slice(k, 256).column(c).to_pylist() for c in ("name", "media", "error"))):
-                    stem = name.rsplit(".", 1)[0]
-                    row = {"doc_id": None if stem == "null" else int(stem), "n_bytes": None, "payload": None, "media": media, "feature": None, "error": error}
-                    if media is not None:
+                    row = {"doc_id": None, "n_bytes": None, "payload": None, "media": media, "feature": None, "error": error}
+                    if name is not None:
                         try:
+                            stem = name.rsplit(".", 1)[0]
+                            row["doc_id"] = None if stem == "null" else int(stem)
+                            if media is None:
+                                rows.append(row)
+                                continue
                             row["payload"], row["n_bytes"] = decode(media)
                             row["feature"] = features(row["payload"])
-                        except (ValueError, zlib.error, wave.Error) as failure:
+                        except (ValueError, OverflowError, EOFError, struct.error, zlib.error, wave.Error) as failure:
                             row["error"] = str(failure)[:200]
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, ARROW_DECODED)
@@ -287,6 +309,7 @@ ARROW_DECODED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("pa
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed by ``pack_texts`` and read by ``read_media``: see there for nulls, repeats, damage and columns."""
     folder = scratch(spark, "media")
     pack_texts(table(spark, sf_dir, "documents"), folder)
     got = read_media(spark, folder)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, table
+from .common import cut, lookup, table
 
 #: Resolution of the share of requests that is granted.
 GRAIN = 1 << 20
@@ -55,12 +55,13 @@ def propagate(members: DataFrame, sizes: DataFrame, shards: int, capacity: np.nd
     for step in range(rounds):
         there = members.groupBy("gid", "shard").agg(F.count("*").alias("here"))
         order = F.struct((-F.col("here")).alias("less"), F.xxhash64("gid", "shard").alias("tie"), "shard")
-        wanted = (
+        wanted = cut(
             there.groupBy("gid").agg(F.sort_array(F.collect_list(order)).alias("ranked"), F.sum("here").alias("n"))
-            .select("gid", F.expr(f"transform(slice(ranked, 1, least({shards}, cast(ceil(n / {room}) as int))), x -> x.shard)").alias("homes"))
+            .select("gid", "n", F.expr(f"transform(slice(ranked, 1, least({shards}, cast(ceil(n / {room}) as int))), x -> x.shard)").alias("homes")),
+            "wanted",
         )
         pick = F.expr("homes[cast(pmod(xxhash64(rid), size(homes)) as int)]")
-        asks = members.join(wanted, "gid").select("rid", "gid", "shard", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(pick).alias("target"))
+        asks = lookup(members, wanted, ["gid"], "n").select("rid", "gid", "shard", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(pick).alias("target"))
         asks = cut(asks, "asks")
         asked, held = np.zeros((shards, shards)), np.zeros(shards)
         for row in asks.groupBy("shard", "target").count().collect():  # at most shards * shards rows
@@ -81,7 +82,8 @@ def balanced_shards(docs: DataFrame, shards: int, rounds: int = 4, id_col: str =
     """Every input row with its shard and slot: doc_id, size, text_crc32, shard, slot.
 
     Row counts of shards differ by at most one and slots are gapless from 0.  A null text has no bytes and is equal to
-    an empty one; repeated ids are separate rows; an empty table gives no rows; other columns are ignored.
+    an empty one; repeated ids and rows without one are separate rows, told apart by a number in a written copy; texts of
+    any length count whole; an empty table gives no rows; other columns are ignored.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(
@@ -91,8 +93,8 @@ def balanced_shards(docs: DataFrame, shards: int, rounds: int = 4, id_col: str =
     base = cut(base.withColumn("rid", F.monotonically_increasing_id()), "shardbase")
     total = base.count()
     capacity = np.array([total // shards + (k < total % shards) for k in range(shards)])
-    groups = base.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1")
-    members = cut(base.join(groups, "gid").select("rid", "gid", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")), "members")
+    groups = cut(base.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1"), "groups")
+    members = cut(lookup(base, groups, ["gid"], "members").select("rid", "gid", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")), "members")
     members = propagate(members, groups, shards, capacity, rounds)
 
     ranked = cut(number(members.select("rid", "shard"), "shard"), "ranked")
@@ -116,5 +118,6 @@ def cut_links(placed: DataFrame, group: str) -> DataFrame:
 
 
 def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``balanced_shards`` of all documents, 40 of them: see there for nulls, repeats, empty texts and columns."""
     placed = balanced_shards(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
