@@ -123,6 +123,30 @@ def advance(calendar: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFr
     return own.join(target, F.col("idx") + F.col("horizon") == F.col("t_idx")).select("date", "horizon", "target")
 
 
+def advance_checked(days: DataFrame, calendar: DataFrame, horizon: int) -> DataFrame:
+    """``days`` (date) with ``target``; a day without a calendar row, one that is no session and one too near the end raise."""
+    if horizon not in HORIZONS:
+        raise ValueError(f"horizons are {HORIZONS}")
+    own = calendar.select("date", "is_session", "idx")
+    target = calendar.where("is_session").select(F.col("date").alias("target"), (F.col("idx") - horizon).alias("idx"))
+    rows = days.join(own, "date", "left").join(target, "idx", "left")
+    fault = F.when(F.col("is_session").isNull(), "no calendar row for ").when(~F.col("is_session"), "not a session: ").when(F.col("target").isNull(), "calendar ends after ")
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("date").cast("string"))).cast("date")).otherwise(F.col("target"))
+    return rows.select("date", checked.alias("target"))
+
+
+def candidate_dates(calendar: DataFrame, start=None, end=None, cutoff: Column | None = None, hour: int = 18) -> DataFrame:
+    """Sessions within the bounds that are set, whose closing prices are visible by the cutoff, if there is one."""
+    rows = calendar.where("is_session")
+    if start is not None:
+        rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+    if cutoff is not None:
+        rows = rows.where(date_at_time(F.col("date"), hour) <= cutoff)
+    return rows.select("date", "idx")
+
+
 def calendar_faults(calendar: DataFrame) -> DataFrame:
     """(date, fault): missing or repeated days, sessions without a close, other days with one."""
     bounds = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b"))
@@ -134,7 +158,6 @@ def calendar_faults(calendar: DataFrame) -> DataFrame:
 
 
 def next_session_open(day: Column, calendar: DataFrame, rows: DataFrame, hour: int = 9, minute: int = 30) -> DataFrame:
-    """``rows`` with available_at: hour:minute at the first session strictly after ``day``; the calendar is broadcast,
-    one row a day."""
+    """``rows`` with available_at: hour:minute at the first session strictly after ``day``; the calendar has one row a day."""
     keyed = calendar.select(F.col("date").alias("__day"), "next_session")
-    return rows.join(F.broadcast(keyed), day == F.col("__day"), "left").withColumn("available_at", date_at_time(F.col("next_session"), hour, minute)).drop("__day")
+    return rows.join(keyed, day == F.col("__day"), "left").withColumn("available_at", date_at_time(F.col("next_session"), hour, minute)).drop("__day")

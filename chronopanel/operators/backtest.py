@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
+import hashlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,21 +23,32 @@ def feature_label_rows(features: DataFrame, labels: DataFrame, members: DataFram
     return rows.withColumn("feature", -F.col("raw_feature") if direction == "low" else F.col("raw_feature")).drop("raw_feature")
 
 
-def plan_splits(sessions: DataFrame, horizon: int, min_train: int, test: int, step: int, max_train: int | None = None) -> DataFrame:
-    """(split, train_from, train_to, test_from, test_to) as session numbers, with a gap of ``horizon`` sessions.
+def splits_within(bounds: DataFrame, horizon: int | Column, min_train: int, test: int, step: int, max_train: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., split, train_from, train_to, test_from, test_to) as session numbers, with a gap of ``horizon`` sessions.
 
-    sessions: one column idx of consecutive numbers.  No row where the calendar is too short."""
-    bounds = sessions.agg(F.min("idx").alias("base"), F.count("*").alias("n")).withColumn("last", F.col("n") - test - horizon)
-    first = min_train + horizon
-    starts = bounds.where(F.col("last") >= first).select("base", F.posexplode(F.sequence(F.lit(first).cast("bigint"), F.col("last"), F.lit(step).cast("bigint"))).alias("split", "at"))
-    train_to = F.col("at") - horizon - 1
+    bounds: by..., base, n: the first session number and how many there are.  No row where they are too few."""
+    h = horizon if isinstance(horizon, Column) else F.lit(horizon)
+    first, last = (F.lit(min_train) + h).cast("bigint"), (F.col("n") - test - h).cast("bigint")
+    starts = bounds.where(last >= first).select(*by, "base", h.alias("__h"), F.posexplode(F.sequence(first, last, F.lit(step).cast("bigint"))).alias("split", "at"))
+    train_to = F.col("at") - F.col("__h") - 1
     train_from = F.greatest(F.lit(0), train_to - (max_train - 1)) if max_train else F.lit(0)
     return starts.select(
-        F.col("split").cast("bigint").alias("split"), (F.col("base") + train_from).alias("train_from"), (F.col("base") + train_to).alias("train_to"),
+        *by, F.col("split").cast("bigint").alias("split"), (F.col("base") + train_from).alias("train_from"), (F.col("base") + train_to).alias("train_to"),
         (F.col("base") + F.col("at")).alias("test_from"), (F.col("base") + F.col("at") + test - 1).alias("test_to"),
     )
 
 
+def plan_splits(sessions: DataFrame, horizon: int, min_train: int, test: int, step: int, max_train: int | None = None) -> DataFrame:
+    """The splits of a table of consecutive session numbers idx."""
+    return splits_within(sessions.agg(F.min("idx").alias("base"), F.count("*").alias("n")), horizon, min_train, test, step, max_train)
+
+
+def split_sessions(splits: DataFrame, phase: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., split, idx, ...): a row for each session of the splits' ``train`` or ``test`` phase, so rows meet it by equality."""
+    rest = [c for c in splits.columns if c not in (*by, "split")]
+    return splits.select(*by, "split", *rest, F.explode(F.sequence(f"{phase}_from", f"{phase}_to")).alias("idx"))
+
+
 def covered_sessions(sessions: DataFrame, rows: DataFrame) -> DataFrame:
     """The sessions from the first as-of to the last outcome of ``rows``."""
     bounds = rows.agg(F.min("asof").alias("a"), F.max("horizon_session").alias("b"))
@@ -65,19 +75,10 @@ def date_scores(rows: DataFrame, cost_bps: float = 20.0, by: tuple[str, ...] = (
 def window_scores(scores: DataFrame, splits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per ``by`` and split with train and test rows: dates, observations, mean net returns and their difference.
 
-    Dates, not rows, meet the splits: the panel is reduced to one row a date before the range join."""
+    Dates, not rows, meet the splits: the panel is reduced to one row a date, and splits are laid out by session."""
     keyed = [*by, "split"]
-    inside = lambda a, b: (F.col("idx") >= F.col(a)) & (F.col("idx") <= F.col(b))
-
-    def meet(a: str, b: str) -> DataFrame:
-        left = splits.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in splits.columns if c not in by])
-        on = inside(a, b)
-        for c in by:
-            on = on & (F.col(c) == F.col(f"__{c}"))
-        return scores.join(F.broadcast(left), on)  # one row a split
-
-    trained = meet("train_from", "train_to").groupBy(*keyed).agg(F.sum("candidates").alias("train_rows"))
-    tested = meet("test_from", "test_to").groupBy(*keyed).agg(
+    trained = scores.join(split_sessions(splits, "train", by), [*by, "idx"]).groupBy(*keyed).agg(F.sum("candidates").alias("train_rows"))
+    tested = scores.join(split_sessions(splits, "test", by), [*by, "idx"]).groupBy(*keyed).agg(
         F.count("*").alias("test_dates"), F.sum("candidates").alias("test_rows"), F.min("asof").alias("test_start"), F.max("asof").alias("test_end"),
         F.avg("strategy_net").alias("strategy_net"), F.avg("baseline_net").alias("baseline_net"),
     )
@@ -105,20 +106,25 @@ def failure_modes(row: Column, skipped_train: Column, skipped_test: Column) -> C
 def walk_forward_ols(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """(split, train_pairs, slope, intercept, fitted): one-regressor least squares per split.
 
-    Sums per date come first; a split adds up dates.  A constant feature has slope 0 and the mean as intercept."""
-    x, y = F.col("feature"), F.col("ret")
-    per = rows.groupBy("idx").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
-    total = splits.join(per, F.col("idx").between(F.col("train_from"), F.col("train_to"))).groupBy("split").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
-    spread = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when(F.abs(spread) > 1e-12, F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), spread))
+    Counts, means and central moments per date come first; a split merges those of its dates, which loses no digits
+    where the mean is large against the spread.  A constant feature has slope 0 and the mean return as intercept."""
+    per = rows.groupBy("idx").agg(
+        F.count("*").alias("n"), F.avg("feature").alias("mx"), F.avg("ret").alias("my"), F.var_pop("feature").alias("vx"), F.covar_pop("feature", "ret").alias("cxy"),
+        F.min("feature").alias("low"), F.max("feature").alias("high"))
+    held = per.join(split_sessions(splits, "train"), "idx")
+    n = F.col("n")
+    means = held.groupBy("split").agg(F.sum("n").alias("pairs"), (F.sum(n * F.col("mx")) / F.sum("n")).alias("ax"), (F.sum(n * F.col("my")) / F.sum("n")).alias("ay"), (F.min("low") < F.max("high")).alias("varies"))
+    dx, dy = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")
+    total = held.join(means, "split").groupBy("split", "pairs", "ax", "ay", "varies").agg(F.sum(n * (F.col("vx") + dx * dx)).alias("sxx"), F.sum(n * (F.col("cxy") + dx * dy)).alias("sxy"))
+    slope = F.when(F.col("varies") & (F.col("sxx") > 0), F.col("sxy") / F.col("sxx"))
     out = total.withColumn("fitted", slope.isNotNull()).withColumn("slope", F.coalesce(slope, F.lit(0.0)))
-    return out.select("split", F.col("n").alias("train_pairs"), "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"), "fitted")
+    return out.select("split", F.col("pairs").alias("train_pairs"), "slope", (F.col("ay") - F.col("slope") * F.col("ax")).alias("intercept"), "fitted")
 
 
 def predictions(rows: DataFrame, splits: DataFrame, models: DataFrame) -> DataFrame:
     """Test rows of each split with the model's score."""
-    s = splits.join(models, "split").select("split", "test_from", "test_to", "slope", "intercept")
-    return rows.join(F.broadcast(s), F.col("idx").between(F.col("test_from"), F.col("test_to"))).withColumn("score", F.col("intercept") + F.col("slope") * F.col("feature")).drop("test_from", "test_to")
+    s = split_sessions(splits.select("split", "test_from", "test_to"), "test").select("split", "idx").join(models.select("split", "slope", "intercept"), "split")
+    return rows.join(s, "idx").withColumn("score", F.col("intercept") + F.col("slope") * F.col("feature"))
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -152,7 +158,7 @@ def guard_violations(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """Rows whose label would not have been known: train labels at or after the test start, outcomes before as-ofs.
 
     rows: idx, outcome_idx.  An empty result is a pass; nothing is dropped silently."""
-    train = rows.join(F.broadcast(splits), F.col("idx").between(F.col("train_from"), F.col("train_to"))).where(F.col("outcome_idx") >= F.col("test_from"))
+    train = rows.join(split_sessions(splits, "train"), "idx").where(F.col("outcome_idx") >= F.col("test_from"))
     order = rows.where(F.col("outcome_idx") <= F.col("idx"))
     return train.select("security_id", "idx", "split", F.lit("train_label_late").alias("fault")).union(order.select("security_id", "idx", F.lit(None).cast("bigint"), F.lit("outcome_before_asof")))
 
@@ -183,54 +189,35 @@ def regime_faults(regimes: DataFrame) -> DataFrame:
 
 
 def scramble_trials(samples: DataFrame, trials: int, seed: int) -> DataFrame:
-    """(trial, group_key, feature, label): labels permuted within groups, each trial by its own hash order.
+    """(trial, group_key, m): the mean label of samples with feature 1 after permuting labels within groups.
+
+    samples: sample_id, group_key, feature, label.  A trial orders a group's labels by md5("seed|trial|sample_id"), then
+    id, and lays them on the samples in the order of their ids, so any engine gives the same.  A group, the cross-section
+    of one date, is a task's unit; trials are drawn from it there, and only their means leave it."""
 
-    samples: sample_id, group_key, feature, label.  Ranks by id and by hash are matched up, so a trial is two windows
-    per group and an equi-join; nothing passes through one task."""
-    rows = samples.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    own = Window.partitionBy("trial", "group_key")
-    hashed = F.xxhash64(F.lit(seed), "trial", "sample_id")
-    ranked = rows.withColumn("slot", F.row_number().over(own.orderBy("sample_id"))).withColumn("drawn", F.row_number().over(own.orderBy(hashed, "sample_id")))
-    labels = ranked.select("trial", "group_key", F.col("drawn").alias("slot"), F.col("label").alias("drawn_label"))
-    return ranked.select("trial", "group_key", "slot", "feature").join(labels, ["trial", "group_key", "slot"]).select("trial", "group_key", "feature", F.col("drawn_label").alias("label"))
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample_id", kind="stable")
+        ids, labels, chosen = part["sample_id"].tolist(), part["label"].to_numpy(float), part["feature"].to_numpy(float) == 1
+        means = []
+        for trial in range(1, trials + 1):
+            drawn = sorted(range(len(ids)), key=lambda k: (hashlib.md5(f"{seed}|{trial}|{ids[k]}".encode()).hexdigest(), ids[k]))
+            means.append(labels[drawn][chosen].mean() if chosen.any() else None)
+        return pd.DataFrame({"trial": range(1, trials + 1), "group_key": part["group_key"].iloc[0], "m": means})
 
+    return samples.select("sample_id", "group_key", "feature", "label").groupBy("group_key").applyInPandas(draw, "trial long, group_key string, m double")
 
-def selected_mean(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Score: per group the mean label of samples with feature 1, then the mean over groups."""
-    per = rows.groupBy(*by, "group_key").agg(F.avg(F.when(F.col("feature") == 1, F.col("label"))).alias("m"))
-    return per.groupBy(*by).agg(F.avg("m").alias("score"))
+
+def selected_mean(rows: DataFrame) -> DataFrame:
+    """One row ``score``: per group the mean label of samples with feature 1, then the mean over groups."""
+    per = rows.groupBy("group_key").agg(F.avg(F.when(F.col("feature") == 1, F.col("label"))).alias("m"))
+    return per.agg(F.avg("m").alias("score"))
 
 
 def scramble_p_value(samples: DataFrame, trials: int = 100, seed: int = 44, alternative: str = "greater", alpha: float = 0.05) -> DataFrame:
     """One row: observed score, rank, p_value = rank / (trials + 1), passed."""
-    observed = selected_mean(samples.withColumn("all", F.lit(0)), ["all"]).select(F.col("score").alias("observed"))
-    scores = selected_mean(scramble_trials(samples, trials, seed), ["trial"])
+    observed = selected_mean(samples).select(F.col("score").alias("observed"))
+    scores = scramble_trials(samples, trials, seed).groupBy("trial").agg(F.avg("m").alias("score"))
     extreme = {"greater": F.col("score") >= F.col("observed"), "less": F.col("score") <= F.col("observed"), "two_sided": F.abs("score") >= F.abs("observed")}[alternative]
     rank = scores.join(F.broadcast(observed), F.lit(True)).groupBy("observed").agg((F.sum(extreme.cast("bigint")) + 1).alias("rank"), F.count("*").alias("trials"))
     out = rank.withColumn("p_value", F.col("rank") / (F.col("trials") + 1))
     return out.withColumn("passed", F.col("p_value") <= alpha)
-
-
-def scramble_exact(samples: DataFrame, score: Callable[[pd.DataFrame], float], trials: int, seed: int, alternative: str = "greater") -> DataFrame:
-    """The same test with one random.Random(seed) shuffling the groups in order, trial after trial.
-
-    One generator makes this a sequence, so all samples are in one group: for inputs of a driver's size only."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["group_key", "sample_id"], kind="stable").reset_index(drop=True)
-        places = [list(g.index) for _, g in part.groupby("group_key", sort=True)]
-        rng, observed, extreme = random.Random(seed), score(part), 0
-        for _ in range(trials):
-            labels = part["label"].tolist()
-            for place in places:
-                drawn = [labels[k] for k in place]
-                rng.shuffle(drawn)
-                for k, value in zip(place, drawn):
-                    labels[k] = value
-            s = score(part.assign(label=labels))
-            extreme += {"greater": s >= observed, "less": s <= observed, "two_sided": abs(s) >= abs(observed)}[alternative]
-        return pd.DataFrame([{"observed": observed, "rank": extreme + 1, "trials": trials, "p_value": (extreme + 1) / (trials + 1)}])
-
-    return samples.select("sample_id", "group_key", "feature", "label").groupBy().applyInPandas(run, "observed double, rank long, trials long, p_value double")
-
-

@@ -69,7 +69,7 @@ def forward_labels(spine: DataFrame, horizons: tuple[int, ...] = HORIZONS, bench
     if benchmark is None:
         rows = rows.withColumn("b_price", F.lit(None).cast("double"))
     else:
-        rows = rows.join(F.broadcast(benchmark), "session", "left")
+        rows = rows.join(benchmark, "session", "left")  # one row a session; adaptive execution sees its size
     ahead = F.array(*[
         F.struct(F.lit(h).cast("bigint").alias("horizon"), F.lead("session", h).over(by_security()).alias("horizon_session"), F.lead("price", h).over(by_security()).alias("end_price"), F.lead("b_price", h).over(by_security()).alias("b_end"))
         for h in horizons
@@ -85,6 +85,16 @@ def forward_labels(spine: DataFrame, horizons: tuple[int, ...] = HORIZONS, bench
     return rows.withColumn("excess_return", F.when(measured, F.col("raw_return") - (F.col("b_end") / F.col("b_price") - 1)))
 
 
+def samples(spine: DataFrame, lookback: int, skip: int, horizon: int, direction: str = "high") -> DataFrame:
+    """(security_id, asof, idx, horizon_session, feature, ret): a price feature and its forward return in one window pass.
+
+    The rows are those of the join of the feature's ``ok`` rows with the labels that aren't skipped."""
+    ahead = price_return(spine, lookback, skip).withColumn("end_price", F.lead("price", horizon).over(by_security())).withColumn("horizon_session", F.lead("session", horizon).over(by_security()))
+    rows = ahead.where("status = 'ok' and price > 0 and end_price > 0 and horizon_session is not null")
+    value = -F.col("value") if direction == "low" else F.col("value")
+    return rows.select("security_id", F.col("session").alias("asof"), "idx", "horizon_session", value.alias("feature"), (F.col("end_price") / F.col("price") - 1).alias("ret"))
+
+
 def label_availability(close: Column, sources: list[tuple[Column, Column]]) -> tuple[Column, Column]:
     """(available_at, policy): the latest of the target close and the sources' instants; the first wins a tie."""
     latest = F.greatest(close, *[ts for ts, _ in sources])

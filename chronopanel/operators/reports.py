@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chronopanel.operators.backtest import split_sessions
+
 HORIZONS = (5, 21, 63, 126, 252)
 
 
@@ -29,8 +31,7 @@ def coverage(members: DataFrame, prices: DataFrame, features: DataFrame, labels:
 
 def attribution(ranked: DataFrame, splits: DataFrame) -> DataFrame:
     """(security_id, selected_rows, selected_dates, windows, mean_return) of the rows selected inside test windows."""
-    s = splits.select("split", "test_from", "test_to")
-    inside = ranked.join(F.broadcast(s), F.col("idx").between(F.col("test_from"), F.col("test_to")))
+    inside = ranked.join(split_sessions(splits.select("split", "test_from", "test_to"), "test").select("split", "idx"), "idx")
     return inside.groupBy("security_id").agg(
         F.count_if("selected").alias("selected_rows"), F.countDistinct(F.when(F.col("selected"), F.col("asof"))).alias("selected_dates"),
         F.countDistinct(F.when(F.col("selected"), F.col("split"))).alias("windows"), F.avg(F.when(F.col("selected"), F.col("ret"))).alias("mean_return"),
@@ -89,6 +90,38 @@ def evaluation_status(status: Column, scramble_pass: Column) -> Column:
     )
 
 
+def evaluation_reason(status: Column, scramble_pass: Column) -> Column:
+    """Why a run's registry status is what ``evaluation_status`` says, where it needs a reason."""
+    done = status == "succeeded"
+    return (
+        F.when(status == "running", F.lit(None).cast("string")).when(status == "failed", "backtest_failed").when(status == "insufficient_data", "insufficient_data")
+        .when(done & (scramble_pass == F.lit(False)), "label_scramble_failed").when(done & scramble_pass, F.lit(None).cast("string")).otherwise(F.concat(F.lit("unsupported_backtest_status:"), status))
+    )
+
+
+def year_drivers(windows: DataFrame) -> DataFrame:
+    """(year, windows, total, mean, positive, worst, best, share): what each year of test windows adds to the whole."""
+    whole = windows.agg(F.sum("difference").alias("whole"))
+    per = windows.groupBy(F.year("test_start").cast("bigint").alias("year")).agg(
+        F.count("*").alias("windows"), F.sum("difference").alias("total"), F.avg("difference").alias("mean"), F.count_if(F.col("difference") > 0).alias("positive"), F.min("difference").alias("worst"), F.max("difference").alias("best"))
+    return per.join(F.broadcast(whole), F.lit(True)).withColumn("share", F.try_divide("total", "whole")).drop("whole")
+
+
+#: What the reasons of verdicts mean.
+MEANINGS = {
+    "passed": "beats the equal-weight baseline after costs", "baseline_failed": "does not beat the equal-weight baseline after costs", "insufficient_data": "too few sessions for a window", "running": "not finished",
+}
+
+
+def glossary(cells: DataFrame) -> DataFrame:
+    """(reason, n, meaning, example) of the reasons that occur."""
+    meaning = F.lit(None).cast("string")
+    for name, text in MEANINGS.items():
+        meaning = F.when(F.col("reason") == name, text).otherwise(meaning)
+    key = F.concat("base_key", F.lit("__h"), F.col("horizon").cast("string"))
+    return cells.groupBy("reason").agg(F.count("*").alias("n"), F.min(key).alias("example")).select("reason", "n", meaning.alias("meaning"), "example")
+
+
 def derived_verdict(rows: DataFrame) -> DataFrame:
     """Adds verdict and reason.  rows: run_id, status, evaluation, failure, scramble_pass, difference."""
     s, f, net = F.col("status"), F.col("failure"), F.col("difference")

@@ -15,7 +15,9 @@ from pyspark.sql import Window
 from chronopanel.functions import time as T
 from chronopanel.operators import backtest as B
 from chronopanel.operators import panel as P
+from chronopanel.operators import pit as PIT
 from chronopanel.operators import reports as R
+from chronopanel.session import once
 from chronopanel.sources import tables as S
 from chronopanel.sources import vault, vendor
 
@@ -27,11 +29,16 @@ REGIMES = [("early", "1990-01-01", "1996-12-31"), ("middle", "1997-01-01", "1998
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
+def quoted(sql: str) -> str:
+    """The name asof is a keyword in DuckDB, and stays one in ASOF JOIN."""
+    return re.sub(r"\basof\b", '"asof"', sql)
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = re.sub(r"\basof\b", '"asof"', sql)
+            ORACLE_SQL[f.__name__] = quoted(sql)
         return f
 
     return add
@@ -102,26 +109,29 @@ BASE = f"WITH {PW}, {joined_sql()}, {splits_sql()}, {scores_sql()}, {windows_sql
 # ---------------------------------------------------------------- shared plans
 
 
+def panel_of(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
+    """The price panel, aggregated once a session from the lines of orders."""
+    return once(spark, f"panel:{grain}:{sf_dir}", lambda: S.panel(spark, sf_dir, grain).withColumn("security_id", F.col("security_id").cast("bigint")))
+
+
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = S.panel(spark, sf_dir).withColumn("security_id", F.col("security_id").cast("bigint"))
-    return S.spine(prices, S.sessions_of(prices))
+    prices = panel_of(spark, sf_dir)
+    return once(spark, f"weekly:{sf_dir}", lambda: S.spine(prices, S.sessions_of(prices)))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = S.panel(spark, sf_dir, "day").withColumn("security_id", F.col("security_id").cast("bigint"))
-    return S.spine(prices, S.weekdays_of(prices))
+    prices = panel_of(spark, sf_dir, "day")
+    return once(spark, f"daily:{sf_dir}", lambda: S.spine(prices, S.weekdays_of(prices)))
 
 
 def joined(spark: SparkSession, sf_dir: str, lookback: int = LOOKBACK, skip: int = SKIP, horizon: int = HORIZON, direction: str = "high") -> DataFrame:
-    grid = weekly(spark, sf_dir)
-    return B.feature_label_rows(P.price_return(grid, lookback, skip), P.forward_labels(grid, (horizon,)), direction=direction)
+    return P.samples(weekly(spark, sf_dir), lookback, skip, horizon, direction)
 
 
 def splits_for(spark: SparkSession, sf_dir: str, rows: DataFrame, horizon: int = HORIZON, max_train: int | None = None) -> DataFrame:
-    """Splits of the sessions from the first as-of to the last outcome; two numbers come to the driver."""
-    first, last = rows.agg(F.min("idx"), F.max("idx")).first()
-    sessions = spark.range(0 if first is None else first, 0 if first is None else last + horizon + 1).select(F.col("id").alias("idx"))
-    return B.plan_splits(sessions, horizon, TRAIN, TEST, STEP, max_train)
+    """Splits of the sessions from the first as-of to the last outcome, bounds and all in one plan."""
+    bounds = rows.agg(F.min("idx").alias("base"), (F.max("idx") + horizon - F.min("idx") + 1).alias("n"))
+    return B.splits_within(bounds, horizon, TRAIN, TEST, STEP, max_train)
 
 
 def windows_for(spark: SparkSession, sf_dir: str, lookback: int = LOOKBACK, skip: int = SKIP, horizon: int = HORIZON, direction: str = "high") -> DataFrame:
@@ -134,7 +144,7 @@ def windows_for(spark: SparkSession, sf_dir: str, lookback: int = LOOKBACK, skip
 
 @query(f"WITH {PW} SELECT security_id, session, price, volume FROM pw")
 def src_panel_weekly(spark, sf_dir):
-    return S.panel(spark, sf_dir).select(big("security_id"), "session", "price", "volume")
+    return panel_of(spark, sf_dir).select("security_id", "session", "price", "volume")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props ->> 'k' AS BIGINT)) AS BIGINT) AS k_sum, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -149,10 +159,10 @@ wide AS (SELECT CAST(c_nationkey AS BIGINT) AS security_id, CAST(year(o_orderdat
   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
   CAST(sum(CASE WHEN substr(o_orderpriority, 1, 1) <= '3' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS gross_profit,
   CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS operating_income,
-  CAST(sum(CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS net_income
+  CAST(sum(CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS net_income, CAST(count(*) AS DOUBLE) AS shares
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),
 long AS (SELECT security_id, fiscal_year, fiscal_period, period_end, m.name AS metric_name, m.value AS metric_value, period_end + 41 AS available_day
-  FROM (SELECT *, unnest([{'name': 'revenue', 'value': revenue}, {'name': 'gross_profit', 'value': gross_profit}, {'name': 'operating_income', 'value': operating_income}, {'name': 'net_income', 'value': net_income}]) AS m FROM wide) WHERE m.value IS NOT NULL)"""
+  FROM (SELECT *, unnest([{'name': 'revenue', 'value': revenue}, {'name': 'gross_profit', 'value': gross_profit}, {'name': 'operating_income', 'value': operating_income}, {'name': 'net_income', 'value': net_income}, {'name': 'diluted_weighted_average_shares', 'value': shares}]) AS m FROM wide) WHERE m.value IS NOT NULL)"""
 
 
 @query(f"WITH {FUND} SELECT security_id, fiscal_year, fiscal_period, period_end, metric_name, round(metric_value, 2) AS metric_value FROM long")
@@ -185,22 +195,27 @@ def vault_hash_counts(spark, sf_dir):
     return S.load(spark, sf_dir, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw_hash")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT source, sha256(text) AS raw_hash FROM documents")
+@query("SELECT DISTINCT source, sha256(text) AS raw_hash FROM documents EXCEPT SELECT source, sha256(text) FROM documents WHERE doc_id % 3 = 0")
 def vault_dedupe(spark, sf_dir):
     rows = S.load(spark, sf_dir, "documents").select("source", F.lit("documents").alias("endpoint"), F.lit("{}").alias("params"), F.col("text").alias("body"))
-    return vault.append_new(vault.vault_rows(rows.limit(0)), rows).select("source", "raw_hash")
+    held = S.load(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("source", F.lit("documents").alias("endpoint"), F.lit("{}").alias("params"), F.col("text").alias("body"))
+    return vault.append_new(vault.vault_rows(held), rows).select("source", "raw_hash")
 
 
-@query(r"""SELECT page_id, CASE WHEN query = '' THEN bare ELSE bare || '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS url FROM (
-  SELECT page_id, split_part(url, '?', 1) AS bare, regexp_extract(url, '\?([^#]*)', 1) AS query FROM (
-    SELECT page_id, regexp_replace(url, '([?&](?:api[-_]?key|token|secret|password)=)[^&#]*', '\1redacted', 'gi') AS url FROM pages))""")
+@query(r"""WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '#') > 0 THEN left(url, strpos(url, '#') - 1) ELSE url END AS base, CASE WHEN strpos(url, '#') > 0 THEN substr(url, strpos(url, '#')) ELSE '' END AS fragment
+  FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '?client_secret=a%20b&x=1' WHEN 1 THEN '?b=2&a=%7E*+q&API_KEY=k#top' WHEN 2 THEN '?tokens=1&token=2&flag' ELSE '' END AS url FROM pages)),
+parts AS (SELECT *, CASE WHEN strpos(base, '?') > 0 THEN left(base, strpos(base, '?') - 1) ELSE base END AS bare, CASE WHEN strpos(base, '?') > 0 THEN substr(base, strpos(base, '?') + 1) ELSE '' END AS query FROM cut),
+items AS (SELECT page_id, list_sort(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(CASE WHEN strpos(x, '=') > 0 THEN substr(x, strpos(x, '=') + 1) ELSE '' END, '+', ' '))})) AS kv FROM parts)
+SELECT p.page_id, bare || CASE WHEN len(kv) > 0 THEN '?' || array_to_string(list_transform(kv, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(CASE WHEN replace(lower(trim(x.k)), '_', '-') IN ('access-token', 'api-key', 'apikey', 'authorization', 'client-secret', 'password', 'secret', 'token') THEN '[REDACTED]' ELSE x.v END), '%20', '+')), '&') ELSE '' END || fragment AS url
+FROM parts p JOIN items i ON i.page_id = p.page_id""")
 def vault_url_sanitize(spark, sf_dir):
-    return S.load(spark, sf_dir, "pages").select("page_id", vault.clean_url(F.col("url")).alias("url"))
+    tail = F.element_at(F.array(F.lit("?client_secret=a%20b&x=1"), F.lit("?b=2&a=%7E*+q&API_KEY=k#top"), F.lit("?tokens=1&token=2&flag"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    return S.load(spark, sf_dir, "pages").select("page_id", vault.clean_url(F.concat("url", tail)).alias("url"))
 
 
-@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '\s+', ' ', 'g')), '') AS title FROM pages")
+@query(r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(replace(html, '<title>', '<title>A &amp; <b>B</b> &lt;'), '<title[^>]*>(.*?)</title>', 1, 'si'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""")
 def html_title(spark, sf_dir):
-    return S.load(spark, sf_dir, "pages").select("page_id", vendor.html_title(F.col("html")).alias("title"))
+    return S.load(spark, sf_dir, "pages").select("page_id", vendor.html_title(F.replace("html", F.lit("<title>"), F.lit("<title>A &amp; <b>B</b> &lt;"))).alias("title"))
 
 
 @query()
@@ -277,7 +292,7 @@ def release_timing(spark, sf_dir):
 @query(f"""WITH {PD}, seen AS (SELECT security_id, session, price FROM pw WHERE CAST(session AS TIMESTAMP) + INTERVAL 18 HOUR <= TIMESTAMP '1997-06-30 18:00:00')
 SELECT security_id, count(*) AS prices, max(session) AS newest, arg_max(price, session) AS price FROM seen GROUP BY security_id""")
 def pit_visible_prices(spark, sf_dir):
-    rows = S.panel(spark, sf_dir, "day")
+    rows = panel_of(spark, sf_dir, "day")
     known = T.date_at_time(F.col("session"), 18)
     seen = rows.where(T.visible(known, known, T.date_at_time(F.lit("1997-06-30").cast("date"), 18)))
     return seen.groupBy(big("security_id")).agg(F.count("*").alias("prices"), F.max("session").alias("newest"), F.max_by("price", "session").alias("price"))
@@ -290,7 +305,7 @@ MEMBERS = """members AS (SELECT CAST(n_nationkey AS BIGINT) AS security_id, n_na
 @query(f"WITH {PW}, {MEMBERS} SELECT session, count(*) AS members, CAST(sum(pw.security_id) AS BIGINT) AS id_sum FROM pw JOIN members m ON m.security_id = pw.security_id AND session >= valid_from AND (valid_to IS NULL OR session <= valid_to) GROUP BY session")
 def universe_active(spark, sf_dir):
     m = S.universe(spark, sf_dir).withColumnRenamed("security_id", "m_id")
-    p = S.panel(spark, sf_dir)
+    p = panel_of(spark, sf_dir)
     rows = p.join(m, (F.col("security_id") == F.col("m_id")) & T.active(F.col("session"), F.col("valid_from"), F.col("valid_to")))
     return rows.groupBy("session").agg(F.count("*").alias("members"), F.sum("security_id").cast("bigint").alias("id_sum"))
 
@@ -305,7 +320,7 @@ def universe_overlap(spark, sf_dir):
 @query(f"WITH {PW}, {MEMBERS} SELECT security_id, session, price FROM pw WHERE EXISTS (SELECT 1 FROM members m WHERE m.security_id = pw.security_id AND valid_to IS NULL)")
 def universe_semi(spark, sf_dir):
     open_ = S.universe(spark, sf_dir).where("valid_to is null").select("security_id")
-    return S.panel(spark, sf_dir).join(open_, "security_id", "left_semi").select(big("security_id"), "session", "price")
+    return panel_of(spark, sf_dir).join(open_, "security_id", "left_semi").select(big("security_id"), "session", "price")
 
 
 # ---------------------------------------------------------------- features and labels
@@ -374,7 +389,7 @@ def feat_yoy_growth(spark, sf_dir):
     return seen.select(big("security_id"), F.col("ts").alias("asof"), big("fiscal_year"), "fiscal_period", r8("value"))
 
 
-_H3 = (5, 21, 63)
+_H3 = P.HORIZONS
 
 
 @query(f"WITH {PW}, " + ", ".join(label_sql(h, f"l{h}") for h in _H3) + " " + " UNION ALL ".join(
@@ -556,11 +571,16 @@ def regime_summary(spark, sf_dir):
     return out.select("name", "sample_count", "value_count", *[r8(c) for c in ("mean", "sd", "low", "high", "hit_rate")])
 
 
-@query()
+@query(f"""{BASE}, smp AS (SELECT asof, asof || '|' || security_id AS id, rn <= greatest(1, n // 2) AS chosen, ret FROM ranked),
+trials AS (SELECT t, asof, chosen, ret, row_number() OVER (PARTITION BY t, asof ORDER BY id) AS slot, row_number() OVER (PARTITION BY t, asof ORDER BY md5('44|' || t || '|' || id), id) AS drawn FROM smp, (SELECT unnest(generate_series(1, 100)) AS t)),
+means AS (SELECT a.t, a.asof, avg(b.ret) AS m FROM trials a JOIN trials b ON a.t = b.t AND a.asof = b.asof AND b.drawn = a.slot WHERE a.chosen GROUP BY 1, 2),
+tscores AS (SELECT t, avg(m) AS score FROM means GROUP BY t), obs AS (SELECT avg(m) AS observed FROM (SELECT asof, avg(ret) FILTER (WHERE chosen) AS m FROM smp GROUP BY asof))
+SELECT round(observed, 8) AS observed, count(*) FILTER (WHERE score >= observed) + 1 AS rank, count(*) AS trials, round((count(*) FILTER (WHERE score >= observed) + 1) / 101, 8) AS p_value, (count(*) FILTER (WHERE score >= observed) + 1) / 101 <= 0.05 AS passed
+FROM tscores, obs GROUP BY observed""")
 def scramble_pvalue(spark, sf_dir):
     ranked = B.select_top_half(joined(spark, sf_dir))
     samples = ranked.select(F.concat_ws("|", "asof", "security_id").alias("sample_id"), F.col("asof").cast("string").alias("group_key"), F.col("selected").cast("double").alias("feature"), F.col("ret").alias("label"))
-    return B.scramble_p_value(samples)
+    return B.scramble_p_value(samples).select(r8("observed"), "rank", "trials", r8("p_value"), "passed")
 
 
 # ---------------------------------------------------------------- reports
@@ -630,39 +650,158 @@ def wf_evidence(spark, sf_dir):
     return e.select("scored", "positive", r8("positive_rate"), r8("mean_difference"), "status", "failure_reason")
 
 
-CELLS = [("return_21_0", 21, h) for h in _H3] + [("return_63_0", 63, h) for h in _H3]
+INCOME_MODIFIED = """
+pm AS (SELECT security_id, fiscal_year, fiscal_period, period_end, metric_name,
+    CASE WHEN metric_name = 'revenue' AND security_id % 6 = 0 AND fiscal_period = 'Q2' THEN 0 ELSE metric_value END AS metric_value,
+    CAST(period_end + 41 + CASE WHEN security_id % 4 = 1 AND metric_name = 'gross_profit' THEN 200 ELSE 0 END AS TIMESTAMP) AS available_at
+  FROM long WHERE NOT (security_id % 5 = 2 AND fiscal_year % 2 = 0 AND metric_name = 'revenue')
+  UNION ALL SELECT security_id, fiscal_year, fiscal_period, period_end, metric_name, metric_value * 1.25, CAST(period_end + 150 AS TIMESTAMP) FROM long WHERE security_id % 4 = 2 AND metric_name = 'revenue' AND security_id % 5 <> 2)"""
+
+
+def income_metrics(spark, sf_dir):
+    """Fundamentals with zero revenues, late gross profits, missing quarters and revised revenues among them."""
+
+    def make():
+        f = S.fundamentals(spark, sf_dir).withColumn("security_id", F.col("security_id").cast("bigint")).withColumn("fiscal_year", F.col("fiscal_year").cast("bigint"))
+        name, sec = F.col("metric_name"), F.col("security_id")
+        at = lambda days: F.date_add("period_end", days).cast("timestamp")
+        value = F.when((name == "revenue") & (sec % 6 == 0) & (F.col("fiscal_period") == "Q2"), 0.0).otherwise(F.col("metric_value"))
+        late = F.when((sec % 4 == 1) & (name == "gross_profit"), at(241)).otherwise(at(41))
+        keys = ["security_id", "fiscal_year", "fiscal_period", "period_end", "metric_name"]
+        first = f.where(~((sec % 5 == 2) & (F.col("fiscal_year") % 2 == 0) & (name == "revenue"))).select(*keys, value.alias("metric_value"), late.alias("available_at"))
+        revised = f.where((sec % 4 == 2) & (name == "revenue") & (sec % 5 != 2)).select(*keys, (F.col("metric_value") * 1.25).alias("metric_value"), at(150).alias("available_at"))
+        return first.union(revised)
+
+    return once(spark, f"income:{sf_dir}", make)
+
+
+def income_sql(name: str, asofs: str, tag: str = "") -> str:
+    """CTEs that end in income{tag}: security_id, asof, fiscal_year, fiscal_period, value, status, available_at, every as-of against every period."""
+    if name in PIT.MARGINS:
+        top, base = PIT.MARGINS[name]
+    else:
+        top = base = PIT.GROWTH[name]
+    pick = lambda m, c: f"arg_max({c}, (available_at, metric_value)) FILTER (WHERE metric_name = '{m}')"
+    seen = f"""vis{tag} AS (SELECT a.security_id, a.asof, p.* EXCLUDE (security_id) FROM {asofs} a JOIN pm p ON p.security_id = a.security_id AND p.available_at <= a.asof),
+per{tag} AS (SELECT security_id, asof, fiscal_year, fiscal_period, period_end, {pick(top, 'metric_value')} AS top, {pick(top, 'available_at')} AS top_at, {pick(base, 'metric_value')} AS base, {pick(base, 'available_at')} AS base_at FROM vis{tag} GROUP BY ALL)"""
+    if name in PIT.MARGINS:
+        rows = f"cmp{tag} AS (SELECT *, top IS NOT NULL AND base IS NOT NULL AS here, true AS prior, top / nullif(base, 0) AS value, greatest(top_at, base_at) AS known FROM per{tag})"
+    else:
+        rows = f"""old{tag} AS (SELECT security_id, asof, fiscal_year + 1 AS fiscal_year, fiscal_period, arg_max({{'v': top, 't': top_at}}, period_end) AS o FROM per{tag} GROUP BY 1, 2, 3, 4),
+cmp{tag} AS (SELECT p.* REPLACE (o.o.v AS base), top IS NOT NULL AS here, o.o.v IS NOT NULL AS prior, top / nullif(o.o.v, 0) - 1 AS value, greatest(top_at, o.o.t) AS known
+  FROM per{tag} p LEFT JOIN old{tag} o ON o.security_id = p.security_id AND o.asof = p.asof AND o.fiscal_year = p.fiscal_year AND o.fiscal_period = p.fiscal_period)"""
+    return f"""{seen}, {rows},
+best{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY security_id, asof ORDER BY period_end DESC, fiscal_year DESC, fiscal_period DESC) AS k FROM cmp{tag} WHERE here AND prior AND base <> 0) WHERE k = 1),
+why{tag} AS (SELECT security_id, asof, bool_or(here AND prior AND base = 0) AS zero, bool_or(here AND NOT prior) AS no_prior FROM cmp{tag} GROUP BY 1, 2),
+income{tag} AS (SELECT a.security_id, a.asof, b.fiscal_year, b.fiscal_period, b.value, b.known AS available_at, CASE WHEN b.security_id IS NOT NULL THEN 'ok' WHEN w.security_id IS NULL THEN 'no_visible_period' WHEN w.zero THEN 'zero_denominator'
+  WHEN w.no_prior THEN 'missing_prior_year_metric' ELSE 'missing_current_metric' END AS status FROM {asofs} a LEFT JOIN best{tag} b ON b.security_id = a.security_id AND b.asof = a.asof LEFT JOIN why{tag} w ON w.security_id = a.security_id AND w.asof = a.asof)"""
+
+
+#: The candidate pack: a feature, and the direction in which it selects.
+CANDIDATES = {
+    **{name: direction for name, (_, _, direction) in P.PRICE_FEATURES.items()}, "avg_dollar_volume_63": "high", "realized_volatility_63": "low",
+    "gross_margin": "high", "operating_margin": "high", "net_margin": "high", "revenue_growth_yoy": "high", "diluted_shares_change_yoy": "low",
+}
+
+
+def materializers(spark, sf_dir) -> dict:
+    """Each candidate's table (security_id, session, idx, value, status) over the panel; nothing is computed before it is read."""
+    grid = weekly(spark, sf_dir)
+    known = {name: (lambda lookback=lookback, skip=skip: P.price_return(grid, lookback, skip)) for name, (lookback, skip, _) in P.PRICE_FEATURES.items()}
+    known |= {"avg_dollar_volume_63": lambda: P.avg_dollar_volume(grid), "realized_volatility_63": lambda: P.realized_volatility(grid)}
+    asofs = grid.select("security_id", F.col("session").cast("timestamp").alias("asof"))
+
+    def income(name):
+        found = PIT.income_feature(income_metrics(spark, sf_dir), asofs, name)
+        return found.select("security_id", F.col("asof").cast("date").alias("session"), "value", "status").join(grid.select("security_id", "session", "idx"), ["security_id", "session"])
+
+    known |= {name: (lambda name=name: income(name)) for name in (*PIT.MARGINS, *PIT.GROWTH)}
+    return {name: known[name] for name in CANDIDATES}
+
+
+def candidate_values(spark, sf_dir):
+    """(base_key, security_id, asof, idx, value, status) of the whole pack, written once a session."""
+
+    def make():
+        out = None
+        for name, table in materializers(spark, sf_dir).items():
+            part = table().select(F.lit(name).alias("base_key"), "security_id", F.col("session").alias("asof"), "idx", "value", "status")
+            out = part if out is None else out.union(part)
+        return out
+
+    return once(spark, f"candidates:{sf_dir}", make)
 
 
 @functools.lru_cache(maxsize=1)
-def cells_sql() -> str:
-    ctes, rows = [PW], []
-    for k, (name, lookback, h) in enumerate(CELLS):
-        tag = f"_c{k}"
-        ctes += [joined_sql(lookback, 0, h, tag=tag), splits_sql(h, tag), scores_sql(tag), windows_sql(tag)]
-        rows.append(f"SELECT '{name}' AS base_key, CAST({h} AS BIGINT) AS horizon, count(*) AS scored, count(*) FILTER (WHERE difference > 0) AS positive, avg(difference) AS difference FROM wins{tag}")
-    return "WITH " + ", ".join(ctes) + ", cells AS (SELECT *, CASE WHEN difference IS NULL OR difference <= 0 THEN 'rejected' ELSE 'promising' END AS verdict, CASE WHEN difference IS NULL THEN 'baseline_missing' WHEN difference <= 0 THEN 'baseline_failed' ELSE 'passed' END AS reason FROM (" + " UNION ALL ".join(rows) + "))"
+def candidates_sql() -> str:
+    """CTEs that end in cand: base_key, security_id, asof, idx, value, status."""
+    ctes = [PW.strip(), FUND.strip(), INCOME_MODIFIED.strip(), "casofs AS (SELECT security_id, CAST(session AS TIMESTAMP) AS asof, idx FROM spine)"]
+    rows = []
+    for name, (lookback, skip, _) in P.PRICE_FEATURES.items():
+        ctes.append(feature_sql(lookback, skip, name=f"f_{name}"))
+        rows.append(f"SELECT '{name}' AS base_key, security_id, session AS asof, idx, value, status FROM f_{name}")
+    ctes.append(f"adv AS (SELECT *, count(price) {BY} ROWS 62 PRECEDING) AS n, avg(price * volume) {BY} ROWS 62 PRECEDING) AS m FROM spine)")
+    rows.append("SELECT 'avg_dollar_volume_63', security_id, session, idx, CASE WHEN idx >= 62 AND n = 63 THEN m END, CASE WHEN idx < 62 THEN 'insufficient_history' WHEN n < 63 THEN 'missing_price' ELSE 'ok' END FROM adv")
+    ctes.append(f"rvr AS (SELECT *, price / lag(price) {BY}) - 1 AS step FROM spine), rv AS (SELECT *, count(step) {BY} ROWS 62 PRECEDING) AS n, stddev_samp(step) {BY} ROWS 62 PRECEDING) AS sd FROM rvr)")
+    rows.append("SELECT 'realized_volatility_63', security_id, session, idx, CASE WHEN idx >= 63 AND n = 63 THEN sd * sqrt(252) END, CASE WHEN idx < 63 THEN 'insufficient_history' WHEN n < 63 THEN 'missing_price' ELSE 'ok' END FROM rv")
+    for k, name in enumerate((*PIT.MARGINS, *PIT.GROWTH)):
+        ctes.append(income_sql(name, "casofs", f"_i{k}"))
+        rows.append(f"SELECT '{name}', i.security_id, CAST(i.asof AS DATE), c.idx, i.value, i.status FROM income_i{k} i JOIN casofs c ON c.security_id = i.security_id AND c.asof = i.asof")
+    return "WITH " + ", ".join(ctes) + ", cand AS (" + " UNION ALL ".join(rows) + ")"
+
+
+@query(candidates_sql() + " SELECT base_key, status, count(*) AS n FROM cand GROUP BY 1, 2")
+def candidate_pack(spark, sf_dir):
+    return candidate_values(spark, sf_dir).groupBy("base_key", "status").agg(F.count("*").alias("n"))
 
 
-def cells(spark, sf_dir):
-    """Verdicts of candidate x horizon: every cell is a key of one plan, not a back-test of its own."""
+@functools.lru_cache(maxsize=1)
+def cells_sql() -> str:
+    low = ", ".join(f"'{n}'" for n, d in CANDIDATES.items() if d == "low")
+    labels = " UNION ALL ".join(f"SELECT security_id, session AS asof, CAST({h} AS BIGINT) AS horizon, end_price / price - 1 AS ret FROM l{h} WHERE skip_reason IS NULL" for h in _H3)
+    cost = 0.002
+    return candidates_sql() + ", " + ", ".join(label_sql(h, f"l{h}") for h in _H3) + f""", labs AS ({labels}),
+smp AS (SELECT c.base_key, horizon, c.security_id, c.asof, c.idx, CASE WHEN c.base_key IN ({low}) THEN -value ELSE value END AS feature, ret FROM cand c JOIN labs l ON l.security_id = c.security_id AND l.asof = c.asof WHERE status = 'ok'),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY base_key, horizon, asof ORDER BY feature DESC, security_id) AS rn, count(*) OVER (PARTITION BY base_key, horizon, asof) AS n FROM smp),
+dates AS (SELECT base_key, horizon, asof, idx, count(*) AS candidates, avg(ret) FILTER (WHERE rn <= greatest(1, n // 2)) - {cost} AS s, avg(ret) - {cost} AS b FROM rnk GROUP BY ALL),
+span AS (SELECT base_key, horizon, min(idx) AS base, max(idx) + horizon - min(idx) + 1 AS n FROM dates GROUP BY 1, 2),
+spl AS (SELECT base_key, horizon, base, pos, base + pos - horizon - 1 AS train_to FROM (SELECT *, unnest(generate_series({TRAIN} + horizon, n - {TEST} - horizon, {STEP})) AS pos FROM span)),
+trn AS (SELECT p.base_key, p.horizon, pos FROM spl p JOIN dates d ON d.base_key = p.base_key AND d.horizon = p.horizon AND d.idx BETWEEN base AND train_to GROUP BY ALL),
+win AS (SELECT p.base_key, p.horizon, p.pos, avg(s) - avg(b) AS difference FROM spl p JOIN trn USING (base_key, horizon, pos) JOIN dates d ON d.base_key = p.base_key AND d.horizon = p.horizon AND d.idx BETWEEN base + p.pos AND base + p.pos + {TEST} - 1 GROUP BY 1, 2, 3),
+got AS (SELECT base_key, horizon, count(*) AS scored, count(*) FILTER (WHERE difference > 0) AS positive, avg(difference) AS difference FROM win GROUP BY 1, 2),
+grid AS (SELECT * FROM (SELECT unnest([{', '.join(f"'{n}'" for n in CANDIDATES)}]) AS base_key), (SELECT CAST(unnest([5, 21, 63, 126, 252]) AS BIGINT) AS horizon)),
+cells AS (SELECT g.base_key, g.horizon, coalesce(scored, 0) AS scored, coalesce(positive, 0) AS positive, difference,
+  CASE WHEN scored IS NULL THEN 'insufficient_data' WHEN g.horizon = 126 AND scored > 3 THEN 'running' WHEN difference <= 0 THEN 'rejected' WHEN positive = scored THEN 'accepted' ELSE 'promising' END AS verdict,
+  CASE WHEN scored IS NULL THEN 'insufficient_data' WHEN g.horizon = 126 AND scored > 3 THEN 'running' WHEN difference <= 0 THEN 'baseline_failed' ELSE 'passed' END AS reason FROM grid g LEFT JOIN got w ON w.base_key = g.base_key AND w.horizon = g.horizon)"""
+
+
+def sweep_cells(spark, sf_dir, evaluated: DataFrame | None = None):
+    """Verdicts of candidate x horizon, 55 cells as keys of one plan; cells in ``evaluated`` are left out before anything is scored."""
     cell = ("base_key", "horizon")
-    grid = weekly(spark, sf_dir)
-    labels = P.forward_labels(grid, _H3).where("skip_reason is null").select("security_id", F.col("session").alias("asof"), "horizon", F.col("raw_return").alias("ret"))
-    features = None
-    for name, lookback in dict((c[:2] for c in CELLS)).items():
-        part = P.price_return(grid, lookback).where("status = 'ok'").select(F.lit(name).alias("base_key"), "security_id", F.col("session").alias("asof"), "idx", F.col("value").alias("feature"))
-        features = part if features is None else features.union(part)
-    scores = B.date_scores(features.join(labels, ["security_id", "asof"]), by=cell)
-    splits = None
-    for row in scores.groupBy(*cell).agg(F.min("idx").alias("a"), F.max("idx").alias("b")).collect():  # one row a cell
-        sessions = spark.range(row["a"], row["b"] + row["horizon"] + 1).select(F.col("id").alias("idx"))
-        part = B.plan_splits(sessions, row["horizon"], TRAIN, TEST, STEP).select(F.lit(row["base_key"]).alias("base_key"), F.lit(row["horizon"]).cast("bigint").alias("horizon"), "*")
-        splits = part if splits is None else splits.union(part)
+    labels = P.forward_labels(weekly(spark, sf_dir), _H3).where("skip_reason is null").select("security_id", F.col("session").alias("asof"), "horizon", F.col("raw_return").alias("ret"))
+    low = F.col("base_key").isin(*[n for n, d in CANDIDATES.items() if d == "low"])
+    values = candidate_values(spark, sf_dir).where("status = 'ok'").withColumn("feature", F.when(low, -F.col("value")).otherwise(F.col("value"))).drop("value", "status")
+    horizons = F.explode(F.array(*[F.lit(h).cast("bigint") for h in _H3])).alias("horizon")
+    grid = spark.createDataFrame([(n,) for n in CANDIDATES], "base_key string").select("base_key", horizons)
+    if evaluated is not None:
+        grid = grid.join(evaluated, list(cell), "left_anti")
+    samples = values.join(labels, ["security_id", "asof"]).join(grid, list(cell), "left_semi")
+    scores = B.date_scores(samples, by=cell)
+    bounds = scores.groupBy(*cell).agg(F.min("idx").alias("base"), (F.max("idx") + F.col("horizon") - F.min("idx") + 1).alias("n"))
+    splits = B.splits_within(bounds, F.col("horizon"), TRAIN, TEST, STEP, by=cell)
     evidence = R.walk_forward_evidence(B.window_scores(scores, splits, cell), 1, 0.0, [*cell]).withColumnRenamed("mean_difference", "difference").drop("status", "failure_reason")
-    run = evidence.select("*", F.lit(1).alias("run_id"), F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("evaluation"), F.lit(None).cast("string").alias("failure"), F.lit(True).alias("scramble_pass"))
+    run = grid.join(evidence, list(cell), "left").withColumns({"scored": F.coalesce("scored", F.lit(0)), "positive": F.coalesce("positive", F.lit(0))})
+    # registry fields as a later stage of the life of a run would have them: too few windows, still running, accepted
+    status = F.when(F.col("scored") == 0, "insufficient_data").when((F.col("horizon") == 126) & (F.col("scored") > 3), "running").otherwise("succeeded")
+    evaluation = F.when((F.col("scored") > 0) & (F.col("positive") == F.col("scored")), "accepted")
+    run = run.select("*", F.lit(1).alias("run_id"), status.alias("status"), evaluation.alias("evaluation"), F.lit(None).cast("string").alias("failure"), F.lit(True).alias("scramble_pass"))
     return R.derived_verdict(run).select("base_key", "horizon", "scored", "positive", "difference", "verdict", "reason")
 
 
+def cells(spark, sf_dir):
+    return once(spark, f"cells:{sf_dir}", lambda: sweep_cells(spark, sf_dir))
+
+
 @query(cells_sql() + " SELECT base_key, horizon, scored, positive, round(difference, 8) AS difference, verdict, reason FROM cells")
 def verdicts(spark, sf_dir):
     return cells(spark, sf_dir).select("base_key", "horizon", "scored", "positive", r8("difference"), "verdict", "reason")
@@ -719,12 +858,3 @@ def weakest_windows(spark, sf_dir):
 def registry_latest(spark, sf_dir):
     latest = R.latest_per_key(S.load(spark, sf_dir, "part"), ["p_brand"], [F.desc("p_size"), F.desc("p_partkey")])
     return latest.select("p_brand", "p_partkey", F.round("p_retailprice", 2).alias("p_retailprice"))
-
-
-@query()
-def fingerprint_inputs(spark, sf_dir):
-    """Order-independent digest of the joined rows: row hashes are summed up, and coverage stands beside them."""
-    rows = joined(spark, sf_dir)
-    row = F.sha2(F.concat_ws("|", "security_id", "asof", "horizon_session", "feature", "ret"), 256)
-    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("security_id").alias("securities"), F.min("asof").alias("first_asof"), F.max("asof").alias("last_asof"), F.sum(part).cast("string").alias("digest"))

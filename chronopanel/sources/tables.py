@@ -75,13 +75,14 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.when(F.substring("o_orderpriority", 1, 1) <= "3", price)).cast("double").alias("gross_profit"),
             F.sum(F.when(F.col("o_orderstatus") == "F", price)).cast("double").alias("operating_income"),
             F.sum(F.when(F.substring("o_orderpriority", 1, 1) == "1", price)).cast("double").alias("net_income"),
+            F.count("*").cast("double").alias("diluted_weighted_average_shares"),
         )
     )
     end = F.last_day(F.make_date("fiscal_year", F.col("q") * 3, F.lit(1)))
     accepted = F.to_utc_timestamp(F.timestamp_add("HOUR", F.lit(17), F.date_add(end, 40).cast("timestamp")), "America/New_York")
     keyed = wide.withColumn("fiscal_period", F.concat(F.lit("Q"), "q")).withColumn("period_end", end).withColumn("accepted_at", accepted)
     ids = ["security_id", "fiscal_year", "fiscal_period", "period_end", "accepted_at"]
-    return keyed.unpivot(ids, ["revenue", "gross_profit", "operating_income", "net_income"], "metric_name", "metric_value").where("metric_value is not null")
+    return keyed.unpivot(ids, ["revenue", "gross_profit", "operating_income", "net_income", "diluted_weighted_average_shares"], "metric_name", "metric_value").where("metric_value is not null")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

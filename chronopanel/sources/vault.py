@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["source", "endpoint", "params_hash", "raw_hash"]
-SECRET = re.compile(r"(?i)(api[-_]?key|token|secret|password|authorization)")
-SECRET_QUERY = r"(?i)([?&](?:api[-_]?key|token|secret|password)=)[^&#]*"
+#: Parameter names whose values are secrets, with - for _.
+SECRETS = ("access-token", "api-key", "apikey", "authorization", "client-secret", "password", "secret", "token")
+REDACTED = "[REDACTED]"
 
 
 def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def is_secret(name: str) -> bool:
+    return name.strip().lower().replace("_", "-") in SECRETS
+
+
 def redact(value: object) -> object:
-    """Nested values with those under secret-looking keys masked."""
+    """Nested values with those under secret names masked; other names, however alike, stay."""
     if isinstance(value, dict):
-        return {k: "[redacted]" if SECRET.search(str(k)) else redact(v) for k, v in value.items()}
-    return [redact(v) for v in value] if isinstance(value, list) else value
+        return {k: REDACTED if is_secret(k) else redact(v) for k, v in value.items()}
+    return [redact(v) for v in value] if isinstance(value, list | tuple) else value
 
 
 def run_key(kind: str, payload: dict, length: int = 32) -> str:
@@ -31,11 +35,20 @@ def run_key(kind: str, payload: dict, length: int = 32) -> str:
 
 
 def clean_url(url: Column) -> Column:
-    """The url with secret query values masked and its query parameters sorted."""
-    masked = F.regexp_replace(url, SECRET_QUERY, "$1redacted")
-    bare, query = F.substring_index(masked, "?", 1), F.regexp_extract(masked, r"\?([^#]*)", 1)
-    ordered = F.array_join(F.array_sort(F.split(query, "&")), "&")
-    return F.when(query == "", bare).otherwise(F.concat(bare, F.lit("?"), ordered))
+    """The url with secret query values masked, its parameters decoded, sorted and encoded again, and its fragment kept."""
+    base, fragment = F.substring_index(url, "#", 1), F.regexp_extract(url, "(?s)^[^#]*(#.*)$", 1)
+    bare, query = F.substring_index(base, "?", 1), F.regexp_extract(base, r"(?s)^[^?]*\?(.*)$", 1)
+    encode = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    decode = lambda x: F.coalesce(F.try_url_decode(x), x)
+
+    def pair(item: Column) -> Column:
+        name, value = decode(F.substring_index(item, "=", 1)), decode(F.regexp_extract(item, "(?s)^[^=]*=(.*)$", 1))
+        secret = F.replace(F.lower(F.trim(name)), F.lit("_"), F.lit("-")).isin(*SECRETS)
+        return F.struct(name.alias("name"), F.when(secret, F.lit(REDACTED)).otherwise(value).alias("value"))
+
+    items = F.array_sort(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), pair))
+    shown = F.array_join(F.transform(items, lambda x: F.concat(encode(x["name"]), F.lit("="), encode(x["value"]))), "&")
+    return F.concat(bare, F.when(shown == "", F.lit("")).otherwise(F.concat(F.lit("?"), shown)), fragment)
 
 
 def vault_rows(responses: DataFrame) -> DataFrame:
@@ -63,11 +76,58 @@ def merge_by_key(existing: DataFrame, arriving: DataFrame, keys: list[str], valu
     return both.select(*keys, *[F.when(F.col("__has"), F.col(v)).otherwise(F.col(f"__old_{v}")).alias(v) for v in values], action.alias("action"))
 
 
-def write_merged(existing_path: str, merged: DataFrame, target_path: str) -> None:
-    """Write a merge beside its source; the caller swaps paths, so readers never see half a table."""
-    if existing_path.rstrip("/") == target_path.rstrip("/"):
-        raise ValueError("a table can't be read and replaced in one job; write to a new path")
-    merged.drop("action").write.mode("errorifexists").parquet(target_path)
+#: Keys and values of the tables that are written by upsert.
+TABLES = {
+    "prices": (["security_id", "session"], ["price", "volume"]),
+    "features": (["security_id", "session", "feature"], ["value", "available_at"]),
+    "labels": (["security_id", "session", "horizon"], ["raw_return", "excess_return"]),
+    "fundamentals": (["security_id", "fiscal_year", "fiscal_period", "period_end", "metric_name"], ["metric_value"]),
+    "releases": (["accession"], ["form", "accepted_at", "timing"]),
+}
+
+
+def upsert(existing: DataFrame, arriving: DataFrame, table: str) -> DataFrame:
+    """The table after the upsert, and ``action`` of each row; an arriving key that occurs twice is an error."""
+    keys, values = TABLES[table]
+    once = arriving.groupBy(*keys).agg(*[F.min(v).alias(v) for v in values], F.count("*").alias("__n"))
+    text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    checked = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("written twice: "), text)).cast("boolean")).otherwise(F.lit(True))
+    return merge_by_key(existing, once.where(checked).drop("__n"), keys, values)
+
+
+def write_counts(merged: DataFrame) -> DataFrame:
+    """One row: rows inserted, updated and kept by a merge."""
+    return merged.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "kept")])
+
+
+def publish(merged: DataFrame, path: str) -> DataFrame:
+    """Write a merge to a new path and read it back; readers move over when the write is done."""
+    merged.drop("action").write.mode("errorifexists").parquet(path)
+    return merged.sparkSession.read.parquet(path)
+
+
+def register_runs(existing: DataFrame, arriving: DataFrame) -> DataFrame:
+    """(key, metadata, status, action): runs by key; the same key with other metadata is an error, the same is reused."""
+    old = existing.select("key", F.col("metadata").alias("__old"), F.col("status").alias("__status"), F.lit(True).alias("__had"))
+    both = old.join(arriving.select("key", "metadata", "status", F.lit(True).alias("__has")), "key", "full_outer")
+    clash = F.col("__had") & F.col("__has") & ~F.col("__old").eqNullSafe(F.col("metadata"))
+    metadata = F.when(clash, F.raise_error(F.concat(F.lit("other metadata under "), "key")).cast("string")).otherwise(F.coalesce("metadata", "__old"))
+    action = F.when(F.col("__had").isNull(), "inserted").when(F.col("__has"), "reused").otherwise("kept")
+    return both.select("key", metadata.alias("metadata"), F.coalesce("__status", "status").alias("status"), action.alias("action"))
+
+
+def finish_runs(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Runs with the outcome's status where they are running; a run that is over keeps its own, an outcome without a run is an error."""
+    both = runs.join(outcomes.select("key", F.col("status").alias("__new")), "key", "full_outer")
+    status = F.when(F.col("status").isNull(), F.raise_error(F.concat(F.lit("no run "), "key")).cast("string")).when(F.col("status") == "running", F.coalesce("__new", "status")).otherwise(F.col("status"))
+    return both.select(*[status.alias("status") if c == "status" else F.col(c) for c in runs.columns])
+
+
+def upsert_hypotheses(existing: DataFrame, arriving: DataFrame) -> DataFrame:
+    """(key, name, thesis, status): new texts win, a known hypothesis keeps its lifecycle status."""
+    old = existing.select("key", *[F.col(c).alias(f"__{c}") for c in ("name", "thesis", "status")])
+    both = old.join(arriving, "key", "full_outer")
+    return both.select("key", F.coalesce("name", "__name").alias("name"), F.coalesce("thesis", "__thesis").alias("thesis"), F.coalesce("__status", "status").alias("status"))
 
 
 def ensure_definition(known: DataFrame, arriving: DataFrame) -> DataFrame:

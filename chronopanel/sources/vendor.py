@@ -3,6 +3,7 @@ are landed files or columns."""
 
 from __future__ import annotations
 
+import html as html_entities
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,14 +17,16 @@ STABLE_PRICES = "array<struct<symbol:string,date:string,adjOpen:double,adjHigh:d
 INCOME_METRICS = {"revenue": "revenue", "grossProfit": "gross_profit", "operatingIncome": "operating_income", "netIncome": "net_income", "weightedAverageShsOutDil": "diluted_weighted_average_shares"}
 CASH_FLOW_METRICS = {"netCashProvidedByOperatingActivities": "net_cash_from_operations", "capitalExpenditure": "capital_expenditure", "freeCashFlow": "free_cash_flow"}
 ITEM_202 = r"(^|[,\s])2\.02([,\s]|$)"
-EXHIBIT_991 = r"(?i)ex(hibit)?[-_]?99[-_.]?1"
-QUARTERS = (("Q1", r"\b(first quarter|q1)\b"), ("Q2", r"\b(second quarter|q2)\b"), ("Q3", r"\b(third quarter|q3)\b"), ("Q4", r"\b(fourth quarter|q4)\b"), ("FY", r"\b(full year|fiscal year)\b"))
+#: Words of quarters in releases.
+QUARTERS = (("first", "Q1"), ("second", "Q2"), ("third", "Q3"), ("fourth", "Q4"))
+#: Forms of identifiers.
+GRAMMARS = {"accession": r"^[0-9]{10}-[0-9]{2}-[0-9]{6}$", "cik": r"^[0-9]{10}$", "ticker": r"^[A-Z][A-Z0-9.]{0,9}$", "hypothesis_key": r"^[a-z0-9][a-z0-9_-]{0,127}$"}
 
 
 def legacy_prices(payloads: DataFrame, body: str) -> DataFrame:
-    """Rows of ``{"symbol", "historical": [...]}`` payloads, in date order within a symbol."""
+    """Rows of ``{"symbol", "historical": [...]}`` payloads; order is left to what reads them."""
     rows = payloads.select(F.from_json(body, LEGACY_PRICES).alias("p")).select("p.symbol", F.explode("p.historical").alias("h"))
-    return rows.select("symbol", F.to_date("h.date").alias("date"), "h.open", "h.high", "h.low", "h.close", F.col("h.adjClose").alias("adj_close"), F.col("h.volume").cast("bigint").alias("volume")).orderBy("symbol", "date")
+    return rows.select("symbol", F.to_date("h.date").alias("date"), "h.open", "h.high", "h.low", "h.close", F.col("h.adjClose").alias("adj_close"), F.col("h.volume").cast("bigint").alias("volume"))
 
 
 def stable_prices(payloads: DataFrame, body: str) -> DataFrame:
@@ -32,7 +35,7 @@ def stable_prices(payloads: DataFrame, body: str) -> DataFrame:
     return rows.select(
         "h.symbol", F.to_date("h.date").alias("date"), F.col("h.adjOpen").alias("open"), F.col("h.adjHigh").alias("high"), F.col("h.adjLow").alias("low"),
         F.col("h.adjClose").alias("close"), F.col("h.adjClose").alias("adj_close"), F.col("h.volume").cast("bigint").alias("volume"),
-    ).orderBy("symbol", "date")
+    )
 
 
 def price_faults(prices: DataFrame) -> DataFrame:
@@ -66,26 +69,41 @@ def zip_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def earnings_candidates(filings: DataFrame, since: str) -> DataFrame:
-    """8-K filings with item 2.02 on or after a date, newest first.  ``accepted`` ends in Z but is New York time."""
+    """8-K filings with item 2.02 on or after a date.  ``accepted`` ends in Z but is New York time; ``accepted_at`` descending is
+    the order in which they are taken."""
     rows = filings.where(F.col("form").isin("8-K", "8-K/A") & F.col("items").rlike(ITEM_202) & (F.col("filing_date") >= F.lit(since).cast("date")))
     accepted = F.to_utc_timestamp(F.to_timestamp(F.regexp_replace("accepted", "Z$", "")), "America/New_York")
-    return rows.withColumn("accepted_at", accepted).orderBy(F.desc("accepted_at"))
+    return rows.withColumn("accepted_at", accepted)
+
+
+def archive_documents(payloads: DataFrame, body: str) -> DataFrame:
+    """(accession, name, size, modified) of archive index payloads; a payload without a directory is an error."""
+    schema = "struct<directory:struct<item:array<struct<name:string,size:string,`last-modified`:string>>>>"
+    parsed = payloads.select("accession", F.from_json(body, schema).alias("p"))
+    items = F.when(F.col("p.directory.item").isNull(), F.raise_error(F.concat(F.lit("no directory in "), "accession"))).otherwise(F.col("p.directory.item"))
+    rows = parsed.select("accession", F.explode(items).alias("d"))
+    return rows.select("accession", "d.name", F.try_to_number(F.nullif(F.col("d.size"), F.lit("")), F.lit("999999999999")).cast("bigint").alias("size"), F.try_to_timestamp(F.col("d.last-modified")).alias("modified"))
 
 
 def earnings_exhibits(files: DataFrame) -> DataFrame:
-    """(accession, exhibit): the lowest html name that looks like exhibit 99.1 and isn't the primary document."""
-    named = F.col("name").rlike(r"(?i)\.html?$") & F.col("name").rlike(EXHIBIT_991) & (F.col("name") != F.col("primary_document"))
+    """(accession, exhibit): the lowest html name that says exhibit 99 and isn't the primary document, whatever its case."""
+    low = F.lower("name")
+    compact = F.translate(low, "-_", "")
+    html = low.endswith(".htm") | low.endswith(".html")
+    named = html & (low != F.lower("primary_document")) & (compact.contains("ex99") | compact.contains("exhibit99"))
     return files.where(named).groupBy("accession").agg(F.min("name").alias("exhibit"))
 
 
-def html_title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Entities decoded, by the standard library's table of them."""
+    return text.map(lambda x: None if x is None else html_entities.unescape(x))
 
 
-def plain_text(html: Column) -> Column:
-    """Tags out, script and style with their content, spaces collapsed; entities stay (see ``html_text``)."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+def html_title(html: Column) -> Column:
+    """The title without inner tags, entities decoded, spaces collapsed; null where there is none."""
+    inner = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", " ")
+    return F.nullif(F.trim(F.regexp_replace(unescaped(inner), r"\s+", " ")), F.lit(""))
 
 
 class _Text(HTMLParser):
@@ -127,15 +145,26 @@ def earnings_like(text: Column) -> Column:
 
 
 def fiscal_fields(text: Column) -> tuple[Column, Column, Column]:
-    """(fiscal_year, fiscal_period, period_end) named in a release; null where not named."""
+    """(fiscal_year, fiscal_period, period_end) named in a release; a year that isn't named is the period end's."""
     low = F.lower(text)
-    year = F.expr("null").cast("int")
-    year = F.nullif(F.regexp_extract(low, r"\bfiscal\s+(\d{4})\b", 1), F.lit("")).cast("int")
-    period = F.lit(None).cast("string")
-    for name, pattern in reversed(QUARTERS):
-        period = F.when(low.rlike(pattern), name).otherwise(period)
-    ended = F.regexp_extract(text, r"(?i)(?:quarter|year)\s+ended\s+([A-Z][a-z]+ \d{1,2}, \d{4})", 1)
-    return year, period, F.try_to_timestamp(F.nullif(ended, F.lit("")), F.lit("MMMM d, yyyy")).cast("date")
+    period = F.when(low.rlike(r"\bfiscal\s+year\s+ended\b"), "FY")
+    for word, name in reversed(QUARTERS):
+        period = F.when(low.rlike(rf"\b{word}\s+quarter\b"), name).otherwise(period)
+    ended = F.regexp_extract(F.regexp_replace(text, r"\s+", " "), r"(?:quarter|fiscal year|year) ended ([A-Z][a-z]+ \d{1,2}, \d{4})", 1)
+    end = F.try_to_timestamp(F.nullif(ended, F.lit("")), F.lit("MMMM d, yyyy")).cast("date")
+    year = F.coalesce(F.nullif(F.regexp_extract(low, r"\bfiscal\s+(\d{4})\b", 1), F.lit("")).cast("int"), F.year(end))
+    return year, period, end
+
+
+def release_evidence(rows: DataFrame, body: str) -> DataFrame:
+    """``rows`` with fiscal_year, fiscal_period, period_end, confidence, excerpt and ``fault``: why a release tells nothing."""
+    text = F.trim(F.regexp_replace(F.col(body), r"\s+", " "))
+    year, period, end = fiscal_fields(text)
+    fault = F.when(text == "", "empty").when(~earnings_like(text), "not_earnings").when(end.isNull(), "no_period_end").when(period.isNull(), "no_quarter")
+    ok = fault.isNull()
+    return rows.select(
+        *[c for c in rows.columns if c != body], F.when(ok, year).alias("fiscal_year"), F.when(ok, period).alias("fiscal_period"), F.when(ok, end).alias("period_end"),
+        F.when(ok, F.when(period == "FY", "medium").otherwise("high")).alias("confidence"), F.when(ok, F.left(text, F.lit(500))).alias("excerpt"), fault.alias("fault"))
 
 
 def read_calendar_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -52,24 +52,26 @@ def test_regimes(spark):
     assert B.regime_faults(regimes).count() == 0
 
 
-def test_scramble_exact_and_hashed(spark):
+def test_scramble_keeps_labels_in_their_groups(spark):
     rows = [(f"{g}-{k}", g, float(k == 2), (k + 1) / 100) for g in ("a", "b") for k in range(3)]
     samples = spark.createDataFrame(rows, "sample_id string, group_key string, feature double, label double")
-    trials = B.scramble_trials(samples, 5, 31).groupBy("trial", "group_key").agg(F.round(F.sum("label"), 9).alias("s")).select("s").distinct().collect()
-    assert [r.s for r in trials] == [0.06]
-    hashed = B.scramble_p_value(samples, 12, 31).first()
-    assert hashed.p_value == pytest.approx(hashed["rank"] / 13)
-
-    def score(part):
-        return part[part.feature == 1].groupby("group_key").label.mean().mean()
-
-    exact = B.scramble_exact(samples, score, 12, 31).first()
-    again = B.scramble_exact(samples.orderBy(F.desc("sample_id")), score, 12, 31).first()
-    assert exact == again and exact.observed == pytest.approx(0.03)
-    flat = B.scramble_exact(samples.withColumn("label", F.lit(0.0)), score, 9, 31).first()
+    everyone = B.scramble_trials(samples.withColumn("feature", F.lit(1.0)), 5, 31).collect()
+    assert len(everyone) == 10 and all(r.m == pytest.approx(0.02) for r in everyone)
+    drawn = {r.m for r in B.scramble_trials(samples, 40, 31).collect()}
+    assert drawn == {0.01, 0.02, 0.03}
+    p = B.scramble_p_value(samples, 12, 31).first()
+    assert p == B.scramble_p_value(samples.orderBy(F.desc("sample_id")), 12, 31).first()
+    assert p.observed == pytest.approx(0.03) and p.p_value == pytest.approx(p["rank"] / 13)
+    flat = B.scramble_p_value(samples.withColumn("label", F.lit(0.0)), 9, 31).first()
     assert flat["rank"] == 10 and flat.p_value == 1.0
 
 
+def test_regression_is_stable_around_a_large_mean(spark):
+    rows = panel(spark).withColumn("feature", F.col("feature") + 1e8)
+    models = B.walk_forward_ols(rows, B.plan_splits(spark.range(13).withColumnRenamed("id", "idx"), 2, 3, 2, 2)).collect()
+    assert all(m.fitted and m.slope == pytest.approx(0.05, rel=1e-6) for m in models)
+
+
 def test_evidence_and_verdicts(spark):
     def evidence(values, least):
         rows = spark.createDataFrame([(v,) for v in values], "difference double")

@@ -18,7 +18,7 @@ def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", ["src_panel_weekly", "merge_upsert_changed", "feat_margins", "label_skip_reasons", "fals_windows", "ols_walk_forward", "ticker_concentration"])
+@pytest.mark.parametrize("name", sorted(contract.catalogue.ORACLE_SQL))
 def test_matches_duckdb(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
