@@ -131,10 +131,11 @@ def link_equal_runs(runs: DataFrame, hold: int = 1 << 18) -> DataFrame:
 
     A run stands for the passages that start from at + low to at + high of a document; ``words`` is a hash of all words
     it covers.  Runs are sorted by key and words over range partitions, which part a common key as often as needed, and
-    neighbours are compared: a run with the words of runs before it gets a row with ``other`` and ``o_at``, a place
-    of the document before (of periodic text, the place with the same count within the document).  The first run of each
-    words, where its key has several, is a row without ``other``; so are those next to the ends of a partition and, in
-    a key of more than ``hold`` rows, one in so many.  Keys of one document are left out.  Needs ``hold`` rows of memory."""
+    neighbours are compared: a run with the words of runs before it gets a row with ``other`` and ``o_at``, a place of
+    the first document with them there (of periodic text, the place with the same count within the document).  The first
+    run of each words, where its key has several, is a row without ``other``; so are those next to the ends of a partition
+    and, in a key of more than ``hold`` rows, one in so many.  Keys of one document are left out.  Needs ``hold`` rows of
+    memory."""
 
     def told(rows: list[np.ndarray], open_left: bool, open_right: bool) -> pa.RecordBatch | None:
         key, low, high, words, doc, at = rows
@@ -154,12 +155,13 @@ def link_equal_runs(runs: DataFrame, hold: int = 1 << 18) -> DataFrame:
         several[-1] |= open_right
         many[-1] |= open_right
         group = np.cumsum(first) - 1
-        # places of one document with the same words, the document before it, and the nth place against its nth
+        # places of one document with the same words, and those of the first document with them: the nth against its nth
         heads = np.nonzero(own)[0]
         mine = np.cumsum(own) - 1
-        before = np.where(variant[heads], -1, np.concatenate([[0], heads[:-1]]))
         size = np.diff(np.concatenate([heads, [n]]))
-        partner = before[mine] + (np.arange(n) - heads[mine]) % np.maximum(1, np.concatenate([[1], size[:-1]]))[mine]
+        lead = np.nonzero(variant[heads])[0][np.cumsum(variant[heads]) - 1]
+        before = np.where(variant[heads], -1, heads[lead])
+        partner = before[mine] + (np.arange(n) - heads[mine]) % size[lead][mine]
         linked = (before[mine] >= 0) & several[group]
         kept = np.nonzero(linked | (variant & several[group] & many[group]))[0]
         if not len(kept):

@@ -8,12 +8,13 @@ import numpy as np
 import pytest
 import tiktoken
 from helpers import SF, documents, empty
+from pyspark.sql import functions as F
 
 from chronopanel.llm import bpe, chat
 
 PATH, PATTERN = bpe.default_vocabulary()
 TEXTS = [
-    None, "", " ", "\n\n  x\t", "Hello, world! it's 12345", "ñandú öäü 中文字符 текст 🙂🙂", "a" * 5000, "ab" * 3000, "é" * 700, "  x　", "A" * 2047 + " " + "b" * 2049,
+    None, "", " ", "\n\n  x\t", "Hello, world! it's 12345", "ñandú öäü 中文字符 текст 🙂🙂", "a" * 5000, "a" * 100001, "ab" * 3000, "QmFzZTY0" * 2000 + "x", "é" * 700, "  x　", "A" * 2047 + " " + "b" * 2049,
     "x" * 3 + "\r\n" * 40 + "don't WE'LL", "<|endoftext|>", "same", "same",
 ]
 
@@ -57,15 +58,20 @@ def turns(spark, rows):
 
 def test_chat_escapes_content_and_masks_only_the_loss_role(spark):
     nasty = "\\ \\\\<turn> <says>\\</turn> </turn> ok\\"
-    rows = turns(spark, [(1, 1, "assistant", nasty), (1, 0, "user", nasty), (1, 2, "assistant", "<turn>"), (2, 0, None, None), (None, 0, "assistant", "é🙂"), (3, 0, "user", "x"), (3, 0, "user", "x")])
+    rows = turns(spark, [(1, 1, "assistant", nasty), (1, 0, "user", nasty), (1, 2, "assistant", "<turn>"), (2, 0, None, None), (None, 0, "assistant", "é🙂"), (None, 0, "user", "x"), (3, 0, "user", "x"), (3, 0, "user", "x")])
     made = chat.format_conversations(rows, PATH, PATTERN)
-    back = {r["conv_id"]: r for r in chat.read_back(made, PATH, PATTERN).collect()}
+    read = chat.read_back(made, PATH, PATTERN).collect()
+    alone = [r for r in read if r["conv_id"] is None]
+    assert sorted(r["loss_text"] for r in alone) == ["", "é🙂"] and all(len(r["turns"]) == 1 for r in alone)
+    back = {r["conv_id"]: r for r in read if r["conv_id"] is not None}
     assert [tuple(t) for t in back[1]["turns"]] == [("user", nasty), ("assistant", nasty), ("assistant", "<turn>")]
     assert back[1]["loss_text"] == nasty + "<turn>"
     assert [tuple(t) for t in back[2]["turns"]] == [("", "")] and back[2]["loss_text"] == ""
-    assert back[None]["loss_text"] == "é🙂" and len(back[3]["turns"]) == 2
+    assert len(back[3]["turns"]) == 2
     first = len(bpe.encoder(PATH, PATTERN).tokens)
-    assert all(sum(i == first for i in r["ids"]) == len(back[r["conv_id"]]["turns"]) for r in made.collect())
+    assert all(sum(i == first for i in r["ids"]) == len(back[r["conv_id"]]["turns"]) for r in made.where("conv_id is not null").collect())
+    clashing = chat.format_conversations(rows.withColumns({c: F.lit(1) for c in ("row", "turns", "ids", "loss")}), PATH, PATTERN)
+    assert clashing.count() == made.count()
 
 
 def test_chat_without_rows(spark):
