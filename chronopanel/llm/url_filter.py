@@ -103,7 +103,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     covered = cut(hosts.withColumn("key", host_key(F.col("host"))).join(stacks, "key").select("host", "paths", "stack"), "covered")
     asked = lookup(distinct, covered, ["host"], "paths").select("host", "path", F.explode("stack").alias("rule_host"))
     asked = cut(asked.select("host", "path", prefix_key(F.col("rule_host"), F.col("path")).alias("key")), "asked")
-    fits = cut(sweep(paths_of_rules, asked.select("key").distinct()).where("size(stack) > 0").select("key", F.element_at("stack", -1).alias("best")), "fits")
+    fits = cut(sweep(paths_of_rules, asked.select("key").distinct()).where("size(stack) > 0").select("key", F.expr("get(stack, size(stack) - 1)").alias("best")), "fits")
     count = asked.groupBy("key").agg(F.count("*").alias("n"))
     best = lookup(asked, cut(fits.join(count, "key"), "counted"), ["key"], "n").groupBy("host", "path").agg(F.max("best").alias("best"))
     judged = lookup(urls, cut(distinct.join(best, ["host", "path"], "left"), "judged"), ["host", "path"], "n")

@@ -227,7 +227,8 @@ def test_suffixes_around_a_common_line_lose_no_link(spark):
         line = prose(1, size)
         rows = [(k, f"{prose(1000 + k, 30)} {line} {prose(500 + k // 2, 50 - size)} {prose(3000 + k, 30)}") for k in range(120)]
         got = {(x["doc_id"], x["other"]) for x in suffix_array.repeated_substrings(documents(spark, rows)).collect()}
-        assert got == {(2 * k + 1, 2 * k) for k in range(60)}
+        text = dict(rows)
+        assert got >= {(2 * k + 1, 2 * k) for k in range(60)} and all(shares(text[a], text[b]) for a, b in got)
 
 
 def test_positions_beyond_four_million_words(spark):
@@ -302,9 +303,10 @@ def test_contamination_equals_all_distances(spark):
     for block in (decontaminate.BLOCK_CHARS, 40):
         got = decontaminate.contamination(documents(spark, docs), bench, block_chars=block).collect()
         assert {(x["doc_id"], x["item_id"], x["distance"]) for x in got} == expected and len(got) == len(expected)
-    repeated = decontaminate.contamination(documents(spark, [docs[5], docs[5], (None, docs[5][1])]), bench).collect()
-    assert {x["doc_id"] for x in repeated} == {docs[5][0], None} and len(repeated) % 3 == 0
     found = {i for i, _, _ in expected}
+    hit = next(x for x in docs if x[0] in found)
+    repeated = decontaminate.contamination(documents(spark, [hit, hit, (None, hit[1])]), bench).collect()
+    assert {x["doc_id"] for x in repeated} == {hit[0], None} and len(repeated) % 3 == 0
     clean = decontaminate.clean_documents(documents(spark, [*docs, *docs[:3]]), bench)
     assert sorted(x["doc_id"] for x in clean.collect()) == sorted([i for i, _ in docs if i not in found] + [i for i, _ in docs[:3] if i not in found])
     assert decontaminate.contamination(empty(spark), bench).count() == 0 and decontaminate.clean_documents(empty(spark), bench).count() == 0
