@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,19 +126,6 @@ def predictions(rows: DataFrame, splits: DataFrame, models: DataFrame) -> DataFr
     return rows.join(s, "idx").withColumn("score", F.col("intercept") + F.col("slope") * F.col("feature"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2.0
-
-
-def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by..., pairs, rank_correlation); null where a side is constant."""
-    ranked = rows.withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
-    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("pairs"), F.try_divide(F.covar_pop("rx", "ry"), F.nullif(spread, F.lit(0.0))).alias("rank_correlation"))
-
-
 def long_short(rows: DataFrame, score: str, quantile: float, by: list[str]) -> DataFrame:
     """(by..., dates, spread): mean over dates of the best bucket's return minus the worst one's."""
     w = Window.partitionBy(*by, "asof")
@@ -188,36 +174,65 @@ def regime_faults(regimes: DataFrame) -> DataFrame:
     return r.withColumn("fault", fault).where("fault is not null").select("name", "fault")
 
 
-def scramble_trials(samples: DataFrame, trials: int, seed: int) -> DataFrame:
-    """(trial, group_key, m): the mean label of samples with feature 1 after permuting labels within groups.
+#: Modulus of the permutations' keys, a prime below 2**31, so products of two of them fit in 64 bits.
+_PRIME = 2147483647
 
-    samples: sample_id, group_key, feature, label.  A trial orders a group's labels by md5("seed|trial|sample_id"), then
-    id, and lays them on the samples in the order of their ids, so any engine gives the same.  A group, the cross-section
-    of one date, is a task's unit; trials are drawn from it there, and only their means leave it."""
 
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sample_id", kind="stable")
-        ids, labels, chosen = part["sample_id"].tolist(), part["label"].to_numpy(float), part["feature"].to_numpy(float) == 1
-        means = []
-        for trial in range(1, trials + 1):
-            drawn = sorted(range(len(ids)), key=lambda k: (hashlib.md5(f"{seed}|{trial}|{ids[k]}".encode()).hexdigest(), ids[k]))
-            means.append(labels[drawn][chosen].mean() if chosen.any() else None)
-        return pd.DataFrame({"trial": range(1, trials + 1), "group_key": part["group_key"].iloc[0], "m": means})
+def scramble_hash(sample_id: Column, seed: int) -> Column:
+    """The number that a sample's keys in all trials come from: the first 32 bits of md5("seed|sample_id")."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), sample_id.cast("string"))), 1, 8), 16, 10).cast("long")
 
-    return samples.select("sample_id", "group_key", "feature", "label").groupBy("group_key").applyInPandas(draw, "trial long, group_key string, m double")
 
+def trial_keys(hashes: np.ndarray, trials: int) -> np.ndarray:
+    """Keys (trial, sample) by which a trial orders a group: two rounds of products modulo a prime, exact in any engine."""
+    x = (hashes[None, :] + np.arange(1, trials + 1)[:, None] * 1000003) % _PRIME
+    for add in (40014, 30011):
+        x = x * 48271 % _PRIME
+        x = x * (x % 65536 + add) % _PRIME
+    return x
 
-def selected_mean(rows: DataFrame) -> DataFrame:
-    """One row ``score``: per group the mean label of samples with feature 1, then the mean over groups."""
-    per = rows.groupBy("group_key").agg(F.avg(F.when(F.col("feature") == 1, F.col("label"))).alias("m"))
-    return per.agg(F.avg("m").alias("score"))
 
+def scramble_trials(samples: DataFrame, trials: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., trial, group_key, m): the mean label of samples with feature 1 after permuting labels within groups.
 
-def scramble_p_value(samples: DataFrame, trials: int = 100, seed: int = 44, alternative: str = "greater", alpha: float = 0.05) -> DataFrame:
-    """One row: observed score, rank, p_value = rank / (trials + 1), passed."""
-    observed = selected_mean(samples).select(F.col("score").alias("observed"))
-    scores = scramble_trials(samples, trials, seed).groupBy("trial").agg(F.avg("m").alias("score"))
+    samples: by..., sample_id, group_key, feature, label.  In a trial a group's labels are put in the order of their samples'
+    keys, ties by id, and laid on the samples in the order of ids.  The order is a function of seed, trial and id alone, not
+    of a generator that is drawn from in turn, so groups are independent and any engine gives the same; p-values differ from
+    those of a sequential generator as two seeds' do.  All that share a group key, the cross-sections of one date, are a
+    task's unit; only means leave it."""
+    keyed = samples.select(*by, "group_key", "sample_id", "feature", "label", scramble_hash(F.col("sample_id"), seed).alias("h"))
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, rows in (part.groupby(list(by), sort=False) if by else [((), part)]):
+            rows = rows.sort_values("sample_id", kind="stable")
+            chosen, labels = rows["feature"].to_numpy(float) == 1, rows["label"].to_numpy(float)
+            if chosen.any():
+                drawn = np.argsort(trial_keys(rows["h"].to_numpy(np.int64), trials), axis=1, kind="stable")
+                means = labels[drawn][:, chosen].mean(axis=1)
+            else:
+                means = np.full(trials, np.nan)
+            out.append(pd.DataFrame({**dict(zip(by, name)), "group_key": rows["group_key"].iloc[0], "m": means, "trial": np.arange(1, trials + 1)}))
+        found = pd.concat(out)
+        return found.assign(m=found["m"].astype("Float64"))[[*by, "trial", "group_key", "m"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "trial long", f"group_key {kinds['group_key']}", "m double"])
+    return keyed.groupBy("group_key").applyInPandas(draw, schema)
+
+
+def selected_mean(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., score): per group the mean label of samples with feature 1, then the mean over groups."""
+    per = rows.groupBy(*by, "group_key").agg(F.avg(F.when(F.col("feature") == 1, F.col("label"))).alias("m"))
+    return per.groupBy(*by).agg(F.avg("m").alias("score"))
+
+
+def scramble_p_value(samples: DataFrame, trials: int = 100, seed: int = 44, alternative: str = "greater", alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., observed, rank, trials, p_value = rank / (trials + 1), passed), a row for each of ``by``."""
+    observed = selected_mean(samples, by).withColumnRenamed("score", "observed")
+    scores = scramble_trials(samples, trials, seed, by).groupBy(*by, "trial").agg(F.avg("m").alias("score"))
     extreme = {"greater": F.col("score") >= F.col("observed"), "less": F.col("score") <= F.col("observed"), "two_sided": F.abs("score") >= F.abs("observed")}[alternative]
-    rank = scores.join(F.broadcast(observed), F.lit(True)).groupBy("observed").agg((F.sum(extreme.cast("bigint")) + 1).alias("rank"), F.count("*").alias("trials"))
+    both = scores.join(observed, list(by)) if by else scores.join(F.broadcast(observed), F.lit(True))  # one row
+    rank = both.groupBy(*by, "observed").agg((F.sum(extreme.cast("bigint")) + 1).alias("rank"), F.count("*").alias("trials"))
     out = rank.withColumn("p_value", F.col("rank") / (F.col("trials") + 1))
     return out.withColumn("passed", F.col("p_value") <= alpha)

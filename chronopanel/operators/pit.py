@@ -13,12 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chronopanel.operators.income import income_features
 from chronopanel.operators.panel import HORIZONS, by_security, label_availability
 
-#: Ratios and growth rates of quarterly statements: numerator and denominator, or the metric that grows.
-MARGINS = {"gross_margin": ("gross_profit", "revenue"), "operating_margin": ("operating_income", "revenue"), "net_margin": ("net_income", "revenue")}
-GROWTH = {"revenue_growth_yoy": "revenue", "diluted_shares_change_yoy": "diluted_weighted_average_shares"}
-
 
 def anchored(asofs: DataFrame, sessions: DataFrame) -> DataFrame:
     """``asofs`` (security_id, asof) with ``anchor``: the number of the newest session visible at the instant, null before the first.
@@ -78,51 +75,9 @@ def realized_volatility_at(asofs: DataFrame, spine: DataFrame, returns: int = 63
     return _valued(rows.withColumn("status", status), F.col("sd") * math.sqrt(sessions_a_year))
 
 
-def _visible_periods(metrics: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
-    """For each instant at which a security's metrics change, its visible periods with the newest value of each wanted metric.
-
-    Several rows of a metric and period are revisions: the one that became available last counts, of those the larger."""
-    key = ["security_id", "fiscal_year", "fiscal_period", "period_end"]
-    instants = metrics.select("security_id", F.col("available_at").alias("ts")).distinct()
-    seen = instants.join(metrics, "security_id").where(F.col("available_at") <= F.col("ts"))
-    picked = []
-    for k, name in enumerate(wanted):
-        state = F.max(F.when(F.col("metric_name") == name, F.struct("available_at", "metric_value")))
-        picked.append(state.alias(f"m{k}"))
-    return seen.groupBy("ts", *key).agg(*picked)
-
-
 def income_feature(metrics: DataFrame, asofs: DataFrame, name: str) -> DataFrame:
-    """(security_id, asof, fiscal_year, fiscal_period, value, status, available_at) of a margin or a growth rate by name.
-
-    metrics: security_id, fiscal_year, fiscal_period, period_end, metric_name, metric_value, available_at; asofs: security_id,
-    asof.  The newest visible quarter that has what is needed counts, older ones are fallbacks; without one the status says
-    why.  States are computed where a security's metrics change, a few dozen instants whatever the number of as-ofs, and
-    as-of rows take the last state before them: one stream a security, no range join."""
-    period, keys = F.struct("period_end", "fiscal_year", "fiscal_period"), ["security_id", "ts"]
-    if name in MARGINS:
-        rows = _visible_periods(metrics, MARGINS[name]).withColumn("here", F.col("m0").isNotNull() & F.col("m1").isNotNull())
-        rows = rows.withColumn("base", F.col("m1.metric_value")).withColumn("value", F.try_divide("m0.metric_value", "m1.metric_value")).withColumn("known", F.greatest("m0.available_at", "m1.available_at"))
-        prior = F.lit(True)
-    elif name in GROWTH:
-        rows = _visible_periods(metrics, (GROWTH[name],))
-        before = rows.groupBy(*keys, (F.col("fiscal_year") + 1).alias("fiscal_year"), "fiscal_period").agg(F.max(F.struct("period_end", F.col("m0").alias("m1"))).alias("prior"))
-        rows = rows.join(before, [*keys, "fiscal_year", "fiscal_period"], "left").withColumn("m1", F.col("prior.m1")).withColumn("here", F.col("m0").isNotNull())
-        rows = rows.withColumn("base", F.col("m1.metric_value")).withColumn("value", F.try_divide("m0.metric_value", "m1.metric_value") - 1).withColumn("known", F.greatest("m0.available_at", "m1.available_at"))
-        prior = F.col("m1").isNotNull()
-    else:
-        raise ValueError(f"no income feature {name}")
-    usable = F.col("here") & prior
-    state = rows.groupBy(*keys).agg(
-        F.max(F.when(usable & (F.col("base") != 0), F.struct(period.alias("period"), "value", "known"))).alias("best"),
-        F.bool_or(usable & (F.col("base") == 0)).alias("zero"), F.bool_or(F.col("here") & ~prior).alias("no_prior"))
-    status = F.when(F.col("best").isNotNull(), "ok").when(F.col("zero"), "zero_denominator").when(F.col("no_prior"), "missing_prior_year_metric").otherwise("missing_current_metric")
-    stream = state.select(*keys, F.lit(0).alias("kind"), F.struct("best", status.alias("status")).alias("state")).unionByName(asofs.select("security_id", F.col("asof").alias("ts"), F.lit(1).alias("kind")), allowMissingColumns=True)
-    last = F.last("state", ignorenulls=True).over(Window.partitionBy("security_id").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    out = stream.withColumn("seen", last).where("kind = 1")
-    return out.select(
-        "security_id", F.col("ts").alias("asof"), F.col("seen.best.period.fiscal_year").alias("fiscal_year"), F.col("seen.best.period.fiscal_period").alias("fiscal_period"),
-        F.col("seen.best.value").alias("value"), F.coalesce("seen.status", F.lit("no_visible_period")).alias("status"), F.col("seen.best.known").alias("available_at"))
+    """``income.income_features`` of one name, without its column."""
+    return income_features(metrics, asofs, (name,)).drop("feature")
 
 
 def label_rows(asofs: DataFrame, calendar: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = HORIZONS, benchmark: DataFrame | None = None, cutoff=None) -> DataFrame:

@@ -110,6 +110,7 @@ def year_drivers(windows: DataFrame) -> DataFrame:
 #: What the reasons of verdicts mean.
 MEANINGS = {
     "passed": "beats the equal-weight baseline after costs", "baseline_failed": "does not beat the equal-weight baseline after costs", "insufficient_data": "too few sessions for a window", "running": "not finished",
+    "insufficient_walk_forward_windows": "too few scored windows to tell", "walk_forward_unstable": "too few windows beat the baseline, or their mean does not", "label_scramble_failed": "permuted labels do as well",
 }
 
 
@@ -193,10 +194,10 @@ def bucket_heatmap(windows: DataFrame) -> DataFrame:
     return per.select("year", F.array_join(F.col("marks.sign"), "").alias("signs"), "total", "positive")
 
 
-def temporal_concentration(windows: DataFrame) -> DataFrame:
-    """One row: the largest positive window as a share of all positive ones; null without any."""
+def temporal_concentration(windows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., top_share, windows): the largest positive window as a share of all positive ones; null without any."""
     gains = F.sum(F.when(F.col("difference") > 0, F.col("difference")))
-    return windows.agg(F.when(gains > 0, F.max("difference") / gains).alias("top_share"), F.count("*").alias("windows"))
+    return windows.groupBy(*by).agg(F.when(gains > 0, F.max("difference") / gains).alias("top_share"), F.count("*").alias("windows"))
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

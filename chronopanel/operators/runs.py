@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from chronopanel.operators import backtest as B
+from chronopanel.operators import ranks
 
 
 def planned_windows(scores: DataFrame, splits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -58,9 +59,9 @@ def pooled_metrics(pred: DataFrame, horizon: int, quantile: float) -> DataFrame:
     one = pred.withColumn("all", F.lit(1))
     cost, out = B.long_short_cost(horizon), None
     for name, score in (("model", "score"), ("baseline", "feature")):
-        ranks = B.spearman(one, score, "ret", ["all"]).select("all", "pairs", F.col("rank_correlation").alias(f"{name}_rank"))
+        correlation = ranks.spearman(one, score, "ret", ["all"]).select("all", "pairs", F.col("rank_correlation").alias(f"{name}_rank"))
         spread = B.long_short(one, score, quantile, ["all"]).select("all", F.col("spread").alias(f"{name}_gross"), (F.col("spread") - cost).alias(f"{name}_net"))
-        part = ranks.join(spread, "all", "left")
+        part = correlation.join(spread, "all", "left")
         out = part if out is None else out.join(part.drop("pairs"), "all")
     return out.drop("all").withColumn("rank_delta", F.col("model_rank") - F.col("baseline_rank")).withColumn("net_delta", F.col("model_net") - F.col("baseline_net"))
 

@@ -14,10 +14,11 @@ from pyspark.sql import Window
 
 from chronopanel.functions import time as T
 from chronopanel.operators import backtest as B
+from chronopanel.operators import income as INC
 from chronopanel.operators import panel as P
-from chronopanel.operators import pit as PIT
+from chronopanel.operators import ranks
 from chronopanel.operators import reports as R
-from chronopanel.session import once
+from chronopanel.session import once, stage
 from chronopanel.sources import tables as S
 from chronopanel.sources import vault, vendor
 
@@ -536,7 +537,7 @@ def spearman_by_split(spark, sf_dir):
     rows = joined(spark, sf_dir)
     splits = splits_for(spark, sf_dir, rows)
     pred = B.predictions(rows, splits, B.walk_forward_ols(rows, splits))
-    return B.spearman(pred, "feature", "ret", ["split"]).select("split", "pairs", r8("rank_correlation"))
+    return ranks.spearman(pred, "feature", "ret", ["split"]).select("split", "pairs", r8("rank_correlation"))
 
 
 @query(f"""{BASE}, {OLS}, {PRED}, k AS (SELECT *, row_number() OVER (PARTITION BY split, asof ORDER BY feature, security_id) AS k, count(*) OVER (PARTITION BY split, asof) AS m FROM pred),
@@ -571,18 +572,49 @@ def regime_summary(spark, sf_dir):
     return out.select("name", "sample_count", "value_count", *[r8(c) for c in ("mean", "sd", "low", "high", "hit_rate")])
 
 
-@query(f"""{BASE}, smp AS (SELECT asof, asof || '|' || security_id AS id, rn <= greatest(1, n // 2) AS chosen, ret FROM ranked),
-trials AS (SELECT t, asof, chosen, ret, row_number() OVER (PARTITION BY t, asof ORDER BY id) AS slot, row_number() OVER (PARTITION BY t, asof ORDER BY md5('44|' || t || '|' || id), id) AS drawn FROM smp, (SELECT unnest(generate_series(1, 100)) AS t)),
-means AS (SELECT a.t, a.asof, avg(b.ret) AS m FROM trials a JOIN trials b ON a.t = b.t AND a.asof = b.asof AND b.drawn = a.slot WHERE a.chosen GROUP BY 1, 2),
-tscores AS (SELECT t, avg(m) AS score FROM means GROUP BY t), obs AS (SELECT avg(m) AS observed FROM (SELECT asof, avg(ret) FILTER (WHERE chosen) AS m FROM smp GROUP BY asof))
-SELECT round(observed, 8) AS observed, count(*) FILTER (WHERE score >= observed) + 1 AS rank, count(*) AS trials, round((count(*) FILTER (WHERE score >= observed) + 1) / 101, 8) AS p_value, (count(*) FILTER (WHERE score >= observed) + 1) / 101 <= 0.05 AS passed
-FROM tscores, obs GROUP BY observed""")
+def scramble_sql(samples: str, by: str, trials: int, seed: int, name: str = "drawn") -> str:
+    """CTEs that end in {name}: by, t, score, the selected mean of each trial.  samples: by, g, id, chosen, ret."""
+    p, keys = B._PRIME, f"{by}, g" if by else "g"
+    step = lambda src, add: f"(SELECT * EXCLUDE x, y * (y % 65536 + {add}) % {p} AS x FROM (SELECT *, x * 48271 % {p} AS y FROM {src}))"
+    first = f"(SELECT s.*, t, (('0x' || substr(md5('{seed}|' || id), 1, 8))::BIGINT + t * 1000003) % {p} AS x FROM {samples} s, (SELECT unnest(generate_series(1, {trials})) AS t))"
+    mixed = step(step(first, 40014).replace("SELECT * EXCLUDE x,", "SELECT * EXCLUDE (x, y),"), 30011).replace("SELECT * EXCLUDE x,", "SELECT * EXCLUDE (x, y),")
+    return f"""masks AS (SELECT {keys}, list(chosen ORDER BY id) AS mask FROM {samples} GROUP BY {keys}),
+put AS (SELECT {keys}, t, ret, row_number() OVER (PARTITION BY {keys}, t ORDER BY x, id) AS slot FROM {mixed}),
+gmeans AS (SELECT {keys}, t, avg(ret) AS m FROM put JOIN masks USING ({keys}) WHERE mask[slot] GROUP BY {keys}, t),
+{name} AS (SELECT {by + ', ' if by else ''}t, avg(m) AS score FROM gmeans GROUP BY {by + ', ' if by else ''}t)"""
+
+
+_EXTREME = {"greater": "score >= observed", "less": "score <= observed", "two_sided": "abs(score) >= abs(observed)"}
+_SCRAMBLE = f"""{BASE}, smp AS (SELECT asof AS g, asof || '|' || security_id AS id, rn <= greatest(1, n // 2) AS chosen, ret FROM ranked), {scramble_sql('smp', '', 100, 44)},
+obs AS (SELECT avg(m) AS observed FROM (SELECT g, avg(ret) FILTER (WHERE chosen) AS m FROM smp GROUP BY g))"""
+
+
+def _scrambled(alternative: str) -> str:
+    n = f"(count(*) FILTER (WHERE {_EXTREME[alternative]}) + 1)"
+    return f"SELECT round(observed, 8) AS observed, {n} AS rank, count(*) AS trials, round({n} / 101, 8) AS p_value, {n} / 101 <= 0.05 AS passed FROM drawn, obs GROUP BY observed"
+
+
+def scramble_samples(ranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scored rows with their selection as samples of a permutation test, grouped by date."""
+    return ranked.select(*by, F.concat_ws("|", "asof", "security_id").alias("sample_id"), F.col("asof").cast("string").alias("group_key"), F.col("selected").cast("double").alias("feature"), F.col("ret").alias("label"))
+
+
+@query(f"{_SCRAMBLE} {_scrambled('greater')}")
 def scramble_pvalue(spark, sf_dir):
-    ranked = B.select_top_half(joined(spark, sf_dir))
-    samples = ranked.select(F.concat_ws("|", "asof", "security_id").alias("sample_id"), F.col("asof").cast("string").alias("group_key"), F.col("selected").cast("double").alias("feature"), F.col("ret").alias("label"))
+    samples = scramble_samples(B.select_top_half(joined(spark, sf_dir)))
     return B.scramble_p_value(samples).select(r8("observed"), "rank", "trials", r8("p_value"), "passed")
 
 
+@query(f"{_SCRAMBLE} " + " UNION ALL ".join(f"SELECT '{a}' AS alternative, * FROM ({_scrambled(a)})" for a in _EXTREME))
+def scramble_alternatives(spark, sf_dir):
+    """The permutation test against each alternative."""
+    samples, out = scramble_samples(B.select_top_half(joined(spark, sf_dir))), None
+    for a in ("greater", "less", "two_sided"):
+        part = B.scramble_p_value(samples, alternative=a).select(F.lit(a).alias("alternative"), r8("observed"), "rank", "trials", r8("p_value"), "passed")
+        out = part if out is None else out.union(part)
+    return out
+
+
 # ---------------------------------------------------------------- reports
 
 ATTR = """attr AS (SELECT security_id, count(*) FILTER (WHERE rn <= greatest(1, n // 2)) AS selected_rows, count(DISTINCT asof) FILTER (WHERE rn <= greatest(1, n // 2)) AS selected_dates,
@@ -677,14 +709,14 @@ def income_metrics(spark, sf_dir):
 
 def income_sql(name: str, asofs: str, tag: str = "") -> str:
     """CTEs that end in income{tag}: security_id, asof, fiscal_year, fiscal_period, value, status, available_at, every as-of against every period."""
-    if name in PIT.MARGINS:
-        top, base = PIT.MARGINS[name]
+    if name in INC.MARGINS:
+        top, base = INC.MARGINS[name]
     else:
-        top = base = PIT.GROWTH[name]
+        top = base = INC.GROWTH[name]
     pick = lambda m, c: f"arg_max({c}, (available_at, metric_value)) FILTER (WHERE metric_name = '{m}')"
     seen = f"""vis{tag} AS (SELECT a.security_id, a.asof, p.* EXCLUDE (security_id) FROM {asofs} a JOIN pm p ON p.security_id = a.security_id AND p.available_at <= a.asof),
 per{tag} AS (SELECT security_id, asof, fiscal_year, fiscal_period, period_end, {pick(top, 'metric_value')} AS top, {pick(top, 'available_at')} AS top_at, {pick(base, 'metric_value')} AS base, {pick(base, 'available_at')} AS base_at FROM vis{tag} GROUP BY ALL)"""
-    if name in PIT.MARGINS:
+    if name in INC.MARGINS:
         rows = f"cmp{tag} AS (SELECT *, top IS NOT NULL AND base IS NOT NULL AS here, true AS prior, top / nullif(base, 0) AS value, greatest(top_at, base_at) AS known FROM per{tag})"
     else:
         rows = f"""old{tag} AS (SELECT security_id, asof, fiscal_year + 1 AS fiscal_year, fiscal_period, arg_max({{'v': top, 't': top_at}}, period_end) AS o FROM per{tag} GROUP BY 1, 2, 3, 4),
@@ -712,10 +744,10 @@ def materializers(spark, sf_dir) -> dict:
     asofs = grid.select("security_id", F.col("session").cast("timestamp").alias("asof"))
 
     def income(name):
-        found = PIT.income_feature(income_metrics(spark, sf_dir), asofs, name)
+        found = once(spark, f"income_features:{sf_dir}", lambda: INC.income_features(income_metrics(spark, sf_dir), asofs, (*INC.MARGINS, *INC.GROWTH))).where(F.col("feature") == name)
         return found.select("security_id", F.col("asof").cast("date").alias("session"), "value", "status").join(grid.select("security_id", "session", "idx"), ["security_id", "session"])
 
-    known |= {name: (lambda name=name: income(name)) for name in (*PIT.MARGINS, *PIT.GROWTH)}
+    known |= {name: (lambda name=name: income(name)) for name in (*INC.MARGINS, *INC.GROWTH)}
     return {name: known[name] for name in CANDIDATES}
 
 
@@ -744,7 +776,7 @@ def candidates_sql() -> str:
     rows.append("SELECT 'avg_dollar_volume_63', security_id, session, idx, CASE WHEN idx >= 62 AND n = 63 THEN m END, CASE WHEN idx < 62 THEN 'insufficient_history' WHEN n < 63 THEN 'missing_price' ELSE 'ok' END FROM adv")
     ctes.append(f"rvr AS (SELECT *, price / lag(price) {BY}) - 1 AS step FROM spine), rv AS (SELECT *, count(step) {BY} ROWS 62 PRECEDING) AS n, stddev_samp(step) {BY} ROWS 62 PRECEDING) AS sd FROM rvr)")
     rows.append("SELECT 'realized_volatility_63', security_id, session, idx, CASE WHEN idx >= 63 AND n = 63 THEN sd * sqrt(252) END, CASE WHEN idx < 63 THEN 'insufficient_history' WHEN n < 63 THEN 'missing_price' ELSE 'ok' END FROM rv")
-    for k, name in enumerate((*PIT.MARGINS, *PIT.GROWTH)):
+    for k, name in enumerate((*INC.MARGINS, *INC.GROWTH)):
         ctes.append(income_sql(name, "casofs", f"_i{k}"))
         rows.append(f"SELECT '{name}', i.security_id, CAST(i.asof AS DATE), c.idx, i.value, i.status FROM income_i{k} i JOIN casofs c ON c.security_id = i.security_id AND c.asof = i.asof")
     return "WITH " + ", ".join(ctes) + ", cand AS (" + " UNION ALL ".join(rows) + ")"
@@ -768,11 +800,21 @@ span AS (SELECT base_key, horizon, min(idx) AS base, max(idx) + horizon - min(id
 spl AS (SELECT base_key, horizon, base, pos, base + pos - horizon - 1 AS train_to FROM (SELECT *, unnest(generate_series({TRAIN} + horizon, n - {TEST} - horizon, {STEP})) AS pos FROM span)),
 trn AS (SELECT p.base_key, p.horizon, pos FROM spl p JOIN dates d ON d.base_key = p.base_key AND d.horizon = p.horizon AND d.idx BETWEEN base AND train_to GROUP BY ALL),
 win AS (SELECT p.base_key, p.horizon, p.pos, avg(s) - avg(b) AS difference FROM spl p JOIN trn USING (base_key, horizon, pos) JOIN dates d ON d.base_key = p.base_key AND d.horizon = p.horizon AND d.idx BETWEEN base + p.pos AND base + p.pos + {TEST} - 1 GROUP BY 1, 2, 3),
-got AS (SELECT base_key, horizon, count(*) AS scored, count(*) FILTER (WHERE difference > 0) AS positive, avg(difference) AS difference FROM win GROUP BY 1, 2),
-grid AS (SELECT * FROM (SELECT unnest([{', '.join(f"'{n}'" for n in CANDIDATES)}]) AS base_key), (SELECT CAST(unnest([5, 21, 63, 126, 252]) AS BIGINT) AS horizon)),
-cells AS (SELECT g.base_key, g.horizon, coalesce(scored, 0) AS scored, coalesce(positive, 0) AS positive, difference,
-  CASE WHEN scored IS NULL THEN 'insufficient_data' WHEN g.horizon = 126 AND scored > 3 THEN 'running' WHEN difference <= 0 THEN 'rejected' WHEN positive = scored THEN 'accepted' ELSE 'promising' END AS verdict,
-  CASE WHEN scored IS NULL THEN 'insufficient_data' WHEN g.horizon = 126 AND scored > 3 THEN 'running' WHEN difference <= 0 THEN 'baseline_failed' ELSE 'passed' END AS reason FROM grid g LEFT JOIN got w ON w.base_key = g.base_key AND w.horizon = g.horizon)"""
+got AS (SELECT base_key, horizon, count(*) AS scored, count(*) FILTER (WHERE difference > 0) AS positive, avg(difference) AS difference,
+  CASE WHEN sum(difference) FILTER (WHERE difference > 0) > 0 THEN max(difference) / sum(difference) FILTER (WHERE difference > 0) END AS top_share FROM win GROUP BY 1, 2),
+csmp AS (SELECT r.base_key || '__h' || r.horizon AS cell, r.asof AS g, r.asof || '|' || r.security_id AS id, rn <= greatest(1, n // 2) AS chosen, ret FROM rnk r JOIN spl p USING (base_key, horizon) JOIN win w ON w.base_key = p.base_key AND w.horizon = p.horizon AND w.pos = p.pos WHERE r.idx BETWEEN base + p.pos AND base + p.pos + {TEST} - 1),
+{scramble_sql('csmp', 'cell', SWEEP_TRIALS, 44)},
+cobs AS (SELECT cell, avg(m) AS observed FROM (SELECT cell, g, avg(ret) FILTER (WHERE chosen) AS m FROM csmp GROUP BY 1, 2) GROUP BY 1),
+pv AS (SELECT cell, (count(*) FILTER (WHERE score >= observed) + 1) / {SWEEP_TRIALS + 1} AS p_value FROM drawn JOIN cobs USING (cell) GROUP BY 1),
+grid AS (SELECT *, base_key || '__h' || horizon AS cell FROM (SELECT unnest([{', '.join(f"'{n}'" for n in CANDIDATES)}]) AS base_key), (SELECT CAST(unnest([5, 21, 63, 126, 252]) AS BIGINT) AS horizon)),
+run AS (SELECT g.base_key, g.horizon, coalesce(scored, 0) AS scored, coalesce(positive, 0) AS positive, difference, top_share, p_value,
+  CASE WHEN scored < 3 THEN 'insufficient_walk_forward_windows' WHEN positive / scored < 0.6 OR difference <= 0 THEN 'walk_forward_unstable' END AS failure FROM grid g LEFT JOIN got w ON w.base_key = g.base_key AND w.horizon = g.horizon LEFT JOIN pv ON pv.cell = g.cell),
+cells AS (SELECT *, CASE WHEN scored = 0 THEN 'insufficient_data' WHEN failure IS NOT NULL OR p_value > 0.05 OR difference <= 0 THEN 'rejected' ELSE 'promising' END AS verdict,
+  CASE WHEN scored = 0 THEN 'insufficient_data' WHEN failure IS NOT NULL THEN failure WHEN p_value > 0.05 THEN 'label_scramble_failed' WHEN difference <= 0 THEN 'baseline_failed' ELSE 'passed' END AS reason FROM run)"""
+
+
+#: Trials of each cell's permutation test, enough for p-values well below the level of 0.05.
+SWEEP_TRIALS = 39
 
 
 def sweep_cells(spark, sf_dir, evaluated: DataFrame | None = None):
@@ -785,26 +827,31 @@ def sweep_cells(spark, sf_dir, evaluated: DataFrame | None = None):
     grid = spark.createDataFrame([(n,) for n in CANDIDATES], "base_key string").select("base_key", horizons)
     if evaluated is not None:
         grid = grid.join(evaluated, list(cell), "left_anti")
-    samples = values.join(labels, ["security_id", "asof"]).join(grid, list(cell), "left_semi")
+    samples = stage(values.join(labels, ["security_id", "asof"]).join(grid, list(cell), "left_semi"), "samples")  # scored, and permuted
     scores = B.date_scores(samples, by=cell)
     bounds = scores.groupBy(*cell).agg(F.min("idx").alias("base"), (F.max("idx") + F.col("horizon") - F.min("idx") + 1).alias("n"))
     splits = B.splits_within(bounds, F.col("horizon"), TRAIN, TEST, STEP, by=cell)
-    evidence = R.walk_forward_evidence(B.window_scores(scores, splits, cell), 1, 0.0, [*cell]).withColumnRenamed("mean_difference", "difference").drop("status", "failure_reason")
-    run = grid.join(evidence, list(cell), "left").withColumns({"scored": F.coalesce("scored", F.lit(0)), "positive": F.coalesce("positive", F.lit(0))})
-    # registry fields as a later stage of the life of a run would have them: too few windows, still running, accepted
-    status = F.when(F.col("scored") == 0, "insufficient_data").when((F.col("horizon") == 126) & (F.col("scored") > 3), "running").otherwise("succeeded")
-    evaluation = F.when((F.col("scored") > 0) & (F.col("positive") == F.col("scored")), "accepted")
-    run = run.select("*", F.lit(1).alias("run_id"), status.alias("status"), evaluation.alias("evaluation"), F.lit(None).cast("string").alias("failure"), F.lit(True).alias("scramble_pass"))
-    return R.derived_verdict(run).select("base_key", "horizon", "scored", "positive", "difference", "verdict", "reason")
+    windows = stage(B.window_scores(scores, splits, cell), "windows")
+    evidence = R.walk_forward_evidence(windows, 3, 0.6, [*cell]).withColumnRenamed("mean_difference", "difference").drop("status")
+    scored = B.split_sessions(splits.join(windows.select(*cell, "split"), [*cell, "split"], "left_semi"), "test", cell).select(*cell, "idx")
+    tests = B.scramble_p_value(scramble_samples(B.select_top_half(samples, cell).join(scored, [*cell, "idx"], "left_semi"), cell), SWEEP_TRIALS, by=cell).select(*cell, "p_value", F.col("passed").alias("scramble_pass"))
+    run = grid.join(evidence, list(cell), "left").join(R.temporal_concentration(windows, cell).drop("windows"), list(cell), "left").join(tests, list(cell), "left")
+    run = run.withColumns({"scored": F.coalesce("scored", F.lit(0)), "positive": F.coalesce("positive", F.lit(0))})
+    # a cell's run succeeds where a window can be scored; its evaluation follows from the evidence and the permutation test
+    run = run.withColumns({"run_id": F.sha2(F.concat_ws("__h", "base_key", "horizon"), 256), "status": F.when(F.col("scored") == 0, "insufficient_data").otherwise("succeeded")})
+    harder = R.harder_status(F.col("failure_reason"), F.col("scramble_pass"))
+    evaluation = F.coalesce(harder["status"], R.evaluation_status(F.col("status"), F.col("scramble_pass")))
+    run = run.withColumns({"evaluation": evaluation, "failure": F.when(F.col("scored") > 0, harder["reason"])})
+    return R.derived_verdict(run).select("base_key", "horizon", "scored", "positive", "difference", "p_value", "top_share", "evaluation", "verdict", "reason")
 
 
 def cells(spark, sf_dir):
     return once(spark, f"cells:{sf_dir}", lambda: sweep_cells(spark, sf_dir))
 
 
-@query(cells_sql() + " SELECT base_key, horizon, scored, positive, round(difference, 8) AS difference, verdict, reason FROM cells")
+@query(cells_sql() + " SELECT base_key, horizon, scored, positive, round(difference, 8) AS difference, round(p_value, 8) AS p_value, round(top_share, 8) AS top_share, verdict, reason FROM cells")
 def verdicts(spark, sf_dir):
-    return cells(spark, sf_dir).select("base_key", "horizon", "scored", "positive", r8("difference"), "verdict", "reason")
+    return cells(spark, sf_dir).select("base_key", "horizon", "scored", "positive", r8("difference"), r8("p_value"), r8("top_share"), "verdict", "reason")
 
 
 @query(cells_sql() + " SELECT base_key, " + ", ".join(f"coalesce(max(verdict) FILTER (WHERE horizon = {h}), 'pending') AS h{h}" for h in P.HORIZONS) + " FROM cells GROUP BY base_key")
@@ -828,14 +875,14 @@ def adjacent_health(spark, sf_dir):
 
 
 @query(cells_sql() + _HEALTH + """ SELECT base_key, horizon, CASE WHEN difference / 0.002 IS NULL THEN 'unknown' WHEN difference / 0.002 >= 5 THEN 'low' WHEN difference / 0.002 >= 1 THEN 'medium' ELSE 'high' END AS cost_class,
-CASE WHEN difference IS NULL THEN 'demote' WHEN difference / 0.002 < 1 THEN 'demote' WHEN positive / scored < 0.6 THEN 'demote' WHEN difference >= 0.01 AND difference / 0.002 >= 5 AND health <> 'weak' THEN 'deep_dive' ELSE 'watch' END AS recommendation,
-CASE WHEN verdict <> 'promising' THEN 'demote' WHEN difference / 0.002 < 1 THEN 'demote' WHEN positive / scored < 0.6 THEN 'demote' WHEN positive / scored < 0.65 OR health <> 'supportive' THEN 'watch' ELSE 'continue' END AS deep_dive FROM health""")
+CASE WHEN p_value IS NULL THEN 'watch' WHEN difference IS NULL THEN 'demote' WHEN difference / 0.002 < 1 THEN 'demote' WHEN positive / scored < 0.6 THEN 'demote' WHEN difference >= 0.01 AND difference / 0.002 >= 5 AND health <> 'weak' THEN 'deep_dive' ELSE 'watch' END AS recommendation,
+CASE WHEN verdict <> 'promising' THEN 'demote' WHEN difference / 0.002 < 1 THEN 'demote' WHEN positive / scored < 0.6 THEN 'demote' WHEN positive / scored < 0.65 OR health <> 'supportive' OR top_share IS NULL OR top_share >= 0.2 THEN 'watch' ELSE 'continue' END AS deep_dive FROM health""")
 def recommendation(spark, sf_dir):
     rows = R.adjacent_health(cells(spark, sf_dir)).withColumn("multiple", R.cost_multiple(F.col("difference"), F.lit(20.0))).withColumn("rate", F.try_divide("positive", "scored"))
     return rows.select(
         "base_key", "horizon", R.cost_class(F.col("multiple")).alias("cost_class"),
-        R.promising_recommendation(F.col("difference"), F.lit(0.01), F.col("rate"), F.col("multiple"), F.col("health")).alias("recommendation"),
-        R.deep_dive_recommendation(F.col("verdict"), F.col("difference"), F.col("rate"), F.col("multiple"), F.col("health"), F.lit(0.1)).alias("deep_dive"),
+        R.promising_recommendation(F.col("difference"), F.col("p_value"), F.col("rate"), F.col("multiple"), F.col("health")).alias("recommendation"),
+        R.deep_dive_recommendation(F.col("verdict"), F.col("difference"), F.col("rate"), F.col("multiple"), F.col("health"), F.col("top_share")).alias("deep_dive"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import policies
 from chronopanel.functions import time as T
+from chronopanel.operators import income as INC
 from chronopanel.operators import panel as P
 from chronopanel.operators import pit as PIT
 from chronopanel.plans.catalogue import (
@@ -110,7 +111,7 @@ def _pit_income(name: str) -> None:
     ORACLE_SQL[f"pit_{name}"] = quoted(sql)
 
 
-for _name in (*PIT.MARGINS, *PIT.GROWTH):
+for _name in (*INC.MARGINS, *INC.GROWTH):
     _pit_income(_name)
 
 

@@ -543,7 +543,8 @@ def untested_cells(spark, sf_dir):
     return rows.groupBy("base_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("horizon")), lambda x: x.cast("string")), ",").alias("untested"))
 
 
-@query(cells_sql() + " SELECT reason, count(*) AS n, CASE reason WHEN 'passed' THEN 'beats the equal-weight baseline after costs' WHEN 'baseline_failed' THEN 'does not beat the equal-weight baseline after costs' WHEN 'insufficient_data' THEN 'too few sessions for a window' WHEN 'running' THEN 'not finished' END AS meaning, min(base_key || '__h' || horizon) AS example FROM cells GROUP BY 1")
+@query(cells_sql() + """ SELECT reason, count(*) AS n, CASE reason WHEN 'passed' THEN 'beats the equal-weight baseline after costs' WHEN 'baseline_failed' THEN 'does not beat the equal-weight baseline after costs' WHEN 'insufficient_data' THEN 'too few sessions for a window' WHEN 'running' THEN 'not finished'
+  WHEN 'insufficient_walk_forward_windows' THEN 'too few scored windows to tell' WHEN 'walk_forward_unstable' THEN 'too few windows beat the baseline, or their mean does not' WHEN 'label_scramble_failed' THEN 'permuted labels do as well' END AS meaning, min(base_key || '__h' || horizon) AS example FROM cells GROUP BY 1""")
 def reason_glossary(spark, sf_dir):
     return R.glossary(cells(spark, sf_dir))
 

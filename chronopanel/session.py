@@ -51,6 +51,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a long plan ends there, and a retry gives the same rows."""
+    path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries of a session read: made and written to the shared folder at its first use.
 

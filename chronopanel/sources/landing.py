@@ -1,7 +1,7 @@
 """Landed vendor responses: files of payloads in, rows with a request and a body out.
 
-Nothing here makes a request: a fetcher writes what it got, one JSON object a line with endpoint, params, status and body,
-and retries what ``retryable`` says; everything after that is a scan."""
+Nothing here makes a request: ``connector`` does, with the rules below for what to try again; its responses are landed one
+JSON object a line with endpoint, params, status and body, and everything after that is a scan."""
 
 from __future__ import annotations
 
@@ -28,6 +28,16 @@ def pause_seconds(attempt: Column, first: float = 1.0, most: float = 30.0) -> Co
     return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2.0), attempt - 1))
 
 
+def worth_retry(status: int) -> bool:
+    """``retryable`` for a single response."""
+    return status in (408, 429) or status >= 500
+
+
+def pause_after(attempt: int, first: float = 1.0, most: float = 30.0) -> float:
+    """``pause_seconds`` for a single request."""
+    return min(most, first * 2.0 ** (attempt - 1))
+
+
 def land(rows: DataFrame, path: str) -> None:
     """Write responses in the landed form."""
     rows.select("source", "endpoint", "params", F.col("status").cast("int").alias("status"), "body").write.json(path)

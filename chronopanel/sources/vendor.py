@@ -47,11 +47,21 @@ def price_faults(prices: DataFrame) -> DataFrame:
     return prices.withColumn("fault", fault).where("fault is not null")
 
 
-def statements(payloads: DataFrame, body: str, metrics: dict[str, str], since_year: int) -> DataFrame:
-    """Long metric rows of statement payloads; naive acceptance times are New York wall clock."""
+def of_symbol(found: Column, expected: Column) -> Column:
+    """The symbol that a payload gives, or an error where another was asked for; case and outer spaces don't count."""
+    same = F.upper(F.trim(found)).eqNullSafe(F.upper(F.trim(expected)))
+    return F.when(same, found).otherwise(F.raise_error(F.concat(F.lit("asked for "), F.coalesce(expected, F.lit("nothing")), F.lit(", got "), F.coalesce(found, F.lit("nothing")))).cast("string"))
+
+
+def statements(payloads: DataFrame, body: str, metrics: dict[str, str], since_year: int, expected: str | None = None) -> DataFrame:
+    """Long metric rows of statement payloads; naive acceptance times are New York wall clock.
+
+    ``expected`` names the column of the symbol that was asked for; a payload with another one is an error."""
     fields = ",".join(f"{f}:double" for f in metrics)
     schema = f"array<struct<symbol:string,date:string,calendarYear:string,fiscalYear:string,period:string,acceptedDate:string,{fields}>>"
-    rows = payloads.select(F.explode(F.from_json(body, schema)).alias("s")).select("s.*")
+    rows = payloads.select(*[F.col(expected).alias("__expected")] * bool(expected), F.explode(F.from_json(body, schema)).alias("s")).select(*["__expected"] * bool(expected), "s.*")
+    if expected:
+        rows = rows.withColumn("symbol", of_symbol(F.col("symbol"), F.col("__expected")))
     year = F.coalesce("fiscalYear", "calendarYear").cast("int")
     keyed = rows.select(
         "symbol", F.to_date("date").alias("period_end"), year.alias("fiscal_year"), F.col("period").alias("fiscal_period"),
@@ -60,6 +70,32 @@ def statements(payloads: DataFrame, body: str, metrics: dict[str, str], since_ye
     return keyed.unpivot(["symbol", "period_end", "fiscal_year", "fiscal_period", "accepted_at"], list(metrics.values()), "metric_name", "metric_value").where("metric_value is not null")
 
 
+def companyfacts(payloads: DataFrame, body: str, tags: dict[str, str], unit: str = "USD", forms: tuple[str, ...] = ("10-Q", "10-K", "10-Q/A", "10-K/A")) -> DataFrame:
+    """(cik, metric_name, fiscal_year, fiscal_period, period_start, period_end, metric_value, accession, form, filed) of company facts.
+
+    tags: metric by tag of the general taxonomy; facts in other units or from other forms are left out.  A payload without
+    facts is an error, a tag that it lacks is not.  A value that is told again in a later filing is a row of that filing."""
+    fact = "array<struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string>>"
+    schema = f"struct<cik:string,entityName:string,facts:map<string,map<string,struct<units:map<string,{fact}>>>>>"
+    parsed = payloads.select(F.from_json(body, schema).alias("p"))
+    facts = F.when(F.col("p.facts").isNull(), F.raise_error(F.concat(F.lit("no facts of "), F.coalesce("p.cik", F.lit("nobody")))).cast(f"map<string,map<string,struct<units:map<string,{fact}>>>>")).otherwise(F.col("p.facts"))
+    found = parsed.select(F.lpad("p.cik", 10, "0").alias("cik"), facts["us-gaap"].alias("gaap"))
+    named = found.select("cik", F.explode(F.create_map(*[x for tag, name in tags.items() for x in (F.lit(name), F.col("gaap")[tag]["units"][unit])])).alias("metric_name", "facts"))
+    rows = named.select("cik", "metric_name", F.explode("facts").alias("f")).where(F.col("f.form").isin(*forms) & F.col("f.val").isNotNull())
+    return rows.select(
+        "cik", "metric_name", F.col("f.fy").alias("fiscal_year"), F.col("f.fp").alias("fiscal_period"), F.to_date("f.start").alias("period_start"), F.to_date("f.end").alias("period_end"),
+        F.col("f.val").alias("metric_value"), F.col("f.accn").alias("accession"), "f.form", F.to_date("f.filed").alias("filed"))
+
+
+def submissions(payloads: DataFrame, body: str) -> DataFrame:
+    """(cik, accession, form, items, filing_date, accepted, primary_document): the parallel arrays of recent filings as rows."""
+    names = {"accessionNumber": "accession", "form": "form", "items": "items", "filingDate": "filing_date", "acceptanceDateTime": "accepted", "primaryDocument": "primary_document"}
+    schema = "struct<cik:string,filings:struct<recent:struct<" + ",".join(f"{n}:array<string>" for n in names) + ">>>"
+    rows = payloads.select(F.from_json(body, schema).alias("p")).select(F.lpad("p.cik", 10, "0").alias("cik"), "p.filings.recent.*")
+    out = zip_columns(rows, list(names)).withColumnsRenamed(names)
+    return out.withColumn("filing_date", F.to_date("filing_date"))
+
+
 def zip_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Parallel arrays as rows; unequal lengths are an error, where arrays_zip alone would pad."""
     sizes = F.array_distinct(F.array(*[F.size(c) for c in columns]))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.operators import backtest as B
+from chronopanel.operators import ranks
 from chronopanel.operators import reports as R
 
 
@@ -26,7 +27,7 @@ def test_regression_runner(spark):
     assert models.agg(F.sum("train_pairs")).first()[0] == 45
     pred = B.predictions(rows, splits, models).withColumn("all", F.lit(0))
     assert pred.count() == 18
-    assert B.spearman(pred, "score", "ret", ["all"]).first().rank_correlation == pytest.approx(1.0)
+    assert ranks.spearman(pred, "score", "ret", ["all"]).first().rank_correlation == pytest.approx(1.0)
     assert B.long_short(pred, "score", 1 / 3, ["all"]).first().spread == pytest.approx(0.10)
 
 
