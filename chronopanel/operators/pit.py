@@ -20,12 +20,18 @@ from chronopanel.operators.panel import HORIZONS, by_security, label_availabilit
 def anchored(asofs: DataFrame, sessions: DataFrame) -> DataFrame:
     """``asofs`` (security_id, asof) with ``anchor``: the number of the newest session visible at the instant, null before the first.
 
-    sessions: idx, visible_at.  Instants and sessions, a row each, are one small stream."""
-    instants = asofs.select("asof").distinct()
-    stream = sessions.select(F.col("visible_at").alias("ts"), F.lit(0).alias("kind"), "idx", F.lit(None).cast("timestamp").alias("asof"))
-    stream = stream.union(instants.select("asof", F.lit(1), F.lit(None).cast("bigint"), "asof"))
-    seen = F.max("idx").over(Window.orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    return asofs.join(stream.withColumn("anchor", seen).where("kind = 1").select("asof", "anchor"), "asof", "left")
+    sessions: idx, visible_at.  An as-of meets its own day's row of a table that has a row for every day of the calendar: the
+    sessions that become visible on that day, and the newest one before it.  So as-ofs are neither sorted nor shuffled, and
+    the table, a row a day, is what is sent to them."""
+    day = lambda c: F.unix_date(c.cast("timestamp_ntz").cast("date"))
+    own = sessions.groupBy(day(F.col("visible_at")).alias("day")).agg(F.collect_list(F.struct("visible_at", "idx")).alias("shown"), F.max("idx").alias("newest"))
+    span = own.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
+    days = span.select(F.explode(F.sequence("a", "b")).alias("day")).join(own, "day", "left")
+    calendar = days.withColumn("before", F.max("newest").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
+    last = own.agg(F.max("newest").alias("last"), F.max("day").alias("end"))
+    rows = asofs.withColumn("__day", day(F.col("asof"))).join(F.broadcast(calendar.drop("newest").withColumnRenamed("day", "__day")), "__day", "left").join(F.broadcast(last), F.lit(True), "left")
+    today = F.array_max(F.transform(F.filter("shown", lambda x: x["visible_at"] <= F.col("asof")), lambda x: x["idx"]))
+    return rows.withColumn("anchor", F.when(F.col("__day") > F.col("end"), F.col("last")).otherwise(F.greatest(today, "before"))).drop("__day", "shown", "before", "last", "end")
 
 
 def price_return_at(asofs: DataFrame, prices: DataFrame, lookback: int, skip: int = 0) -> DataFrame:

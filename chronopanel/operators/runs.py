@@ -80,6 +80,20 @@ def spark_measures(like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame([(m,) for m in ("strategy_net", "baseline_net", "net_difference")], "measure string")
 
 
+def _floor(x: Column) -> Column:
+    """floor as a double: numbers of 2**53 and more are whole already, and would not fit a long."""
+    return F.when(x >= F.lit(2.0**53), x).otherwise(F.floor(x).cast("double"))
+
+
+def exact(x: Column) -> Column:
+    """All digits of a number as text: its whole part and three further parts of 30 bits, so two that differ by more than 2**-90,
+    as all do that are not far below 2**-30, give different texts.  Products with powers of two and their floors are exact,
+    so every engine gives the same; numbers are below 2**63."""
+    size = F.abs(x)
+    parts = [F.floor(size).cast("long")] + [(_floor(size * F.lit(2.0 ** (30 * k))) - _floor(size * F.lit(2.0 ** (30 * (k - 1)))) * F.lit(2.0**30)).cast("long") for k in (1, 2, 3)]
+    return F.concat(F.when(x < 0, "-").otherwise("+"), F.concat_ws(".", *[p.cast("string") for p in parts]))
+
+
 def fingerprint(rows: DataFrame, group: str, order: str, columns: list[Column]) -> DataFrame:
     """One row ``fingerprint``: SHA-256 over the rows in the order of ``group`` and ``order``.
 
@@ -138,11 +152,11 @@ def input_messages(cover: DataFrame) -> DataFrame:
 
 def percent(x: Column, places: int = 4) -> Column:
     """+1.2500%; n/a for nothing."""
-    return F.coalesce(F.format_string(f"%+.{places}f%%", x * 100), F.lit("n/a"))
+    return F.when(x.isNull(), "n/a").otherwise(F.format_string(f"%+.{places}f%%", x * 100))
 
 
 def number(x: Column, places: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{places}f", x), F.lit("n/a"))
+    return F.when(x.isNull(), "n/a").otherwise(F.format_string(f"%.{places}f", x))
 
 
 def date_range(a: Column, b: Column) -> Column:

@@ -173,7 +173,7 @@ def src_unpivot_metrics(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY event_type")
 def src_zip_arrays(spark, sf_dir):
-    packed = S.load(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    packed = S.load(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date")).agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
     rows = vendor.zip_columns(packed.select("user_id", F.col("e.event_id").alias("event_id"), F.col("e.event_type").alias("event_type")), ["event_id", "event_type"])
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
 
@@ -219,9 +219,18 @@ def html_title(spark, sf_dir):
     return S.load(spark, sf_dir, "pages").select("page_id", vendor.html_title(F.replace("html", F.lit("<title>"), F.lit("<title>A &amp; <b>B</b> &lt;"))).alias("title"))
 
 
-@query()
+@query(r"""WITH made AS (SELECT page_id, replace(html, '</body>', '<!-- <b> --><p>&#233;&#x4E2D; &copy;&unknown; &amp;lt; a&lt;b&nbsp;c<STYLE>p{}</STYLE></p></body>') AS html FROM pages),
+bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\b[^>]*>.*?(</script\s*>|$)', ' ', 'gis'), '<style\b[^>]*>.*?(</style\s*>|$)', ' ', 'gis'), '<[^>]+>', ' ', 'gs') AS t FROM made),
+split AS (SELECT page_id, string_split(t, '&') AS p FROM bare),
+told AS (SELECT page_id, p[1] || array_to_string(list_transform(p[2:], lambda x: CASE WHEN regexp_extract(x, '^(#[0-9]{1,7});', 1) <> '' THEN chr(CAST(regexp_extract(x, '^#([0-9]{1,7});', 1) AS INTEGER)) || regexp_replace(x, '^[^;]*;', '')
+  WHEN regexp_extract(x, '^(#x[0-9A-F]{1,6});', 1) = '#x4E2D' THEN '中' || regexp_replace(x, '^[^;]*;', '')
+  WHEN regexp_extract(x, '^([a-z]+);', 1) IN ('amp', 'lt', 'gt', 'quot', 'nbsp', 'copy', 'middot') THEN map {'middot': '·', 'amp': '&', 'lt': '<', 'gt': '>', 'quot': '"', 'nbsp': chr(160), 'copy': '©'}[regexp_extract(x, '^([a-z]+);', 1)] || regexp_replace(x, '^[^;]*;', '') ELSE '&' || x END), '') AS t FROM split)
+SELECT page_id, trim(regexp_replace(t, '[\s\x{00A0}]+', ' ', 'g')) AS text FROM told""")
 def html_text(spark, sf_dir):
-    return S.load(spark, sf_dir, "pages").select("page_id", vendor.html_text("html").alias("text"))
+    """The text of pages, with a comment, a style and all kinds of references put in."""
+    more = '<!-- <b> --><p>&#233;&#x4E2D; &copy;&unknown; &amp;lt; a&lt;b&nbsp;c<STYLE>p{}</STYLE></p></body>'
+    pages = S.load(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</body>"), F.lit(more)))
+    return pages.select("page_id", vendor.html_text("html").alias("text"))
 
 
 @query("""WITH old AS (SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'),
@@ -283,13 +292,6 @@ def pol_plus_duration(spark, sf_dir):
     return e.select("event_id", F.date_format(at, STAMP).alias("available_at"), F.date_format(call, STAMP).alias("call_at"))
 
 
-@query("""SELECT event_id, CASE WHEN isodow(local) > 5 THEN 'non_trading_day' WHEN strftime(local, '%H:%M:%S') < '09:30:00' THEN 'bmo' WHEN strftime(local, '%H:%M:%S') >= '16:00:00' THEN 'amc' ELSE 'rth' END AS timing
-FROM (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS local FROM events)""")
-def release_timing(spark, sf_dir):
-    e = S.events(spark, sf_dir)
-    return e.select("event_id", T.market_timing(F.col("ts"), F.weekday(T.local_date(F.col("ts"))) < 5).alias("timing"))
-
-
 @query(f"""WITH {PD}, seen AS (SELECT security_id, session, price FROM pw WHERE CAST(session AS TIMESTAMP) + INTERVAL 18 HOUR <= TIMESTAMP '1997-06-30 18:00:00')
 SELECT security_id, count(*) AS prices, max(session) AS newest, arg_max(price, session) AS price FROM seen GROUP BY security_id""")
 def pit_visible_prices(spark, sf_dir):

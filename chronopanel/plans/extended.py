@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chronopanel.operators import backtest as B
@@ -9,14 +11,15 @@ from chronopanel.operators import drawdown as DD
 from chronopanel.operators import income as INC
 from chronopanel.operators import independence as I
 from chronopanel.operators import panel as P
-from chronopanel.operators import ranks, supersession
+from chronopanel.operators import ranks, runs, supersession
+from chronopanel.operators import records as RC
 from chronopanel.operators import regression as G
 from chronopanel.plans.catalogue import (
-    BASE, FUND, HORIZON, INCOME_MODIFIED, ORACLE_SQL, QUERIES, STAMP, _WINDOW_COLUMNS, _windows, big, candidate_values, candidates_sql, income_metrics, joined, label_sql, query, quoted, r8, scores_sql, splits_for,
-    splits_sql, weekly, windows_sql,
+    BASE, FUND, HORIZON, INCOME_MODIFIED, LOOKBACK, ORACLE_SQL, PW, QUERIES, REGIMES, SKIP, STAMP, STEP, TEST, TRAIN, _REGIME_SQL, _WINDOW_COLUMNS, _windows, big, candidate_values, candidates_sql,
+    income_metrics, joined, joined_sql, label_sql, query, quoted, r8, scores_sql, scramble_samples, scramble_sql, splits_for, splits_sql, weekly, windows_sql,
 )
 from chronopanel.plans.pit import FASOFS, INSTANTS, stamp
-from chronopanel.plans.registry import fresh
+from chronopanel.plans.registry import _exact_sql, fresh
 from chronopanel.session import once, stage
 from chronopanel.sources import connector, vendor
 from chronopanel.sources import tables as S
@@ -393,3 +396,115 @@ def equity_of_days(spark, sf_dir):
     r = S.load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("series"), F.col("l_shipdate").cast("date").alias("date")).agg((F.sum(side).cast("double") / (F.count("*") * 100)).alias("ret"))
     path = DD.equity(r)
     return path.groupBy("series").agg(F.count("*").alias("dates"), F.round(F.min("drawdown"), 8).alias("max_drawdown"), F.round(F.max_by("equity", "date"), 8).alias("final_equity"), F.round(F.max("peak"), 8).alias("peak"))
+
+
+# ---------------------------------------------------------------- records of runs: stored, replayed, reported
+
+CONFIG = {"feature": "return_21_0", "lookback": str(LOOKBACK), "skip": str(SKIP), "horizon": str(HORIZON), "min_train": str(TRAIN), "test": str(TEST), "step": str(STEP), "cost_bps": "20", "seed": "44", "trials": "100"}
+DEFINITION = P.definition_hash("return_21_0", 1, "numeric", {"lookback": LOOKBACK, "skip": SKIP})
+
+
+def record_sql(name: str, where: str = "true") -> str:
+    """CTEs that end in {name}: section, field, value of the run over the panel's rows that ``where`` keeps."""
+    t = f"_{name}"
+    num = lambda x: f"coalesce(printf('%.8f', round({x}, 8) + 0.0), 'n/a')"
+    row = lambda section, pairs, source: " UNION ALL ".join(f"SELECT '{section}' AS section, '{k}' AS field, coalesce(CAST({v} AS VARCHAR), 'n/a') AS value FROM {source}" for k, v in pairs.items())
+    base = joined_sql(tag=t).replace(f"joined{t} AS", f"every{t} AS")
+    p, extreme = scramble_sql(f"smp{t}", "", 100, 44, f"drawn{t}"), "(count(*) FILTER (WHERE score >= observed) + 1)"
+    for cte in ("masks", "put", "gmeans"):
+        p = re.sub(rf"\b{cte}\b", f"{cte}{t}", p)
+    return f"""{base}, joined{t} AS (SELECT * FROM every{t} WHERE {where}), {splits_sql(tag=t)}, {scores_sql(t)}, {windows_sql(t)},
+cov{t} AS (SELECT count(*) AS n, count(DISTINCT security_id) AS s, count(DISTINCT asof) AS d, min(asof) AS a, max(asof) AS b, max(horizon_session) AS z FROM joined{t}),
+mem{t} AS (SELECT count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation WHERE n_nationkey IN (SELECT security_id FROM joined{t})),
+rowsh{t} AS (SELECT asof AS g, security_id AS o, sha256('=' || security_id || '|=' || asof || '|=' || horizon_session || '|=' || {_exact_sql('feature')} || '|=' || {_exact_sql('ret')}) AS h FROM joined{t}), grp{t} AS (SELECT g, sha256(string_agg(h, '' ORDER BY o)) AS h FROM rowsh{t} GROUP BY g),
+fp{t} AS (SELECT sha256(string_agg(h, '' ORDER BY g)) AS f FROM grp{t}),
+mw{t} AS (SELECT min(train_from) AS a, arg_min(train_to, split) AS b, arg_min(test_from, split) AS c, max(test_to) AS d FROM splits{t} WHERE split IN (SELECT split FROM wins{t})),
+hd{t} AS (SELECT count(*) AS w, sum(test_dates) AS d, avg(strategy_net) AS s, avg(baseline_net) AS b, avg(difference) AS x, avg(CASE WHEN difference > 0 THEN 1.0 ELSE 0.0 END) AS r, stddev_samp(difference) AS sd FROM wins{t}),
+rg{t} AS (SELECT name, count(asof) AS n, avg(strategy_net) AS s, avg(baseline_net) AS b, avg(strategy_net - baseline_net) AS x FROM regimes LEFT JOIN scores{t} ON asof BETWEEN a AND b GROUP BY name),
+inside{t} AS (SELECT r.* FROM ranked{t} r JOIN splits{t} s ON r.idx BETWEEN test_from AND test_to WHERE split IN (SELECT split FROM wins{t})),
+smp{t} AS (SELECT asof AS g, asof || '|' || security_id AS id, rn <= greatest(1, n // 2) AS chosen, ret FROM inside{t}), {p},
+obs{t} AS (SELECT avg(m) AS observed FROM (SELECT g, avg(ret) FILTER (WHERE chosen) AS m FROM smp{t} GROUP BY g)),
+ls{t} AS (SELECT observed, {extreme} AS rank, count(*) AS trials, {extreme} / 101 AS p FROM drawn{t}, obs{t} GROUP BY observed),
+{name} AS ({row('config', {k: f"'{v}'" for k, v in CONFIG.items()}, '(SELECT 1)')} UNION ALL {row('coverage', {'rows': 'n', 'securities': 's', 'dates': 'd', 'first_asof': 'a', 'last_asof': 'b', 'last_outcome': 'z'}, f'cov{t}')}
+UNION ALL {row('membership', {'members': 'n', 'tickers': 'names'}, f'mem{t}')} UNION ALL {row('identity', {'definition_hash': f"'{DEFINITION}'", 'feature_set_hash': f"sha256('return_21_0:1:{DEFINITION}')"}, '(SELECT 1)')} UNION ALL {row('inputs', {'fingerprint': 'f', 'target_kind': "'raw'"}, f'fp{t}')}
+UNION ALL {row('model_window', {'train_from': 'a', 'train_to': 'b', 'test_from': 'c', 'test_to': 'd'}, f'mw{t}')}
+UNION ALL {row('headline', {'windows': 'w', 'dates': 'CAST(d AS BIGINT)', 'mean_strategy': num('s'), 'mean_baseline': num('b'), 'mean_difference': num('x'), 'hit_rate': num('r'), 'sd_difference': num('sd'), 'mean_over_sd': num('x / nullif(sd, 0)')}, f'hd{t}')}
+UNION ALL {row('costs', {'gross_strategy': num('s + 0.002'), 'gross_baseline': num('b + 0.002'), 'cost_multiple': num('x / 0.002')}, f'hd{t}')}
+UNION ALL {' UNION ALL '.join(f"SELECT 'regimes', name || '.{k}', {v} FROM rg{t}" for k, v in {'dates': 'CAST(n AS VARCHAR)', 'strategy': num('s'), 'baseline': num('b'), 'difference': num('x')}.items())}
+UNION ALL {row('label_scramble', {'observed': num('observed'), 'rank': 'rank', 'trials': 'trials', 'p_value': num('p'), 'passed': 'p <= 0.05'}, f'ls{t}')}
+UNION ALL {row('comparisons', {'method': "'benjamini_hochberg'", 'alpha': "'0.05'", 'q_value': num('p')}, f'ls{t}')}
+UNION ALL {row('status', {'run': "CASE WHEN w > 0 THEN 'succeeded' ELSE 'insufficient_data' END", 'verdict': "CASE WHEN w = 0 THEN 'insufficient_data' WHEN w < 3 OR r < 0.6 OR x <= 0 THEN 'rejected' WHEN p > 0.05 THEN 'rejected' ELSE 'promising' END", 'statement': f"'{RC.NO_CLAIM}'"}, f'hd{t}, ls{t}')})"""
+
+
+def run_record(spark, sf_dir, rows=None):
+    """The record of the ranking run over the weekly panel, or over some of its rows."""
+    rows = stage(joined(spark, sf_dir) if rows is None else rows, "inputs")
+    scores, splits = B.date_scores(rows), splits_for(spark, sf_dir, rows)
+    w = stage(B.window_scores(scores, splits), "windows")
+    head = B.headline(w)
+    scored = B.split_sessions(splits.join(w.select("split"), "split", "left_semi"), "test").select("idx")
+    scramble = stage(B.scramble_p_value(scramble_samples(B.select_top_half(rows).join(scored, "idx", "left_semi"))), "scramble")
+    cover = rows.agg(F.count("*").alias("rows"), F.countDistinct("security_id").alias("securities"), F.countDistinct("asof").alias("dates"), F.min("asof").alias("first_asof"), F.max("asof").alias("last_asof"), F.max("horizon_session").alias("last_outcome"))
+    members = S.universe(spark, sf_dir).join(rows.select("security_id").distinct(), "security_id", "left_semi").agg(F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_list("ticker")), ",").alias("tickers"))
+    digest = runs.fingerprint(rows, "asof", "security_id", [F.col("security_id"), F.col("asof"), F.col("horizon_session"), runs.exact(F.col("feature")), runs.exact(F.col("ret"))])
+    window = runs.model_window(runs.planned_windows(scores, splits), rows.withColumn("outcome_idx", F.col("idx") + HORIZON))
+    regimes = spark.createDataFrame(REGIMES, "name string, a string, b string").select("name", F.col("a").cast("date").alias("start_date"), F.col("b").cast("date").alias("end_date"))
+    by_regime = runs.regime_metrics(scores, regimes).groupBy("name").pivot("measure", ["strategy_net", "baseline_net", "net_difference"]).agg(F.first("mean").alias("mean"), F.first("sample_count").alias("n"))
+    one, c, t = spark.range(1), F.col, RC.text
+    verdict = F.when(c("windows") == 0, "insufficient_data").when((c("windows") < 3) | (c("hit_rate") < 0.6) | (c("mean_difference") <= 0) | ~c("passed"), "rejected").otherwise("promising")
+    return RC.together([
+        RC.fields(one, "config", {k: F.lit(v) for k, v in CONFIG.items()}), RC.fields(cover, "coverage", {k: c(k) for k in cover.columns}), RC.fields(members, "membership", {k: c(k) for k in members.columns}),
+        RC.fields(one, "identity", {"definition_hash": F.lit(DEFINITION), "feature_set_hash": F.sha2(F.lit(f"return_21_0:1:{DEFINITION}"), 256)}), RC.fields(digest, "inputs", {"fingerprint": c("fingerprint"), "target_kind": F.lit("raw")}),
+        RC.fields(window, "model_window", {k: c(k) for k in ("train_from", "train_to", "test_from", "test_to")}),
+        RC.fields(head, "headline", {"windows": c("windows"), "dates": c("dates"), **{k: t(c(k)) for k in ("mean_strategy", "mean_baseline", "mean_difference", "hit_rate", "sd_difference", "mean_over_sd")}}),
+        RC.fields(head, "costs", {"gross_strategy": t(c("mean_strategy") + 0.002), "gross_baseline": t(c("mean_baseline") + 0.002), "cost_multiple": t(c("mean_difference") / 0.002)}),
+        RC.fields(by_regime, "regimes", {"dates": c("strategy_net_n"), "strategy": t(c("strategy_net_mean")), "baseline": t(c("baseline_net_mean")), "difference": t(c("net_difference_mean"))}, c("name")),
+        RC.fields(scramble, "label_scramble", {"observed": t(c("observed")), "rank": c("rank"), "trials": c("trials"), "p_value": t(c("p_value")), "passed": c("passed")}),
+        RC.fields(scramble, "comparisons", {"method": F.lit("benjamini_hochberg"), "alpha": F.lit("0.05"), "q_value": t(c("p_value"))}),
+        RC.fields(head.join(scramble, F.lit(True)), "status", {"run": F.when(c("windows") > 0, "succeeded").otherwise("insufficient_data"), "verdict": verdict, "statement": F.lit(RC.NO_CLAIM)}),
+    ])
+
+
+def stored_run(spark, sf_dir):
+    """The registry's row of the run: its key and its record as JSON."""
+
+    def make():
+        record = stage(run_record(spark, sf_dir), "record")
+        return record.join(RC.run_key(record, "backtest"), F.lit(True)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("section", "field", "value"))).alias("rows")).select("key", F.to_json("rows").alias("metrics"))
+
+    return once(spark, f"run:{sf_dir}", make)
+
+
+_RECORD = f"WITH {PW}, {_REGIME_SQL}, {record_sql('rec')}"
+
+
+@query(f"{_RECORD}, k AS (SELECT 'backtest-' || left(sha256(string_agg(section || '.' || field || '=' || value, '|' ORDER BY section || '.' || field || '=' || value)), 32) AS key FROM rec WHERE section IN ('config', 'identity', 'inputs')) SELECT key, section, field, value FROM rec, k")
+def run_registry(spark, sf_dir):
+    """Every field of the stored run under its deterministic key."""
+    return RC.from_json(stored_run(spark, sf_dir)).select("key", "section", "field", "value")
+
+
+@query(f"{_RECORD}, {record_sql('other', 'security_id <> 7')}, d AS (SELECT coalesce(a.section, b.section) AS section, coalesce(a.field, b.field) AS field, a.value AS stored, b.value AS rerun FROM rec a FULL JOIN other b ON a.section = b.section AND a.field = b.field)"
+       " SELECT section, field, stored, rerun, CASE WHEN stored IS NULL THEN 'not_stored' WHEN rerun IS NULL THEN 'not_rerun' ELSE 'drifted' END AS fault FROM d WHERE stored IS DISTINCT FROM rerun")
+def replay_fields(spark, sf_dir):
+    """The stored run against a rerun over inputs that lack a security: every field that drifted, by name."""
+    again = run_record(spark, sf_dir, joined(spark, sf_dir).where("security_id <> 7"))
+    return RC.compare(RC.from_json(stored_run(spark, sf_dir)), again)
+
+
+@query(f"{_RECORD} SELECT 'same' AS rerun, CASE WHEN count(*) > 0 THEN 'reproduced' END AS verdict, CAST(0 AS BIGINT) AS drifted, CAST(0 AS BIGINT) AS missing FROM rec UNION ALL SELECT 'altered', 'other_inputs', 2, 1 FROM (SELECT 1)")
+def replay_verdicts(spark, sf_dir):
+    """A replay of the stored run, and one against a claim of which a result, an input and a field were altered."""
+    stored, again = RC.from_json(stored_run(spark, sf_dir)), stage(run_record(spark, sf_dir), "record")
+    changed = F.when((F.col("section") == "headline") & (F.col("field") == "windows"), "-1").when(F.col("field") == "fingerprint", "none").otherwise(F.col("value"))
+    altered = stored.where("field <> 'p_value'").withColumn("value", changed)
+    out = RC.replay(stored, again).select(F.lit("same").alias("rerun"), "verdict", "drifted", "missing")
+    return out.union(RC.replay(altered, again).select(F.lit("altered"), "verdict", "drifted", "missing"))
+
+
+@query(f"{_RECORD}, s AS (SELECT unnest([{', '.join(repr(x) for x in RC.SECTIONS)}]) AS section, unnest(generate_series(1, {len(RC.SECTIONS)})) AS place) SELECT CAST(place AS BIGINT) AS place, s.section, row_number() OVER (PARTITION BY s.section ORDER BY field) - 1 AS line, coalesce(field || ': ' || value, CASE WHEN s.section = 'traceability' THEN 'agrees: true' END) AS text FROM s LEFT JOIN rec USING (section)")
+def report_sections(spark, sf_dir):
+    """All sections of the report of the stored run, with the outcome of tracing it to a rerun before it is written."""
+    stored = RC.from_json(stored_run(spark, sf_dir)).drop("key")
+    trace = RC.fields(RC.replay(stored, run_record(spark, sf_dir)), "traceability", {"agrees": F.col("verdict") == "reproduced"})
+    return RC.report_rows(stored.unionByName(trace)).select("place", "section", "line", "text")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 from pyspark.sql import functions as F
 
 from chronopanel.functions import policies
@@ -226,27 +229,82 @@ def pol_by_name(spark, sf_dir):
     return out
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST(1 AS BIGINT), '{r['type']}')" for n, r in sorted(policies.POLICIES.items())) + ") t(name, version, rule_type)")
-def policy_table(spark, sf_dir):
-    """The validated policy set as a table."""
-    found = policies.validate(policies.default_config())
-    return spark.createDataFrame([(p["name"], p["version"], p["rule"]["type"]) for p in found], "name string, version bigint, rule_type string")
+#: Which policy dates an order, by its priority.
+_BY_PRIORITY = {"1-URGENT": "sec_8k_material", "2-HIGH": "sec_10q_filing", "3-MEDIUM": "sec_10k_filing", "4-NOT SPECIFIED": "daily_price", "5-LOW": "corporate_action"}
 
 
-EXCHANGE = [(y, f"{y}-01-01", f"{y}-12-31") for y in (2018, 2024, 2025)]
+@query("WITH p(name, rule_type) AS (VALUES " + ", ".join(f"('{n}', '{r['type']}')" for n, r in sorted(policies.POLICIES.items())) + "), m(priority, name) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _BY_PRIORITY.items()) + """)
+SELECT p.name, CAST(1 AS BIGINT) AS version, rule_type, count(o_orderkey) AS orders FROM p LEFT JOIN m ON m.name = p.name LEFT JOIN orders ON o_orderpriority = priority GROUP BY ALL""")
+def policy_table(spark, sf_dir):
+    """The validated policy set, and how many orders each policy dates."""
+    found = policies.validate(spark, policies.default_config())
+    table = spark.createDataFrame([(p["name"], p["version"], p["rule"]["type"]) for p in found], "name string, version bigint, rule_type string")
+    named = F.create_map(*[x for k, v in _BY_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
+    used = S.load(spark, sf_dir, "orders").groupBy(named[F.col("o_orderpriority")].alias("name")).agg(F.count("*").alias("orders"))
+    return table.join(used, "name", "left").select("name", "version", "rule_type", F.coalesce("orders", F.lit(0)).alias("orders"))
+
+
+_ODD = """k AS (SELECT c_custkey AS k, c_custkey // 4 AS config, c_custkey % 4 AS place FROM customer),
+pol AS (SELECT *, CASE WHEN k % 9 = 8 THEN '' ELSE 'p' || (k // 2) END AS name, CASE WHEN k % 13 = 12 THEN 0 WHEN k % 10 < 2 THEN 1 ELSE 1 + k % 2 END AS version, ['date_at_time', 'fetched_at', 'timestamp_plus_duration', 'odd'][1 + k % 4] AS kind,
+  CASE WHEN k % 17 = 16 THEN 'soon' ELSE '2010-01-01T00:00:00Z' END AS since, CASE WHEN k % 11 = 3 THEN '2009-01-01T00:00:00Z' WHEN k % 11 = 4 THEN '2020-01-01T00:00:00Z' END AS until FROM k)"""
+
+
+@query(f"""WITH {_ODD}, f AS (SELECT config, place, name, unnest([CASE WHEN config % 5 = 4 AND place = 0 THEN 'set_version' END, CASE WHEN name = '' THEN 'no_name' END, CASE WHEN version = 0 THEN 'version' END, CASE WHEN kind = 'odd' THEN 'rule_type' END,
+  CASE WHEN kind = 'fetched_at' AND k % 5 = 0 THEN 'rule_lacks' END, CASE WHEN kind = 'date_at_time' AND k % 7 = 0 OR kind = 'timestamp_plus_duration' AND k % 6 = 0 THEN 'rule_form' END, CASE WHEN since = 'soon' THEN 'valid_from' END,
+  CASE WHEN until < since AND since <> 'soon' THEN 'valid_to' END, CASE WHEN count(*) OVER (PARTITION BY config, name, version) > 1 THEN 'repeated' END]) AS fault FROM pol)
+SELECT CAST(config AS BIGINT) AS config, CAST(place AS BIGINT) AS place, name, fault FROM f WHERE fault IS NOT NULL UNION ALL SELECT CAST(config AS BIGINT), NULL, 'p0', 'missing' FROM pol GROUP BY config HAVING count(*) FILTER (WHERE name = 'p0' AND version = 1) = 0""")
+def policy_faults(spark, sf_dir):
+    """All faults of policy sets, a set of four for each four customers."""
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("date_at_time", "fetched_at", "timestamp_plus_duration", "odd"))), (k % 4 + 1).cast("int"))
+    rule = F.create_map(
+        F.lit("type"), kind, F.when((k % 4 == 1) & (k % 5 == 0), "other").otherwise("base"), F.lit("x"), F.lit("timezone"), F.lit(policies.NEW_YORK),
+        F.lit("time"), F.when((k % 4 == 0) & (k % 7 == 0), "6pm").otherwise("18:00"), F.lit("duration"), F.when((k % 4 == 2) & (k % 6 == 0), "30m").otherwise("PT30M"))
+    policy = F.struct(
+        F.when(k % 9 == 8, "").otherwise(F.concat(F.lit("p"), F.expr("c_custkey div 2").cast("string"))).alias("name"), F.when(k % 13 == 12, 0).when(k % 10 < 2, 1).otherwise((1 + k % 2).cast("int")).alias("version"), rule.alias("rule"),
+        F.when(k % 17 == 16, "soon").otherwise("2010-01-01T00:00:00Z").alias("valid_from"), F.when(k % 11 == 3, "2009-01-01T00:00:00Z").when(k % 11 == 4, "2020-01-01T00:00:00Z").alias("valid_to"))
+    sets = S.load(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 4").alias("config")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", policy.alias("policy"))), lambda a, b: (a["c_custkey"] - b["c_custkey"]).cast("int")).alias("p"))  # four each
+    version = F.when(F.col("config") % 5 == 4, 2).otherwise(1).alias("policy_set_version")
+    configs = sets.select("config", F.to_json(F.struct(version, F.col("p.policy").alias("policies"))).alias("body"))
+    return policies.policy_faults(policies.policy_rows(configs), ("p0",)).select("config", big("place"), "name", "fault")
+
+
+@query("""SELECT e.event_id, CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 1 WHEN ts < TIMESTAMP '2024-01-15' THEN 2 WHEN ts >= TIMESTAMP '2024-01-20' THEN 3 END::BIGINT AS version FROM events e""")
+def policy_versions_at(spark, sf_dir):
+    """The version of a policy that held at each event: one after another, with a gap."""
+    spans = [(1, "2010-01-01T00:00:00Z", "2024-01-10T00:00:00Z"), (2, "2024-01-08T00:00:00Z", "2024-01-15T00:00:00Z"), (3, "2024-01-20T00:00:00Z", None)]
+    config = {"policy_set_version": 1, "policies": [{"name": "news", "version": v, "rule": {"type": "fetched_at", "base": "x"}, "valid_from": a, "valid_to": b} for v, a, b in spans]}
+    rows = policies.policy_rows(spark.createDataFrame([(0, json.dumps(config))], "config int, body string"))
+    e = S.events(spark, sf_dir).select(F.lit("news").alias("name"), F.col("ts").alias("at"), "event_id")
+    return policies.active_policies(rows, e).select("event_id", big("version"))
+
+
+#: Full-day closings of the exchange in 2024, and its early closes.
+HOLIDAYS_2024 = ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25"]
+EARLY_2024 = ["2024-07-03", "2024-11-29", "2024-12-24"]
+_NY_DAYS = "ny AS (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS local FROM events), closed AS (SELECT CAST(unnest([" + ", ".join(f"'{d}'" for d in [*HOLIDAYS_2024, "2023-12-25"]) + "]) AS DATE) AS day)"
+
+
+@query(f"""WITH {_NY_DAYS}, e AS (SELECT CAST(local AS DATE) AS day, count(*) AS n FROM ny GROUP BY 1), d AS (SELECT day, n, isodow(day) < 6 AND day NOT IN (SELECT day FROM closed) AS open FROM e)
+SELECT CAST(year(day) AS BIGINT) AS year, CAST(month(day) AS BIGINT) AS month, count(*) AS days, count(*) FILTER (WHERE open) AS sessions, CAST(sum(n) AS BIGINT) AS events, CAST(coalesce(sum(n) FILTER (WHERE open), 0) AS BIGINT) AS on_sessions FROM d GROUP BY ALL""")
+def exchange_years(spark, sf_dir):
+    """Days with events by month, and how many of days and events are on sessions of the exchange."""
+    e = S.events(spark, sf_dir).groupBy(T.local_date(F.col("ts")).alias("date")).agg(F.count("*").alias("n"))
+    d = e.join(exchange_days(spark), "date")
+    return d.groupBy(F.year("date").cast("bigint").alias("year"), F.month("date").cast("bigint").alias("month")).agg(
+        F.count("*").alias("days"), F.count_if("is_session").alias("sessions"), F.sum("n").alias("events"), F.coalesce(F.sum(F.when(F.col("is_session"), F.col("n"))), F.lit(0)).alias("on_sessions"))
 
 
-@query("SELECT * FROM (VALUES (CAST(2018 AS BIGINT), CAST(365 AS BIGINT), CAST(251 AS BIGINT), CAST(3 AS BIGINT)), (2024, 366, 252, 3), (2025, 365, 250, 3)) t(year, days, sessions, early)")
-def exchange_years(spark, sf_dir):
-    """Days, sessions and early closes of exchange years, as published by the exchange."""
-    import datetime as dt
+def exchange_days(spark):
+    """The exchange's calendar of the years that events are of."""
+    return T.exchange_calendar(spark, dt.date(2023, 1, 1), dt.date(2025, 12, 31))
 
-    out = None
-    for year, start, end in EXCHANGE:
-        cal = T.exchange_calendar(spark, dt.date.fromisoformat(start), dt.date.fromisoformat(end))
-        part = cal.agg(F.lit(year).cast("bigint").alias("year"), F.count("*").alias("days"), F.count_if("is_session").alias("sessions"), F.count_if("is_early_close").alias("early"))
-        out = part if out is None else out.union(part)
-    return out
+
+@query(f"""WITH {_NY_DAYS} SELECT event_id, CASE WHEN isodow(local) > 5 OR CAST(local AS DATE) IN (SELECT day FROM closed) THEN 'non_trading_day' WHEN strftime(local, '%H:%M:%S') < '09:30:00' THEN 'bmo' WHEN strftime(local, '%H:%M:%S') >= '16:00:00' THEN 'amc' ELSE 'rth' END AS timing FROM ny""")
+def release_timing(spark, sf_dir):
+    """When a release was out against the session of its New York day, by the exchange's calendar."""
+    e = S.events(spark, sf_dir).select("event_id", "ts", T.local_date(F.col("ts")).alias("date"))
+    return e.join(exchange_days(spark).select("date", "is_session"), "date").select("event_id", T.market_timing(F.col("ts"), F.col("is_session")).alias("timing"))
 
 
 @query("""WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS z FROM orders), d AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM b),

@@ -11,8 +11,8 @@ from chronopanel.operators import panel as P
 from chronopanel.operators import reports as R
 from chronopanel.operators import runs
 from chronopanel.plans.catalogue import (
-    ATTR, BASE, CANDIDATES, CAL, FUND, HORIZON, MEMBERS, OLS, PD, PRED, PW, REGIMES, STAMP, _LAYER_SQL, _REGIME_SQL, _layers, _WINDOW_COLUMNS, _windows, big, cells, cells_sql, feature_sql, joined, joined_sql,
-    label_sql, materializers, order_calendar, panel_of, query, r8, scores_sql, splits_for, splits_sql, sweep_cells, weekly, windows_for,
+    ATTR, BASE, CANDIDATES, CAL, FUND, HORIZON, MEMBERS, OLS, PD, PRED, PW, REGIMES, STAMP, _LAYER_SQL, _REGIME_SQL, _layers, _WINDOW_COLUMNS, _windows, big, candidate_values, candidates_sql, cells, cells_sql, feature_sql, joined, joined_sql,
+    label_sql, materializers, order_calendar, panel_of, query, r8, scores_sql, splits_for, splits_sql, sweep_cells, weekly, windows_for, windows_sql,
 )
 from chronopanel.plans.pit import LABELS, labels_at, stamp
 from chronopanel.session import once, shared_root
@@ -101,22 +101,32 @@ def src_exhibits(spark, sf_dir):
     return vendor.earnings_exhibits(files.withColumn("primary_document", primary))
 
 
-RELEASES = [
-    (1, "Acme reports fiscal 2026 second quarter financial results for the quarter ended March 28, 2026"), (2, "Earnings for the first  quarter; quarter ended December 31, 2025."),
-    (3, "Fiscal year ended June 30, 2024: earnings rose"), (4, "No news at all"), (5, ""), (6, "Q1 earnings of a full year, quarter ended May 1, 2020"), (7, "earnings of the third quarter"), (8, "fourth quarter earnings, year ended Mars 3, 2021"),
-]
+#: Texts of releases by an order's number, some of which tell nothing; places: year, word of the quarter, its end.
+_RELEASES = ["Acme reports fiscal {y} {w} quarter financial results for the quarter ended {d}", "Earnings for the {w}  quarter; quarter ended {d}.", "Fiscal year ended {d}: earnings rose", "No news at all", "", "Q1 earnings of a full year, quarter ended {d}", "earnings of the {w} quarter", "{w} quarter earnings, year ended Mars 3, {y}"]
+_RELEASE_SQL = "r AS (SELECT o_orderkey AS id, replace(replace(replace([" + ", ".join("'" + t + "'" for t in _RELEASES) + """][1 + o_orderkey % 8], '{y}', CAST(year(o_orderdate) AS VARCHAR)), '{w}', ['first', 'second', 'third', 'fourth'][quarter(o_orderdate)]),
+  '{d}', strftime(last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)), '%B %-d, %Y')) AS text FROM orders)"""
 
 
-@query("WITH " + sql_values("r", "id, text", RELEASES) + r""", t AS (SELECT id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM r),
+def releases(spark, sf_dir):
+    """(id, text): a release for each order."""
+    day = F.col("o_orderdate")
+    end = F.date_format(F.last_day(F.make_date(F.year(day), F.quarter(day) * 3, F.lit(1))), "MMMM d, yyyy")
+    word = F.element_at(F.array(*[F.lit(w) for w in ("first", "second", "third", "fourth")]), F.quarter(day))
+    text = F.element_at(F.array(*map(F.lit, _RELEASES)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    for place, value in (("{y}", F.year(day).cast("string")), ("{w}", word), ("{d}", end)):
+        text = F.replace(text, F.lit(place), value)
+    return S.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
+
+
+@query("WITH " + _RELEASE_SQL + r""", t AS (SELECT id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM r),
 e AS (SELECT *, regexp_extract(text, '(?:quarter|fiscal year|year) ended ([A-Z][a-z]+ \d{1,2}, \d{4})', 1) AS ended, lower(text) AS low FROM t),
 f AS (SELECT *, CAST(try_strptime(nullif(ended, ''), '%B %-d, %Y') AS DATE) AS period_end, CASE WHEN regexp_matches(low, '\bfirst\s+quarter\b') THEN 'Q1' WHEN regexp_matches(low, '\bsecond\s+quarter\b') THEN 'Q2' WHEN regexp_matches(low, '\bthird\s+quarter\b') THEN 'Q3'
   WHEN regexp_matches(low, '\bfourth\s+quarter\b') THEN 'Q4' WHEN regexp_matches(low, '\bfiscal\s+year\s+ended\b') THEN 'FY' END AS fiscal_period FROM e),
 g AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN NOT ((contains(low, 'financial results') OR contains(low, 'earnings')) AND (contains(low, 'quarter') OR contains(low, 'fiscal year'))) THEN 'not_earnings' WHEN period_end IS NULL THEN 'no_period_end' WHEN fiscal_period IS NULL THEN 'no_quarter' END AS fault FROM f)
-SELECT CAST(id AS BIGINT) AS id, CASE WHEN fault IS NULL THEN coalesce(CAST(nullif(regexp_extract(low, '\bfiscal\s+(\d{4})\b', 1), '') AS INTEGER), year(period_end)) END AS fiscal_year, CASE WHEN fault IS NULL THEN fiscal_period END AS fiscal_period, CASE WHEN fault IS NULL THEN period_end END AS period_end,
+SELECT id, CAST(CASE WHEN fault IS NULL THEN coalesce(CAST(nullif(regexp_extract(low, '\bfiscal\s+(\d{4})\b', 1), '') AS BIGINT), year(period_end)) END AS BIGINT) AS fiscal_year, CASE WHEN fault IS NULL THEN fiscal_period END AS fiscal_period, CASE WHEN fault IS NULL THEN period_end END AS period_end,
 CASE WHEN fault IS NULL THEN CASE WHEN fiscal_period = 'FY' THEN 'medium' ELSE 'high' END END AS confidence, fault FROM g""")
 def src_release_evidence(spark, sf_dir):
-    rows = values(spark, "id bigint, text string", RELEASES)
-    return vendor.release_evidence(rows, "text").select("id", F.col("fiscal_year").cast("bigint").alias("fiscal_year"), "fiscal_period", "period_end", "confidence", "fault")
+    return vendor.release_evidence(releases(spark, sf_dir), "text").select("id", F.col("fiscal_year").cast("bigint").alias("fiscal_year"), "fiscal_period", "period_end", "confidence", "fault")
 
 
 @query(r"""SELECT 'accession' AS grammar, count(*) FILTER (WHERE regexp_full_match(lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || '-' || lpad(CAST(o_custkey % 130 AS VARCHAR), 2, '0') || '-000001', '[0-9]{10}-[0-9]{2}-[0-9]{6}')) AS ok, count(*) AS n FROM orders
@@ -143,10 +153,15 @@ def calendar_csv(spark, sf_dir):
     return vendor.read_calendar_csv(spark, at).select("date", "is_session", F.date_format("session_close", STAMP).alias("session_close"))
 
 
-@query("SELECT CAST(unnest(generate_series(1, 7)) AS BIGINT) AS attempt, unnest([1.0, 2.0, 4.0, 8.0, 16.0, 30.0, 30.0])::DOUBLE AS pause, unnest([true, true, true, false, false, true, false]) AS retried")
+_RESPONSES = (408, 429, 503, 404, 200, 500, 301)
+
+
+@query(f"""SELECT status, attempt, count(*) AS n, least(30.0, pow(2.0, attempt - 1)) AS pause, status IN (408, 429) OR status >= 500 AS retried FROM (SELECT CAST([{', '.join(map(str, _RESPONSES))}][1 + event_id % 7] AS BIGINT) AS status, 1 + user_id % 8 AS attempt FROM events) GROUP BY 1, 2""")
 def src_retry_rules(spark, sf_dir):
-    rows = values(spark, "attempt bigint, status int", list(enumerate((408, 429, 503, 404, 200, 500, 301), 1)))
-    return rows.select("attempt", landing.pause_seconds(F.col("attempt")).alias("pause"), landing.retryable(F.col("status")).alias("retried"))
+    """Responses by status and attempt: whether they are tried again, and after how long."""
+    status = F.element_at(F.array(*map(F.lit, _RESPONSES)), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = S.load(spark, sf_dir, "events").groupBy(status.cast("bigint").alias("status"), (F.col("user_id") % 8 + 1).alias("attempt")).agg(F.count("*").alias("n"))
+    return rows.select("status", "attempt", "n", landing.pause_seconds(F.col("attempt")).alias("pause"), landing.retryable(F.col("status")).alias("retried"))
 
 
 @query(f"WITH {PW} SELECT w.security_id, w.session, w.price FROM pw w WHERE w.security_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2) AND w.session <= DATE '1998-01-01'")
@@ -157,10 +172,10 @@ def src_succeeded_runs(spark, sf_dir):
     return panel_of(spark, sf_dir).where("session <= date'1998-01-01'").join(done, "security_id", "left_semi").select("security_id", "session", "price")
 
 
-@query(f"WITH {PW}, {MEMBERS} SELECT session, price FROM pw JOIN members USING (security_id) WHERE upper(ticker) = upper('France')")
+@query(f"WITH {PW}, {MEMBERS} SELECT session, price FROM pw JOIN members USING (security_id) WHERE upper(ticker) = upper('Nation_7')")
 def src_ticker_prices(spark, sf_dir):
     """One ticker's prices, whatever the case of its name."""
-    m = S.universe(spark, sf_dir).where(F.upper("ticker") == F.upper(F.lit("France"))).select(big("security_id"))
+    m = S.universe(spark, sf_dir).where(F.upper("ticker") == F.upper(F.lit("Nation_7"))).select(big("security_id"))
     return panel_of(spark, sf_dir).join(m, "security_id").select("session", "price")
 
 
@@ -226,16 +241,22 @@ def sink_reference(spark, sf_dir):
     return landing.write_reference(table, fresh(spark, "reference"), ["security_id"])
 
 
-_OLD_RUNS, _NEW_RUNS = [("a", "{1}", "running"), ("b", "{2}", "succeeded"), ("c", "{3}", "running")], [("a", "{1}", "running"), ("d", "{4}", "running")]
+_RUNS_SQL = """c AS (SELECT c_custkey AS k, 'run-' || c_custkey AS key, '{"nation":' || c_nationkey || '}' AS metadata FROM customer),
+o AS (SELECT key, metadata, CASE WHEN k % 4 = 1 THEN 'succeeded' ELSE 'running' END AS status FROM c WHERE k % 3 <> 0), n AS (SELECT key, metadata, 'running' AS status FROM c WHERE k % 2 = 0), done AS (SELECT key, CASE WHEN k % 10 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM c WHERE k % 5 = 0 AND (k % 3 <> 0 OR k % 2 = 0))"""
 
 
-@query("WITH " + sql_values("o", "key, metadata, status", _OLD_RUNS) + ", " + sql_values("n", "key, metadata, status", _NEW_RUNS) + ", " + sql_values("done", "key, status", [("a", "succeeded"), ("b", "failed")]) + """,
+@query("WITH " + _RUNS_SQL + """,
 r AS (SELECT coalesce(o.key, n.key) AS key, coalesce(n.metadata, o.metadata) AS metadata, coalesce(o.status, n.status) AS status, CASE WHEN o.key IS NULL THEN 'inserted' WHEN n.key IS NULL THEN 'kept' ELSE 'reused' END AS action FROM o FULL JOIN n ON o.key = n.key)
 SELECT r.key, metadata, CASE WHEN r.status = 'running' THEN coalesce(done.status, r.status) ELSE r.status END AS status, action FROM r LEFT JOIN done ON done.key = r.key""")
 def registry_runs(spark, sf_dir):
-    shape = "key string, metadata string, status string"
-    held = vault.register_runs(values(spark, shape, _OLD_RUNS), values(spark, shape, _NEW_RUNS))
-    return vault.finish_runs(held, values(spark, "key string, status string", [("a", "succeeded"), ("b", "failed")])).select("key", "metadata", "status", "action")
+    """Runs known and arriving by key, then the outcomes of some."""
+    k = F.col("c_custkey")
+    metadata = F.concat(F.lit('{"nation":'), F.col("c_nationkey").cast("string"), F.lit("}"))
+    c = S.load(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("run-"), k.cast("string")).alias("key"), metadata.alias("metadata"))
+    old = c.where(k % 3 != 0).select("key", "metadata", F.when(k % 4 == 1, "succeeded").otherwise("running").alias("status"))
+    held = vault.register_runs(old, c.where(k % 2 == 0).select("key", "metadata", F.lit("running").alias("status")))
+    done = c.where((k % 5 == 0) & ((k % 3 != 0) | (k % 2 == 0))).select("key", F.when(k % 10 == 0, "failed").otherwise("succeeded").alias("status"))
+    return vault.finish_runs(held, done).select("key", "metadata", "status", "action")
 
 
 @query("SELECT user_id AS run, arg_max(event_type, (ts, event_id)) AS status, count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started FROM events GROUP BY user_id")
@@ -245,22 +266,35 @@ def lineage_runs(spark, sf_dir):
     return e.groupBy(F.col("user_id").alias("run")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("rows"), F.date_format(F.min("ts"), STAMP).alias("started"))
 
 
-_OLD_HYP, _NEW_HYP = [("m", "Momentum", "old", "accepted"), ("r", "Reversal", "kept", "rejected")], [("m", "Momentum 12-1", "new", "proposed"), ("v", "Volatility", "new", "proposed")]
-
-
-@query("WITH " + sql_values("o", "key, name, thesis, status", _OLD_HYP) + ", " + sql_values("n", "key, name, thesis, status", _NEW_HYP) + " SELECT coalesce(o.key, n.key) AS key, coalesce(n.name, o.name) AS name, coalesce(n.thesis, o.thesis) AS thesis, coalesce(o.status, n.status) AS status FROM o FULL JOIN n ON o.key = n.key")
+@query("""WITH o AS (SELECT 'h' || p_partkey AS key, p_name AS name, 'old' AS thesis, CASE WHEN p_size > 25 THEN 'accepted' ELSE 'rejected' END AS status FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT 'h' || p_partkey AS key, p_name || ' again' AS name, p_type AS thesis, 'proposed' AS status FROM part WHERE p_partkey % 2 = 0)
+SELECT coalesce(o.key, n.key) AS key, coalesce(n.name, o.name) AS name, coalesce(n.thesis, o.thesis) AS thesis, coalesce(o.status, n.status) AS status FROM o FULL JOIN n ON o.key = n.key""")
 def registry_hypotheses(spark, sf_dir):
-    shape = "key string, name string, thesis string, status string"
-    return vault.upsert_hypotheses(values(spark, shape, _OLD_HYP), values(spark, shape, _NEW_HYP))
+    """Hypotheses known and arriving: new texts win, a known one keeps its status."""
+    key, k = F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_partkey")
+    p = S.load(spark, sf_dir, "part")
+    old = p.where(k % 3 != 0).select(key, F.col("p_name").alias("name"), F.lit("old").alias("thesis"), F.when(F.col("p_size") > 25, "accepted").otherwise("rejected").alias("status"))
+    return vault.upsert_hypotheses(old, p.where(k % 2 == 0).select(key, F.concat("p_name", F.lit(" again")).alias("name"), F.col("p_type").alias("thesis"), F.lit("proposed").alias("status")))
 
 
-_DEFS = [("momentum_12_1", 1, "h1"), ("momentum_12_1", 2, "h2"), ("gross_margin", 1, "h3"), ("return_21_0", 3, "h4"), ("return_21_0", 2, "h5")]
+_DEFS_SQL = "d AS (SELECT p_brand || ' ' || p_type AS name, CAST(p_size AS BIGINT) AS version, sha256(CAST(max(p_partkey) AS VARCHAR)) AS hash FROM part GROUP BY 1, 2)"
 
 
-@query("WITH " + sql_values("d", "name, version, hash", _DEFS) + " SELECT name, CAST(max(version) AS BIGINT) AS version, sha256(name || ':' || max(version) || ':' || arg_max(hash, version)) AS feature_set_hash FROM d GROUP BY name")
+@query(f"WITH {_DEFS_SQL} SELECT name, max(version) AS version, sha256(name || ':' || max(version) || ':' || arg_max(hash, version)) AS feature_set_hash FROM d GROUP BY name")
 def latest_definitions(spark, sf_dir):
-    rows = runs.latest_version(vault.ensure_definition(values(spark, "name string, version bigint, hash string", _DEFS[:2]), values(spark, "name string, version bigint, hash string", _DEFS)))
-    return rows.select("name", "version", F.sha2(F.concat_ws(":", "name", "version", "hash"), 256).alias("feature_set_hash"))
+    """Definitions of which some are known by name, version and hash, and the newest version of each name."""
+    rows = S.load(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("name"), big("p_size").alias("version")).agg(F.sha2(F.max("p_partkey").cast("string"), 256).alias("hash"))
+    held = vault.ensure_definition(rows.where("version < 20"), rows)
+    return runs.latest_version(held).select("name", "version", F.sha2(F.concat_ws(":", "name", "version", "hash"), 256).alias("feature_set_hash"))
+
+
+@query(f"WITH {_DEFS_SQL} SELECT sha256(string_agg(name || ':' || version || ':' || hash, '|' ORDER BY name, version)) AS feature_set_hash, count(*) AS definitions, count(*) FILTER (WHERE version >= 20) AS new FROM d")
+def feature_set_hash(spark, sf_dir):
+    """The hash of a set of definitions, whatever the order of its rows."""
+    rows = S.load(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("name"), big("p_size").alias("version")).agg(F.sha2(F.max("p_partkey").cast("string"), 256).alias("hash"))
+    held = vault.ensure_definition(rows.where("version < 20"), rows)
+    entry = F.struct("name", "version", F.concat_ws(":", "name", "version", "hash").alias("text"))
+    joined_text = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["text"]), "|")  # a set of definitions is a document's size
+    return held.agg(F.sha2(joined_text, 256).alias("feature_set_hash"), F.count("*").alias("definitions"), F.count_if("is_new").alias("new"))
 
 
 # ---------------------------------------------------------------- joins, sets and JSON
@@ -273,12 +307,12 @@ def join_snapshots(spark, sf_dir):
     return S.load(spark, sf_dir, "customer").join(models, F.col("c_custkey") == F.col("key"), "left").select("c_custkey", "o_orderkey", F.coalesce("model_key", F.lit("none")).alias("model_key"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders")
 def require_customers(spark, sf_dir):
     """Orders of which every customer is known; an unknown one would be an error."""
     known = S.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     orders = S.load(spark, sf_dir, "orders")
-    return runs.require_known(orders.join(known, "o_custkey", "left_semi"), known, ["o_custkey"]).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    return runs.require_known(orders, known, ["o_custkey"]).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
 @query("""SELECT n_regionkey AS region, to_json(list({'key': n_nationkey, 'name': n_name} ORDER BY n_nationkey)) AS members, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_name) || '}' AS by_name FROM nation GROUP BY 1""")
@@ -351,12 +385,23 @@ def fals_result(spark, sf_dir):
     return r.select("planned", "windows", "without_train", "without_test", "dates", r8("mean_strategy"), r8("mean_baseline"), "status", F.array_join("failure_modes", ",").alias("failure_modes"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS planned, CAST(0 AS BIGINT) AS windows, 'insufficient_data' AS status, 'too_few_sessions' AS failure_modes UNION ALL SELECT 0, 0, 'insufficient_data', 'no_inputs'")
+_FEW = (5, 63, 126, 252)
+
+
+def _few_sql(h: int) -> str:
+    t = f"_{h}"
+    return f"{joined_sql(horizon=h, tag=t)}, {splits_sql(h, t)}, {scores_sql(t)}, {windows_sql(t)}"
+
+
+@query(f"WITH {PW}, " + ", ".join(_few_sql(h).replace("lab_", "lab_") for h in _FEW) + " " + " UNION ALL ".join(f"""SELECT CAST({h} AS BIGINT) AS horizon, (SELECT count(*) FROM splits_{h}) AS planned, count(*) AS windows, CASE WHEN count(*) > 0 THEN 'succeeded' ELSE 'insufficient_data' END AS status,
+CASE WHEN (SELECT count(*) FROM joined_{h}) = 0 THEN 'no_inputs' WHEN (SELECT count(*) FROM splits_{h}) = 0 THEN 'too_few_sessions' WHEN count(*) = 0 THEN 'no_scorable_window' WHEN avg(strategy_net) <= avg(baseline_net) THEN 'baseline_not_exceeded' ELSE '' END AS failure_modes FROM wins_{h}""" for h in _FEW))
 def fals_insufficient(spark, sf_dir):
-    """Runs over too few sessions and over nothing."""
+    """Runs at growing horizons, of which the last leave too few sessions for a window."""
     out = None
-    for rows in (joined(spark, sf_dir).where("idx < 60"), joined(spark, sf_dir).where("false")):
-        part = runs.falsifier_result(planned(spark, sf_dir, rows), rows).select("planned", "windows", "status", F.array_join("failure_modes", ",").alias("failure_modes"))
+    for h in _FEW:
+        rows = joined(spark, sf_dir, horizon=h)
+        found = runs.falsifier_result(runs.planned_windows(B.date_scores(rows), splits_for(spark, sf_dir, rows, h)), rows)
+        part = found.select(F.lit(h).cast("bigint").alias("horizon"), "planned", "windows", "status", F.array_join("failure_modes", ",").alias("failure_modes"))
         out = part if out is None else out.union(part)
     return out
 
@@ -393,21 +438,29 @@ def regime_metrics(spark, sf_dir):
     return runs.regime_metrics(B.date_scores(joined(spark, sf_dir)), regimes).select("name", "measure", "sample_count", *[r8(c) for c in ("mean", "sd", "hit_rate")])
 
 
-_BROKEN = [("one", "2000-01-01", "2000-12-31"), ("two", "2000-06-01", "2001-12-31"), ("three", "2002-02-01", "2002-12-31"), ("four", "2004-01-01", "2003-01-01")]
+@query("""WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS k, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1),
+r AS (SELECT 'r' || CASE WHEN k % 11 = 5 THEN k - 1 ELSE k END AS name, a, CASE WHEN k % 7 = 3 THEN b + 10 WHEN k % 13 = 6 THEN a - 1 WHEN k % 5 = 2 THEN b - 10 ELSE b END AS b FROM m),
+x AS (SELECT name, CASE WHEN a > b THEN 'reversed' WHEN a <= lag(b) OVER (ORDER BY a) THEN 'overlap' WHEN a - lag(b) OVER (ORDER BY a) > 1 THEN 'gap' WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'repeated' END AS fault FROM r)
+SELECT name, fault FROM x WHERE fault IS NOT NULL""")
+def regime_faults(spark, sf_dir):
+    """Regimes of a month of orders each, some reversed, overlapping, apart or of the same name."""
+    k, a, b = F.col("k"), F.col("a"), F.col("b")
+    m = S.load(spark, sf_dir, "orders").groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("k")).agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    end = F.when(k % 7 == 3, F.date_add(b, 10)).when(k % 13 == 6, F.date_add(a, -1)).when(k % 5 == 2, F.date_add(b, -10)).otherwise(b)
+    return B.regime_faults(m.select(F.concat(F.lit("r"), F.when(k % 11 == 5, k - 1).otherwise(k).cast("string")).alias("name"), a.alias("start_date"), end.alias("end_date")))
 
 
-@query("SELECT * FROM (VALUES ('two', 'overlap'), ('three', 'gap'), ('four', 'reversed')) t(name, fault)")
-def regime_faults(spark, sf_dir):
-    regimes = values(spark, "name string, a string, b string", _BROKEN).select("name", F.col("a").cast("date").alias("start_date"), F.col("b").cast("date").alias("end_date"))
-    return B.regime_faults(regimes)
+def _exact_sql(x: str) -> str:
+    """``runs.exact`` in SQL."""
+    part = lambda k: f"CAST(floor(abs({x}) * {2.0 ** (30 * k)!r}) - floor(abs({x}) * {2.0 ** (30 * (k - 1))!r}) * {2.0 ** 30!r} AS BIGINT)" if k else f"CAST(floor(abs({x})) AS BIGINT)"
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '+' END || " + " || '.' || ".join(part(k) for k in range(4))
 
 
-@query(f"{BASE}, rowsh AS (SELECT asof AS g, security_id AS o, sha256('=' || security_id || '|=' || asof || '|=' || horizon_session || '|=' || printf('%.9f', feature) || '|=' || printf('%.9f', ret)) AS h FROM joined), groups AS (SELECT g, sha256(string_agg(h, '' ORDER BY o)) AS h FROM rowsh GROUP BY g) "
+@query(f"{BASE}, rowsh AS (SELECT asof AS g, security_id AS o, sha256('=' || security_id || '|=' || asof || '|=' || horizon_session || '|=' || {_exact_sql('feature')} || '|=' || {_exact_sql('ret')}) AS h FROM joined), groups AS (SELECT g, sha256(string_agg(h, '' ORDER BY o)) AS h FROM rowsh GROUP BY g) "
        "SELECT sha256(string_agg(h, '' ORDER BY g)) AS fingerprint FROM groups")
 def input_fingerprint(spark, sf_dir):
     """The same digest for the same inputs in any order of rows, and another for any other."""
-    show = lambda c: F.format_string("%.9f", F.col(c))
-    return runs.fingerprint(joined(spark, sf_dir), "asof", "security_id", [F.col("security_id"), F.col("asof"), F.col("horizon_session"), show("feature"), show("ret")])
+    return runs.fingerprint(joined(spark, sf_dir), "asof", "security_id", [F.col("security_id"), F.col("asof"), F.col("horizon_session"), runs.exact(F.col("feature")), runs.exact(F.col("ret"))])
 
 
 @query(f"{BASE} SELECT count(*) AS n, count(DISTINCT security_id) AS securities, count(DISTINCT asof) AS dates, min(asof) AS first_asof, max(asof) AS last_asof, max(horizon_session) AS last_outcome FROM joined")
@@ -448,12 +501,12 @@ def report_trace(spark, sf_dir):
     return runs.trace_faults({"windows": -1, "status": "succeeded"}, stored)
 
 
-@query(f"""{BASE}, h AS (SELECT count(*) AS w, sum(test_dates) AS d, avg(strategy_net) AS s, avg(baseline_net) AS b, avg(difference) AS x, avg(CASE WHEN difference > 0 THEN 1.0 ELSE 0.0 END) AS r FROM wins)
+@query(f"""{BASE}, h AS (SELECT count(*) AS w, sum(test_dates) AS d, avg(strategy_net) AS s, avg(baseline_net) AS b, avg(difference) AS x, avg(CASE WHEN difference > 0 THEN 1.0 ELSE 0.0 END) AS r, avg(difference) / nullif(stddev_samp(difference), 0) AS q FROM wins)
 SELECT 'headline' AS section, CAST(0 AS BIGINT) AS line, 'windows: ' || w AS text FROM h UNION ALL SELECT 'headline', 1, 'dates: ' || CAST(d AS BIGINT) FROM h UNION ALL SELECT 'headline', 2, 'mean strategy: ' || printf('%+.4f%%', s * 100) FROM h UNION ALL SELECT 'headline', 3, 'mean baseline: ' || printf('%+.4f%%', b * 100) FROM h
-UNION ALL SELECT 'headline', 4, 'mean difference: ' || printf('%+.4f%%', x * 100) FROM h UNION ALL SELECT 'headline', 5, 'hit rate: ' || printf('%+.1f%%', r * 100) FROM h UNION ALL SELECT 'windows', split, test_start || '..' || test_end || ' ' || printf('%+.4f%%', difference * 100) FROM wins""")
+UNION ALL SELECT 'headline', 4, 'mean difference: ' || printf('%+.4f%%', x * 100) FROM h UNION ALL SELECT 'headline', 5, 'hit rate: ' || printf('%+.1f%%', r * 100) FROM h UNION ALL SELECT 'headline', 6, 'mean over sd: ' || coalesce(printf('%.3f', q), 'n/a') FROM h UNION ALL SELECT 'windows', split, test_start || '..' || test_end || ' ' || printf('%+.4f%%', difference * 100) FROM wins""")
 def report_lines(spark, sf_dir):
     w = windows_for(spark, sf_dir)
-    return runs.report_lines(B.headline(w), w).where("not (section = 'headline' and line = 6)")
+    return runs.report_lines(B.headline(w), w)
 
 
 # ---------------------------------------------------------------- registry and reports
@@ -495,23 +548,29 @@ def year_drivers(spark, sf_dir):
     return R.year_drivers(windows_for(spark, sf_dir)).select("year", "windows", r8("total"), r8("mean"), "positive", r8("worst"), r8("best"), F.round("share", 6).alias("share"))
 
 
-_STATUSES = [(s, p) for s in ("running", "failed", "insufficient_data", "succeeded", "paused") for p in (True, False, None)]
+_STATUS_SQL = "r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE ['failed', 'insufficient_data', 'paused'][1 + o_orderkey % 3] END AS status, CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS pass, CASE WHEN o_custkey % 5 = 0 THEN 'walk_forward_unstable' END AS failure FROM orders)"
 
 
-@query("WITH " + sql_values("r", "status, pass", _STATUSES) + """ SELECT status, pass AS scramble_pass, CASE WHEN status = 'running' THEN 'running' WHEN status = 'failed' THEN 'failed' WHEN status = 'insufficient_data' THEN 'rejected' WHEN status = 'succeeded' AND pass = false THEN 'rejected' WHEN status = 'succeeded' AND pass THEN 'promising' ELSE 'failed' END AS evaluation,
-CASE WHEN status = 'running' THEN NULL WHEN status = 'failed' THEN 'backtest_failed' WHEN status = 'insufficient_data' THEN 'insufficient_data' WHEN status = 'succeeded' AND pass = false THEN 'label_scramble_failed' WHEN status = 'succeeded' AND pass THEN NULL ELSE 'unsupported_backtest_status:' || status END AS reason FROM r""")
-def evaluation_statuses(spark, sf_dir):
-    rows = values(spark, "status string, scramble_pass boolean", _STATUSES)
-    return rows.select("status", "scramble_pass", R.evaluation_status(F.col("status"), F.col("scramble_pass")).alias("evaluation"), R.evaluation_reason(F.col("status"), F.col("scramble_pass")).alias("reason"))
+def run_statuses(spark, sf_dir):
+    """(status, scramble_pass, failure): a run for each order."""
+    late = F.element_at(F.array(*[F.lit(x) for x in ("failed", "insufficient_data", "paused")]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "running").otherwise(late)
+    k = F.col("o_custkey")
+    return S.load(spark, sf_dir, "orders").select(status.alias("status"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("scramble_pass"), F.when(k % 5 == 0, "walk_forward_unstable").alias("failure"))
 
 
-_EVIDENCE = [(1, "walk_forward_unstable", True), (2, None, False), (3, None, None), (4, None, True)]
+@query("WITH " + _STATUS_SQL + """ SELECT status, pass AS scramble_pass, CASE WHEN status = 'running' THEN 'running' WHEN status = 'failed' THEN 'failed' WHEN status = 'insufficient_data' THEN 'rejected' WHEN status = 'succeeded' AND pass = false THEN 'rejected' WHEN status = 'succeeded' AND pass THEN 'promising' ELSE 'failed' END AS evaluation,
+CASE WHEN status = 'running' THEN NULL WHEN status = 'failed' THEN 'backtest_failed' WHEN status = 'insufficient_data' THEN 'insufficient_data' WHEN status = 'succeeded' AND pass = false THEN 'label_scramble_failed' WHEN status = 'succeeded' AND pass THEN NULL ELSE 'unsupported_backtest_status:' || status END AS reason, count(*) AS runs FROM r GROUP BY ALL""")
+def evaluation_statuses(spark, sf_dir):
+    rows = run_statuses(spark, sf_dir)
+    told = rows.select("status", "scramble_pass", R.evaluation_status(F.col("status"), F.col("scramble_pass")).alias("evaluation"), R.evaluation_reason(F.col("status"), F.col("scramble_pass")).alias("reason"))
+    return told.groupBy("status", "scramble_pass", "evaluation", "reason").agg(F.count("*").alias("runs"))
 
 
-@query("WITH " + sql_values("r", "id, failure, pass", _EVIDENCE) + " SELECT CAST(id AS BIGINT) AS id, CASE WHEN failure IS NOT NULL THEN 'rejected' WHEN pass = false THEN 'rejected' WHEN pass IS NULL THEN 'failed' END AS status, CASE WHEN failure IS NOT NULL THEN failure WHEN pass = false THEN 'label_scramble_failed' WHEN pass IS NULL THEN 'label_scramble_missing' END AS reason FROM r")
+@query("WITH " + _STATUS_SQL + " SELECT CASE WHEN failure IS NOT NULL THEN 'rejected' WHEN pass = false THEN 'rejected' WHEN pass IS NULL THEN 'failed' END AS status, CASE WHEN failure IS NOT NULL THEN failure WHEN pass = false THEN 'label_scramble_failed' WHEN pass IS NULL THEN 'label_scramble_missing' END AS reason, count(*) AS runs FROM r GROUP BY 1, 2")
 def harder_statuses(spark, sf_dir):
-    rows = values(spark, "id bigint, failure string, pass boolean", _EVIDENCE)
-    return rows.select("id", R.harder_status(F.col("failure"), F.col("pass")).alias("h")).select("id", "h.status", "h.reason")
+    rows = run_statuses(spark, sf_dir).select(R.harder_status(F.col("failure"), F.col("scramble_pass")).alias("h"))
+    return rows.groupBy("h.status", "h.reason").agg(F.count("*").alias("runs"))
 
 
 @query(cells_sql() + " SELECT base_key || '__h' || horizon AS hypothesis_key, base_key, CASE WHEN base_key IN ('revenue_growth_yoy', 'gross_margin', 'operating_margin', 'net_margin', 'diluted_shares_change_yoy') THEN 'fundamentals' ELSE 'price' END AS family, verdict FROM cells")
@@ -549,16 +608,21 @@ def reason_glossary(spark, sf_dir):
     return R.glossary(cells(spark, sf_dir))
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, s FROM (VALUES (1, 'momentum_12_1'), (2, 'gross_margin'), (3, 'realized_volatility_63')) t(k, s)")
+@query(candidates_sql() + ", w AS (SELECT *, list_contains([" + ", ".join(f"'{n}'" for n in CANDIDATES) + """], name) AS known FROM (SELECT DISTINCT CASE p_size % 6 WHEN 0 THEN 'price_to_moon' WHEN 1 THEN 'momentum_12_1' WHEN 2 THEN 'gross_margin' WHEN 3 THEN 'realized_volatility_63' WHEN 4 THEN 'net_margin' ELSE lower(p_type) END AS name FROM part))
+SELECT name, known, count(base_key) AS ok_values FROM w LEFT JOIN (SELECT * FROM cand WHERE status = 'ok') c ON c.base_key = name GROUP BY 1, 2""")
 def candidate_registry(spark, sf_dir):
-    """Names that the materializers know, looked up by name; unknown ones are no candidates."""
-    known = materializers(spark, sf_dir)
-    wanted = [n for n in ("momentum_12_1", "gross_margin", "realized_volatility_63", "price_to_moon") if n in known and n in CANDIDATES]
-    return values(spark, "k bigint, s string", list(enumerate(wanted, 1)))
+    """Names that are asked for, looked up among the materializers: whether they are known, and their values."""
+    size = F.col("p_size") % 6
+    name = F.when(size == 0, "price_to_moon").when(size == 1, "momentum_12_1").when(size == 2, "gross_margin").when(size == 3, "realized_volatility_63").when(size == 4, "net_margin").otherwise(F.lower("p_type"))
+    wanted = S.load(spark, sf_dir, "part").select(name.alias("name")).distinct()
+    known = values(spark, "name string, known boolean", [(n, True) for n in materializers(spark, sf_dir) if n in CANDIDATES])
+    found = candidate_values(spark, sf_dir).where("status = 'ok'").groupBy(F.col("base_key").alias("name")).agg(F.count("*").alias("ok_values"))
+    return wanted.join(known, "name", "left").join(found, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("ok_values", F.lit(0)).alias("ok_values"))
 
 
-@query("SELECT p_key AS key, round(p_value, 6) AS p_value, round(least(1.0, min(p_value * 20.0 / k) OVER (ORDER BY k DESC)), 6) AS q_value FROM (SELECT *, row_number() OVER (ORDER BY p_value, p_key) AS k FROM (SELECT CAST(x AS BIGINT) AS p_key, (x * x) / 400.0 AS p_value FROM (SELECT unnest(generate_series(1, 20)) AS x)))")
+@query(cells_sql() + """, p AS (SELECT base_key || '__h' || horizon AS key, p_value, row_number() OVER (ORDER BY p_value, base_key || '__h' || horizon) AS k, count(*) OVER () AS n FROM cells WHERE p_value IS NOT NULL),
+q AS (SELECT *, least(1.0, min(p_value * n / k) OVER (ORDER BY k DESC)) AS q FROM p) SELECT key, round(p_value, 6) AS p_value, round(q, 6) AS q_value, q <= 0.05 AS rejected FROM q""")
 def adjusted_p_values(spark, sf_dir):
-    p = spark.range(1, 21).select(F.col("id").alias("key"), (F.col("id") * F.col("id") / 400.0).alias("p_value"))
-    return R.benjamini_hochberg(p, 0.05).select("key", F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value"))
-
+    """The p-values of the sweep's cells as one family."""
+    p = cells(spark, sf_dir).where("p_value is not null").select(F.concat_ws("__h", "base_key", "horizon").alias("key"), "p_value")
+    return R.benjamini_hochberg(p, 0.05).select("key", F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value"), "rejected")

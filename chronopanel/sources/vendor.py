@@ -3,13 +3,8 @@ are landed files or columns."""
 
 from __future__ import annotations
 
-import html as html_entities
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 LEGACY_PRICES = "struct<symbol:string,historical:array<struct<date:string,open:double,high:double,low:double,close:double,adjClose:double,volume:double>>>"
 STABLE_PRICES = "array<struct<symbol:string,date:string,adjOpen:double,adjHigh:double,adjLow:double,adjClose:double,volume:double>>"
@@ -59,7 +54,8 @@ def statements(payloads: DataFrame, body: str, metrics: dict[str, str], since_ye
     ``expected`` names the column of the symbol that was asked for; a payload with another one is an error."""
     fields = ",".join(f"{f}:double" for f in metrics)
     schema = f"array<struct<symbol:string,date:string,calendarYear:string,fiscalYear:string,period:string,acceptedDate:string,{fields}>>"
-    rows = payloads.select(*[F.col(expected).alias("__expected")] * bool(expected), F.explode(F.from_json(body, schema)).alias("s")).select(*["__expected"] * bool(expected), "s.*")
+    asked = F.col(expected) if expected else F.lit(None)
+    rows = payloads.select(asked.alias("__expected"), F.explode(F.from_json(body, schema)).alias("s")).select("__expected", "s.*")
     if expected:
         rows = rows.withColumn("symbol", of_symbol(F.col("symbol"), F.col("__expected")))
     year = F.coalesce("fiscalYear", "calendarYear").cast("int")
@@ -130,49 +126,46 @@ def earnings_exhibits(files: DataFrame) -> DataFrame:
     return files.where(named).groupBy("accession").agg(F.min("name").alias("exhibit"))
 
 
-@F.pandas_udf(StringType())
-def unescaped(text: pd.Series) -> pd.Series:
-    """Entities decoded, by the standard library's table of them."""
-    return text.map(lambda x: None if x is None else html_entities.unescape(x))
-
+#: Names of the characters from U+00A0 to U+00FF, in order, and of those that markup needs.
+LATIN_NAMES = (
+    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest "
+    "Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig "
+    "agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
+).split()
+MARKUP_NAMES = {"amp": 38, "lt": 60, "gt": 62, "quot": 34, "apos": 39}
+_REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
-def html_title(html: Column) -> Column:
-    """The title without inner tags, entities decoded, spaces collapsed; null where there is none."""
-    inner = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", " ")
-    return F.nullif(F.trim(F.regexp_replace(unescaped(inner), r"\s+", " ")), F.lit(""))
 
+def unescaped(text: Column) -> Column:
+    """Character references decoded: by number, and by the names above; others, and numbers that are no character, stay."""
+    codes = F.create_map(*[F.lit(x) for name, code in [*MARKUP_NAMES.items(), *zip(LATIN_NAMES, range(160, 256))] for x in (name, code)])
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        number = F.when(name.rlike("^#[0-9]"), F.substring(name, 2, 8).cast("int")).when(name.startswith("#"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int")).otherwise(codes[name])
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when((name != "") & F.coalesce(valid, F.lit(False)), F.concat(character, F.substr(piece, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), piece))
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
+    pieces = F.split(text, "&")
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.concat(pieces[0], F.array_join(rest, ""))
 
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.hidden:
-            self.hidden -= 1
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
 
+def html_title(html: Column) -> Column:
+    """The title without inner tags, entities decoded, spaces collapsed; null where there is none."""
+    inner = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", " ")
+    return F.nullif(F.trim(F.regexp_replace(unescaped(inner), r"\s+", " ")), F.lit(""))
 
-@F.pandas_udf(StringType())
-def html_text(pages: pd.Series) -> pd.Series:
-    """Text of a page by the standard parser, entities decoded."""
 
-    def one(page):
-        if page is None:
-            return None
-        parser = _Text()
-        parser.feed(page)
-        parser.close()
-        return " ".join(" ".join(parser.parts).split())
+def html_text(html: Column | str) -> Column:
+    """Text of a page: no comments, scripts, styles or tags, references decoded, white space collapsed.
 
-    return pages.map(one)
+    What stands between two tags is a word of its own; a script that isn't closed hides the rest, a tag that isn't stays."""
+    text = F.col(html) if isinstance(html, str) else html
+    for hidden in ("<!--.*?-->", *(f"<{tag}\\b[^>]*>.*?(</{tag}\\s*>|$)" for tag in ("script", "style")), "<[^>]+>"):
+        text = F.regexp_replace(text, f"(?is){hidden}", " ")
+    return F.trim(F.regexp_replace(unescaped(text), r"[\s\u00A0]+", " "))
 
 
 def earnings_like(text: Column) -> Column:

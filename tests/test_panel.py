@@ -124,12 +124,15 @@ def test_income_features_and_their_reasons(spark):
 
 def test_policies_are_checked_and_applied(spark):
     config = policies.default_config()
-    assert len(policies.validate(config)) == 12
+    assert len(policies.validate(spark, config)) == 12
     for spoil in (lambda c: c.update(policy_set_version=2), lambda c: c["policies"].pop(), lambda c: c["policies"].append(c["policies"][0]), lambda c: c["policies"][0].update(rule={"type": "odd"}), lambda c: c["policies"][3].update(rule={"type": "timestamp_plus_duration", "base": "x"})):
         broken = policies.default_config()
         spoil(broken)
         with pytest.raises(ValueError):
-            policies.validate(broken)
+            policies.validate(spark, broken)
+    with pytest.raises(ValueError, match="sec_10k_filing rule_type odd.*late valid_to 2019"):
+        policies.validate(spark, {"policy_set_version": 1, "policies": [
+            {"name": "sec_10k_filing", "version": 1, "rule": {"type": "odd"}}, {"name": "late", "version": 1, "rule": {"type": "fetched_at", "base": "x"}, "valid_from": "2020-01-01T00:00:00Z", "valid_to": "2019-01-01T00:00:00Z"}]}, ())
     day = spark.createDataFrame([(dt.date(2024, 1, 2),), (dt.date(2024, 7, 2),)], "price_date date")
     got = [r.available_at.hour for r in policies.apply(day, policies.POLICIES["daily_price"]).orderBy("price_date").collect()]
     assert got == [23, 22]
