@@ -36,8 +36,10 @@ def normalize(text: str | None) -> str:
     return _GAPS.sub(" ", (text or "").lower()).strip()
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """(smallest edit distance of the whole pattern to a substring of text, end of the first such substring)."""
+def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """(smallest edit distance of the whole pattern to a substring of text, end of the first such substring).
+
+    ``anchored``: only substrings from the start of the text on."""
     m = len(pattern)
     masks: dict[str, int] = {}
     for k, c in enumerate(pattern):
@@ -55,7 +57,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
             score -= 1
             if score < best:
                 best, at = score, k
-        up, down = (up << 1) & full, (down << 1) & full
+        up, down = ((up << 1) | anchored) & full, (down << 1) & full
         plus = down | (full & ~(diagonal | up))
         minus = up & diagonal
     return best, at
@@ -89,8 +91,16 @@ class Matcher:
             got = self.known[k, window] = (0, at + len(self.items[k][1])) if at >= 0 else myers(self.items[k][1], window)
         return got
 
-    def matches(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """{item: (distance, start, stop)} of the best occurrence within budget of each item, in normalized text."""
+    def start(self, k: int, text: str, distance: int, stop: int) -> int:
+        """Where an occurrence that ends at ``stop`` begins: the last place from which it is ``distance`` away from the item."""
+        _, item, budget = self.items[k]
+        if not distance:
+            return stop - len(item)
+        before = text[max(0, stop - len(item) - budget) : stop]
+        return stop - myers(item[::-1], before[::-1], anchored=True)[1]
+
+    def matches(self, text: str) -> dict[int, tuple[int, int]]:
+        """{item: (distance, stop)} of the best occurrence within budget of each item, in normalized text."""
         if not len(self.automaton):
             return {}
         starts: dict[int, set[int]] = {}
@@ -109,7 +119,7 @@ class Matcher:
                     a = max(0, low - budget)
                     distance, stop = self.distance(k, text[a : high + len(item) + budget])
                     if distance <= budget and (best is None or distance < best[0]):
-                        best = (distance, max(a, a + stop - len(item)), a + stop)
+                        best = (distance, a + stop)
                 low = high = start
             if best:
                 out[k] = best
@@ -175,7 +185,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = C
     Offsets are in the normalized text.  Items are a stated query set, held against all rows.  Null and empty texts match
     nothing, nor do items without an id or without letters; repeated rows each give their matches, those without an id
     with a null one; very long texts are read whole; empty tables give no rows; extra columns are ignored.  Every
-    occurrence within the budget is found: pieces are exact and nothing is capped.
+    occurrence within the budget is found: pieces are exact and nothing is capped.  An occurrence may begin and end inside
+    words; items of fewer than ``chars_per_edit`` characters have no budget.
     """
     folder = write_items(benchmark, item_col, item_text, block_chars)
 
@@ -185,8 +196,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = C
             for place in block_places(folder):
                 for engine in matchers(folder, place, chars_per_edit):
                     for doc, text in zip(ids, texts):
-                        for k, (distance, start, stop) in engine.matches(text).items():
-                            rows.append((doc, engine.items[k][0], distance, engine.items[k][2], start, stop))
+                        for k, (distance, stop) in engine.matches(text).items():
+                            rows.append((doc, engine.items[k][0], distance, engine.items[k][2], engine.start(k, text, distance, stop), stop))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], ["doc_id", "item_id", "distance", "budget", "start", "stop"])
 

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import time
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import tiktoken
 from helpers import SF, documents, empty
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, chat
+from chronopanel.llm import bpe, chat, decontaminate
 
 PATH, PATTERN = bpe.default_vocabulary()
 TEXTS = [
@@ -85,3 +87,36 @@ def test_chat_query_equals_duckdb(spark):
     names = [x[0] for x in found.description]
     df = chat.op10_chat_formatting(spark, SF)
     assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_very_long_pieces_take_seconds_and_are_those_of_the_library(library):
+    own = bpe.encoder(PATH, PATTERN)
+    r = random.Random(11)
+    pieces = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20)), "a" * 300_000, "the" * 70_000, "é中" * 20_000]
+    for piece in pieces:
+        began = time.time()
+        got = own.merge_long(piece.encode())
+        assert time.time() - began < 60
+        assert got.tolist() == library.encode_ordinary(piece) or len(own.split.findall(piece)) > 1
+    for n in (2, 3, 2049, 5000):
+        piece = "".join(r.choice("theanou") for _ in range(n))
+        assert own.merge_long(piece.encode()).tolist() == own.merge_rows([piece.encode()], n)[0].tolist() == library.encode_ordinary(piece)
+
+
+def test_occurrences_begin_where_they_begin():
+    item = "the quick brown fox jumps over a dog"
+    engine = decontaminate.Matcher(((1, item),), 16)
+    for text, start, stop, distance in (
+        (f"hello {item} there", 6, 42, 0), (f"hello {item[:9]}xy{item[9:]} there", 6, 44, 2), (f"hello {item[:9]}{item[11:]} there", 6, 40, 2), (f"hello {item[:9]}z{item[10:]} there", 6, 42, 1), (item[1:], 0, 35, 1),
+    ):
+        (found,) = engine.matches(text).items()
+        assert found[1] == (distance, stop) and engine.start(0, text, *found[1]) == start, text
+    r = random.Random(12)
+    for _ in range(200):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(2))
+        rows = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        best = min(rows[-1])
+        assert decontaminate.myers(a, b, anchored=True) == (best, rows[-1].index(best))
