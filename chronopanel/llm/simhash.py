@@ -144,7 +144,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 #: Bits in which fingerprints of texts of similarity 0.8 differ at most, but for one pair in fifty.
 FAR = 16
 #: Members of a candidate cell up to which all its pairs are looked at.
-FEW = 8
+FEW = 32
 _CELL = ["key", "row", "fp"]
 
 
@@ -202,19 +202,8 @@ def cell_pairs(cells: DataFrame, far: int) -> DataFrame:
 
 def alike_pairs(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of rows whose sets of word shingles have the similarity.  texts: row, text."""
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, chunk in text_chunks(batches):
-            words, out = Words(chunk), []
-            for k in range(len(chunk)):
-                own = words.hashes[words.first[k] : words.first[k + 1]]
-                n = min(width, len(own))
-                first = np.arange(len(own) - n + 1)
-                out.append(np.unique(span_hashes(own, first, first + n)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["row", "shingles"])
-
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = cut(texts.join(wanted, "row").select("row", "text").mapInArrow(shingles, "row long, shingles array<bigint>"), "shingles")
+    sets = cut(shingle_sets(texts.join(wanted, "row").select("row", "text"), width), "shingles")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     good = cut(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "alike")
@@ -226,13 +215,101 @@ def ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def each_set(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Slices of batches (row, text) with the distinct word shingles of each text, as sorted hashes; fewer words than ``width``
+    are one shingle."""
+
+    def sets(words: Words, n: int) -> Iterator[np.ndarray]:
+        for k in range(n):
+            own = words.hashes[words.first[k] : words.first[k + 1]]
+            m = min(width, len(own))
+            first = np.arange(len(own) - m + 1)
+            yield np.unique(span_hashes(own, first, first + m))
+
+    for part, chunk in text_chunks(batches):
+        yield part, sets(Words(chunk), len(chunk))
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(row, shingles) of texts (row, text), see ``each_set``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in each_set(batches, width):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["row", "shingles"])
+
+    return texts.mapInArrow(run, "row long, shingles array<bigint>")
+
+
+#: Slots by which shingles are counted, so the counts are of a fixed size whatever the input's.
+SLOTS = 1 << 18
+
+
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many texts have a shingle of each slot: two megabytes, whatever is counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for _, sets in each_set(batches, width):
+            slots = [x & np.uint64(SLOTS - 1) for x in sets]
+            total += np.bincount(np.concatenate(slots).astype(np.int64), minlength=SLOTS) if slots else 0
+        slots = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[slot] = n
+    return out
+
+
+def rarest_shingles(texts: DataFrame, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(row, size, shingle): of each text the rarest shingles by their slots' counts, as many as are left when ``similarity``
+    of all are taken away, and one more.  Two texts that are alike have one of these in common, as any order of all
+    shingles would do for that; this one keeps those of common passages out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in each_set(batches, width):
+            kept, size = [], []
+            for x in sets:
+                n = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0
+                order = np.lexsort((x, counts[(x & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                kept.append(x[order[:n]].view(np.int64))
+                size.append(len(x))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(kept, pa.list_(pa.int64()))], ["row", "size", "shingles"])
+
+    found = texts.mapInArrow(run, "row long, size int, shingles array<bigint>")
+    return found.select("row", "size", F.explode("shingles").alias("shingle"))
+
+
+def crowd_links(rows: DataFrame, crowd: DataFrame, found: DataFrame, far: int, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what ``found`` does and all texts of crowded cells that are alike; crowd: key, row, fp.
+
+    Each text meets the first of its cell, which settles groups of near copies.  Then the rest is found exactly, whatever
+    cells it shares: two texts that are alike have one of their rarest shingles in common, those that are left when
+    ``similarity`` of a text's shingles are taken away.  Texts meet by these, and only where they aren't joined yet, so a
+    group that is one component costs nothing more however large it is."""
+    heads = cut(crowd.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "fp")).alias("head")).select("key", "n", F.col("head.row").alias("other"), F.col("head.fp").alias("o_fp")), "heads")
+    pairs = lookup(crowd, heads, ["key"], "n").where((F.col("row") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= far))
+    good = alike_pairs(rows, pairs.select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
+    joined = connected_components(found.union(good))
+    members = rows.join(crowd.select("row").distinct(), "row").select("row", "text")
+    keys = rarest_shingles(members, slot_counts(rows, width), width, similarity)
+    keys_of = cut(keys.join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), "rare")
+    several = keys_of.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    keys = keys_of.join(several, "shingle")
+    theirs = keys.select("shingle", F.col("row").alias("other"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
+    near = keys.join(theirs, "shingle").where((F.col("component") < F.col("o_component")) & (F.least("size", "o_size") >= F.lit(similarity) * F.greatest("size", "o_size") - 1e-9))
+    more = alike_pairs(rows, near.select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
+    forget(heads, keys_of)
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, far: int = FAR) -> DataFrame:
     """(doc_id, component_id): the smallest id reachable over links between texts whose word shingles have the similarity.
 
     Ids are unique and not null (see ``unique_ids``).  Equal texts are always linked, texts without words with equal ones
     only; texts of fewer words than ``width`` are one shingle.  Of a pair at the similarity itself, one in ten or so is not
-    among the candidates; far fewer of more similar ones.  In a cell with many texts all meet the first, those unlike it
-    and the others the first of those, and so on, until the pairs left are few and all are looked at."""
+    among the candidates; far fewer of more similar ones.  In cells of up to FEW texts all pairs are looked at; the texts of
+    all larger cells are joined by ``crowd_links``, which is exact among them."""
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     prints = fingerprints(docs, id_col, text_col, width, seed).select(F.col("doc_id").alias("row"), "fp")
     copies = rows.select("row", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("copy"))
@@ -244,28 +321,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = nodes.withColumn("v", counts).select(F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"), "row", "fp").select(F.xxhash64("grid", "cell").alias("key"), "row", "fp")
     met = cut(cell_pairs(cells, far), "cellpairs")
     found = alike_pairs(rows, met.where("other is not null").select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
-    crowd = cut(met.where("other is null").select(*_CELL, F.lit(True).alias("asks")), "crowd")
-    while True:
-        asks = crowd.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking"), F.min(F.when(F.col("asks"), F.struct("row", "fp"))).alias("head")).where("n > 1 and asking > 0")
-        asks = cut(asks, "asks")
-        left, members = asks.agg(F.sum(F.col("n") * F.col("asking")), F.sum("n")).first()
-        if not left:
-            break
-        few = left <= 16 * members
-        near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= far
-        if few:
-            theirs = crowd.select("key", F.col("row").alias("other"), F.col("fp").alias("o_fp"))
-            pairs = crowd.where("asks").join(theirs, "key").where("row <> other")
-        else:
-            pairs = lookup(crowd, asks.select("key", "n", F.col("head.row").alias("other"), F.col("head.fp").alias("o_fp")), ["key"], "n").where("row <> other")
-        good = alike_pairs(rows, pairs.where(near("fp", "o_fp")).select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
-        found = found.union(good)
-        if few:
-            break
-        headed = lookup(crowd, asks.select("key", "n", F.col("head.row").alias("head")), ["key"], "n").withColumns({"a": F.least("row", "head"), "b": F.greatest("row", "head")})
-        settled = headed.join(good.withColumn("good", F.lit(True)), ["a", "b"], "left")
-        crowd = cut(settled.select(*_CELL, (F.col("asks") & F.col("good").isNull() & (F.col("row") != F.col("head"))).alias("asks")), "crowd")
-    comps = connected_components(found)
+    crowd = cut(met.where("other is null").select(*_CELL), "crowd")
+    comps = connected_components(crowd_links(rows, crowd, found, far, width, similarity))
     of = classes.join(comps, classes["first"] == comps["node"], "left").select("copy", "n", F.coalesce("component", "first").alias("component_id"))
     return lookup(copies, cut(of, "ofcopy"), ["copy"], "n").select(F.col("row").alias("doc_id"), "component_id")
 

@@ -9,6 +9,7 @@ import xxhash
 from helpers import SF, documents, empty, prose
 
 from chronopanel.llm import compact_windows, decontaminate, simhash, suffix_array
+from chronopanel.llm.common import connected_components
 from chronopanel.llm.tokens import PLACE, Words, mix
 
 
@@ -107,6 +108,22 @@ def test_a_crowd_of_near_copies_is_one_component(spark):
     assert {x["component_id"] for x in simhash.similar_components(documents(spark, rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("others", [0, 22, 300])
+def test_chains_in_a_crowded_cell_are_found_whoever_else_is_in_it(spark, others):
+    """Four texts, each like the next only, in a cell of unlike ones and of a group of near copies."""
+    words = prose(77, 140).split()
+    chain = [" ".join(words[10 * k : 10 * k + 104]) for k in range(4)]
+    assert [five_word_similarity(chain[a], chain[b]) >= 0.8 for a, b in ((0, 1), (1, 2), (2, 3), (0, 2), (1, 3))] == [True, True, True, False, False]
+    copies = [" ".join([*prose(78, 120).split(), f"z{k}"]) for k in range(30)]
+    texts = {5: chain[2], 17: chain[0], 900: chain[3], 901: chain[1], **{100 + k: c for k, c in enumerate(copies)}, **{200 + k: prose(1000 + k, 90) for k in range(others)}, 2000: " ".join([chain[0]] * 3)}
+    rows = spark.createDataFrame(list(texts.items()), "row long, text string")
+    crowd = rows.selectExpr("cast(1 as long) as key", "row", "cast(7 as long) as fp")
+    found = spark.createDataFrame([], "a long, b long")
+    of = {x["node"]: x["component"] for x in connected_components(simhash.crowd_links(rows, crowd, found, 16, 5, 0.8)).collect()}
+    assert {k: of[k] for k in (5, 17, 900, 901)} == dict.fromkeys((5, 17, 900, 901), 5)
+    assert {of[100 + k] for k in range(30)} == {100} and not {200 + k for k in range(others)} & set(of) and len(set(of.values())) == 2
+
+
 def test_first_of_each_component_is_chosen_by_row(spark):
     a, b = prose(1, 60), prose(2, 60)
     docs = documents(spark, [(1, a), (2, a), (2, b), (3, b), (None, a), (4, "other words in here"), (None, "alone"), (2, b)])
