@@ -28,6 +28,12 @@ def definition_hash(name: str, version: int, kind: str, spec: dict) -> str:
     return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+def definition_hash_column(name: Column, version: Column, kind: Column, spec: Column) -> Column:
+    """``definition_hash`` of rows; the fields of ``spec`` are in the order of their names."""
+    body = F.struct(spec.alias("computation_spec"), kind.alias("kind"), name.alias("name"), version.alias("version"))
+    return F.sha2(F.to_json(body), 256)
+
+
 def price_return(spine: DataFrame, lookback: int, skip: int = 0) -> DataFrame:
     """Adds value and status: price[t - skip] / price[t - lookback] - 1, or why there is none."""
     if lookback <= 0 or not 0 <= skip < lookback:

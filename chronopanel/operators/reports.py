@@ -205,6 +205,18 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
 
 
+def research_results(hypotheses: DataFrame, runs: DataFrame, keep: str = "succeeded") -> DataFrame:
+    """hypotheses (hypothesis) with run, score and evaluation of the newest run of status ``keep``, and counts of all runs and of those.
+
+    runs: hypothesis, run, status, at, score, evaluation; a tie in time goes to the larger run.  Without such a run the
+    evaluation is ``not_evaluated``."""
+    newest = F.max(F.when(F.col("status") == keep, F.struct("at", "run", "score", "evaluation"))).alias("best")
+    per = runs.groupBy("hypothesis").agg(newest, F.count("*").alias("runs"), F.count_if(F.col("status") == keep).alias(keep))
+    rows = hypotheses.join(per, "hypothesis", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("hypothesis", "best.run", "best.score", F.coalesce("best.evaluation", F.lit("not_evaluated")).alias("evaluation"), zero("runs"), zero(keep))
+
+
 def base_key(hypothesis: Column) -> Column:
     """The key without its ``__h`` horizon suffix."""
     return F.regexp_replace(hypothesis, r"__h[^_]*$", "")

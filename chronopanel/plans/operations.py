@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from chronopanel.operators import calibration as C
 from chronopanel.operators import drawdown as DD
+from chronopanel.operators import materialize as M
+from chronopanel.operators import panel as P
 from chronopanel.operators import portfolio as W
+from chronopanel.operators import reports as R
 from chronopanel.operators import runs
-from chronopanel.plans.catalogue import PW, big, panel_of, query, r8
+from chronopanel.plans.catalogue import PW, big, label_sql, panel_of, query, r8, weekly
 from chronopanel.plans.extended import _PATHS, net_returns, ranked_controls, ranked_sql
 from chronopanel.plans.registry import _exact_sql, fresh
 from chronopanel.session import once, stage
-from chronopanel.sources import landing, snapshots
+from chronopanel.sources import landing, snapshots, vault
 from chronopanel.sources import tables as S
 from chronopanel.streaming import landing as SL
 from chronopanel.streaming import outcomes as SO
@@ -183,3 +188,66 @@ def stream_outcomes(spark, sf_dir):
     schema = "prediction_id long, security_id long, asof date, horizon long, predicted double, realized double, error double, scored_at timestamp"
     found = SO.summary(spark.read.schema(schema).parquet(f"{root}/scored"))
     return found.select("horizon", "scored", r8("mean_error"), r8("mean_abs_error"), r8("hit_rate"))
+
+
+# ---------------------------------------------------------------- materialized labels with lineage, and what registries say
+
+
+@query(f"""WITH {PW}, {label_sql(5)}, l AS (SELECT year(session) AS y, skip_reason, end_price / price - 1 AS r FROM lab WHERE session <= DATE '1998-12-31')
+SELECT CAST(y AS BIGINT) AS year, coalesce(skip_reason, 'ok') AS outcome, count(*) AS rows, round(avg(r) FILTER (WHERE skip_reason IS NULL), 8) AS mean_return, CAST(1 AS BIGINT) AS version, 'failed' AS later FROM l GROUP BY 1, 2""")
+def label_materialization(spark, sf_dir):
+    """Labels up to a cutoff as a published table; a second run that fails leaves it and says so."""
+    root = fresh(spark, "labels")
+    rows = P.forward_labels(weekly(spark, sf_dir), (5,)).where("session <= date'1998-12-31'").select("security_id", "session", "horizon", "raw_return", "skip_reason", F.year("session").alias("year"))
+    columns = [F.col("security_id"), F.col("session"), F.col("skip_reason"), runs.exact(F.coalesce("raw_return", F.lit(0.0)))]
+    M.materialize(spark, root, "labels", "label", {"cutoff": "1998-12-31", "api_key": "hush"}, lambda: rows, "year", columns)
+    broken = rows.withColumn("raw_return", F.when(F.col("security_id") >= 0, F.raise_error(F.lit("no prices")).cast("double")))
+    with contextlib.suppress(Exception):
+        M.materialize(spark, root, "labels", "label", {"cutoff": "1999-12-31"}, lambda: broken, "year", columns)
+    later = M.lineage(spark, root).where("version is null").agg(F.max("status").alias("later"))  # one row
+    table = snapshots.read(spark, root, "labels").join(F.broadcast(later), F.lit(True))
+    ok = F.avg(F.when(F.col("skip_reason").isNull(), F.col("raw_return")))
+    return table.groupBy(big("year"), F.coalesce("skip_reason", F.lit("ok")).alias("outcome"), "later").agg(F.count("*").alias("rows"), F.round(ok, 8).alias("mean_return")).withColumn("version", F.lit(snapshots.version(spark, root, "labels")).cast("bigint"))
+
+
+@query(f"""WITH {PW}, {label_sql(21)}, bench AS (SELECT session, CASE WHEN idx % 7 = 3 THEN 0 ELSE price END AS b FROM spine WHERE security_id = 1 AND idx % 3 <> 0)
+SELECT CASE WHEN x.b IS NULL THEN 'missing_asof_price' WHEN y.b IS NULL THEN 'missing_target_price' WHEN x.b <= 0 OR y.b <= 0 THEN 'unavailable_return' ELSE 'covered' END AS status, count(*) AS labels
+FROM lab l LEFT JOIN bench x ON x.session = l.session LEFT JOIN bench y ON y.session = l.horizon_session WHERE skip_reason IS NULL GROUP BY 1""")
+def benchmark_coverage(spark, sf_dir):
+    """Why labels have a benchmark's return or not."""
+    grid = weekly(spark, sf_dir)
+    b = grid.where("security_id = 1 and idx % 3 <> 0").select("session", F.when(F.col("idx") % 7 == 3, 0.0).otherwise(F.col("price")).alias("b"))
+    labels = P.forward_labels(grid, (21,)).where("skip_reason is null").select("session", "horizon_session")
+    rows = labels.join(b, "session", "left").join(b.select(F.col("session").alias("horizon_session"), F.col("b").alias("e")), "horizon_session", "left")
+    return rows.groupBy(P.coverage_status(F.col("b"), F.col("e")).alias("status")).agg(F.count("*").alias("labels"))
+
+
+@query("""SELECT p_partkey, sha256('{"computation_spec":{"brand":"' || p_brand || '","size":' || p_size || '},"kind":"numeric","name":"' || p_name || '","version":' || (1 + p_partkey % 3) || '}') AS definition_hash FROM part""")
+def definition_hashes(spark, sf_dir):
+    """The hash of definitions as canonical JSON, computed in columns."""
+    p = S.load(spark, sf_dir, "part")
+    spec = F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    return p.select("p_partkey", P.definition_hash_column(F.col("p_name"), F.col("p_partkey") % 3 + 1, F.lit("numeric"), spec).alias("definition_hash"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS k, o_orderkey AS run, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS day, o_totalprice AS score, o_orderpriority AS evaluation FROM orders),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY day DESC, run DESC) AS n FROM e WHERE status = 'succeeded') WHERE n = 1), a AS (SELECT k, count(*) AS runs, count(*) FILTER (WHERE status = 'succeeded') AS succeeded FROM e GROUP BY 1)
+SELECT c_custkey AS hypothesis, run, round(score, 2) AS score, coalesce(evaluation, 'not_evaluated') AS evaluation, coalesce(runs, 0) AS runs, coalesce(succeeded, 0) AS succeeded FROM customer LEFT JOIN l ON l.k = c_custkey LEFT JOIN a ON a.k = c_custkey""")
+def research_results(spark, sf_dir):
+    """Every hypothesis with the evaluation of its newest run that succeeded, and how many runs it has had."""
+    o = S.load(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    e = o.select(F.col("o_custkey").alias("hypothesis"), F.col("o_orderkey").alias("run"), status.alias("status"), F.col("o_orderdate").alias("at"), F.round("o_totalprice", 2).alias("score"), F.col("o_orderpriority").alias("evaluation"))
+    known = S.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hypothesis"))
+    return R.research_results(known, e).select("hypothesis", "run", "score", "evaluation", "runs", "succeeded")
+
+
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT date, CASE WHEN day(date) = 1 THEN NOT (isodow(date) < 6) ELSE isodow(date) < 6 END AS s FROM d WHERE month(date) <> 12), b AS (SELECT date, isodow(date) < 6 AS s FROM d WHERE month(date) >= 3)
+SELECT count(*) FILTER (WHERE a.date IS NULL) AS inserted, count(*) FILTER (WHERE a.date IS NOT NULL AND b.date IS NOT NULL AND a.s <> b.s) AS updated, count(*) FILTER (WHERE a.date IS NOT NULL AND (b.date IS NULL OR a.s = b.s)) AS kept FROM a FULL JOIN b ON a.date = b.date""")
+def sink_calendar(spark, sf_dir):
+    """A calendar that is upserted by date."""
+    d = S.load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    open_, none = F.weekday("date") < 5, F.lit(None).cast("timestamp")
+    rows = lambda test, s: d.where(test).select("date", s.alias("is_session"), none.alias("session_close"), F.lit(False).alias("is_early_close"))
+    old = rows(F.month("date") != 12, F.when(F.day("date") == 1, ~open_).otherwise(open_))
+    return vault.write_counts(vault.upsert(old, rows(F.month("date") >= 3, open_), "calendar"))

@@ -83,6 +83,8 @@ TABLES = {
     "labels": (["security_id", "session", "horizon"], ["raw_return", "excess_return"]),
     "fundamentals": (["security_id", "fiscal_year", "fiscal_period", "period_end", "metric_name"], ["metric_value"]),
     "releases": (["accession"], ["form", "accepted_at", "timing"]),
+    "calendar": (["date"], ["is_session", "session_close", "is_early_close"]),
+    "policies": (["name", "version"], ["rule", "valid_from", "valid_to", "notes"]),
 }
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.operators import calibration, portfolio
+from chronopanel.operators import calibration, materialize, portfolio
 from chronopanel.session import shared_root, stage
 from chronopanel.sources import landing, snapshots
 from chronopanel.streaming import landing as stream
@@ -198,3 +198,20 @@ def test_streamed_outcomes_equal_the_batch_join(spark):
     batch = outcomes.scored(spark.createDataFrame(predictions, outcomes.PREDICTIONS), spark.createDataFrame(labels, outcomes.LABELS))
     key = lambda df: sorted(tuple(x) for x in df.select("prediction_id", "predicted", "realized", "error", "scored_at").collect())
     assert key(spark.read.parquet(f"{root}/scored")) == key(stage(batch, "batch")) and 30 < batch.count() < 60
+
+
+def test_a_run_that_fails_leaves_what_was_published(spark):
+    root = f"{shared_root(spark)}/materialize-test"
+    good = spark.range(6).select((F.col("id") % 2).alias("part"), "id")
+    key, number = materialize.materialize(spark, root, "t", "label", {"cutoff": "x", "token": "hush"}, lambda: good, "part")
+    with pytest.raises(Exception, match="broken"):
+        materialize.materialize(spark, root, "t", "label", {"cutoff": "y"}, lambda: good.withColumn("id", F.raise_error(F.lit("broken")).cast("long")), "part")
+    with pytest.raises(ValueError, match="no input"):
+        materialize.materialize(spark, root, "t", "label", {"cutoff": "y"}, lambda: (_ for _ in ()).throw(ValueError("no input")), "part")
+    rows = {r["key"]: r for r in materialize.lineage(spark, root).collect()}
+    assert number == 1 and snapshots.read(spark, root, "t").count() == 6 and len(rows) == 3
+    assert rows[key]["status"] == "succeeded" and "hush" not in rows[key]["parameters"] and sorted(r["status"] for r in rows.values()) == ["failed", "failed", "succeeded"]
+    with pytest.raises(ValueError, match="is over"):
+        materialize.finish_run(spark, root, key, "failed")
+    left = materialize.create_run(spark, root, "label", {})
+    assert {r["key"]: r["status"] for r in materialize.lineage(spark, root).collect()}[left] == "running"
