@@ -6,14 +6,14 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from chronopanel.session import shared_root
+from chronopanel.plans.registry import fresh
 from chronopanel.sources import connector, landing, vendor
 
 REQUESTS = "source string, endpoint string, symbol string, params string"
 
 
 def planned(spark, rows, per_partition=2):
-    path = f"{shared_root(spark)}/requests-{threading.get_ident()}-{len(rows)}-{per_partition}"
+    path = fresh(spark, "requests")
     connector.plan_requests(connector.checked_requests(spark.createDataFrame(rows, REQUESTS)), path, per_partition)
     return path
 
@@ -57,7 +57,7 @@ def test_requests_over_http_are_retried_each_by_itself(spark):
 
 
 def test_landed_responses_answer_requests(spark):
-    folder = f"{shared_root(spark)}/landed-test"
+    folder = fresh(spark, "landed")
     rows = [("p", f"s{k}", 1, 200, f"[{k}]") for k in range(50)] + [("p", "é", 1, 503, ""), ("p", "é", 2, 200, "[]"), ("p", "", 1, None, "reset"), ("q", "s1", 1, 200, "other")]
     connector.land_attempts(spark.createDataFrame(rows, "endpoint string, symbol string, attempt int, status int, body string"), folder, 7)
     asked = [("v", "p", f"s{k}", None) for k in range(60)] + [("v", "p", "é", "{}"), ("v", "p", "", "{}"), ("v", "q", "s1", "{}")]

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.operators import calibration, materialize, portfolio
-from chronopanel.session import shared_root, stage
+from chronopanel.plans.registry import fresh
+from chronopanel.session import stage
 from chronopanel.sources import landing, snapshots
 from chronopanel.streaming import landing as stream
 from chronopanel.streaming import outcomes
@@ -142,7 +143,7 @@ def test_distance_of_two_samples(spark, parts):
 
 
 def test_snapshots_are_told_by_content_and_published_once(spark):
-    root = f"{shared_root(spark)}/snapshots-test"
+    root = fresh(spark, "snapshots")
     a = spark.createDataFrame([(k % 3, k, f"v{k}" if k else None) for k in range(30)], "part int, k long, v string")
     first = snapshots.freeze(a, root, "part")
     assert snapshots.freeze(a.repartition(7).select("part", "k", "v"), root, "part") == first
@@ -166,7 +167,7 @@ def payloads(spark, rows):
 
 
 def test_a_batch_that_is_repeated_changes_nothing(spark):
-    root = f"{shared_root(spark)}/landing-test"
+    root = fresh(spark, "landing")
     landing.land(payloads(spark, [(1, 200, "a"), (1, 200, "a"), (2, 200, "b"), (3, 500, "no")]), f"{root}/in/1")
     run = lambda: stream.land_stream(stream.read_landed(spark, f"{root}/in/*"), f"{root}/out").awaitTermination()
     run()
@@ -186,7 +187,7 @@ def test_a_batch_that_is_repeated_changes_nothing(spark):
 
 
 def test_streamed_outcomes_equal_the_batch_join(spark):
-    root = f"{shared_root(spark)}/outcomes-test"
+    root = fresh(spark, "outcomes")
     day = dt.datetime(2024, 1, 1)
     predictions = [(k, k % 5, (day + dt.timedelta(k)).date(), 5, 0.1 * (k % 3), day + dt.timedelta(k)) for k in range(60)]
     labels = [(k % 5, (day + dt.timedelta(k)).date(), 5, 0.1, day + dt.timedelta(k + (5 if k % 7 else -1 if k % 2 else 500))) for k in range(60) if k % 11]
@@ -201,7 +202,7 @@ def test_streamed_outcomes_equal_the_batch_join(spark):
 
 
 def test_a_run_that_fails_leaves_what_was_published(spark):
-    root = f"{shared_root(spark)}/materialize-test"
+    root = fresh(spark, "materialize")
     good = spark.range(6).select((F.col("id") % 2).alias("part"), "id")
     key, number = materialize.materialize(spark, root, "t", "label", {"cutoff": "x", "token": "hush"}, lambda: good, "part")
     with pytest.raises(Exception, match="broken"):
