@@ -283,21 +283,22 @@ def rarest_shingles(texts: DataFrame, counts: np.ndarray, width: int, similarity
 def crowd_links(rows: DataFrame, crowd: DataFrame, found: DataFrame, far: int, width: int, similarity: float) -> DataFrame:
     """Links (a, b) that join what ``found`` does and all texts of crowded cells that are alike; crowd: key, row, fp.
 
-    Each text meets the first of its cell, which settles groups of near copies.  Then the rest is found exactly, whatever
-    cells it shares: two texts that are alike have one of their rarest shingles in common, those that are left when
-    ``similarity`` of a text's shingles are taken away.  Texts meet by these, and only where they aren't joined yet, so a
-    group that is one component costs nothing more however large it is."""
+    Each text meets the first of its cell, which settles groups of near copies.  Then all pairs within ``far`` bits are found,
+    whatever cells they share: two texts that are alike have one of their rarest shingles in common, those that are left
+    when ``similarity`` of a text's shingles are taken away.  Texts meet by these, and only where they aren't joined yet, so
+    a group that is one component costs nothing more however large it is."""
     heads = cut(crowd.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "fp")).alias("head")).select("key", "n", F.col("head.row").alias("other"), F.col("head.fp").alias("o_fp")), "heads")
     pairs = lookup(crowd, heads, ["key"], "n").where((F.col("row") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= far))
     good = alike_pairs(rows, pairs.select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
     joined = connected_components(found.union(good))
-    members = rows.join(crowd.select("row").distinct(), "row").select("row", "text")
-    keys = rarest_shingles(members, slot_counts(rows, width), width, similarity)
-    keys_of = cut(keys.join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), "rare")
+    members = crowd.select("row", "fp").distinct()
+    keys = rarest_shingles(rows.join(members, "row").select("row", "text"), slot_counts(rows, width), width, similarity)
+    keys_of = cut(keys.join(members, "row").join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), "rare")
     several = keys_of.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
     keys = keys_of.join(several, "shingle")
-    theirs = keys.select("shingle", F.col("row").alias("other"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
-    near = keys.join(theirs, "shingle").where((F.col("component") < F.col("o_component")) & (F.least("size", "o_size") >= F.lit(similarity) * F.greatest("size", "o_size") - 1e-9))
+    theirs = keys.select("shingle", F.col("row").alias("other"), F.col("fp").alias("o_fp"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
+    apart = (F.col("component") < F.col("o_component")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= far)
+    near = keys.join(theirs, "shingle").where(apart & (F.least("size", "o_size") >= F.lit(similarity) * F.greatest("size", "o_size") - 1e-9))
     more = alike_pairs(rows, near.select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
     forget(heads, keys_of)
     return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
@@ -309,7 +310,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Ids are unique and not null (see ``unique_ids``).  Equal texts are always linked, texts without words with equal ones
     only; texts of fewer words than ``width`` are one shingle.  Of a pair at the similarity itself, one in ten or so is not
     among the candidates; far fewer of more similar ones.  In cells of up to FEW texts all pairs are looked at; the texts of
-    all larger cells are joined by ``crowd_links``, which is exact among them."""
+    all larger cells are joined by ``crowd_links``, which misses none of them within ``far`` bits."""
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     prints = fingerprints(docs, id_col, text_col, width, seed).select(F.col("doc_id").alias("row"), "fp")
     copies = rows.select("row", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("copy"))
@@ -320,8 +321,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = popcounts(F.col("fp"))
     cells = nodes.withColumn("v", counts).select(F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"), "row", "fp").select(F.xxhash64("grid", "cell").alias("key"), "row", "fp")
     met = cut(cell_pairs(cells, far), "cellpairs")
-    found = alike_pairs(rows, met.where("other is not null").select(*ordered(F.col("row"), F.col("other"))).distinct(), width, similarity)
-    crowd = cut(met.where("other is null").select(*_CELL), "crowd")
+    # cells that lie at the end of a partition are told as crowds too; which do depends on the layout, so the small ones of
+    # them are treated as small ones elsewhere are
+    apart = cut(met.where("other is null").select(*_CELL), "apart")
+    sized = lookup(apart, cut(apart.groupBy("key").agg(F.count("*").alias("n")), "cellsizes"), ["key"], "n")
+    small = sized.where(F.col("n") <= FEW)
+    theirs = small.select("key", F.col("row").alias("other"), F.col("fp").alias("o_fp"))
+    near = small.join(theirs, "key").where((F.col("row") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= far))
+    pairs = met.where("other is not null").select(*ordered(F.col("row"), F.col("other"))).union(near.select(F.col("row").alias("a"), F.col("other").alias("b")))
+    found = alike_pairs(rows, pairs.distinct(), width, similarity)
+    crowd = cut(sized.where(F.col("n") > FEW).select(*_CELL), "crowd")
     comps = connected_components(crowd_links(rows, crowd, found, far, width, similarity))
     of = classes.join(comps, classes["first"] == comps["node"], "left").select("copy", "n", F.coalesce("component", "first").alias("component_id"))
     return lookup(copies, cut(of, "ofcopy"), ["copy"], "n").select(F.col("row").alias("doc_id"), "component_id")
