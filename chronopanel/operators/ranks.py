@@ -43,8 +43,14 @@ def medians(rows: DataFrame, value: str, by: list[str], name: str = "median") ->
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by..., pairs, rank_correlation); null where a side is constant."""
+    """(by..., pairs, rank_correlation); null where a side is constant.
+
+    Twice a rank is whole, so the covariance is one quotient of exact sums: a correlation of nothing is zero in any order of rows."""
     held = stage(rows.select(*by, x, y), "pairs")  # read for each of the ranks and once more
     ranked = with_ranks(with_ranks(held, x, by, "__rx"), y, by, "__ry")
+    both = F.col("__rx").isNotNull() & F.col("__ry").isNotNull()
+    whole = lambda c: F.when(both, (F.col(c) * 2).cast("decimal(18,0)"))
+    n, a, b = F.count_if(both).cast("decimal(18,0)"), F.sum(whole("__rx")), F.sum(whole("__ry"))
+    covariance = F.try_divide((n * F.sum(whole("__rx") * whole("__ry")) - a * b).cast("double"), n.cast("double") * n.cast("double") * 4)
     spread = F.stddev_pop("__rx") * F.stddev_pop("__ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("pairs"), F.try_divide(F.covar_pop("__rx", "__ry"), F.nullif(spread, F.lit(0.0))).alias("rank_correlation"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("pairs"), F.try_divide(covariance, F.nullif(spread, F.lit(0.0))).alias("rank_correlation"))

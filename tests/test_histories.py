@@ -62,6 +62,20 @@ def test_ranks_and_medians_of_any_size(spark):
     assert ranks.medians(df, "y", [], "m").first()["m"] == statistics.median(y for _, _, y in rows)
 
 
+def test_a_rank_correlation_of_nothing_is_zero(spark):
+    r, rows, g = random.Random(9), [], 0
+    while g < 60:  # deals of which ranks have no covariance at all
+        n = r.randrange(5, 26)
+        y = r.sample(range(n), n)
+        if sum((2 * k + 1 - n) * (2 * v + 1 - n) for k, v in enumerate(y)) == 0:
+            rows += [(g, float(k), float(v)) for k, v in enumerate(y)]
+            g += 1
+    rows += [(-1, 1.0, 2.0), (-1, 2.0, 4.0), (-1, 3.0, 3.0), (-1, None, 9.0), (-2, 1.0, 2.0), (-2, 1.0, 3.0), (-3, None, 1.0)]
+    got = {x["g"]: x["rank_correlation"] for x in ranks.spearman(spark.createDataFrame(rows, "g int, x double, y double").repartition(5), "x", "y", ["g"]).collect()}
+    assert [got[k] for k in range(60)] == [0.0] * 60 and got[-2] is None and got[-3] is None
+    assert got[-1] == pytest.approx((1 / 3) / ((2 / 3) ** 0.5 * 1.25 ** 0.5))
+
+
 def test_least_squares_of_merged_moments(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(400, 3)) * [1, 10, 0.1] + [1e6, 0, 5]
