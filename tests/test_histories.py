@@ -48,6 +48,31 @@ def test_faulty_chains_are_errors(spark, rows, fault):
         supersession.history(spark.createDataFrame([(*x, DAY) for x in rows], FACTS), "id", "before", ["k"]).collect()
 
 
+def test_short_chains_are_followed_without_joins(spark, monkeypatch):
+    r, rows = random.Random(3), []
+    for key in range(400):
+        ids = r.sample(range(key * 100, key * 100 + 100), r.choice([1, 2, 7, 20]) if key != 5 else 15)
+        rows += [(i, ids[n - 1] if n else None, None if key == 5 else f"k{key}", at(r.randrange(300)) if r.random() < 0.95 else None) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, FACTS).repartition(5)
+    show = lambda found: sorted(map(str, found.select("id", "before", "k", "available_at", "chain", "position", "superseded_at", "is_current").collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")  # keys lie across batches
+    try:
+        mixed = show(supersession.history(df, "id", "before", ["k"], 10))
+        monkeypatch.setattr(supersession, "follow", None)
+        short = show(supersession.history(df, "id", "before", ["k"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert short == mixed and len(short) == len(rows)
+    later = {i: [] for i, *_ in rows}
+    for n, (i, b, _, t) in enumerate(rows):
+        while b is not None:
+            later[b].append(t)
+            n, b = n - 1, rows[n - 1][1]
+    for x in supersession.history(df, "id", "before", ["k"]).collect():
+        assert x["superseded_at"] == min(filter(None, later[x["id"]]), default=None) and x["is_current"] == (not later[x["id"]])
+
+
 def test_ranks_and_medians_of_any_size(spark):
     r = random.Random(4)
     rows = [("a" if r.random() < 0.8 else "b", r.choice([0.5, 1.0, r.random()]), r.random()) for _ in range(700)] + [("c", 3.0, 1.0), ("d", None, 2.0)]
