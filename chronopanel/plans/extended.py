@@ -47,9 +47,10 @@ def fetched(spark, sf_dir):
         ok = F.col("attempt") == F.col("good")
         answers = rows.select("r.endpoint", "symbol", "attempt", F.when(ok, 200).otherwise(F.col("bad")).alias("status"), F.when(ok, F.col("r.body")).otherwise("try again").alias("body"))
         folder, plan = fresh(spark, "landed"), fresh(spark, "requests")
-        connector.land_attempts(answers, folder, max(1, customers.count() // 1000))
+        buckets = max(1, customers.count() // 1000)
+        connector.land_attempts(answers, folder, buckets)
         asked = customers.select(F.lit("tables").alias("source"), F.explode(F.array(F.lit("orders"), F.lit("profile"))).alias("endpoint"), F.col("k").cast("string").alias("symbol"), F.lit("{}").alias("params"))
-        connector.plan_requests(connector.checked_requests(asked), plan)
+        connector.plan_requests(connector.checked_requests(asked), plan, place=connector.place_of(buckets))
         return connector.fetch(spark, plan, "chronopanel.sources.connector:Landed", folder=folder, first_pause="0")
 
     return once(spark, f"fetched:{sf_dir}", make)

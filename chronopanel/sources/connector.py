@@ -1,7 +1,7 @@
 """Vendor requests as a Spark data source: every attempt of every request is a row, before anything is parsed.
 
-Requests are a table (source, endpoint, symbol, params) that is written in files of bounded size, in the order of endpoint and
-symbol; a file is a partition of the read.  So the driver sees file names only, and a lost executor repeats its files'
+Requests are a table (source, endpoint, symbol, params) that is written in files of bounded size, in the order of endpoint,
+the place of the answer where that matters, and symbol; a file is a partition of the read.  So the driver sees file names only, and a lost executor repeats its files'
 requests and no others.  In a task each request is retried by itself with the rules of ``landing``: a response worth another
 try is followed by a growing pause and the next attempt, anything else ends the request.  What carries a request is a
 transport, named by module and class, so HTTP and a folder of landed responses are read by the same code.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -78,7 +78,9 @@ class Http:
 
 
 class Landed:
-    """Requests answered from responses that ``land_attempts`` wrote to ``folder``; one that isn't there is a 404."""
+    """Requests answered from responses that ``land_attempts`` wrote to ``folder``; one that isn't there is a 404.
+
+    A bucket is held at a time, so requests are best planned by ``place_of`` their buckets: others read one almost each."""
 
     def __init__(self, options: dict[str, str]):
         self.fs, self.root = open_path(options["folder"])
@@ -88,7 +90,7 @@ class Landed:
 
     def fetch(self, endpoint: str, symbol: str, params: dict, attempt: int) -> tuple[int, str]:
         place = (endpoint, bucket_of(symbol, self.buckets))
-        if self.held[0] != place:  # requests come in the order of endpoints, so a bucket is read a few times a task
+        if self.held[0] != place:  # one after another, if planned by place
             found = {}
             folder = f"{self.root}/responses/endpoint={endpoint}/bucket={place[1]}"
             for info in self.fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
@@ -109,22 +111,29 @@ def bucket_of(symbol: str, buckets: int) -> int:
     return value % buckets
 
 
+def place_of(buckets: int) -> Column:
+    """``bucket_of`` the column symbol."""
+    bytes_of = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("symbol"), F.lit(1))), lambda k: F.conv(F.hex(F.substring(F.col("symbol").cast("binary"), k, F.lit(1))), 16, 10).cast("long"))
+    number = F.when(F.col("symbol") == "", 0).otherwise(F.aggregate(bytes_of, F.lit(0).cast("long"), lambda a, b: (a * 31 + b) % 1_000_003))
+    return (number % buckets).cast("int")
+
+
 def land_attempts(responses: DataFrame, folder: str, buckets: int) -> None:
     """Write responses (endpoint, symbol, attempt, status, body) for ``Landed``; a null status is a connection that failed.
 
     Symbols are dealt to ``buckets`` by their bytes, so a response is found by its name alone."""
-    bytes_of = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("symbol"), F.lit(1))), lambda k: F.conv(F.hex(F.substring(F.col("symbol").cast("binary"), k, F.lit(1))), 16, 10).cast("long"))
-    number = F.when(F.col("symbol") == "", 0).otherwise(F.aggregate(bytes_of, F.lit(0).cast("long"), lambda a, b: (a * 31 + b) % 1_000_003))
-    dealt = responses.withColumn("bucket", (number % buckets).cast("int"))
+    dealt = responses.withColumn("bucket", place_of(buckets))
     dealt.repartition("endpoint", "bucket").write.partitionBy("endpoint", "bucket").parquet(f"{folder}/responses")
     fs, root = open_path(folder)
     with fs.open_output_stream(f"{root}/_buckets") as f:
         f.write(str(buckets).encode())
 
 
-def plan_requests(requests: DataFrame, path: str, per_partition: int = 500) -> None:
-    """Write requests in the order of endpoint and symbol, in files of at most ``per_partition``, each a task of the read."""
-    ordered = requests.select(*REQUESTS).repartitionByRange("endpoint", "symbol", "params").sortWithinPartitions("endpoint", "symbol", "params")
+def plan_requests(requests: DataFrame, path: str, per_partition: int = 500, place: Column | None = None) -> None:
+    """Write requests in the order of endpoint, place and symbol, in files of at most ``per_partition``, each a task of the read."""
+    order = ["endpoint", "__place", "symbol", "params"]
+    placed = requests.select(*REQUESTS, (F.lit(0) if place is None else place).alias("__place"))
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*REQUESTS)
     ordered.write.option("maxRecordsPerFile", per_partition).parquet(path)
 
 

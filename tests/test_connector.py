@@ -71,6 +71,21 @@ def test_landed_responses_answer_requests(spark):
     assert connector.fetch(spark, planned(spark, []), "chronopanel.sources.connector:Landed", folder=folder).count() == 0
 
 
+def test_a_bucket_of_landed_responses_is_read_a_few_times(spark, monkeypatch):
+    folder, plan = fresh(spark, "landed"), fresh(spark, "requests")
+    rows = [("p", f"s{k}", 1, 200, f"[{k}]") for k in range(400)]
+    connector.land_attempts(spark.createDataFrame(rows, "endpoint string, symbol string, attempt int, status int, body string"), folder, 20)
+    asked = spark.createDataFrame([("v", "p", f"s{k}", "{}") for k in range(400)], REQUESTS)
+    connector.plan_requests(connector.checked_requests(asked), plan, 50, connector.place_of(20))
+    reads, read = [], connector.pq.read_table
+    monkeypatch.setattr(connector.pq, "read_table", lambda *a, **k: reads.append(1) or read(*a, **k))
+    reader = connector.VendorReader({"requests": plan, "folder": folder, "transport": "chronopanel.sources.connector:Landed"})
+    parts = reader.partitions()
+    got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["symbol"], r["status"], r["body"]) for r in got) == sorted((s, 200, b) for _, s, _, _, b in rows)
+    assert len(parts) >= 8 and len(reads) <= 20 + len(parts)  # was one for almost each of 400 requests
+
+
 @pytest.mark.parametrize(("params", "fault"), [('{"api_key":"x"}', "secret"), ("[1]", "no object"), ("{", "no object")])
 def test_requests_with_secrets_or_bad_parameters_are_refused(spark, params, fault):
     with pytest.raises(Exception, match=fault):
