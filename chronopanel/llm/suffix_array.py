@@ -61,22 +61,19 @@ def passage_ranks(docs: DataFrame, variants: DataFrame) -> DataFrame:
     """RUNS with one row for every passage of ``variants`` (RUNS), the key being a hash of the passage and its place."""
     places = variants.select("doc_id", (F.col("at") + F.col("low")).alias("at"), (F.col("high") - F.col("low") + PASSAGE).alias("n"), F.struct("at", "low").alias("tag"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("n").to_numpy().astype(np.int64)
-            if not len(sizes):
-                continue
-            flat = np.frombuffer(b"".join(batch.column("slice").to_pylist()), "<u4").astype(np.uint64)
-            starts = sizes - PASSAGE + 1
-            each = np.repeat(np.arange(len(sizes)), starts)
-            nth = np.arange(len(each)) - np.repeat(np.cumsum(starts) - starts, starts)
-            first = np.repeat(np.cumsum(sizes) - sizes, starts) + nth
-            at, low = (batch.column(c).to_numpy().astype(np.int64)[each] for c in ("at", "low"))
-            low = low + nth
-            ranks = mix(span_hashes(mix(flat), first, first + PASSAGE) ^ (low + (1 << 20)).astype(np.uint64))
-            yield run_batch(batch.column("doc_id"), each, ranks, low, low, np.zeros(len(low), np.int64), at)
-
-    return word_slices(docs, places, 0).select("doc_id", "tag.at", "tag.low", "n", "slice").mapInArrow(run, RUNS)
+    def ranks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = batch.column("n").to_numpy().astype(np.int64)
+        flat = np.frombuffer(b"".join(batch.column("slice").to_pylist()), "<u4").astype(np.uint64)
+        starts = sizes - PASSAGE + 1
+        each = np.repeat(np.arange(len(sizes)), starts)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(starts) - starts, starts)
+        first = np.repeat(np.cumsum(sizes) - sizes, starts) + nth
+        at, low = (column.to_numpy().astype(np.int64)[each] for column in batch.column("tag").flatten())
+        low = low + nth
+        ranks = mix(span_hashes(mix(flat), first, first + PASSAGE) ^ (low + (1 << 20)).astype(np.uint64))
+        yield run_batch(batch.column("doc_id"), each, ranks, low, low, np.zeros(len(low), np.int64), at)
+
+    return word_slices(docs, places, 0, ranks, RUNS)
 
 
 def links_of(told: DataFrame) -> DataFrame:

@@ -342,3 +342,13 @@ def test_queries_cover_the_exact_copies_of_the_table(spark):
     told = {i for x in suffix_array.op7_suffix_array_dedup(spark, SF).collect() for i in (x["doc_id"], x["other"])}
     for ids in same:
         assert len({comps[i] for i in ids}) == 1 and set(ids[1:]) <= later and set(ids) <= told
+
+
+def test_passages_are_ranked_by_the_worker_that_cuts_them(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k % 2}{n}" for n in range(70))) for k in range(4)], "doc_id long, text string")
+    runs = suffix_array.suffixes(docs)
+    ranked = suffix_array.passage_ranks(docs, spark.createDataFrame(runs.collect(), runs.schema))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # was two, each with workers of its own
+    passages = {(r["doc_id"], r["at"] + r["low"]): r["key"] for r in ranked.collect()}
+    assert {p for _, p in passages} == set(range(21)) and all(passages[d, p] == passages[d + 2, p] for d in (0, 1) for p in range(21))
+    assert all(r["low"] == r["high"] for r in ranked.collect()) and not {passages[0, p] for p in range(21)} & {passages[1, p] for p in range(21)}
