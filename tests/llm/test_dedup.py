@@ -191,6 +191,49 @@ def test_prefixes_of_similar_windows_meet():
         assert same < 0.8 or any(set(x[i]) & set(y[j]) for i, j in kinds)
 
 
+def near_copies():
+    """300 copies of a passage, each with one or two words of its own, in texts that share nothing else."""
+    r, base, rows = random.Random(6), prose(4, 90).split(), []
+    for k in range(300):
+        own = list(base)
+        for j in r.sample(range(90), r.choice([1, 2])):
+            own[j] = f"y{k}x{j}"
+        rows.append((k, " ".join([prose(100 + k, 20), *own, prose(500 + k, 20)])))
+    return rows
+
+
+def test_open_starts_of_a_crowd_meet_few_others(spark, monkeypatch):
+    """Members unlike the first of their part met all others, at all starts; results link the same documents by either way to rank shingles."""
+    met, verify, crowds, docs = [], compact_windows.verify, compact_windows.in_crowds, documents(spark, near_copies())
+    monkeypatch.setattr(compact_windows, "verify", lambda d, m, *more: met.append(m.distinct().count()) or verify(d, m, *more))
+    found = {(x["doc_id"], x["start"], x["n_words"], x["other"], x["other_start"]) for x in compact_windows.repeated_passages(docs).collect()}
+    assert len({x[0] for x in found}) == 295 and sum(met) < 30000  # as before, with 54289 pairs
+    monkeypatch.setattr(compact_windows, "in_crowds", lambda *a: crowds(*a, whole=1))
+    assert found == {(x["doc_id"], x["start"], x["n_words"], x["other"], x["other_start"]) for x in compact_windows.repeated_passages(docs).collect()}
+
+
+def test_prefixes_of_whole_signatures_equal_those_of_each_run():
+    r = random.Random(1)
+    for _ in range(20):
+        key, low, slices, starts = [], [], [], []
+        for g in range(r.randint(1, 5)):
+            base = [r.randrange(1, 500) for _ in range(120)]
+            for _ in range(r.randint(1, 12)):
+                n, a = r.randint(50, 95), r.randint(0, 20)
+                words = [r.choice(base) if r.random() < 0.02 else w for w in base[a : a + n]] if r.random() < 0.7 else [base[k % 7] for k in range(n)]
+                key.append(7 * g - 3)
+                low.append(-r.randint(0, 40))
+                slices.append(np.array(words, "<u4").tobytes())
+                starts.append(sorted(r.sample(range(low[-1], low[-1] + n - 49), r.randint(0, n - 49))))
+        rows = compact_windows.key_prefixes(np.array(key), np.array(low), slices, starts, 5, 46, 0.8)
+        ids, want = [compact_windows.shingle_ids(np.frombuffer(x, "<u4"), 5).view(np.int64) for x in slices], set()
+        for i, x in enumerate(ids):
+            counts = {v: sum(v in y for k, y in zip(key, ids) if k == key[i]) for v in set(x.tolist())}
+            for kind, told in enumerate(compact_windows.window_prefixes(x, counts, 46, 0.8, {s - low[i] for s in starts[i]})):
+                want |= {(i, v, kind, bool(asks), first, last) for v, (asks, first, last) in told.items()}
+        assert set(zip(*(x.tolist() for x in rows))) == want
+
+
 def test_cartesian_tree_and_windows_against_every_passage():
     r = np.random.default_rng(0)
     for t in range(200):
